@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, shard
+from . import decontaminate, mix, neardup, shard
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign_shards(_read(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their 3-word shingles."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged against the whole benchmark."""
     out = decontaminate.mark_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -28,7 +33,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.Mix(_read(spark, sf_dir, "documents")).taken()
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_minhash, op5_decontamination, op9_mixing)}
 
 
 def _op3_sql() -> str:

@@ -141,4 +141,4 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def whole(hashes: np.ndarray) -> int:
     """The hash of a whole sequence, unlike that of any other length."""
-    return int(mix(grams(hashes, len(hashes)) + U64(0x9E3779B97F4A7C15) * U64(len(hashes)))[0])
+    return int(mix(grams(hashes, len(hashes)) + U64(0x9E3779B97F4A7C15 * len(hashes) % 2**64))[0])
