@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, neardup, shard
+from . import decontaminate, mix, neardup, quality, shard, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, column: str, parts: int, held_out: int) -> DataFrame:
+    """doc_id and label of the rows that a model may learn from."""
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
+    return labels.where(quality.remainder(F.col("doc_id"), parts) != held_out)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from positives and unlabelled text."""
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _labelled(spark, sf_dir, "quality", 5, 0))
+    scored = quality.score_documents(docs, model, keep=["doc_id"])
+    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot and shard of every document, by its doc_id."""
     return shard.assign_shards(_read(spark, sf_dir, "documents").select("doc_id"))
@@ -28,12 +43,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "items_sha256", "contaminated")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, with its offending spans in code points."""
+    docs = _read(spark, sf_dir, "documents")
+    field = toxicity.train(docs, _labelled(spark, sf_dir, "toxic", 3, 1))
+    scored = toxicity.score_documents(docs, field, keep=["doc_id"])
+    held_out = quality.remainder(F.col("doc_id"), 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix.Mix(_read(spark, sf_dir, "documents")).taken()
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_minhash, op5_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op9_mixing)}
 
 
 def _op3_sql() -> str:

@@ -66,6 +66,7 @@ class Words:
     bounds: np.ndarray
     heads: dict[int, np.ndarray]
     tails: dict[int, np.ndarray]
+    offs: np.ndarray
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,7 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, heads: tuple[int
             from_ = np.maximum(e - k, s)
             out[i:j] = mix((sums[e] - sums[from_]) * down[from_])
         i = j
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offs), h_out, t_out)
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, offs), h_out, t_out, offs)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
