@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, neardup, quality, shard, toxicity
+from . import decontaminate, linededup, mix, neardup, quality, secrets, shard, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are on five sources or more."""
+    out = linededup.remove_boilerplate(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot and shard of every document, by its doc_id."""
     return shard.assign_shards(_read(spark, sf_dir, "documents").select("doc_id"))
@@ -52,12 +58,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
+    out = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda s: s["name"].isin(*secrets.BASE))
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["name"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *(count(k) for k in secrets.BASE), F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("secret_spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix.Mix(_read(spark, sf_dir, "documents")).taken()
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op8_secrets, op9_mixing)}
 
 
 def _op3_sql() -> str:
@@ -81,4 +95,35 @@ _OP5_SQL = r"""
     FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES = {"op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
+_OP2_SQL = r"""
+    WITH l AS (SELECT doc_id, source, coalesce(text, '') = '' AND text IS NULL AS none, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+    k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+    b AS (SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 5),
+    d AS (SELECT doc_id, count(*) AS n_lines, count(b.bare) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (b.bare IS NULL), '') AS t FROM k LEFT JOIN b USING (bare) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(t) END AS text_sha256 FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
+def _op8_sql() -> str:
+    """Matches with the lengths between them, positions as running sums, and links by distance."""
+    quoted = lambda p: p.replace("'", "''")
+    each, fits = [], []
+    for k, (name, pattern, full) in enumerate(secrets.PATTERNS):
+        each.append(f"SELECT doc_id, {k} AS kind, '{name}' AS name, unnest(list_zip(regexp_split_to_array(t, '{quoted(pattern)}')[:-2], regexp_extract_all(t, '{quoted(pattern)}'))) AS z, generate_subscripts(regexp_extract_all(t, '{quoted(pattern)}'), 1) AS i FROM d")
+        if full:
+            fits.append(f"(kind <> {k} OR regexp_matches(z[2], '{quoted(full)}'))")
+    near = lambda a, kinds: f"EXISTS (SELECT 1 FROM p q WHERE q.doc_id = {a}.doc_id AND q.name IN {kinds} AND {a}.start BETWEEN q.start - {secrets.REACH} AND q.stop + {secrets.REACH})"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({' UNION ALL '.join(each)}),
+    s AS (SELECT *, sum(length(z[1]) + length(z[2])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m),
+    p AS (SELECT doc_id, kind, name, cast(stop - length(z[2]) AS bigint) AS start, cast(stop AS bigint) AS stop FROM s
+          WHERE {' AND '.join(fits)} AND (name <> 'secret' OR (regexp_matches(z[2], '[A-Z]') AND regexp_matches(z[2], '[a-z]') AND regexp_matches(z[2], '[0-9]')))),
+    r AS (SELECT * FROM p WHERE name IN {secrets.BASE} OR (name = 'secret' AND {near('p', secrets.IDS)}) OR (name = 'id' AND {near('p', secrets.SECRETS)}) OR (name = 'endpoint' AND {near('p', secrets.IDS)} AND {near('p', secrets.SECRETS)})),
+    g AS (SELECT doc_id, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
+          string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+    """
+
+
+ORACLES = {"op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
