@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mix, neardup, quality, secrets, shard, toxicity
+from . import ann, decontaminate, linededup, mix, neardup, quality, secrets, shard, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.Mix(_read(spark, sf_dir, "documents")).taken()
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op8_secrets, op9_mixing)}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op8_secrets, op9_mixing, op10_ann)}
 
 
 def _op3_sql() -> str:
