@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, linededup, mix, neardup, quality, secrets, shard, toxicity
+from . import ann, decontaminate, linededup, mix, neardup, quality, secrets, shard, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of archives written from all pages."""
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in every document."""
     out = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,7 +81,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op8_secrets, op9_mixing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op7_warc, op8_secrets, op9_mixing, op10_ann)}
 
 
 def _op3_sql() -> str:
@@ -131,4 +136,12 @@ def _op8_sql() -> str:
     """
 
 
-ORACLES = {"op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
+_OP7_SQL = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS head FROM q)
+    SELECT page_id, cast(n AS bigint) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to FROM r
+"""
+
+ORACLES = {"op7_warc": _OP7_SQL, "op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
