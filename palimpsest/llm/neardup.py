@@ -8,7 +8,7 @@ key.  From there on:
 1. Documents with equal sets become one node, by a digest of the set.
 2. Nodes that share a band key are candidates.  A bucket is not expanded into pairs:
    its nodes are compared with one hub, then (where parts of it are still apart) with
-   other hubs, and what is apart then is compared across the parts, in blocks.
+   another, and what is apart then is compared across the parts, in blocks of texts.
 3. A candidate pair is kept if its sizes allow the similarity and the estimate from its
    signatures (equal lanes, corrected for chance) is within ``SIGMAS`` of it, and is
    confirmed on the full sets of both texts.
@@ -43,8 +43,10 @@ BITS = 4
 LANES = 64 // BITS
 LONGS = HASHES // LANES
 SIGMAS = 4.5
-#: Nodes of a bucket in a block of the last, exhaustive comparison.
-BLOCK = 1024
+#: Nodes, and their shingles, of a bucket in a block of the last, exhaustive comparison.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Shared shingles that are counted at once in that comparison.
+COLUMNS = 4096
 #: Ids that may be broadcast to filter texts; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -127,6 +129,81 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, from products of 0/1 matrices over shared shingles."""
+    every = [*left, *right]
+    flat = np.concatenate(every)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        m = np.zeros((len(every), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, own, node, comp, bands, text), sorted -> links across components."""
+
+    def links(band: int, same: bool, rows: list) -> list[tuple]:
+        first = rows[0][0]
+        left = [r for r in rows if same or r[0] == first]
+        right = rows if same else [r for r in rows if r[0] != first]
+        if not left or not right:
+            return []
+        sets = lambda side: [shingle_sets(K.words(*K.texts(pa.array([r[4]])), K.SPACED), size)[0] for r in side]
+        keys = [np.array([r[3] for r in side], np.int64) for side in (left, right)]
+        found = [sets(left), sets(right)]
+        n = [np.array([len(x) for x in own]) for own in found]
+        comps = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+        comp = [np.array([comps[r[2]] for r in side]) for side in (left, right)]
+        low, high = np.minimum(n[0][:, None], n[1]), np.maximum(n[0][:, None], n[1])
+        near = (comp[0][:, None] != comp[1]) & (100 * low >= percent * high)
+        place = int(np.flatnonzero(keys[0][0] == band)[0])
+        for k in range(place):  # pairs that share an earlier band are compared there
+            near &= keys[0][:, k, None] != keys[1][:, k]
+        if same:
+            near &= np.arange(len(left))[:, None] < np.arange(len(right))
+        if not near.any():
+            return []
+        both = _shared(*found)
+        near &= 100 * both >= percent * (n[0][:, None] + n[1] - both)
+        out, root = [], list(range(len(comps)))
+        for x, y in zip(*np.nonzero(near), strict=True):
+            p, q = int(comp[0][x]), int(comp[1][y])
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[p] = q
+                out.append((left[x][1], right[y][1]))
+        return out
+
+    key, rows = None, []
+    for batch in batches:
+        found = []
+        for band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (band, i, j) != key:
+                if len(rows) > 1:
+                    found += links(key[0], key[1] == key[2], rows)
+                key, rows = (band, i, j), []
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], batch.column(4).type) for c in (0, 1)], names=["a", "b"])
+        kind = batch.column(4).type
+    if len(rows) > 1:
+        found = links(key[0], key[1] == key[2], rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c in (0, 1)], names=["a", "b"])
+
+
 def _equal_lanes(a: str, b: str) -> Column:
     """How many lanes of the two signatures are equal."""
     out = []
@@ -173,14 +250,10 @@ class _Graph:
         twice = self.member.where("doc_id <> node").join(self.member.where("doc_id = node").select(F.col("node").alias("own")).distinct(), F.col("doc_id") == F.col("own"), "left_semi")
         links = self._confirmed(self.shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).union(twice.select("doc_id", "node"))
         labels = table(components(links), "components")
-        for salt in (1, 2, None):
-            pairs = self._across(labels, salt)
-            if pairs is None:
-                break
-            more = self._confirmed(pairs)
-            if not more.isEmpty():
-                labels = self._joined(labels, more)
-        return labels
+        more = self._confirmed(self._across(labels, 1))
+        labels = labels if more.isEmpty() else self._joined(labels, more)
+        more = self._exhausted(labels)
+        return labels if more is None or more.isEmpty() else self._joined(labels, more)
 
     def _joined(self, labels: DataFrame, links: DataFrame) -> DataFrame:
         """The labels after some more links, by the components of components."""
@@ -197,21 +270,35 @@ class _Graph:
         return df.join(found, F.col(column) == F.col("_of"), "left").withColumn("comp", F.coalesce("_is", F.col(column))).drop("_of", "_is")
 
     def _across(self, labels: DataFrame, salt: int | None) -> DataFrame | None:
-        """Candidates in different components: with another hub of each bucket, or (no salt) all."""
+        """Candidates in different components, with another hub of each bucket; without a
+        salt the rows (band, node, comp) of the buckets that are still apart, or None."""
         rows = self._labelled(self.shared.select("node", "band"), labels, "node")
         apart = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64(F.lit(salt or 0), "band", "node")).alias("hub")).where("low <> high and size > 2").drop("low", "high")
         rows = table(rows.join(apart, "band"), "apart")
-        if rows.isEmpty():
-            return None
         if salt is not None:
             pairs = self._labelled(rows.where("node <> hub").withColumnRenamed("comp", "c"), labels, "hub").where("c <> comp")
             return pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        # blocks of each bucket against one another, keeping what sizes and signatures allow
-        full = rows.join(self.reps.select("node", "n", "sig"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        left = full.withColumn("with", F.explode(F.expr("sequence(block, blocks - 1)"))).alias("l")
-        right = full.withColumn("with", F.explode(F.expr("sequence(0, block)"))).alias("r")
-        near = (F.col("l.comp") != F.col("r.comp")) & ((F.col("l.block") < F.col("r.block")) | (F.col("l.node") < F.col("r.node"))) & self._possible("l.n", "r.n") & (_equal_lanes("l.sig", "r.sig") >= least_lanes(self.percent))
-        return left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.block") == F.col("r.with")) & (F.col("l.with") == F.col("r.block")) & near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        return None if rows.isEmpty() else rows
+
+    def _exhausted(self, labels: DataFrame) -> DataFrame | None:
+        """Links across components from all pairs of each bucket that are still apart.
+
+        A bucket's texts are cut into blocks, and a task holds two of them: each text is
+        sent once for each block of its bucket, not for each pair, and what comes back is
+        at most a link for each text.
+        """
+        rows = self._across(labels, None)
+        if rows is None:
+            return None
+        full = rows.join(self.reps.select("node", "n", "bands"), "node")
+        size = full.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        full = full.drop("n").join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pairs = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")
+        full = full.withColumn("p", F.explode(pairs)).select("band", "p.i", "p.j", "own", "node", "comp", "bands").join(self.texts, "node")
+        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = full.select("band", "i", "j", "own", "node", "comp", "bands", "text").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "own")
+        size, percent = self.size, self.percent
+        return table(dealt.mapInArrow(lambda x: _all_pairs(x, size, percent), f"a {self.links_kind}, b {self.links_kind}"), "confirmed")
 
     def _possible(self, n: str, m: str) -> Column:
         return (100 * F.least(n, m)) >= (self.percent * F.greatest(n, m))
