@@ -62,6 +62,7 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
 def cells(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     """The ``probes`` nearest cells of each row in each table: [row, table, probe]."""
     n, d = x.shape
+    probes = min(probes, (2 * d) ** hashes)
     out = np.zeros((n, tables, probes), np.int64)
     for t in range(tables):
         best, value = [], []
@@ -74,10 +75,10 @@ def cells(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
         if hashes == 1:
             out[:, t] = best[0]
             continue
-        combos = [c for c in product(range(probes), repeat=hashes) if np.prod([k + 1 for k in c]) <= probes]  # a combination that can be among the best
+        combos = [c for c in product(range(best[0].shape[1]), repeat=hashes) if np.prod([k + 1 for k in c]) <= probes]  # a combination that can be among the best
         score = np.stack([sum(value[j][:, k] for j, k in enumerate(c)) for c in combos], 1)
         code = np.stack([sum(best[j][:, k] * (2 * d) ** j for j, k in enumerate(c)) for c in combos], 1)
-        out[:, t] = np.take_along_axis(code, np.argsort(-score, axis=1, kind="stable")[:, :probes], 1)
+        out[:, t] = np.take_along_axis(code, np.argsort(-score, axis=1, kind="stable")[:, :probes], 1)  # there are as many combinations at least
     return out
 
 
