@@ -88,8 +88,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk by gradient steps with momentum (Adam)."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float | None = None) -> Model:
+    """Minimise the non-negative risk by gradient steps with momentum (Adam).
+
+    Weights decay the more the fewer positives there are, unless ``decay`` is given."""
+    decay = float(np.clip(0.6 / max(1, len(positive)), 1e-4, 1e-2)) if decay is None else decay
     both = np.concatenate([positive, unlabelled]).astype(float)
     mean, scale = both.mean(0), both.std(0) + 1e-6
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
