@@ -306,7 +306,7 @@ def repair_json(text: Column) -> Column:
 def extract_json(text: Column) -> Column:
     """The first of: the whole text, a fenced block, {…}, […], each also repaired, that is JSON."""
     tries = [strip(text), F.nullif(F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1), F.lit("")), F.nullif(F.regexp_extract(text, "(?s)(\\{.*\\})", 1), F.lit("")), F.nullif(F.regexp_extract(text, "(?s)(\\[.*\\])", 1), F.lit(""))]
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), strip(x))
     return F.coalesce(*(valid(t) for t in tries), *(valid(repair_json(t)) for t in tries))
 
 
