@@ -152,6 +152,7 @@ def skip_context(key: Column, session_id: Column, trigger: Column, patterns: tup
 # ---- redaction and names
 
 
+# What is redacted, and by what.
 REDACTIONS = (
     (r"(?i)-----BEGIN [^-\r\n]*(?:PRIVATE KEY|CERTIFICATE)-----[\s\S]*?-----END [^-\r\n]*-----", "[REDACTED_PEM]"),
     (r"(?i)\b(Bearer)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 [REDACTED]"),

@@ -17,6 +17,14 @@ def newest_rows(l0: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
     return l0.withColumn("back", back).where(F.col("back") <= n)
 
 
+def drop_first(l0: DataFrame, n: int) -> DataFrame:
+    """Without the first ``n`` raw messages of each session that has as many."""
+    w = Window.partitionBy("session_key")
+    place = F.row_number().over(w.orderBy("timestamp", "record_id"))
+    rows = l0.withColumns({"_n": place, "_size": F.count(F.lit(1)).over(w)})
+    return rows.where((F.lit(n) <= 0) | (F.col("_size") < n) | (F.col("_n") > n)).drop("_n", "_size")
+
+
 def split_window(l0: DataFrame, new: int = NEW_ROWS, background: int = BACKGROUND_ROWS) -> DataFrame:
     """Messages that pass the gate, of each session the newest as ``new`` and those before as ``background``."""
     ok = newest_rows(l0).where(tx.should_extract_l1(F.col("message_text")))

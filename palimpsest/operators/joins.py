@@ -99,3 +99,11 @@ def diagrams_of(history: DataFrame, deleted: DataFrame) -> DataFrame:
     """History diagrams that share the prefix of a deleted entry's node."""
     prefix = deleted.where("node_id is not null").select(F.split("node_id", "-")[0].alias("prefix")).distinct()
     return history.join(prefix, "prefix", "left_semi")
+
+
+def admit(pairs: DataFrame, processed: DataFrame) -> DataFrame:
+    """Tool pairs to summarise: with an id, not about the heartbeat, not waiting for approval,
+    not processed yet.  ``pairs`` has tool_call_id, params and result as JSON."""
+    waiting = F.coalesce(F.get_json_object("result", "$.details.status") == "approval-pending", F.lit(False))
+    rows = pairs.where((F.coalesce(F.col("tool_call_id"), F.lit("")) != "") & ~F.coalesce(F.col("params").contains("HEARTBEAT.md"), F.lit(False)) & ~waiting)
+    return rows.join(processed.select("tool_call_id"), "tool_call_id", "left_anti")

@@ -100,6 +100,11 @@ def merge_states(old: DataFrame, new: DataFrame, key: str = "session_key") -> Da
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def changed_since(scenes: DataFrame, last, time_col: str = "updated") -> DataFrame:
+    """Scenes updated after a time; those without a readable time count as changed."""
+    return scenes.where(F.coalesce(F.try_to_timestamp(time_col) > F.try_to_timestamp(last), F.lit(True)))
+
+
 def keep_newest(files: DataFrame, n: int, group: str, name: str = "filename") -> DataFrame:
     """The ``n`` last names of each group."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(name)))

@@ -16,6 +16,7 @@ from .functions import vectors as vec
 from .operators import extract, joins, query, search, store, transcript, triggers
 from .plans import views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
+from .streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -666,6 +667,151 @@ def trx03_compress(spark, sf):
     return transcript.compress(views.transcript(spark, sf), 400).select("session_id", "pos", "role", "tokens")
 
 
+# ---- more filters, sums and names
+
+
+@register(f"WITH {L1_SQL}, {_bm25_sql('l1', 'content', 30)} SELECT record_id, round(score, 9) AS score FROM bm JOIN l1 USING (record_id) WHERE type = 'episodic' AND contains(lower(scene_name), 'src1') ORDER BY rank, record_id LIMIT 10")
+def flt05_post_filters(spark, sf):
+    return search.search_memories(views.l1(spark, sf), ASKED, 10, kind="episodic", scene="SRC1").select("record_id", F.round("score", 9).alias("score"))
+
+
+@register(f"WITH {L0_SQL}, {_bm25_sql('l0', 'message_text', 40)} SELECT record_id, round(score, 9) AS score FROM bm JOIN l0 USING (record_id) WHERE session_key = '7' ORDER BY rank, record_id LIMIT 10")
+def flt06_session_filter(spark, sf):
+    return search.search_conversations(views.l0(spark, sf), ASKED, 10, session_key="7").select("record_id", F.round("score", 9).alias("score"))
+
+
+@register("SELECT n_nationkey FROM nation")
+def flt07_threshold_fallback(spark, sf):
+    found = read(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") / 100).alias("score"))
+    return search.threshold_with_fallback(found, 0.3, 60).select("n_nationkey")
+
+
+@register(f"WITH {_KNN_SQL.format(30)} SELECT record_id FROM kn WHERE 1 - distance >= 0.3")
+def flt08_vector_threshold(spark, sf):
+    return search.vector_search(views.vectors(spark, sf), _asked_vector(spark, sf), 30).where("score >= 0.3").select("record_id")
+
+
+@register(f"WITH {L0_SQL} SELECT record_id FROM l0 WHERE cast(session_key AS bigint) % 2 = 1 OR timestamp % 1000000 > 2000")
+def flt11_capture_cursor(spark, sf):
+    l0 = views.l0(spark, sf)
+    even = l0.where(F.col("session_key").cast("long") % 2 == 0).select("session_key").distinct()
+    return capture.after_cursors(l0, even.withColumn("last_captured_timestamp", F.when(F.col("session_key") == "0", 2000).otherwise(F.col("session_key").cast("long") * 1_000_000 + 2000))).select("record_id")
+
+
+@register(f"WITH {L0_SQL} SELECT record_id FROM l0 QUALIFY count(*) OVER (PARTITION BY session_key) < 2 OR row_number() OVER (PARTITION BY session_key ORDER BY timestamp, record_id) > 2")
+def flt12_position_slice(spark, sf):
+    return extract.drop_first(views.l0(spark, sf), 2).select("record_id")
+
+
+@register("SELECT doc_id FROM documents WHERE regexp_matches(source, '(?s)s.*c1')")
+def flt20_glob(spark, sf):
+    return read(spark, sf, "documents").where(F.col("source").rlike("(?s)" + tx.glob_to_regex("s*c1"))).select("doc_id")
+
+
+@register("SELECT event_id FROM events WHERE event_id % 7 > 0 AND event_id % 5 > 0 AND event_id % 3 > 0 AND event_id >= 100")
+def flt21_tool_admission(spark, sf):
+    i = F.col("event_id")
+    e = read(spark, sf, "events").select(i, F.when(i % 7 > 0, i.cast("string")).otherwise("").alias("tool_call_id"), F.when(i % 5 > 0, "{}").otherwise('{"path": "HEARTBEAT.md"}').alias("params"), F.when(i % 3 > 0, "{}").otherwise('{"details": {"status": "approval-pending"}}').alias("result"))
+    return joins.admit(e, e.where("event_id < 100")).select("event_id")
+
+
+@register("SELECT page_id FROM pages WHERE page_id % 3 = 0 OR page_id % 3 = 1")
+def flt26_changed_scenes(spark, sf):
+    at = F.when(F.col("page_id") % 3 == 0, "not a time").when(F.col("page_id") % 3 == 1, "2024-05-02T00:00:00Z").otherwise("2024-04-01T00:00:00Z")
+    return store.changed_since(read(spark, sf, "pages").select("page_id", at.alias("updated")), F.lit("2024-05-01T00:00:00Z")).select("page_id")
+
+
+@register("SELECT event_type, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM events WHERE event_id % 5 = 0 GROUP BY event_type")
+def agg10_group_candidates(spark, sf):
+    return read(spark, sf, "events").where("event_id % 5 = 0").groupBy("event_type").agg(F.expr("listagg(event_id, ',') within group (order by event_id)").alias("ids"))
+
+
+@register("SELECT count(DISTINCT conv_id) AS sessions, count(DISTINCT (conv_id, turn // 2)) AS rounds, count(*) AS messages, count(*) FILTER (role = 'system') AS skipped FROM conversations")
+def agg12_seed_totals(spark, sf):
+    c = read(spark, sf, "conversations")
+    return c.agg(F.count_distinct("conv_id").alias("sessions"), F.count_distinct("conv_id", F.floor(F.col("turn") / 2)).alias("rounds"), F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "system").alias("skipped"))
+
+
+@register("""WITH g AS (SELECT cast(user_id AS varchar) AS session_key, count(*) FILTER (event_id % 20 = 0) AS n, min(event_id) FILTER (event_id % 20 = 0) AS oldest, max(event_id) FILTER (event_id % 20 = 0) AS newest FROM events GROUP BY user_id)
+    SELECT session_key, n, n >= 4 OR (10000 - 9000 >= 300 AND n > 0 AND coalesce(newest > 9000, false)) AS due FROM g""")
+def agg15_diagram_due(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_key"), F.when(F.col("event_id") % 20 > 0, "n").alias("node_id"), F.col("event_id").alias("ts"))
+    return triggers.diagram_due(e, F.lit(10_000), F.lit(9_000)).select("session_key", "n", F.coalesce("due", F.lit(False)).alias("due"))
+
+
+@register(f"SELECT conv_id, turn, len(list_distinct({_TERMS_SQL.format('text')})) AS n FROM conversations")
+def agg19_distinct_terms(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.size(F.array_distinct(tx.terms(F.col("text")))).cast("long").alias("n"))
+
+
+@register("""SELECT cast(a.conv_id AS varchar) AS session_id, a.turn AS assistant, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn DESC) AS rank FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+    WHERE a.role = 'assistant' AND u.role = 'user'""")
+def join08_parents(spark, sf):
+    c = read(spark, sf, "conversations")
+    m = c.select(F.col("conv_id").cast("string").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("parent_id"), F.col("turn").alias("completed"), "role")
+    return joins.parents(m).select("session_id", F.col("completed").alias("assistant"), "rank")
+
+
+@register("SELECT o_orderkey FROM orders SEMI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) c ON o_custkey = c_custkey")
+def set06_registry_retain(spark, sf):
+    known = read(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return read(spark, sf, "orders").join(known, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@register(f"WITH {L1_SQL} SELECT record_id FROM l1 QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY updated_time, record_id) <= 20")
+def top15_limit_per_session(spark, sf):
+    return extract.limit_per_session(views.l1(spark, sf).withColumn("o", F.struct("updated_time", "record_id")), 20, "o").select("record_id")
+
+
+_STATES = "SELECT user_id, max(event_id) AS last_active, min(event_id) AS last_run, count(*) % 2 AS queued, 0 AS buffered FROM events GROUP BY user_id"
+
+
+def _states(spark, sf):
+    return read(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last_active"), F.min("event_id").alias("last_run"), (F.count(F.lit(1)) % 2).alias("queued"), F.lit(0).alias("buffered"))
+
+
+@register(f"SELECT user_id FROM ({_STATES}) WHERE 12000 - last_run >= 3600 AND 12000 - last_active < 2500")
+def str07_due_after_max(spark, sf):
+    return triggers.due_after_max(_states(spark, sf), F.lit(12_000), 3600, 2500).select("user_id")
+
+
+@register(f"WITH {L1_SQL} SELECT session_key, count(*) AS n, max(updated_time) AS cursor FROM l1 WHERE updated_time > '1970-01-01T02:00:00.000Z' GROUP BY session_key")
+def str08_incremental_run(spark, sf):
+    rows = views.l1(spark, sf).where(F.col("updated_time") > "1970-01-01T02:00:00.000Z")
+    return rows.groupBy("session_key").agg(F.count(F.lit(1)).alias("n"), F.max("updated_time").alias("cursor"))
+
+
+@register(f"SELECT user_id FROM ({_STATES}) WHERE 12000 - last_active >= 3 * 700 AND queued = 0")
+def str11_stale_sessions(spark, sf):
+    return triggers.stale(_states(spark, sf), F.lit(12_000), 700).select("user_id")
+
+
+@register("SELECT page_id, substr(u, 1, 30) AS label FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS u FROM pages)")
+def scl_s13_label(spark, sf):
+    return read(spark, sf, "pages").select("page_id", tx.label(F.col("url")).alias("label"))
+
+
+@register("SELECT page_id, replace(regexp_replace(url, '[\\x00-\\x1f\\x7f<>:\"/\\\\|?*]', '_', 'g'), '..', '_') AS name FROM pages")
+def scl_s12_safe_component(spark, sf):
+    return read(spark, sf, "pages").select("page_id", tx.safe_component(F.col("url")).alias("name"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 20 >= 15 THEN 'merge now' WHEN doc_id % 20 = 14 THEN 'last free' WHEN doc_id % 20 >= 12 THEN 'nearly full' END AS advice FROM documents")
+def scl_s30_scene_advice(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", triggers.scene_advice(F.col("doc_id") % 20).alias("advice"))
+
+
+@register("SELECT a.vec_id, round(1 - list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[])), 7) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 7")
+def scl_m02_cosine(spark, sf):
+    asked = F.array(*(F.lit(float(x)) for x in _asked_vector(spark, sf)))
+    return read(spark, sf, "embeddings").select("vec_id", F.round(vec.cosine_distance(F.col("embedding"), asked), 7).alias("distance"))
+
+
+@register("SELECT event_id, epoch_ms(date_trunc('day', ts)) - 6 * 86400000 AS cutoff FROM events")
+def scl_d05_retention_cutoff(spark, sf):
+    return read(spark, sf, "events").select("event_id", tx.retention_cutoff(F.unix_millis(F.col("ts").cast("timestamp")), "UTC", 7).alias("cutoff"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over raw messages: BM25 and cosine neighbours, fused, filtered, limited."""
     messages = views.l0(spark, sf_dir)
