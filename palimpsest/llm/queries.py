@@ -144,4 +144,16 @@ _OP7_SQL = """
            CASE WHEN n >= 1000 AND page_id <> head THEN head END AS refers_to FROM r
 """
 
-ORACLES = {"op7_warc": _OP7_SQL, "op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
+_OP4_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+    s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 1), lambda i: array_to_string(l[i : i + 2], ' ')) END) AS g FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+    d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT d.b, c.root FROM c JOIN d ON c.doc_id = d.a),
+    m AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id)
+    SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op4_minhash": _OP4_SQL, "op7_warc": _OP7_SQL, "op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
