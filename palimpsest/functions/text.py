@@ -240,9 +240,11 @@ def terms(text: Column, fold: bool = True) -> Column:
     text = F.lower(text)
     if fold:
         text = F.translate(text, _FOLD_FROM, _FOLD_TO)
-    runs = F.filter(F.split(F.regexp_replace(text, "([\\x{3400}-\\x{9fff}]+)", " $1 "), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    runs = lambda x: F.array_remove(F.split(x, "[^\\p{L}\\p{N}]+"), "")
+    spaced = runs(F.regexp_replace(text, "([\\x{3400}-\\x{9fff}]+)", " $1 "))
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda x: F.when(x.rlike("^[\\x{3400}-\\x{9fff}]{2,}$"), pairs(x)).otherwise(F.array(x))))
+    mixed = F.flatten(F.transform(spaced, lambda x: F.when(x.rlike("^[\\x{3400}-\\x{9fff}]{2,}$"), pairs(x)).otherwise(F.array(x))))
+    return F.when(text.rlike("[\\x{3400}-\\x{9fff}]"), mixed).otherwise(runs(text))
 
 
 def query_terms(text: str) -> list[str]:

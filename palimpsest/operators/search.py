@@ -42,7 +42,7 @@ def keyword_ranks(docs: DataFrame, query: str, id_col: str, text_col: str) -> Da
 
 
 def _frequency(term: str) -> Column:
-    return F.size(F.filter("_terms", lambda x: x == term))
+    return F.size("_terms") - F.size(F.array_remove("_terms", term))
 
 
 def score_l1(rank: Column) -> Column:
