@@ -33,8 +33,8 @@ from .scratch import table
 
 KGRAM, WINDOW = 5, 9
 SPAN = KGRAM + WINDOW - 1
-#: Words of benchmark text that are broadcast at once (about 40 bytes each in a worker).
-BLOCK_WORDS = 1_000_000
+#: Words of benchmark text that are broadcast at once (about 300 bytes each in a worker).
+BLOCK_WORDS = 200_000
 _TOP = np.uint64(2**64 - 1)
 
 
