@@ -32,7 +32,7 @@ from .scratch import table
 BITS = 40
 BLOCK = 512
 REPEATS = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 WEIGHTS = (5.0, 2.0, 1.0)
 BROADCAST_SOURCES = 100_000
 
@@ -89,6 +89,7 @@ class Mix:
             F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("h"),
             *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc")] if carry else []),
         )
+        rows = rows if carry else table(rows, "sizes")  # the texts are read once, unless they go along
         sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
         held = source_targets(sizes, weights, repeats)
         before = F.sum("target").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
