@@ -105,12 +105,19 @@ def should_capture_l0(text: Column) -> Column:
     return out
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def looks_like_injection(text: Column) -> Column:
-    x = F.lower(normalize_whitespace(text))
-    out = F.lit(False)
-    for verb, nouns in INJECTION_PAIRS.items():
-        out = out | (x.contains(verb) & _any(x, nouns))
-    return out | (x.contains("system prompt") & _any(x, PROMPT_VERBS)) | _any(x, INJECTION_PHRASES) | _any(x, INJECTION_TAGS)
+    def found(x: Column) -> Column:
+        out = F.lit(False)
+        for verb, nouns in INJECTION_PAIRS.items():
+            out = out | (x.contains(verb) & _any(x, nouns))
+        return out | (x.contains("system prompt") & _any(x, PROMPT_VERBS)) | _any(x, INJECTION_PHRASES) | _any(x, INJECTION_TAGS)
+
+    return once(F.lower(normalize_whitespace(text)), found)
 
 
 def should_extract_l1(text: Column) -> Column:
@@ -237,9 +244,11 @@ def tokens(text: Column) -> Column:
 
 def terms(text: Column, fold: bool = True) -> Column:
     """Lower-cased runs of letters and digits; runs of ideographs become their bigrams."""
-    text = F.lower(text)
-    if fold:
-        text = F.translate(text, _FOLD_FROM, _FOLD_TO)
+    low = F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO) if fold else F.lower(text)
+    return once(low, _terms)
+
+
+def _terms(text: Column) -> Column:
     runs = lambda x: F.array_remove(F.split(x, "[^\\p{L}\\p{N}]+"), "")
     spaced = runs(F.regexp_replace(text, "([\\x{3400}-\\x{9fff}]+)", " $1 "))
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))

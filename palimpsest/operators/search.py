@@ -25,24 +25,29 @@ def _idf(n: int, with_term: int) -> float:
     return got if got > 0 else 1e-6
 
 
-def keyword_ranks(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame | None:
-    """``docs`` that have a term of the query, with ``rank`` (negative BM25); None without terms."""
+def _ranked(docs: DataFrame, query: str, text_col: str) -> DataFrame | None:
+    """``docs`` with ``rank`` (negative BM25), null without a term of the query; None without terms."""
     asked = tx.query_terms(query)
     if not asked:
         return None
-    own = docs.withColumn("_terms", tx.terms(F.coalesce(F.col(text_col), F.lit(""))))
-    numbers = own.agg(F.count(F.lit(1)), F.avg(F.size("_terms")), *(F.count_if(F.array_contains("_terms", t)) for t in asked)).first()
-    n, mean = numbers[0], numbers[1] or 1.0
-    length = F.size("_terms") / F.lit(float(mean or 1.0))
-    score = F.lit(0.0)
-    for t, with_term in zip(asked, numbers[2:], strict=True):
-        tf = _frequency(t)
-        score = score + F.lit(_idf(n, with_term)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length))
-    return own.where(F.arrays_overlap("_terms", F.array(*(F.lit(t) for t in asked)))).withColumn("rank", -score).drop("_terms")
+    terms = tx.terms(F.coalesce(F.col(text_col), F.lit("")))
+    numbers = docs.select(terms.alias("_terms")).agg(F.count(F.lit(1)), F.avg(F.size("_terms")), *(F.count_if(F.array_contains("_terms", t)) for t in asked)).first()
+    n, mean = numbers[0], float(numbers[1] or 1.0)
 
+    def rank(own: Column) -> Column:
+        score = F.lit(0.0)
+        for t, with_term in zip(asked, numbers[2:], strict=True):
+            tf = F.size(own) - F.size(F.array_remove(own, t))
+            score = score + F.lit(_idf(n, with_term)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.size(own) / F.lit(mean)))
+        return F.when(F.arrays_overlap(own, F.array(*(F.lit(t) for t in asked))), -score)
 
-def _frequency(term: str) -> Column:
-    return F.size("_terms") - F.size(F.array_remove("_terms", term))
+    return docs.withColumn("rank", tx.once(terms, rank))
+
+
+def keyword_ranks(docs: DataFrame, query: str, text_col: str) -> DataFrame | None:
+    """All of ``docs`` that have a term of the query, with ``rank``; None without terms."""
+    ranked = _ranked(docs, query, text_col)
+    return None if ranked is None else ranked.where(F.col("rank").isNotNull())
 
 
 def score_l1(rank: Column) -> Column:
@@ -59,10 +64,11 @@ def score_l0(rank: Column) -> Column:
 
 def keyword_search(docs: DataFrame, query: str, k: int, id_col: str = "record_id", text_col: str = "content", score=score_l1) -> DataFrame:
     """The ``k`` best by BM25 with ``score``, ties by id; none without query terms."""
-    ranked = keyword_ranks(docs, query, id_col, text_col)
+    ranked = _ranked(docs, query, text_col)
     if ranked is None:
         return docs.limit(0).withColumn("score", F.lit(0.0))
-    return ranked.orderBy("rank", id_col).limit(k).withColumn("score", score(F.col("rank"))).drop("rank")
+    best = ranked.orderBy(F.col("rank").asc_nulls_last(), id_col).limit(k).where(F.col("rank").isNotNull())
+    return best.withColumn("score", score(F.col("rank"))).drop("rank")
 
 
 def build_index(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 64) -> None:

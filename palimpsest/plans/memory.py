@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import os
+import re
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as tx
 from ..operators import extract, query, search, store, transcript
+from ..sources import files
 from ..streaming import capture
 
 
@@ -42,6 +45,34 @@ class Config:
     memories_per_session: int = extract.PER_SESSION
     context_window: int = 200_000
 
+    @classmethod
+    def parse(cls, raw: dict, env: Mapping[str, str] = os.environ) -> Config:
+        """From a tree of camel or snake case keys, one level of sections allowed; ``${NAME}`` in
+        texts is taken from the environment.  Unknown keys and wrong types are refused."""
+        flat: dict = {}
+        for key, value in raw.items():
+            flat |= value if isinstance(value, dict) else {key: value}
+        kinds, out = {f.name: type(f.default) for f in fields(cls)}, {}
+        for key, value in flat.items():
+            name = query.snake(key)
+            if name not in kinds:
+                raise ValueError(f"unknown setting {key!r}")
+            if isinstance(value, str):
+                value = re.sub(r"\$\{(\w+)\}", lambda m: env.get(m[1], ""), value)
+            if kinds[name] is tuple:
+                value = tuple(value)
+            elif kinds[name] is float and isinstance(value, int) and not isinstance(value, bool):
+                value = float(value)
+            if not isinstance(value, kinds[name]) or isinstance(value, bool):
+                raise ValueError(f"{key!r} must be of type {kinds[name].__name__}")
+            out[name] = value
+        made = cls(**out)
+        if made.strategy not in ("hybrid", "embedding", "keyword"):
+            raise ValueError(f"no strategy {made.strategy!r}")
+        if 0 < made.retention_days < 3:
+            raise ValueError("retention is off (0) or at least 3 days")
+        return made
+
 
 @dataclass
 class Memory:
@@ -101,6 +132,24 @@ class Memory:
         self._replace("cursors", capture.advance(self.cursors(), rows))
         return rows.count()
 
+    def seed(self, path: str, start_ms: int = 0) -> dict[str, int]:
+        """Capture a seed file's messages; rounds that were seeded before are skipped.
+
+        Raises ValueError with the first error's place if any message is wrong."""
+        rows = files.fill_times(files.read_seed(self.spark, path), start_ms)
+        bad = rows.where("error is not null").orderBy("session", "round", "place").first()
+        if bad:
+            raise ValueError(f"sessions[{bad.session}].conversations[{bad.round}][{bad.place}]: {bad.error}")
+        known = self.table("seed_keys", "session_key string, round int, key string")
+        new = store.insert_if_absent(known, files.round_keys(rows))
+        fresh = rows.join(new.select("session_key", "round"), ["session_key", "round"], "left_semi")
+        identity = F.concat(F.lit("seed_"), F.substring(F.sha2(F.concat_ws("\x1f", "session_key", "round", "place", "content"), 256), 1, 24))
+        messages = fresh.select(identity.alias("record_id"), "session_key", F.coalesce("session_id", "session_key").alias("session_id"), "role", F.col("content").alias("message_text"), tx.millis_to_iso(F.col("timestamp")).alias("recorded_at"), "timestamp")
+        keys = known.unionByName(new.select(*known.columns))
+        out = {"rounds": new.count(), "messages": messages.count(), "recorded": self.capture(messages)}
+        self._replace("seed_keys", keys)
+        return out
+
     def add_facts(self, facts: DataFrame, seq: str | None = None) -> None:
         self._replace("l1", store.upsert_l1(self.l1, facts, seq))
 

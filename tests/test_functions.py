@@ -130,6 +130,6 @@ def test_bm25_like_sqlite(spark):
         pytest.skip("no full-text search in this SQLite")
     db.executemany("insert into t values (?, ?)", rows)
     want = dict(db.execute("select id, bm25(t) from t where t match 'red OR fox'").fetchall())
-    got = search.keyword_ranks(spark.createDataFrame(rows, "record_id string, content string"), "red fox", "record_id", "content").collect()
+    got = search.keyword_ranks(spark.createDataFrame(rows, "record_id string, content string"), "red fox", "content").collect()
     assert {r.record_id for r in got} == set(want)
     assert all(r.rank == pytest.approx(want[r.record_id], abs=1e-9) for r in got)
