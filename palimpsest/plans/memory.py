@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as tx
 from ..operators import extract, query, search, store, transcript
-from ..sources import files
 from ..streaming import capture
 
 
@@ -132,24 +131,6 @@ class Memory:
         self._replace("cursors", capture.advance(self.cursors(), rows))
         return rows.count()
 
-    def seed(self, path: str, start_ms: int = 0) -> dict[str, int]:
-        """Capture a seed file's messages; rounds that were seeded before are skipped.
-
-        Raises ValueError with the first error's place if any message is wrong."""
-        rows = files.fill_times(files.read_seed(self.spark, path), start_ms)
-        bad = rows.where("error is not null").orderBy("session", "round", "place").first()
-        if bad:
-            raise ValueError(f"sessions[{bad.session}].conversations[{bad.round}][{bad.place}]: {bad.error}")
-        known = self.table("seed_keys", "session_key string, round int, key string")
-        new = store.insert_if_absent(known, files.round_keys(rows))
-        fresh = rows.join(new.select("session_key", "round"), ["session_key", "round"], "left_semi")
-        identity = F.concat(F.lit("seed_"), F.substring(F.sha2(F.concat_ws("\x1f", "session_key", "round", "place", "content"), 256), 1, 24))
-        messages = fresh.select(identity.alias("record_id"), "session_key", F.coalesce("session_id", "session_key").alias("session_id"), "role", F.col("content").alias("message_text"), tx.millis_to_iso(F.col("timestamp")).alias("recorded_at"), "timestamp")
-        keys = known.unionByName(new.select(*known.columns))
-        out = {"rounds": new.count(), "messages": messages.count(), "recorded": self.capture(messages)}
-        self._replace("seed_keys", keys)
-        return out
-
     def add_facts(self, facts: DataFrame, seq: str | None = None) -> None:
         self._replace("l1", store.upsert_l1(self.l1, facts, seq))
 

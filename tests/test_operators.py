@@ -231,17 +231,6 @@ def test_batch_cursors(spark):
     assert {tuple(r) for r in capture.advance(cursors, left).collect()} == {("k", 5), ("j", 2)}
 
 
-def test_seeding_is_repeatable(spark, tmp_path):
-    m = Memory(spark, f"file://{tmp_path}/m")
-    p = tmp_path / "seed.json"
-    p.write_text('{"sessions": [{"sessionKey": "k", "conversations": [[{"role": "user", "content": "first words"}], [{"role": "assistant", "content": "an answer"}]]}]}')
-    assert m.seed(str(p)) == {"rounds": 2, "messages": 2, "recorded": 2}
-    assert m.seed(str(p)) == {"rounds": 0, "messages": 0, "recorded": 0}
-    p.write_text('[{"sessionKey": "k", "conversations": [[{"role": "odd", "content": "x"}]]}]')
-    with pytest.raises(ValueError, match=r"sessions\[0\].conversations\[0\]\[0\]"):
-        m.seed(str(p))
-
-
 def test_config():
     c = Config.parse({"recall": {"maxResults": 7, "scoreThreshold": 1, "strategy": "${S}"}, "zone": "UTC"}, {"S": "keyword"})
     assert (c.max_results, c.score_threshold, c.strategy) == (7, 1.0, "keyword")
