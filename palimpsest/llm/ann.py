@@ -8,6 +8,12 @@ Hadamard transform, and assigns them to the nearest signed axis.  A query probes
 queries as matrices, each query's best of a task are kept, and the best of all are ranked
 by the exact inner product in double precision, summed component by component.
 
+What hashing finds is a lower bound only: it misses neighbours where norms are skewed,
+dimensions are many or rows are few.  So every query is then compared, in blocks of
+queries as matrices, with all index vectors, longest first, whose norm times its own can
+reach its ``k``-th score so far (any, while it has fewer), and only rows that reach it
+leave a task.  The result is exact; ``tables``, ``probes`` and ``hashes`` change the time.
+
 Cells of more than ``BLOCK`` vectors are cut into blocks, which the cell's queries visit
 all: nothing is left out, and no task holds a whole hot cell.  Of equal vectors only the
 ``k + 1`` least ids are indexed; no query can have another among its ``k`` nearest.
@@ -18,7 +24,8 @@ Rows of one id and vector count once; an id with several vectors is ranked by it
 An empty table gives an empty result.
 
 The default of one axis per table suits up to some millions of vectors; ``hashes=2``
-squares the number of cells, and needs more probes for the same recall.
+squares the number of cells.  Where norms are alike the comparison is of all queries with
+all vectors, one pass over the index for each block of queries.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ BLOCK = 4096
 SPARE = 8
 #: Candidate rows a task gathers before it reduces them.
 HELD = 500_000
+#: Bytes of query vectors, in double precision, that one pass over the index compares.
+QUERY_BYTES = 16_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -186,8 +195,76 @@ def _compare(batches: Iterator[pa.RecordBatch], d: int, k: int) -> Iterator[pa.R
         yield out
 
 
+def _scan(batches: Iterator[pa.RecordBatch], held_queries, d: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Index rows, id and v -> each query's best of the task that reach its bound."""
+    own, q_all, bound = held_queries.value
+    length, bound = np.linalg.norm(q_all, axis=1), bound.copy()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def reduced():
+        q, v, s = _best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+        ids, first, n = np.unique(q, return_index=True, return_counts=True)
+        full = n == k
+        last = np.full(len(ids), -np.inf)
+        last[full] = s[first[full] + k - 1]
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        np.maximum(bound, np.where(ids[at] == own, last[at], -np.inf), out=bound)
+        return q, v, s
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            piece = batch.slice(start, BLOCK)
+            v_ids, v = piece.column(0).to_numpy(), _matrix(piece.column(1), d)
+            longest = np.linalg.norm(v, axis=1).max()
+            slack = 4 * d * np.finfo(np.float64).eps * length * longest  # of products in another order
+            once = len(np.unique(v_ids)) == len(v_ids)
+            live = np.flatnonzero(length * longest + slack >= bound)
+            for part in np.array_split(live, max(1, -(-len(live) // 512))):
+                s = q_all[part] @ v.T
+                s[own[part][:, None] == v_ids[None, :]] = -np.inf
+                least = bound[part] - slack[part]
+                if once and s.shape[1] > k:  # rows that tie with the last stay
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack[part])
+                row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                exact = np.zeros(len(row))
+                for j in range(d):
+                    exact += q_all[part[row], j] * v[col, j]
+                ok = exact >= bound[part[row]]
+                held.append((own[part[row[ok]]], v_ids[col[ok]], exact[ok]))
+                size += int(ok.sum())
+                if size > HELD:
+                    held = [reduced()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        q, c, x = held[0]
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(x)], names=["query_id", "vec_id", "score"])
+                        held, size = [], 0
+    if size:
+        q, c, x = reduced()
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(x)], names=["query_id", "vec_id", "score"])
+
+
+def _complete(index: DataFrame, queries: DataFrame, found: DataFrame, d: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of all that can be among a query's ``k`` nearest, by comparison with the whole index."""
+    spark = index.sparkSession
+    last = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+    asked = queries.join(last.withColumnRenamed("query_id", "id"), "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    n = max(1, -(-queries.count() * d * 8 // QUERY_BYTES))
+    asked = table(asked.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n))), "queries")
+    out = found
+    for b in range(n):
+        rows = asked.where(F.col("b") == b).select("id", "v", "bound").toArrow()
+        if not rows.num_rows:
+            continue
+        held = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks(), d), rows.column(2).to_numpy()))
+        part = index.mapInArrow(lambda x, q=held: _scan(x, q, d, k), "query_id long, vec_id long, score double")
+        out = out.unionByName(part if n == 1 else table(part, "compared"))
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: up to ``k`` neighbours of the rows ``is_query``."""
+    """query_id, rank (from 1), vec_id, score: the ``k`` nearest of the rows ``is_query``, or all if there are fewer."""
     v = F.col("v")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -200,8 +277,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     even = sizes["shortest"] >= longest * (1 - 1e-6)
     rows = rows.where(F.size("v") == d)
     same = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    index = rows.select("id", "v").distinct().withColumn("r", same).where(F.col("r") <= k + 1).select("id", "v", F.lit(False).alias("query"))
-    both = index.union(rows.where("query").distinct())
+    index = rows.select("id", "v").distinct().withColumn("r", same).where(F.col("r") <= k + 1).select("id", "v")
+    index = table(index.sortWithinPartitions(norm.desc()), "index")
+    queries = table(rows.where("query").select("id", "v").distinct(), "asked")
+    both = index.withColumn("query", F.lit(False)).union(queries.withColumn("query", F.lit(True)))
     kind = dict(vectors.dtypes)[vector_col]
     hashed = table(both.mapInArrow(lambda b: _hash(b, d, longest, even, tables, hashes, probes), f"t int, cell long, id long, v {kind}, query boolean"), "hashed")
     counts = hashed.where("not query").groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -211,6 +290,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "t", "cell", "b").sortWithinPartitions("t", "cell", "b", "query")
     found = dealt.mapInArrow(lambda b: _compare(b, d, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+    best = _complete(index, queries, table(first.drop("rank"), "found"), d, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

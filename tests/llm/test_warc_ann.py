@@ -106,3 +106,31 @@ def test_ties_copies_and_odd_vectors(spark, monkeypatch):
     assert {r.query_id for r in got} <= set(range(0, 31, 4))
     assert search(spark, [], []) == [] and search(spark, [[0.0]], [0]) == []
     assert search(spark, [same], [4]) == []
+
+
+def brute(x, k):
+    """query -> its neighbours among all rows, by inner product and then id."""
+    x = np.asarray(x, dtype=np.float64)
+    out = {}
+    for q in range(0, len(x), 4):
+        s = x @ x[q]
+        out[q] = [int(v) for v in np.lexsort((np.arange(len(x)), -s)) if v != q][:k]
+    return out
+
+
+def by_query(rows, n):
+    return {q: [r.vec_id for r in rows if r.query_id == q] for q in range(0, n, 4)}
+
+
+@pytest.mark.parametrize("skew", ["one long vector", "lognormal norms", "256 dimensions"])
+def test_all_neighbours_of_skewed_and_long_vectors(spark, monkeypatch, skew):
+    monkeypatch.setattr(ann, "QUERY_BYTES", 20_000)  # several passes
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 256 if skew == "256 dimensions" else 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if skew == "one long vector":
+        x[5] *= 100
+    if skew == "lognormal norms":
+        x *= rng.lognormal(size=(600, 1))
+    got = search(spark, x.tolist(), range(600), k=20, kind="double")
+    assert by_query(got, 600) == brute(x, 20)
