@@ -134,3 +134,11 @@ def test_all_neighbours_of_skewed_and_long_vectors(spark, monkeypatch, skew):
         x *= rng.lognormal(size=(600, 1))
     got = search(spark, x.tolist(), range(600), k=20, kind="double")
     assert by_query(got, 600) == brute(x, 20)
+
+
+@pytest.mark.parametrize("rows", [15, 21, 100])
+def test_few_rows_give_the_full_count(spark, rows):
+    x = np.random.default_rng(rows).normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = search(spark, x.tolist(), range(rows), k=20, kind="double")
+    assert by_query(got, rows) == brute(x, 20)
