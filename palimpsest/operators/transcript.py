@@ -19,6 +19,8 @@ MILD, AGGRESSIVE, EMERGENCY, TARGET = 0.5, 0.85, 0.95, 0.6
 MIN_LINE, LINE_SUFFIX = 40, "…（已截断）"
 LEAST_TRUNCATED = 600
 CASCADE_STOP = 10
+#: The share of a session's messages, from the head, that the mild step looks at, and the score of entries without one.
+MILD_SCAN, MILD_SCORE = 0.7, 5.0
 
 
 def _session(*order: str):
@@ -178,12 +180,42 @@ def level(messages: DataFrame, window: int) -> DataFrame:
     return t.withColumn("level", F.when(F.col("tokens") >= share(EMERGENCY), "emergency").when(F.col("tokens") >= share(AGGRESSIVE), "aggressive").when(F.col("tokens") >= share(MILD), "mild").otherwise("none"))
 
 
-def compress(messages: DataFrame, window: int) -> DataFrame:
-    """Transcripts after head deletion where a session is aggressively full, and emergency
-    deletion where that leaves it above the emergency share."""
+def mild(messages: DataFrame, entries: DataFrame, window: int) -> DataFrame:
+    """Messages, with content and tokens of tool results in the head replaced by their entries'
+    summaries where the session is mildly full, down to the score threshold of :func:`cascade`."""
+    from .joins import by_tool_id
+
+    if "tool_id" not in messages.columns:
+        return messages
+    score = F.col("score").cast("double") if "score" in entries.columns else F.lit(None).cast("double")
+    rows = by_tool_id(messages, entries.select("tool_call_id", F.col("summary").alias("_summary"), F.coalesce(score, F.lit(MILD_SCORE)).alias("_score")), ("_summary", "_score"))
+    rows = rows.withColumns({"_n": F.row_number().over(_session("pos")), "_size": F.count(F.lit(1)).over(Window.partitionBy("session_id"))})
+    full = level(messages, window).where("level <> 'none'").select("session_id", F.lit(True).alias("_full"))
+    tool = F.col("role").isin("tool", "toolResult") & (F.col("_n") <= F.floor(F.col("_size") * MILD_SCAN)) & F.col("_summary").isNotNull()
+    rows = rows.join(full, "session_id", "left").withColumn("_fits", F.coalesce(F.col("_full") & tool & ~F.col("content").eqNullSafe(F.col("_summary")), F.lit(False)))
+    # longer summaries replace, but do not count
+    counted = rows.where(F.col("_fits") & (tx.utf16_length(F.col("_summary")) <= F.coalesce(tx.utf16_length(F.col("content")), F.lit(0))))
+    until = cascade(counted.select("session_id", F.col("_score").alias("score"))).select("session_id", F.col("threshold").alias("_until"))
+    rows = rows.join(until, "session_id", "left")
+    hit = F.col("_fits") & (F.col("_score") >= F.coalesce("_until", F.lit(1)))
+    own = {"content": F.when(hit, F.col("_summary")).otherwise(F.col("content")), "tokens": F.when(hit, tx.tokens(F.col("_summary"))).otherwise(F.col("tokens")).cast(messages.schema["tokens"].dataType)}
+    return rows.withColumns(own).select(*messages.columns)
+
+
+def compress(messages: DataFrame, window: int, entries: DataFrame | None = None) -> DataFrame:
+    """Transcripts after head deletion where a session is aggressively full, down to the aggressive
+    share, summaries for tool results where it is still mildly full, and emergency deletion where
+    that leaves it above the emergency share.  Injected messages are not deleted from the head.
+
+    Without ``entries`` there are no summaries, and head deletion goes down to the mild share.
+    """
     full = level(messages, window)
-    need = F.when(F.col("_level").isin("aggressive", "emergency"), F.col("_tokens") - int(window * MILD)).otherwise(0)
+    goal = F.lit(int(window * MILD)) if entries is None else F.floor(F.lit(window) * AGGRESSIVE)
+    need = F.when(F.col("_level").isin("aggressive", "emergency"), F.greatest(F.col("_tokens") - goal, F.lit(1))).otherwise(0)
     rows = messages.join(full.select("session_id", F.col("tokens").alias("_tokens"), F.col("level").alias("_level")), "session_id")
-    kept = delete_prefix(rows, need).where(~F.col("deleted")).drop("_tokens", "_level", "deleted").select(*messages.columns)
+    injected = F.lit(False) if entries is None else F.coalesce(F.col("injected"), F.lit(False))
+    kept = delete_prefix(rows.where(~injected), need).where(~F.col("deleted")).select(*messages.columns)
+    if entries is not None:
+        kept = mild(kept.unionByName(messages.where(injected)), entries, window)
     over = level(kept, window).where("level = 'emergency'").select("session_id")
     return kept.join(over, "session_id", "left_anti").unionByName(emergency(kept.join(over, "session_id", "left_semi").select(*messages.columns), window))

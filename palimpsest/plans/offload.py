@@ -86,10 +86,10 @@ def active_block(goal: Column, diagram: Column) -> Column:
 def before_prompt(messages: DataFrame, entries: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     """Stored decisions, then compression, then injection."""
     kept = transcript.reapply(messages, entries).drop("replaced").withColumn("tokens", tx.tokens(F.col("content"))).select(*messages.columns)
-    return inject(transcript.compress(kept, window), blocks)
+    return inject(transcript.compress(kept, window, entries), blocks)
 
 
 def after_tool(messages: DataFrame, entries: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     """Stored decisions, then injection, then compression."""
     kept = transcript.reapply(messages, entries).drop("replaced").withColumn("tokens", tx.tokens(F.col("content"))).select(*messages.columns)
-    return transcript.compress(inject(kept, blocks), window)
+    return transcript.compress(inject(kept, blocks), window, entries)

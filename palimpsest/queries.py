@@ -664,7 +664,8 @@ def win11_build_history(spark, sf):
 
 @register()
 def trx03_compress(spark, sf):
-    return transcript.compress(views.transcript(spark, sf), 400).select("session_id", "pos", "role", "tokens")
+    none = spark.createDataFrame([], "tool_call_id string, summary string, score double")
+    return transcript.compress(views.transcript(spark, sf), 400, none).select("session_id", "pos", "role", "tokens")
 
 
 # ---- more filters, sums and names

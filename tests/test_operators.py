@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,47 @@ def test_reapply_and_compress(spark):
     assert transcript.compress(full, 10_000).count() == 10
 
 
+def plain_compress(rows, entries, window):
+    """(pos, content) kept of one session, by the steps one after another; no session here meets an emergency."""
+    rows = [dict(zip(("pos", "role", "content", "tokens", "tool_id"), r, strict=True)) for r in rows]
+    total = lambda: sum(r["tokens"] for r in rows) + -(-len(rows) // 2)
+    limit = int(window * 0.85)
+    if total() >= limit and len(rows) > 2:
+        need, acc, count = total() - limit, 0, 0
+        for r in rows[:-2]:
+            acc, count = acc + r["tokens"], count + 1
+            if acc >= need:
+                break
+        users = [k for k, r in enumerate(rows) if r["role"] == "user"]
+        del rows[: min(count, users[-1]) if users else count]
+    if total() >= int(window * 0.5):
+        able = [(r, *entries[r["tool_id"].replace("_", "")]) for r in rows[: int(len(rows) * 0.7)] if r["role"] == "tool" and r["tool_id"].replace("_", "") in entries]
+        n, done = 0, set()
+        for least in range(7, 0, -1):
+            for r, summary, score in able:
+                if r["pos"] not in done and (5 if score is None else score) >= least:
+                    n += len(summary) <= len(r["content"])
+                    done.add(r["pos"])
+                    r["content"], r["tokens"] = summary, -(-len(summary) // 4)
+            if n >= 10:
+                break
+    assert total() < int(window * 0.95)
+    return [(r["pos"], r["content"]) for r in rows]
+
+
+def test_compress_with_entries_is_the_plain_loop(spark):
+    rng = random.Random(4)
+    for size, window in ((10, 1000), (40, 4000), (60, 3000)):
+        rows = [(k, rng.choice(["tool", "tool", "assistant"]) if k else "user", "x" * (n := rng.choice([40, 200, 400])), -(-n // 4), f"c_{k}") for k in range(size)]
+        entries = {f"c{k}": ("s" * rng.choice([20, 60, 300]), rng.choice([None, 1.0, 3.0, 6.5, 7.0, 9.0, 0.5])) for k in range(0, size, rng.choice([1, 2]))}
+        if size == 10:  # all of equal size, nothing to summarise
+            rows, entries = [(k, "user" if k % 2 == 0 else "assistant", "x" * 400, 100, f"c_{k}") for k in range(10)], {}
+        m = spark.createDataFrame([("s", p, r, c, t, False, i) for p, r, c, t, i in rows], MESSAGES)
+        e = spark.createDataFrame([(k, *v) for k, v in entries.items()], "tool_call_id string, summary string, score double")
+        got = [(r.pos, r.content) for r in transcript.compress(m, window, e).orderBy("pos").collect()]
+        assert got == plain_compress(rows, entries, window)
+
+
 def test_triggers(spark):
     e = spark.createDataFrame([("s", k) for k in range(1, 20)], "s string, k int")
     assert [r.n for r in triggers.count_trigger(e, "s", "k").where("fires").orderBy("n").collect()] == [1, 3, 7, 12, 17]
