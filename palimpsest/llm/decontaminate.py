@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index, at: int, kept: list[str], fi
                     spans[row][-1][1] = max(spans[row][-1][1], s + n)
                 else:
                     spans[row].append([s, s + n])
-        ids = [sorted(own.ids[i] for i in x) for x in items]
+        ids = [list({own.ids[i] for i in x}) for x in items]
         if not first:  # what earlier blocks found
             spans = [[*a, *b] for a, b in zip(batch.column("_spans").to_pylist(), spans, strict=True)]
             ids = [[*a, *b] for a, b in zip(batch.column("_items").to_pylist(), ids, strict=True)]
@@ -167,7 +168,7 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 def _finish(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [_merged(x) for x in batch.column("_spans").to_pylist()]
-        ids = [sorted(x) for x in batch.column("_items").to_pylist()]
+        ids = [sorted(set(x), key=lambda i: (i is None, i)) for x in batch.column("_items").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in kept),
@@ -175,7 +176,7 @@ def _finish(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.R
                 pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 pa.array(ids, pa.list_(pa.string())),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in ids]),
             ],
             names=[*kept, "n_words", "n_hit", "hit_spans", "item_ids", "items_sha256"],
         )
@@ -183,7 +184,7 @@ def _finish(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.R
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
     """The benchmark in lists of items that fit a broadcast, each fetched when its turn comes."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // (2 * block_words)))  # a word and its separator take two characters at least
     if n == 1:
@@ -208,7 +209,8 @@ def mark_contamination(
 
     Returns the columns ``keep`` (all of ``docs`` by default; the six result names win
     over columns of ``docs`` so called) with n_words, n_hit, hit_spans (first and last+1
-    word of merged hits), item_ids, items_sha256, and contaminated: some word is hit and
+    word of merged hits), item_ids (each once, with one null for items without an id, which
+    the digest leaves out), items_sha256, and contaminated: some word is hit and
     hits are at least ``share`` of the words.
     """
     result = ["n_words", "n_hit", "hit_spans", "item_ids", "items_sha256", "contaminated", "_words", "_spans", "_items"]
@@ -230,8 +232,9 @@ def mark_contamination(
         held, first = coming, False
     schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType())])
     out = out.mapInArrow(lambda x, k=kept: _finish(x, k), schema)
-    scale = round(1 / share)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (scale * F.col("n_hit") >= F.col("n_words")))
+    part = Fraction(str(share)).limit_denominator(10**17)  # as it is written
+    times = lambda c, n: F.col(c).cast("decimal(19,0)") * F.lit(n).cast("decimal(18,0)")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (times("n_hit", part.denominator) >= times("n_words", part.numerator)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -72,3 +72,13 @@ def test_clean_documents_stay_with_clashing_columns(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, *_, bad in brute(rows, items) if not bad)
     assert decontaminate.decontaminate(d.limit(0), bench).count() == 0
     assert decontaminate.decontaminate(d, bench.limit(0)).count() == len(rows)
+
+
+def test_items_without_ids_and_exact_shares(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five six"), (7, "one two three")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "one two three a b"), (2, "four five six"), (3, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.mark_contamination(rows, bench, keep=["doc_id"]).collect()}
+    assert [(got[k].n_hit, got[k].item_ids, got[k].contaminated) for k in (1, 2, 3)] == [(3, ["7", None], True), (3, [None], True), (0, [], False)]
+    for share, over in ((0.7, False), (0.6, True), (0.61, False), (0.5, True)):  # three of five words
+        assert decontaminate.mark_contamination(rows, bench, share=share).where("doc_id = 1").first().contaminated == over
+    assert decontaminate.mark_contamination(rows, bench, share=0.7).where("doc_id = 2").first().contaminated
