@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -239,6 +240,12 @@ def tokens(text: Column) -> Column:
     return _estimate(cjk, F.length(text) - cjk)
 
 
+def estimate(text: str) -> int:
+    """:func:`tokens` of one text, outside of columns."""
+    cjk = sum(1 for c in text if "\u4e00" <= c <= "\u9fff" or "\u3400" <= c <= "\u4dbf")
+    return math.ceil(cjk / 1.7 + (len(text) - cjk) / 4.0)
+
+
 # ---- terms of the full-text index
 
 

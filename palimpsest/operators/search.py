@@ -105,44 +105,48 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, id_col: str =
 def neighbours(new: DataFrame, vectors: DataFrame, k: int, id_col: str = "record_id", vector_col: str = "embedding", most: int = 10_000) -> DataFrame:
     """For each of a batch of new rows its ``k`` nearest others that are not in the batch.
 
-    The batch is one query set of at most ``most`` rows; it is compared with all vectors in
-    the tasks that read them, and each task keeps ``k`` per new row.
+    The batch is compared with all vectors in the tasks that read them, in blocks of about
+    ``most`` new rows, and each task keeps ``k`` per new row.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = new.select(F.col(id_col).cast("string"), F.transform(vector_col, lambda x: x.cast("double"))).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a batch may have {most} rows")
-    schema = "new_id string, candidate_id string, distance double"
-    rows = sorted((r for r in rows if r[1] is not None and any(r[1])), key=lambda r: r[0])
-    if not rows:
-        return new.sparkSession.createDataFrame([], schema)
-    ids, q = np.array([r[0] for r in rows], object), np.array([r[1] for r in rows])
-    held = new.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
-    d = q.shape[1]
-
-    def nearest(batches):
-        own_ids, own = held.value
-        known = set(own_ids)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                names = np.array(part.column(0).to_pylist(), object)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-                length = np.linalg.norm(x, axis=1)
-                ok = (length > 0) & np.array([n not in known for n in names], dtype=bool)
-                names, x = names[ok], x[ok] / length[ok, None]
-                if not len(names):
-                    continue
-                dist = 1 - own @ x.T
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names)), dist.shape), dist), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(own)), order.shape[1])
-                col = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids[row]), pa.array(names[col]), pa.array(dist[row, col])], names=["new_id", "candidate_id", "distance"])
-
-    others = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v")).where(F.size("v") == d)
-    found = others.mapInArrow(nearest, schema)
+    schema, spark = "new_id string, candidate_id string, distance double", new.sparkSession
+    asked = new.select(F.col(id_col).cast("string").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where(vec.nonzero(F.col("v")))
+    others = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v")).join(new.select(F.col(id_col).cast("string").alias("id")), "id", "left_anti")
+    sizes = asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    found = None
+    for d, n in sizes:
+        blocks = -(-n // most)
+        for b in range(blocks):
+            rows = asked.where((F.size("v") == d) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").collect()
+            if not rows:
+                continue
+            q = np.array([r[1] for r in rows])
+            held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], object), q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+            def nearest(batches, held=held, d=d):
+                own_ids, own = held.value
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, 4096):
+                        part = batch.slice(lo, 4096)
+                        names = np.array(part.column(0).to_pylist(), object)
+                        x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                        length = np.linalg.norm(x, axis=1)
+                        names, x = names[length > 0], x[length > 0] / length[length > 0, None]
+                        if not len(names):
+                            continue
+                        place = np.argsort(np.argsort(names))
+                        for a in range(0, len(own), 256):
+                            dist = 1 - own[a : a + 256] @ x.T
+                            order = np.lexsort((np.broadcast_to(place, dist.shape), dist), axis=1)[:, :k]
+                            row, col = np.repeat(np.arange(len(dist)), order.shape[1]), order.ravel()
+                            yield pa.RecordBatch.from_arrays([pa.array(own_ids[a + row]), pa.array(names[col]), pa.array(dist[row, col])], names=["new_id", "candidate_id", "distance"])
+
+            part = others.where(F.size("v") == d).mapInArrow(nearest, schema)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("new_id").orderBy("distance", "candidate_id"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 

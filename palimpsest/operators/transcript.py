@@ -7,6 +7,9 @@ session in ``applyInPandas``, where a session is one agent's context and so boun
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,10 @@ from ..functions import text as tx
 MILD, AGGRESSIVE, EMERGENCY, TARGET = 0.5, 0.85, 0.95, 0.6
 MIN_LINE, LINE_SUFFIX = 40, "…（已截断）"
 LEAST_TRUNCATED = 600
+RESULTS = ("tool", "toolResult")
+# What stands for a truncated message, and for a tool result that was offloaded.
+TRUNCATED = ("[Tool output truncated for context management. Original ~", " tokens, role=")
+OFFLOADED = "[Offloaded Tool Result | node: %s]\nSummary: %s\nresult_ref: %s (read this file for full tool call and raw result)"
 CASCADE_STOP = 10
 #: The share of a session's messages, from the head, that the mild step looks at, and the score of entries without one.
 MILD_SCAN, MILD_SCORE = 0.7, 5.0
@@ -41,20 +48,27 @@ def budget_lines(lines: DataFrame, total: int, group: str = "session_id", order:
     return rows.withColumn(line, F.when(F.col("_over"), cut).otherwise(F.col(line))).drop("_left", "_over", "_after")
 
 
+def _injected() -> Column:
+    return F.coalesce(F.col("injected"), F.lit(False))
+
+
+def _own_user() -> Column:
+    return (F.col("role") == "user") & ~_injected()
+
+
 def last_user(messages: DataFrame) -> DataFrame:
     """With ``last_user``: the position of the session's last user message that was not injected."""
-    own = (F.col("role") == "user") & ~F.coalesce(F.col("injected"), F.lit(False))
-    return messages.withColumn("last_user", F.max(F.when(own, F.col("pos"))).over(Window.partitionBy("session_id")))
+    return messages.withColumn("last_user", F.max(F.when(_own_user(), F.col("pos"))).over(Window.partitionBy("session_id")))
 
 
 def delete_prefix(messages: DataFrame, need: Column) -> DataFrame:
     """With ``deleted``: the shortest head whose tokens reach ``need``, short of the last two
-    messages and of the last user message."""
+    messages and of the last user message.  A session that needs nothing loses nothing; one just
+    at its limit needs 1 (see :func:`compress`) and so loses a message."""
     w = _session("pos")
     rows = messages.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_need", need)
     whole = Window.partitionBy("session_id")
-    own = (F.col("role") == "user") & ~F.coalesce(F.col("injected"), F.lit(False))
-    rows = rows.withColumns({"_size": F.count(F.lit(1)).over(whole), "_user": F.max(F.when(own, F.col("_n"))).over(whole), "_first": F.min(F.when(F.col("_sum") >= F.col("_need"), F.col("_n"))).over(whole)})
+    rows = rows.withColumns({"_size": F.count(F.lit(1)).over(whole), "_user": F.max(F.when(_own_user(), F.col("_n"))).over(whole), "_first": F.min(F.when(F.col("_sum") >= F.col("_need"), F.col("_n"))).over(whole)})
     most = F.least(F.col("_size") - 2, F.coalesce(F.col("_user") - 1, F.col("_size")))
     count = F.when(F.col("_need") <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.coalesce("_first", "_size"), most)))
     return rows.withColumn("deleted", F.col("_n") <= count).drop("_n", "_sum", "_need", "_size", "_user", "_first")
@@ -72,23 +86,21 @@ def cascade(entries: DataFrame, start: int = 7, stop_at: int = CASCADE_STOP) ->
 
 
 def insertion_point(messages: DataFrame) -> DataFrame:
-    """(session_id, at): where an active context goes.
+    """(session_id, at): where an active context goes, as a place among the messages.
 
-    After the last user message if that is in the second half, else at the start of the
-    trailing run of tool and assistant messages, within the last 30, never before a tool
-    result.
+    A session of at most two messages: at the start.  Else after the last user message, if that
+    is in the second half (from ``size // 2`` on); else at the start of the trailing run of tool
+    and assistant messages, but within the last 30 and not behind the last message.  From a tool
+    result the place moves back to the next message that is none, or to the start.
     """
-    w = _session("pos")
     whole = Window.partitionBy("session_id")
-    rows = messages.withColumns({"n": F.row_number().over(w) - 1, "size": F.count(F.lit(1)).over(whole)})
-    own = (F.col("role") == "user") & ~F.coalesce(F.col("injected"), F.lit(False))
-    ends = rows.groupBy("session_id").agg(F.max("size").alias("size"), F.max(F.when(own, F.col("n"))).alias("user"), F.max(F.when(~F.col("role").isin("tool", "assistant"), F.col("n"))).alias("other"))
-    run = F.greatest(F.coalesce(F.col("other") + 1, F.lit(0)), F.col("size") - 30)
-    ends = ends.withColumn("start", F.when(F.col("user") * 2 >= F.col("size"), F.col("user") + 1).otherwise(run))
-    # step over tool results at the chosen place
-    later = rows.join(ends.select("session_id", "start"), "session_id").where((F.col("n") >= F.col("start")) & (F.col("role") != "tool"))
-    first = later.groupBy("session_id").agg(F.min("n").alias("first"))
-    return ends.join(first, "session_id", "left").select("session_id", F.coalesce("first", "size").cast("long").alias("at"))
+    rows = messages.withColumns({"n": F.row_number().over(_session("pos")) - 1, "size": F.count(F.lit(1)).over(whole)})
+    ends = rows.groupBy("session_id").agg(F.max("size").alias("size"), F.max(F.when(_own_user(), F.col("n"))).alias("user"), F.max(F.when(~F.col("role").isin(*RESULTS, "assistant"), F.col("n"))).alias("other"), F.array_sort(F.collect_list(F.when(~F.col("role").isin(*RESULTS), F.col("n")))).alias("calm"))
+    run = F.least(F.greatest(F.coalesce(F.col("other") + 1, F.lit(0)), F.col("size") - 30), F.col("size") - 1)
+    start = F.when(F.col("user") >= F.floor(F.col("size") / 2), F.col("user") + 1).otherwise(run)
+    back = F.coalesce(F.array_max(F.filter("calm", lambda n: n <= F.col("start"))), F.lit(0))
+    at = F.when(F.col("size") <= 2, 0).when(F.col("start") >= F.col("size"), F.col("start")).otherwise(back)
+    return ends.withColumn("start", start).select("session_id", at.cast("long").alias("at"))
 
 
 def transcript_tokens(messages: DataFrame, system: int = 0) -> DataFrame:
@@ -97,49 +109,183 @@ def transcript_tokens(messages: DataFrame, system: int = 0) -> DataFrame:
 
 
 def largest_message(messages: DataFrame, least: int = LEAST_TRUNCATED) -> DataFrame:
-    """(session_id, pos, tokens): the largest message of each session, if large enough."""
-    top = messages.groupBy("session_id").agg(F.max(F.struct("tokens", (-F.col("pos")).alias("p"))).alias("m"))
-    return top.select("session_id", (-F.col("m.p")).alias("pos"), F.col("m.tokens").alias("tokens")).where(F.col("tokens") >= least)
+    """(session_id, pos, tokens): the largest message of each session, if it has at least ``least``
+    tokens; the later one of ties.  The last user message and injected ones do not count."""
+    rows = last_user(messages).where(~_injected() & ~F.col("pos").eqNullSafe(F.col("last_user")))
+    top = rows.groupBy("session_id").agg(F.max(F.struct("tokens", "pos")).alias("m"))
+    return top.select("session_id", F.col("m.pos").alias("pos"), F.col("m.tokens").alias("tokens")).where(F.col("tokens") >= least)
 
 
-def truncate_logs(files: DataFrame, most: int) -> DataFrame:
-    """Files (name, size) to truncate, the largest first, until the total is within ``most``."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "name")
-    rows = files.withColumns({"_total": F.sum("size").over(Window.partitionBy(F.lit(0))), "_before": F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    return rows.where(F.col("_total") - F.col("_before") > most).drop("_total", "_before")
+def truncated_text(tokens: Column, role: Column, tool: Column | None = None) -> Column:
+    """What stands for a message that was truncated."""
+    id_ = F.lit("") if tool is None else F.coalesce(F.concat(F.lit(", id="), tool), F.lit(""))
+    return F.concat(F.lit(TRUNCATED[0]), tokens.cast("string"), F.lit(TRUNCATED[1]), F.coalesce(role, F.lit("undefined")), id_, F.lit("]"))
+
+
+def truncate_largest(messages: DataFrame, least: int = LEAST_TRUNCATED) -> DataFrame:
+    """Messages with the content and tokens of each session's largest one replaced by a note."""
+    top = largest_message(messages, least).select("session_id", F.col("pos").alias("_at"))
+    rows = messages.join(top, "session_id", "left").withColumn("_hit", F.coalesce(F.col("pos") == F.col("_at"), F.lit(False)))
+    note = truncated_text(F.col("tokens"), F.col("role"), F.col("tool_id") if "tool_id" in messages.columns else None)
+    rows = rows.withColumn("content", F.when(F.col("_hit"), note).otherwise(F.col("content")))
+    return rows.withColumn("tokens", F.when(F.col("_hit"), tx.tokens(F.col("content"))).otherwise(F.col("tokens")).cast(messages.schema["tokens"].dataType)).select(*messages.columns)
 
 
-def emergency(messages: DataFrame, window: int, target: float = TARGET) -> DataFrame:
-    """Rows kept after repeated proportional deletions from the head, at most half a round,
-    until a session's tokens are within the target."""
-    goal = int(window * target)
+def truncate_logs(files: DataFrame, most: int) -> DataFrame:
+    """Files (name, size) to truncate, the largest first, until the total is within ``most``.
+
+    Sizes are summed by their power of two first; only the files of the one power in which the
+    total comes within ``most`` are put in order.
+    """
+    power = F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int")
+    rows = files.withColumn("_power", power)
+    sums = {r[0]: r[1] for r in rows.groupBy("_power").agg(F.sum("size")).collect()}  # 64 powers at most
+    left, cut = sum(sums.values()), None
+    for p in sorted(sums, reverse=True):
+        if left <= most:
+            break
+        cut = p
+        left -= sums[p]
+    if cut is None:
+        return files.limit(0)
+    w = Window.partitionBy("_power").orderBy(F.desc("size"), "name").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.where(F.col("_power") == cut).withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    last = last.where(F.col("_before") < left + sums[cut] - most)
+    return rows.where(F.col("_power") > cut).select(*files.columns).unionByName(last.select(*files.columns))
+
+
+@dataclass
+class _Message:
+    """A message in the sequential steps; ``at`` is its row."""
+
+    at: int
+    role: str
+    tokens: int
+    tool: str | None
+    calls: frozenset[str]
+    note: str | None = None
+
+
+def _listed(rows: pd.DataFrame) -> list[_Message]:
+    """The messages of a session in order, those that were injected left out.
+
+    An assistant's calls are its ``tool_calls``, or else its ``tool_id``.
+    """
+    out = []
+    for at, r in zip(rows.index, rows.to_dict("records"), strict=True):
+        if r.get("injected") is True:
+            continue
+        tool = r.get("tool_id")
+        tool = tool if isinstance(tool, str) else None
+        calls = r.get("tool_calls")
+        calls = frozenset([] if tool is None else [tool]) if calls is None else frozenset(calls)
+        result = r["role"] in RESULTS
+        out.append(_Message(at, r["role"], int(r["tokens"]), tool if result or "tool_calls" in r else None, calls if r["role"] == "assistant" else frozenset()))
+    return out
+
+
+def _last_of(messages: list[_Message]) -> int | None:
+    return max((k for k, m in enumerate(messages) if m.role == "user"), default=None)
+
+
+def _costliest(messages: list[_Message]) -> list[int]:
+    """The places of the group to delete next: a call with its later results, or a lone result or
+    assistant message.  The first message, the last user message and (alone) the last one stay."""
+    last, claimed, groups = _last_of(messages), set(), []
+    for k, m in enumerate(messages):
+        if k == 0 or k == last or k in claimed or not m.calls:
+            continue
+        own = [k] + [j for j in range(k + 1, len(messages)) if j not in claimed and j != last and messages[j].role in RESULTS and messages[j].tool in m.calls]
+        claimed.update(own)
+        groups.append(own)
+    groups += [[k] for k, m in enumerate(messages) if 0 < k < len(messages) - 1 and k not in claimed and k != last and m.role in (*RESULTS, "assistant")]
+    return max(groups, key=lambda g: sum(messages[k].tokens for k in g), default=[])
+
+
+def _delete_tail(messages: list[_Message], need: int) -> int:
+    """Delete groups, the costliest first, until ``need`` tokens are saved; the tokens saved."""
+    saved = 0
+    while saved < need and len(messages) > 2:
+        group = _costliest(messages)
+        if not group or len(messages) - len(group) < 2:
+            break
+        saved += sum(messages[k].tokens for k in group)
+        for k in reversed(group):
+            del messages[k]
+    return saved
+
+
+def _cut_largest(messages: list[_Message]) -> int:
+    """Put a note in place of the largest message; the tokens saved."""
+    last = _last_of(messages)
+    places = [k for k in range(len(messages)) if k != last]
+    if not places:
+        return 0
+    m = messages[max(places, key=lambda k: (messages[k].tokens, k))]
+    if m.tokens < LEAST_TRUNCATED:
+        return 0
+    m.note = f"{TRUNCATED[0]}{m.tokens}{TRUNCATED[1]}{m.role or 'undefined'}{'' if m.tool is None else f', id={m.tool}'}]"
+    before, m.tokens = m.tokens, tx.estimate(m.note)
+    return max(0, before - m.tokens)
+
+
+def _per_session(messages: DataFrame, run) -> DataFrame:
+    """``run`` on the message list of each session and the tokens of its injected rows; rows as it leaves them."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        while True:
-            total = int(rows["tokens"].sum())
-            user = rows.index[(rows["role"] == "user")]
-            limit = len(rows) - 2 if not len(user) else min(len(rows) - 2, rows.index.get_loc(user[-1]))
-            if total <= goal or limit <= 0:
-                return rows
-            n = max(1, int(len(rows) * min((total - goal) / total, 0.5)))
-            rows = rows.iloc[min(n, limit) :]
+        rows = rows.sort_values("pos", kind="stable").reset_index(drop=True)
+        listed = _listed(rows)
+        own = {m.at for m in listed}
+        run(listed, len(rows), int(rows["tokens"].sum()))
+        for m in listed:
+            if m.note is not None:
+                rows.loc[m.at, "tokens"] = m.tokens
+                if "content" in rows:
+                    rows.loc[m.at, "content"] = m.note
+        stay = {m.at for m in listed}
+        return rows[[k in stay or k not in own for k in rows.index]]
 
     return messages.groupBy("session_id").applyInPandas(one, messages.schema)
 
 
-def tail_delete(messages: DataFrame, need: int) -> DataFrame:
-    """Rows kept after deleting tool groups (calls with their results), the costliest first,
-    until ``need`` tokens are saved."""
+def emergency(messages: DataFrame, window: int, target: float = TARGET, system: int = 0) -> DataFrame:
+    """Rows kept of each session until its tokens (with half a token for each message, and the
+    system prompt) are within the target.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        cost = rows[rows["tool_id"].notna()].groupby("tool_id").agg(tokens=("tokens", "sum"), pos=("pos", "min"))
-        cost = cost.sort_values(["tokens", "pos"], ascending=[False, True])
-        before = cost["tokens"].cumsum() - cost["tokens"]
-        gone = cost.index[before < need]
-        return rows[~rows["tool_id"].isin(gone)]
+    Each round deletes a share of the head, as large as the excess and at most half, rounded up,
+    but neither the last two messages nor the last user message or what follows it.  Where no
+    head may go, groups of the tail are deleted (:func:`tail_delete`); where none may, the largest
+    message is cut.  Injected messages count, stay, and keep their place among the rest.
+    """
+    goal = math.floor(window * target)
+
+    def run(listed: list[_Message], n: int, tokens: int) -> None:
+        left = system + tokens + math.ceil(n * 0.5)
+        while len(listed) > 2 and left > goal:
+            count = min(max(1, math.ceil(len(listed) * min((left - goal) / left, 0.5))), len(listed) - 2)
+            if (last := _last_of(listed)) is not None:
+                count = min(count, last)
+            if count:
+                left = max(0, left - sum(m.tokens for m in listed[:count]))
+                del listed[:count]
+                continue
+            before = len(listed)
+            left = max(0, left - _delete_tail(listed, left - goal))
+            if len(listed) == before:
+                saved = _cut_largest(listed)
+                if not saved:
+                    return
+                left = max(0, left - saved)
+
+    return _per_session(messages, run)
 
-    return messages.groupBy("session_id").applyInPandas(one, messages.schema)
+
+def tail_delete(messages: DataFrame, need: int) -> DataFrame:
+    """Rows kept after deleting tool groups (calls with their later results) and lone tool and
+    assistant messages, the costliest first, until ``need`` tokens are saved or two messages
+    would not be left.  The first message and the last user message stay; groups are made anew
+    after each deletion."""
+    return _per_session(messages, lambda listed, n, tokens: _delete_tail(listed, need))
 
 
 def build_history(diagrams: DataFrame, most: int) -> DataFrame:
@@ -161,26 +307,34 @@ def build_history(diagrams: DataFrame, most: int) -> DataFrame:
     return diagrams.groupBy("session_id").applyInPandas(one, schema)
 
 
+def _summary(entries: DataFrame) -> Column:
+    """The text for an entry's result: its summary, with node and reference where entries have them."""
+    if "result_ref" not in entries.columns:
+        return F.col("summary")
+    node = F.coalesce("node_id", F.lit("N/A")) if "node_id" in entries.columns else F.lit("N/A")
+    return F.when(F.col("summary").isNotNull(), F.format_string(OFFLOADED, node, F.col("summary"), F.coalesce("result_ref", F.lit(""))))
+
+
 def reapply(messages: DataFrame, entries: DataFrame) -> DataFrame:
     """Stored decisions on messages with a tool_id: ``deleted`` ones go, replaced ones get the
     entry's summary as content and ``replaced``."""
     from .joins import by_tool_id
 
-    own = entries.select("tool_call_id", "summary", "offloaded")
+    own = entries.select("tool_call_id", _summary(entries).alias("summary"), "offloaded")
     out = by_tool_id(messages, own, ("summary", "offloaded"))
     out = out.where(~F.coalesce(F.col("offloaded") == "deleted", F.lit(False)))
     hit = F.coalesce(F.col("offloaded") == "true", F.lit(False)) & F.col("summary").isNotNull()
     return out.withColumn("content", F.when(hit, F.col("summary")).otherwise(F.col("content"))).withColumn("replaced", hit).drop("summary", "offloaded")
 
 
-def level(messages: DataFrame, window: int) -> DataFrame:
+def level(messages: DataFrame, window: int, system: int = 0) -> DataFrame:
     """(session_id, tokens, level): which compression a session's fill of the window asks for."""
-    t = transcript_tokens(messages)
-    share = lambda x: F.floor(F.lit(window) * x)
+    t = transcript_tokens(messages, system)
+    share = lambda x: math.floor(window * x)
     return t.withColumn("level", F.when(F.col("tokens") >= share(EMERGENCY), "emergency").when(F.col("tokens") >= share(AGGRESSIVE), "aggressive").when(F.col("tokens") >= share(MILD), "mild").otherwise("none"))
 
 
-def mild(messages: DataFrame, entries: DataFrame, window: int) -> DataFrame:
+def mild(messages: DataFrame, entries: DataFrame, window: int, system: int = 0) -> DataFrame:
     """Messages, with content and tokens of tool results in the head replaced by their entries'
     summaries where the session is mildly full, down to the score threshold of :func:`cascade`."""
     from .joins import by_tool_id
@@ -188,10 +342,10 @@ def mild(messages: DataFrame, entries: DataFrame, window: int) -> DataFrame:
     if "tool_id" not in messages.columns:
         return messages
     score = F.col("score").cast("double") if "score" in entries.columns else F.lit(None).cast("double")
-    rows = by_tool_id(messages, entries.select("tool_call_id", F.col("summary").alias("_summary"), F.coalesce(score, F.lit(MILD_SCORE)).alias("_score")), ("_summary", "_score"))
+    rows = by_tool_id(messages, entries.select("tool_call_id", _summary(entries).alias("_summary"), F.coalesce(score, F.lit(MILD_SCORE)).alias("_score")), ("_summary", "_score"))
     rows = rows.withColumns({"_n": F.row_number().over(_session("pos")), "_size": F.count(F.lit(1)).over(Window.partitionBy("session_id"))})
-    full = level(messages, window).where("level <> 'none'").select("session_id", F.lit(True).alias("_full"))
-    tool = F.col("role").isin("tool", "toolResult") & (F.col("_n") <= F.floor(F.col("_size") * MILD_SCAN)) & F.col("_summary").isNotNull()
+    full = level(messages, window, system).where("level <> 'none'").select("session_id", F.lit(True).alias("_full"))
+    tool = F.col("role").isin(*RESULTS) & (F.col("_n") <= F.floor(F.col("_size") * MILD_SCAN)) & F.col("_summary").isNotNull()
     rows = rows.join(full, "session_id", "left").withColumn("_fits", F.coalesce(F.col("_full") & tool & ~F.col("content").eqNullSafe(F.col("_summary")), F.lit(False)))
     # longer summaries replace, but do not count
     counted = rows.where(F.col("_fits") & (tx.utf16_length(F.col("_summary")) <= F.coalesce(tx.utf16_length(F.col("content")), F.lit(0))))
@@ -202,20 +356,17 @@ def mild(messages: DataFrame, entries: DataFrame, window: int) -> DataFrame:
     return rows.withColumns(own).select(*messages.columns)
 
 
-def compress(messages: DataFrame, window: int, entries: DataFrame | None = None) -> DataFrame:
+def compress(messages: DataFrame, window: int, entries: DataFrame | None = None, system: int = 0) -> DataFrame:
     """Transcripts after head deletion where a session is aggressively full, down to the aggressive
-    share, summaries for tool results where it is still mildly full, and emergency deletion where
-    that leaves it above the emergency share.  Injected messages are not deleted from the head.
-
-    Without ``entries`` there are no summaries, and head deletion goes down to the mild share.
-    """
-    full = level(messages, window)
-    goal = F.lit(int(window * MILD)) if entries is None else F.floor(F.lit(window) * AGGRESSIVE)
-    need = F.when(F.col("_level").isin("aggressive", "emergency"), F.greatest(F.col("_tokens") - goal, F.lit(1))).otherwise(0)
+    share, summaries for tool results where it is still mildly full (with ``entries``), and
+    emergency deletion where that leaves it above the emergency share.  Injected messages count
+    and are not deleted."""
+    full = level(messages, window, system)
+    need = F.when(F.col("_level").isin("aggressive", "emergency"), F.greatest(F.col("_tokens") - math.floor(window * AGGRESSIVE), F.lit(1))).otherwise(0)
     rows = messages.join(full.select("session_id", F.col("tokens").alias("_tokens"), F.col("level").alias("_level")), "session_id")
-    injected = F.lit(False) if entries is None else F.coalesce(F.col("injected"), F.lit(False))
-    kept = delete_prefix(rows.where(~injected), need).where(~F.col("deleted")).select(*messages.columns)
+    kept = delete_prefix(rows.where(~_injected()), need).where(~F.col("deleted")).select(*messages.columns)
+    kept = kept.unionByName(messages.where(_injected()))
     if entries is not None:
-        kept = mild(kept.unionByName(messages.where(injected)), entries, window)
-    over = level(kept, window).where("level = 'emergency'").select("session_id")
-    return kept.join(over, "session_id", "left_anti").unionByName(emergency(kept.join(over, "session_id", "left_semi").select(*messages.columns), window))
+        kept = mild(kept, entries, window, system)
+    over = level(kept, window, system).where("level = 'emergency'").select("session_id")
+    return kept.join(over, "session_id", "left_anti").unionByName(emergency(kept.join(over, "session_id", "left_semi").select(*messages.columns), window, system=system))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors as vec
 from .operators import extract, joins, query, search, store, transcript, triggers
-from .plans import views
+from .plans import offload, views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
 from .streaming import capture
 
@@ -213,9 +213,9 @@ def agg16_corpus_stats(spark, sf):
     return views.l0(spark, sf).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg(F.size(tx.terms(F.col("message_text")))), 9).alias("mean_length"))
 
 
-@register("SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) AS line FROM events WHERE user_id < 300 GROUP BY user_id")
+@register("SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) AS line FROM events GROUP BY user_id")
 def agg17_listagg(spark, sf):
-    return read(spark, sf, "events").where("user_id < 300").groupBy("user_id").agg(F.expr("listagg(event_type, ' ') within group (order by event_id)").alias("line"))
+    return read(spark, sf, "events").groupBy("user_id").agg(F.expr("listagg(event_type, ' ') within group (order by event_id)").alias("line"))
 
 
 # ---- ranks, windows, transcripts
@@ -293,11 +293,11 @@ def top10_recall_keyword(spark, sf):
 
 
 @register("""WITH e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings)
-    SELECT cast(a.vec_id AS varchar) AS new_id, cast(b.vec_id AS varchar) AS candidate_id FROM e a, e b WHERE a.vec_id < 20 AND b.vec_id >= 20
+    SELECT cast(a.vec_id AS varchar) AS new_id, cast(b.vec_id AS varchar) AS candidate_id FROM e a, e b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0
     QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_cosine_similarity(a.v, b.v), cast(b.vec_id AS varchar)) <= 5""")
 def top12_dedup_candidates(spark, sf):
     v = views.vectors(spark, sf)
-    return search.neighbours(v.where(F.col("record_id").cast("long") < 20), v, 5).select("new_id", "candidate_id")
+    return search.neighbours(v.where(F.col("record_id").cast("long") % 100 == 0), v, 5).select("new_id", "candidate_id")
 
 
 @register("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 20 OFFSET 40")
@@ -311,9 +311,14 @@ def top14_scenes_by_heat(spark, sf):
     return heat.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("heat"), "source")))
 
 
-@register(f"WITH {TRANSCRIPT_SQL} SELECT session_id, pos, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, pos) AS r FROM t) WHERE r = 1 AND tokens >= 100")
+@register(f"""WITH {TRANSCRIPT_SQL}, u AS (SELECT *, max(pos) FILTER (role = 'user') OVER (PARTITION BY session_id) AS u FROM t)
+    SELECT session_id, pos, tokens, '{transcript.TRUNCATED[0]}' || tokens || '{transcript.TRUNCATED[1]}' || role || ']' AS note FROM u WHERE pos IS DISTINCT FROM u
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, pos DESC) = 1 AND tokens >= 100""")
 def top17_largest_message(spark, sf):
-    return transcript.largest_message(views.transcript(spark, sf), 100)
+    rows = views.transcript(spark, sf)
+    top = transcript.largest_message(rows, 100)
+    cut = transcript.truncate_largest(rows, 100).select("session_id", "pos", F.col("content").alias("note"))
+    return top.join(cut, ["session_id", "pos"])
 
 
 @register(f"WITH {L0_SQL} SELECT record_id, row_number() OVER (PARTITION BY session_key ORDER BY timestamp DESC, record_id DESC) AS back FROM l0 QUALIFY back <= 50")
@@ -359,10 +364,10 @@ def win08_last_user(spark, sf):
     return transcript.last_user(views.transcript(spark, sf)).select("session_id", "pos", "last_user")
 
 
-@register(f"""WITH {TRANSCRIPT_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS n FROM t),
-    e AS (SELECT session_id, count(*) AS size, max(n) FILTER (role = 'user') AS u, max(n) FILTER (role NOT IN ('tool', 'assistant')) AS o FROM n GROUP BY session_id),
-    s AS (SELECT *, CASE WHEN u * 2 >= size THEN u + 1 ELSE greatest(coalesce(o + 1, 0), size - 30) END AS start FROM e)
-    SELECT session_id, coalesce((SELECT min(n) FROM n WHERE n.session_id = s.session_id AND n.n >= s.start AND role <> 'tool'), size) AS at FROM s""")
+@register(f"""WITH {TRANSCRIPT_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS n, count(*) OVER (PARTITION BY session_id) AS size FROM t),
+    e AS (SELECT session_id, size, max(n) FILTER (role = 'user') AS u, coalesce(max(n) FILTER (role NOT IN ('toolResult', 'tool', 'assistant')) + 1, 0) AS run FROM n GROUP BY session_id, size),
+    s AS (SELECT *, CASE WHEN u >= size // 2 THEN u + 1 ELSE least(greatest(run, size - 30), size - 1) END AS start FROM e)
+    SELECT session_id, CASE WHEN size <= 2 THEN 0 WHEN start >= size THEN start ELSE coalesce((SELECT max(n) FROM n WHERE n.session_id = s.session_id AND n.n <= s.start AND role NOT IN ('tool', 'toolResult')), 0) END AS at FROM s""")
 def win09_insertion_point(spark, sf):
     return transcript.insertion_point(views.transcript(spark, sf))
 
@@ -393,10 +398,9 @@ def join04_asof(spark, sf):
     return joins.asof(e, b, "user_id").select(F.col("idx").alias("event_id"), F.col("start_index").alias("boundary"))
 
 
-@register("""SELECT o_orderkey AS record_id, coalesce(action, 'store') AS action FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) AS action FROM (SELECT * FROM lineitem WHERE l_quantity > 40 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+@register("""SELECT o_orderkey AS record_id, coalesce(action, 'store') AS action FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) AS action FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
 def join05_decisions(spark, sf):
-    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
-    d = read(spark, sf, "lineitem").where("l_quantity > 40").withColumn("n", first).where("n = 1").select(F.col("l_orderkey").alias("record_id"), F.col("l_returnflag").alias("action"), F.col("l_linenumber").alias("pos"))
+    d = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_returnflag").alias("action"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"))
     return joins.decide(read(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id")), d)
 
 
@@ -681,10 +685,12 @@ def flt06_session_filter(spark, sf):
     return search.search_conversations(views.l0(spark, sf), ASKED, 10, session_key="7").select("record_id", F.round("score", 9).alias("score"))
 
 
-@register("SELECT n_nationkey FROM nation")
+@register("WITH f AS (SELECT n_nationkey, n_nationkey / 50 AS score FROM nation) SELECT 'some' AS list, n_nationkey FROM f WHERE score >= 0.3 UNION ALL SELECT 'none', n_nationkey FROM f")
 def flt07_threshold_fallback(spark, sf):
-    found = read(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") / 100).alias("score"))
-    return search.threshold_with_fallback(found, 0.3, 60).select("n_nationkey")
+    n = read(spark, sf, "nation")
+    some = search.threshold_with_fallback(n.select("n_nationkey", (F.col("n_nationkey") / 50).alias("score")), 0.3, 60)
+    none = search.threshold_with_fallback(n.select("n_nationkey", (F.col("n_nationkey") / 100).alias("score")), 0.3, 60)
+    return some.select(F.lit("some").alias("list"), "n_nationkey").union(none.select(F.lit("none"), "n_nationkey"))
 
 
 @register(f"WITH {_KNN_SQL.format(30)} SELECT record_id FROM kn WHERE 1 - distance >= 0.3")
@@ -722,9 +728,16 @@ def flt26_changed_scenes(spark, sf):
     return store.changed_since(read(spark, sf, "pages").select("page_id", at.alias("updated")), F.lit("2024-05-01T00:00:00Z")).select("page_id")
 
 
-@register("SELECT event_type, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM events WHERE event_id % 5 = 0 GROUP BY event_type")
+@register("""WITH e AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'wait' ELSE 'n' END AS node, epoch_ms(ts) // 1000 AS s FROM events),
+    o AS (SELECT * FROM e WHERE node IS NULL OR (node = 'wait' AND 1800000000 - s >= 120))
+    SELECT 'd' || user_id AS target, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM o WHERE user_id % 3 > 0 GROUP BY ALL""")
 def agg10_group_candidates(spark, sf):
-    return read(spark, sf, "events").where("event_id % 5 = 0").groupBy("event_type").agg(F.expr("listagg(event_id, ',') within group (order by event_id)").alias("ids"))
+    node = F.when(F.col("event_id") % 4 == 1, "wait").when(F.col("event_id") % 4 > 1, "n")
+    e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.col("event_id").alias("idx"), node.alias("node_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    user = F.col("session_id").cast("long")
+    judged = e.select("session_id").distinct().select("session_id", F.lit(0).alias("start_index"), F.when(user % 3 > 0, "long").otherwise("short").alias("result"), F.concat(F.lit("d"), user).alias("target"), F.lit(0).alias("seq"))
+    found = offload.diagram_candidates(e, judged, 1_800_000_000)
+    return found.groupBy("target").agg(F.expr("listagg(event_id, ',') within group (order by event_id)").alias("ids"))
 
 
 @register("SELECT count(DISTINCT conv_id) AS sessions, count(DISTINCT (conv_id, turn // 2)) AS rounds, count(*) AS messages, count(*) FILTER (role = 'system') AS skipped FROM conversations")
