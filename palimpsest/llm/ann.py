@@ -1,36 +1,39 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are made unit vectors of a power-of-two dimension such that the largest inner
-product becomes the largest cosine (where norms differ, by one more component).  Each of
-``TABLES`` tables turns them by pseudo-rotations, three rounds of random signs and a fast
-Hadamard transform, and assigns them to the nearest signed axis.  A query probes the
-``PROBES`` nearest axes of each table.  The vectors of a cell are compared with its
-queries as matrices, each query's best of a task are kept, and the best of all are ranked
-by the exact inner product in double precision, summed component by component.
-
-What hashing finds is a lower bound only: it misses neighbours where norms are skewed,
-dimensions are many or rows are few.  So every query is then compared, in blocks of
-queries as matrices, with all index vectors, longest first, whose norm times its own can
-reach its ``k``-th score so far (any, while it has fewer), and only rows that reach it
-leave a task.  The result is exact; ``tables``, ``probes`` and ``hashes`` change the time.
-
-Cells of more than ``BLOCK`` vectors are cut into blocks, which the cell's queries visit
-all: nothing is left out, and no task holds a whole hot cell.  Of equal vectors only the
-``k + 1`` least ids are indexed; no query can have another among its ``k`` nearest.
-
-Defined results: vectors that are null, empty or zero, or hold null or non-finite
-components, or are not of the commonest length, take no part; nor do rows without an id.
-Rows of one id and vector count once; an id with several vectors is ranked by its best.
-An empty table gives an empty result.
-
-The default of one axis per table suits up to some millions of vectors; ``hashes=2``
-squares the number of cells.  Where norms are alike the comparison is of all queries with
-all vectors, one pass over the index for each block of queries.
+Vectors are turned to unit length and padded to a power-of-two dimension.  Each table turns
+them by pseudo-rotations, three rounds of random signs and a fast Hadamard transform, and
+assigns them to the nearest signed axis (with ``hashes=2``, to a pair of axes of two
+rotations).  A query probes the nearest cells of each table; what is in them are its
+candidates, which are ranked by the exact inner product in double precision.
+
+The measure is the inner product, so lengths matter and the hash does not see them: the
+index is cut into bands of norm, each band ``RATIO`` times shorter than the last, and every
+band is searched on its own.  A band of at most ``WHOLE`` vectors is one cell.
+
+How many tables, axes and probes a band gets is fitted: up to ``SAMPLE`` queries are compared
+with the whole index, and the cheapest choice is taken that finds ``TARGET`` of their
+neighbours in the band.  Where vectors have no clusters that is a large share of all cells.
+Every vector is indexed and every query searched; only the fit sees a sample.  A query that
+still finds fewer than ``k`` neighbours is compared with the whole index, in blocks.
+
+Vectors travel once for each table, and queries once for each group of cells that they
+probe.  A group holds about ``GROUP_BYTES`` of vectors; a cell of more is cut into blocks,
+groups of their own, which its queries visit all: nothing is left out, and no task holds a
+whole hot cell.  Of equal vectors only the ``k + 1`` least ids are indexed; no query can have
+another among its ``k`` nearest.
+
+Defined results: vectors that are null, empty or zero, or hold null or non-finite components,
+take no part; nor do rows without an id.  Vectors of different lengths have no inner product:
+each length is searched on its own (more than ``LENGTHS`` of them raise ``ValueError``).  Rows
+of one id and vector count once; an id with several vectors is ranked by its best.  A query
+has fewer than ``k`` rows only if there are no more candidates.  Other columns of the table
+are not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -38,16 +41,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .scratch import table
 
-TABLES, PROBES, HASHES = 8, 16, 1
-BLOCK = 4096
-#: Candidates a task keeps beyond the ``k`` nearest, so that rounding cannot cost one.
+#: Numbers of tables that the fit chooses from, and the most probes of a table.
+TABLES, PROBES = (2, 3, 4, 6, 8), 16_384
+#: Queries of the fit, and the share of their neighbours that it must find.
+SAMPLE, TARGET = 200, 0.96
+#: Norms of a band are within this factor; the last band takes all that are shorter.
+RATIO, BANDS = 1.25, 12
+#: Vectors of a band that are one cell.
+WHOLE = 1024
+#: Vectors of a cell from which pairs of axes are tried too.
+FINE = 1024
+#: Bytes of index vectors, in double precision, of a group of cells.
+GROUP_BYTES = 4 << 20
+#: Candidates kept by their products until the exact sums, so that rounding cannot cost one.
 SPARE = 8
 #: Candidate rows a task gathers before it reduces them.
 HELD = 500_000
 #: Bytes of query vectors, in double precision, that one pass over the index compares.
 QUERY_BYTES = 16_000_000
+#: Index vectors of a block in that comparison.
+BLOCK = 4096
+#: Different lengths of vectors in one table.
+LENGTHS = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,7 +96,7 @@ def cells(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
         for j in range(hashes):
             y = rotate(x, t * hashes + j)
             both = np.stack([y, -y], 2).reshape(n, -1)  # axis k: 2k, its opposite: 2k + 1
-            at = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+            at = np.argmax(both, axis=1)[:, None] if probes == 1 else np.argsort(-both, axis=1, kind="stable")[:, :probes]
             best.append(at)
             value.append(np.take_along_axis(both, at, 1))
         if hashes == 1:
@@ -95,35 +113,165 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def _unit(x: np.ndarray, longest: float, even: bool, query: np.ndarray) -> np.ndarray:
-    """Unit vectors whose cosine with a query orders like the inner product."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of a power-of-two dimension."""
     n, d = x.shape
-    out = np.zeros((n, 1 << (d - 1 if even else d).bit_length()))
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    out[:, :d] = x / np.where(query[:, None] | even, norm, longest)
-    if not even:
-        rest = np.sqrt(np.maximum(0, 1 - (norm[:, 0] / longest) ** 2))
-        out[:, d] = np.where(query, 0, rest)
+    out = np.zeros((n, 1 << (d - 1).bit_length()))
+    x = x / np.abs(x).max(1, keepdims=True)
+    out[:, :d] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
 
 
-def _hash(batches: Iterator[pa.RecordBatch], d: int, longest: float, even: bool, tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
-    """id, v, query -> a row for each table (and probe) with its cell."""
+# ---- the fit
+
+
+@dataclass
+class Band:
+    """How the vectors of a band are hashed and grouped."""
+
+    size: int
+    tables: int = 1
+    hashes: int = 0
+    probes: int = 1
+    groups: int = 1
+    #: (table, cell) -> first group and blocks of cells that are cut
+    hot: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
+
+    def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
+        return cells(_unit(x), self.tables, self.hashes, probes) if self.hashes else np.zeros((len(x), 1, 1), np.int64)
+
+    def group(self, c: np.ndarray) -> np.ndarray:
+        return (K.mix(c.astype(np.uint64)) % np.uint64(self.groups)).astype(np.int64)
+
+
+def _choose(size: int, n_queries: int, groups: int, q: np.ndarray, v: np.ndarray, row: np.ndarray, hashes: tuple[int, ...]) -> tuple[int, int, int]:
+    """(tables, hashes, probes): the cheapest that finds ``TARGET`` of the pairs (q[row], v)."""
+    best, axes = None, 2 << (q.shape[1] - 1).bit_length()
+    if not len(v):  # nothing of the band is near any query of the sample
+        return TABLES[0], hashes[0], max(1, axes ** hashes[0] // 16)
+    q, v = _unit(q), _unit(v)
+    for h in hashes:
+        every = axes**h
+        limit = min(every, PROBES)
+        own, rank = cells(v, max(TABLES), h, 1)[:, :, 0], np.full((len(v), max(TABLES)), limit)
+        near = cells(q, max(TABLES), h, limit)
+        for k in range(len(v)):
+            at = near[row[k]] == own[k][:, None]
+            rank[k] = np.where(at.any(1), at.argmax(1), limit)
+        for t in TABLES:
+            first = np.sort(rank[:, :t].min(1))
+            probes = int(first[int(np.ceil(TARGET * len(first))) - 1]) + 1
+            if len(first) < SAMPLE:  # few pairs tell little
+                probes = max(probes, every // 16)
+            if probes > limit:
+                continue
+            visits = n_queries * t * probes
+            cost = size * t + n_queries * t * min(probes, groups) + 0.2 * visits + 0.01 * visits * size / every
+            if best is None or cost < best[0]:
+                best = cost, (t, h, probes)
+    return best[1] if best else (TABLES[0], 1, axes)
+
+
+def _fit(index: DataFrame, queries: DataFrame, n_queries: int, d: int, k: int, tables: int | None, probes: int | None, hashes: int | None) -> dict[int, Band]:
+    """The bands of the index, by their number."""
+    bands = {r[0]: Band(r[1]) for r in index.groupBy("band").count().collect()}
+    hashed = {b: x for b, x in bands.items() if x.size > WHOLE}
+    rows = max(WHOLE, GROUP_BYTES // (8 * d))
+    for x in hashed.values():
+        x.groups = -(-x.size // rows)
+    if hashed and probes is not None:
+        for x in hashed.values():
+            x.tables, x.hashes, x.probes = tables or max(TABLES), hashes or 1, probes
+    elif hashed:
+        some = queries.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE)
+        if n_queries < SAMPLE:
+            some = some.union(index.select("id", "v").orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE - n_queries))
+        got = some.toArrow()
+        ids, q = got.column(0).to_numpy(), _matrix(got.column(1).combine_chunks(), d)
+        held = index.sparkSession.sparkContext.broadcast((ids, q, np.full(len(ids), -np.inf)))
+        true = _ranked(index.select("id", "v").mapInArrow(lambda x: _scan(x, held, d, k), "query_id long, vec_id long, score double"), k)
+        pairs = index.join(F.broadcast(true.select("query_id", F.col("vec_id").alias("id"))), "id").select("query_id", "band", "v").toArrow()
+        order = np.argsort(ids, kind="stable")
+        row = order[np.searchsorted(ids[order], pairs.column(0).to_numpy())]
+        band, v = pairs.column(1).to_numpy(), _matrix(pairs.column(2).combine_chunks(), d)
+        for b, x in hashed.items():
+            own = band == b
+            both = x.size > FINE * 2 * d  # axes alone would make large cells
+            x.tables, x.hashes, x.probes = _choose(x.size, n_queries, x.groups, q, v[own], row[own], (hashes,) if hashes else (1, 2) if both else (1,))
+    if hashed:
+        plan = dict(hashed)
+        counts = index.where(F.col("band").isin(list(hashed))).select("band", "v").mapInArrow(lambda x: _cells_of(x, plan, d), "band int, t int, cell long").groupBy("band", "t", "cell").count()
+        free = {b: x.groups for b, x in hashed.items()}
+        for b, t, cell, n in counts.where(F.col("count") > rows // 2).collect():  # a few for each group at most
+            hashed[b].hot[t, cell] = free[b], -(-n // rows)
+            free[b] += -(-n // rows)
+    return bands
+
+
+def _cells_of(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: int) -> Iterator[pa.RecordBatch]:
+    """band, v -> the cell of each table."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        query = np.array(batch.column(2).to_pylist(), dtype=bool)
-        x = _matrix(batch.column(1), d)
-        for part in np.array_split(np.arange(batch.num_rows), max(1, batch.num_rows // 1024)):
-            own = query[part]
-            found = cells(_unit(x[part], longest, even, own), tables, hashes, 1 if not own.any() else probes)
-            n, _, p = found.shape
-            used = own[:, None, None] | (np.arange(p) == 0)[None, None, :]
-            row, t, _ = np.nonzero(np.broadcast_to(used, found.shape))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t.astype(np.int32)), pa.array(found[np.broadcast_to(used, found.shape)]), batch.column(0).take(pa.array(part[row])), batch.column(1).take(pa.array(part[row])), pa.array(own[row])],
-                names=["t", "cell", "id", "v", "query"],
-            )
+        band = batch.column(0).to_numpy()
+        for b in np.unique(band).tolist():
+            at = np.flatnonzero(band == b)
+            for part in np.array_split(at, -(-len(at) // 1024)):
+                found = bands[b].cells(_matrix(batch.column(1).take(pa.array(part)), d), 1)[:, :, 0]
+                n, t = found.shape
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * t, b, np.int32)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(found.ravel())], names=["band", "t", "cell"])
+
+
+# ---- dealing and comparing
+
+DEALT = "band int, t int, g long, query boolean, cells array<bigint>, id long, v {}"
+
+
+def _deal_index(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: int) -> Iterator[pa.RecordBatch]:
+    """id, v, band -> a row for each table, in the group of its cell."""
+    for batch in batches:
+        band = batch.column(2).to_numpy()
+        for b in np.unique(band).tolist():
+            own, every = bands[b], np.flatnonzero(band == b)
+            for part in np.array_split(every, -(-len(every) // 1024)):
+                v = batch.column(1).take(pa.array(part))
+                ids = batch.column(0).take(pa.array(part))
+                found = own.cells(_matrix(v, d), 1)[:, :, 0]
+                spread = K.mix(ids.to_numpy().astype(np.uint64))
+                for t in range(found.shape[1]):
+                    g = own.group(found[:, t])
+                    for (table_, cell), (first, blocks) in own.hot.items():
+                        if table_ == t:
+                            at = found[:, t] == cell
+                            g[at] = first + (spread[at] % np.uint64(blocks)).astype(np.int64)
+                    yield _dealt(b, t, g, False, found[:, t], np.arange(len(g) + 1), ids, v)
+
+
+def _deal_queries(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: int) -> Iterator[pa.RecordBatch]:
+    """id, v -> a row for each group with cells that the query probes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            x = _matrix(part.column(1), d)
+            for b, own in bands.items():
+                found = own.cells(x, own.probes)
+                for t in range(found.shape[1]):
+                    c = found[:, t]
+                    row, g, cell = np.repeat(np.arange(len(c)), c.shape[1]), own.group(c).ravel(), c.ravel()
+                    for (table_, hot), (first, blocks) in own.hot.items():
+                        if table_ == t and (at := cell == hot).any():
+                            more = np.repeat(row[at], blocks)
+                            g = np.concatenate([g[~at], np.tile(first + np.arange(blocks), int(at.sum()))])
+                            row, cell = np.concatenate([row[~at], more]), np.concatenate([cell[~at], np.full(len(more), hot)])
+                    order = np.lexsort((cell, g, row))
+                    row, g, cell = row[order], g[order], cell[order]
+                    first_of = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])]))
+                    take = pa.array(row[first_of])
+                    yield _dealt(b, t, g[first_of], True, cell, np.append(first_of, len(cell)), part.column(0).take(take), part.column(1).take(take))
+
+
+def _dealt(b: int, t: int, g: np.ndarray, query: bool, cell: np.ndarray, bounds: np.ndarray, ids: pa.Array, v: pa.Array) -> pa.RecordBatch:
+    n = len(g)
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(cell))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(g), pa.array(np.full(n, query)), lists, ids, v], names=["band", "t", "g", "query", "cells", "id", "v"])
 
 
 def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,16 +289,55 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[keep], v[keep], s[keep]
 
 
+def _exact(q: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The inner products of the pairs, summed component by component."""
+    out = np.zeros(len(row))
+    for j in range(q.shape[1]):
+        out += q[row, j] * v[col, j]
+    return out
+
+
+class _Group:
+    """The index vectors of a group of cells, sorted by cell."""
+
+    def __init__(self, ids: list[np.ndarray], x: list[np.ndarray], cell: list[np.ndarray]):
+        cell, ids, x = np.concatenate(cell), np.concatenate(ids), np.concatenate(x)
+        order = np.argsort(cell, kind="stable")
+        self.cell, self.ids, self.x = cell[order], ids[order], x[order]
+
+    def find(self, q_ids: np.ndarray, q: np.ndarray, row: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` best (query, vector, score) of queries that visit ``cell`` with ``row``."""
+        most, rows, cols, scores = k + SPARE, [], [], []
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        lo, hi = np.searchsorted(self.cell, cell[at]), np.searchsorted(self.cell, cell[at], side="right")
+        for a, b, x, y in zip(at.tolist(), [*at[1:].tolist(), len(cell)], lo.tolist(), hi.tolist(), strict=True):
+            for start in range(x, y, BLOCK):
+                own, stop = row[a:b], min(y, start + BLOCK)
+                s = q[own] @ self.x[start:stop].T
+                s[q_ids[own][:, None] == self.ids[None, start:stop]] = -np.inf
+                top = np.argpartition(-s, most - 1, axis=1)[:, :most] if s.shape[1] > most else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                rows.append(np.repeat(own, top.shape[1]))
+                cols.append(start + top.ravel())
+                scores.append(np.take_along_axis(s, top, 1).ravel())
+        if not rows:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        row, col, s = (np.concatenate(c) for c in (rows, cols, scores))
+        ok = s > -np.inf
+        row, col, _ = _best(row[ok], col[ok], s[ok], most)
+        return q_ids[row], self.ids[col], _exact(q, self.x, row, col)
+
+
 def _compare(batches: Iterator[pa.RecordBatch], d: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell and block, index rows first -> each query's best candidates."""
-    key, ids, x, block = None, [], [], None
+    """Rows sorted by group, index rows first -> each query's best candidates."""
+    key, parts, group = None, ([], [], []), None
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    most = k + SPARE
 
     def reduced(final: bool):
         nonlocal held
         if held and (final or sum(len(h[0]) for h in held) > HELD):
-            held = [_best(*(np.concatenate(c) for c in zip(*held, strict=True)), most)]
+            held = [_best(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
             if final or len(held[0][0]) > HELD // 2:
                 (q, v, s), held = held[0], []
                 return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
@@ -159,38 +346,27 @@ def _compare(batches: Iterator[pa.RecordBatch], d: int, k: int) -> Iterator[pa.R
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, cell, b, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 5))
-        own, mat = batch.column(3).to_numpy(), _matrix(batch.column(4), d)
-        change = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1]) | (b[1:] != b[:-1]) | (query[1:] != query[:-1])) + 1
+        b, t, g, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3))
+        own, mat = batch.column(5).to_numpy(), _matrix(batch.column(6), d)
+        bounds = np.concatenate([[0], np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))])
+        flat = batch.column(4).flatten().to_numpy()
+        change = np.flatnonzero((b[1:] != b[:-1]) | (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (query[1:] != query[:-1])) + 1
         for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
-            at = (t[lo], cell[lo], b[lo])
-            if at != key:
-                key, ids, x, block = at, [], [], None
+            if (b[lo], t[lo], g[lo]) != key:
+                key, parts, group = (b[lo], t[lo], g[lo]), ([], [], []), None
             if not query[lo]:
-                ids.append(own[lo:hi])
-                x.append(mat[lo:hi])
-                block = None
+                for to, what in zip(parts, (own[lo:hi], mat[lo:hi], flat[bounds[lo] : bounds[hi]]), strict=True):
+                    to.append(what)
                 continue
-            if not ids:
+            if not parts[0]:
                 continue
-            if block is None:
-                block = np.concatenate(ids), np.concatenate(x)
-            v_ids, v = block
-            for part in range(lo, hi, 512):
-                q_ids, q = own[part : min(hi, part + 512)], mat[part : min(hi, part + 512)]
-                s = q @ v.T
-                s[q_ids[:, None] == v_ids[None, :]] = -np.inf
-                top = np.argpartition(-s, most - 1, axis=1)[:, :most] if s.shape[1] > most else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                row = np.repeat(np.arange(len(q)), top.shape[1])
-                col = top.ravel()
-                ok = s[row, col] > -np.inf
-                row, col = row[ok], col[ok]
-                exact = np.zeros(len(row))
-                for j in range(d):
-                    exact += q[row, j] * v[col, j]
-                held.append((q_ids[row], v_ids[col], exact))
-            if (out := reduced(False)) is not None:
-                yield out
+            group = group or _Group(*parts)
+            for a in range(lo, hi, 1024):
+                z = min(hi, a + 1024)
+                row = np.repeat(np.arange(z - a), np.diff(bounds[a : z + 1]))
+                held.append(group.find(own[a:z], mat[a:z], row, flat[bounds[a] : bounds[z]], k))
+                if (out := reduced(False)) is not None:
+                    yield out
     if (out := reduced(True)) is not None:
         yield out
 
@@ -227,9 +403,7 @@ def _scan(batches: Iterator[pa.RecordBatch], held_queries, d: int, k: int) -> It
                 if once and s.shape[1] > k:  # rows that tie with the last stay
                     least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack[part])
                 row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                exact = np.zeros(len(row))
-                for j in range(d):
-                    exact += q_all[part[row], j] * v[col, j]
+                exact = _exact(q_all[part], v, row, col)
                 ok = exact >= bound[part[row]]
                 held.append((own[part[row[ok]]], v_ids[col[ok]], exact[ok]))
                 size += int(ok.sum())
@@ -245,52 +419,69 @@ def _scan(batches: Iterator[pa.RecordBatch], held_queries, d: int, k: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(x)], names=["query_id", "vec_id", "score"])
 
 
-def _complete(index: DataFrame, queries: DataFrame, found: DataFrame, d: int, k: int) -> DataFrame:
-    """query_id, vec_id, score of all that can be among a query's ``k`` nearest, by comparison with the whole index."""
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query, each vec_id once, with ``rank``; one shuffle by query."""
+    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _missing(index: DataFrame, queries: DataFrame, found: DataFrame, d: int, k: int) -> DataFrame | None:
+    """query_id, vec_id, score from all of the index for the queries that found fewer than ``k``."""
     spark = index.sparkSession
-    last = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
-    asked = queries.join(last.withColumnRenamed("query_id", "id"), "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    n = max(1, -(-queries.count() * d * 8 // QUERY_BYTES))
-    asked = table(asked.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n))), "queries")
-    out = found
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    asked = table(queries.join(full, "id", "left_anti"), "short")
+    size = asked.count() * d * 8
+    n = -(-size // QUERY_BYTES)
+    asked, out = asked.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(max(1, n)))), None
     for b in range(n):
-        rows = asked.where(F.col("b") == b).select("id", "v", "bound").toArrow()
+        rows = asked.where(F.col("b") == b).select("id", "v").toArrow()
         if not rows.num_rows:
             continue
-        held = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks(), d), rows.column(2).to_numpy()))
-        part = index.mapInArrow(lambda x, q=held: _scan(x, q, d, k), "query_id long, vec_id long, score double")
-        out = out.unionByName(part if n == 1 else table(part, "compared"))
+        held = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks(), d), np.full(rows.num_rows, -np.inf)))
+        part = index.select("id", "v").mapInArrow(lambda x, q=held: _scan(x, q, d, k), "query_id long, vec_id long, score double")
+        part = part if n == 1 else table(part, "compared")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` nearest of the rows ``is_query``, or all if there are fewer."""
+def _search(rows: DataFrame, kind: str, d: int, longest: float, k: int, tables: int | None, probes: int | None, hashes: int | None) -> DataFrame:
+    """The neighbours among ``rows`` (id, v, query, norm) of one length."""
+    spark = rows.sparkSession
+    band = F.coalesce(F.least(F.lit(BANDS - 1), F.floor(F.log(F.lit(longest) / F.col("norm")) / F.log(F.lit(RATIO)) + 1e-6)), F.lit(BANDS - 1)).cast("int")
+    same = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    index = rows.select("id", "v", band.alias("band"), "norm").dropDuplicates(["id", "v"]).withColumn("r", same).where(F.col("r") <= k + 1)
+    index = table(index.sortWithinPartitions(F.desc("norm")).select("id", "v", "band"), "index")
+    queries = table(rows.where("query").select("id", "v").distinct(), "asked")
+    bands = _fit(index, queries, queries.count(), d, k, tables, probes, hashes)
+    schema = DEALT.format(kind)
+    dealt = index.mapInArrow(lambda x: _deal_index(x, bands, d), schema).unionByName(queries.mapInArrow(lambda x: _deal_queries(x, bands, d), schema))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "band", "t", "g").sortWithinPartitions("band", "t", "g", "query")
+    found = dealt.mapInArrow(lambda x: _compare(x, d, k), "query_id long, vec_id long, score double")
+    best = table(_ranked(found, k), "found")
+    more = _missing(index, queries, best, d, k)
+    return best if more is None else _ranked(best.drop("rank").unionByName(more), k)
+
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int | None = None, probes: int | None = None, hashes: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of the rows ``is_query``.
+
+    With ``probes`` (and ``tables``, ``hashes``) given there is no fit; with ``hashes`` alone the
+    fit keeps to it, unless ``PROBES`` probes of each table cannot find ``TARGET``.
+    """
     v = F.col("v")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & finite)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest"), F.min(norm).alias("shortest")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.max("norm").alias("longest")).orderBy("d").limit(LENGTHS + 1).collect()
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    out = None
+    for d, longest in sizes:
+        own = _search(rows.where(F.size("v") == d), dict(vectors.dtypes)[vector_col], d, longest, k, tables, probes, hashes)
+        out = own if out is None else out.unionByName(own)
+    if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, longest = sizes["d"], sizes["longest"]
-    even = sizes["shortest"] >= longest * (1 - 1e-6)
-    rows = rows.where(F.size("v") == d)
-    same = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    index = rows.select("id", "v").distinct().withColumn("r", same).where(F.col("r") <= k + 1).select("id", "v")
-    index = table(index.sortWithinPartitions(norm.desc()), "index")
-    queries = table(rows.where("query").select("id", "v").distinct(), "asked")
-    both = index.withColumn("query", F.lit(False)).union(queries.withColumn("query", F.lit(True)))
-    kind = dict(vectors.dtypes)[vector_col]
-    hashed = table(both.mapInArrow(lambda b: _hash(b, d, longest, even, tables, hashes, probes), f"t int, cell long, id long, v {kind}, query boolean"), "hashed")
-    counts = hashed.where("not query").groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = hashed.join(counts, ["t", "cell"])
-    block = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    dealt = dealt.withColumn("b", F.explode(block)).select("t", "cell", "b", "id", "v", "query")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "t", "cell", "b").sortWithinPartitions("t", "cell", "b", "query")
-    found = dealt.mapInArrow(lambda b: _compare(b, d, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    first = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
-    best = _complete(index, queries, table(first.drop("rank"), "found"), d, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

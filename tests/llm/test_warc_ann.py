@@ -4,6 +4,8 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,57 @@ def test_few_rows_give_the_full_count(spark, rows):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = search(spark, x.tolist(), range(rows), k=20, kind="double")
     assert by_query(got, rows) == brute(x, 20)
+
+
+def measured(spark, tmp_path, x, k=20, every=20, **options):
+    """Recall of ``nearest`` against all inner products, and the least number of rows of a query."""
+    x = np.asarray(x, np.float32)
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), path)
+    got = ann.nearest(spark.read.parquet(path), F.col("vec_id") % every == 0, k=k, **options).toPandas()
+    x = x.astype(np.float64)
+    hit = total = 0
+    least = k
+    for q, own in ((q, got[got.query_id == q]) for q in range(0, len(x), every)):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -s))[:k]
+        hit, total, least = hit + len(set(best.tolist()) & set(own.vec_id)), total + len(best), min(least, len(own))
+        assert np.allclose(own.score, s[own.vec_id.to_numpy()], rtol=1e-12)
+    return hit / total, least
+
+
+@pytest.mark.parametrize("shape", ["unit", "unequal norms", "clusters", "pairs of axes"])
+def test_fitted_probes_reach_the_recall(spark, tmp_path, shape):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 32))
+    if shape == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if shape == "unequal norms":
+        x *= rng.lognormal(0, 0.3, size=(2000, 1))
+    if shape == "clusters":
+        x = x[rng.integers(0, 30, 2000)] + 0.3 * x
+    recall, least = measured(spark, tmp_path, x, **({"hashes": 2} if shape == "pairs of axes" else {}))
+    assert recall >= 0.9 and least == 20
+
+
+def test_hot_cells_are_cut_and_short_queries_completed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "WHOLE", 50)
+    monkeypatch.setattr(ann, "GROUP_BYTES", 8 * 16 * 60)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    x[::3] = x[0] + 1e-3 * rng.normal(size=(200, 16))  # a third of all rows in one cell
+    recall, least = measured(spark, tmp_path, x, every=5)
+    assert recall >= 0.9 and least == 20
+    recall, least = measured(spark, tmp_path, x, every=5, probes=1, tables=1)  # hashing leaves most of them short
+    assert least == 20
+
+
+def test_lengths_are_searched_apart(spark):
+    x = [[1.0, 0.0], [0.5, 1.0], [2.0, 2.0, 2.0], [1.0, 1.0, 0.0], [3.0, 0.0], [0.0, 0.0, 1.0], [1.0, 1.0], [1.0], [5.0, 0.0, 0.0]]
+    got = search(spark, x, range(9), k=3)
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 4, 3.0), (0, 6, 1.0), (0, 1, 0.5), (4, 0, 3.0), (4, 6, 3.0), (4, 1, 1.5), (8, 2, 10.0), (8, 3, 5.0), (8, 5, 0.0)]
+    with pytest.raises(ValueError):
+        search(spark, [[1.0] * k for k in range(1, 67)], range(66))
+    clash = spark.createDataFrame([(0, [1.0], "a", 1), (1, [2.0], "b", 2)], "vec_id long, embedding array<float>, score string, rank int")
+    assert [tuple(r) for r in ann.nearest(clash, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2.0)]
