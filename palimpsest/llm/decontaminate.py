@@ -8,13 +8,17 @@ extended: every 13-word window over it is compared with the benchmark's windows,
 by hash and then by its words, and the words of each confirmed window are hits.  Items
 of fewer than 13 words are one window, looked up at their own length.
 
-Each document is handled where it is read: nothing is shuffled, so neither frequent
-passages nor long documents gather in a task.  The benchmark is broadcast in blocks of
-at most ``BLOCK_WORDS`` words; a larger one takes several passes over the documents.
-
-Defined results: a null or empty text has no words and is never contaminated; items
-that are null, without words or without an id take no part; equal items count each;
-repeated documents are judged alike; an empty benchmark hits nothing.
+A benchmark of at most ``BLOCK_WORDS`` words is broadcast, and each document is handled where
+it is read: nothing is shuffled, so neither frequent passages nor long documents gather in a
+task.  A larger one is cut into blocks of that many words.  One pass writes no texts but the
+fingerprints of the documents (of short windows only those that items have), which are joined
+with the benchmark's; then only the texts with a common fingerprint are read again and
+compared with the blocks that they share one with.
+
+Defined results: a null or empty text has no words and is never contaminated; items that are
+null or without words take no part; an id counts once, however many items have it, and items
+without one count together as one more; repeated documents are judged alike; an empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .scratch import table
+from .scratch import new_path, table
 
 KGRAM, WINDOW = 5, 9
 SPAN = KGRAM + WINDOW - 1
 #: Words of benchmark text that are broadcast at once (about 300 bytes each in a worker).
 BLOCK_WORDS = 200_000
+#: Hashes of short items that are broadcast at once, and judged texts that may be.
+SHORT_ITEMS, BROADCAST_TEXTS = 1_000_000, 100_000
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -91,7 +97,7 @@ class Index:
                 if not held or held[-1] != at:
                     held.append(at)
             if size == SPAN:
-                prints.append(K.grams(w.hashes, KGRAM)[winnow(w.hashes, _crossing(w.bounds, n, KGRAM))])
+                prints.append(_prints(w)[1])
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
         self.hashes = {n: np.unique(np.array([h for h, _ in x], np.uint64)) for n, x in self.windows.items()}
 
@@ -102,8 +108,7 @@ class Index:
         for n, known in self.hashes.items():
             crossing = _crossing(w.bounds, total, n)
             if n == SPAN:
-                at = winnow(w.hashes, _crossing(w.bounds, total, KGRAM))
-                g = K.grams(w.hashes, KGRAM)[at] if len(at) else np.zeros(0, np.uint64)
+                at, g = _prints(w)
                 at = at[_member(g, self.prints)]
                 at = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
             else:
@@ -121,6 +126,12 @@ class Index:
                     yield s, n, items
 
 
+def _prints(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the fingerprints of some texts."""
+    at = winnow(w.hashes, _crossing(w.bounds, len(w.hashes), KGRAM))
+    return at, K.grams(w.hashes, KGRAM)[at] if len(at) else np.zeros(0, np.uint64)
+
+
 def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(x), dtype=bool)
@@ -128,7 +139,7 @@ def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index, at: int, kept: list[str], first: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index, at: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
     own: Index = index.value
     for batch in batches:
         data, offs = K.texts(batch.column(at))
@@ -146,15 +157,100 @@ def _scan(batches: Iterator[pa.RecordBatch], index, at: int, kept: list[str], fi
                 else:
                     spans[row].append([s, s + n])
         ids = [list({own.ids[i] for i in x}) for x in items]
-        if not first:  # what earlier blocks found
-            spans = [[*a, *b] for a, b in zip(batch.column("_spans").to_pylist(), spans, strict=True)]
-            ids = [[*a, *b] for a, b in zip(batch.column("_items").to_pylist(), ids, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in kept), pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.string()))],
             names=[*kept, "_words", "_spans", "_items"],
         )
 
 
+# ---- a benchmark of several blocks
+
+
+def _marks(batches: Iterator[pa.RecordBatch], lead: list[str], short: bool) -> Iterator[pa.RecordBatch]:
+    """Items (lead columns, text) -> lead, n, print: fingerprints of items (n = 0), and with
+    ``short`` the hash of items of n < 13 words."""
+    for batch in batches:
+        data, offs = K.texts(batch.column(len(lead)))
+        for lo, hi in K.chunks(offs):
+            w = K.words(data, offs[lo : hi + 1], K.ALNUM)
+            at, g = _prints(w)
+            row, n = np.searchsorted(w.bounds, at, side="right") - 1, np.diff(w.bounds)
+            if short:  # a short item has its whole hash instead
+                keep = n[row] >= SPAN
+                own = np.flatnonzero((n > 0) & (n < SPAN))
+                whole = np.array([K.grams(w.hashes[w.bounds[k] : w.bounds[k + 1]], int(n[k]))[0] for k in own], np.uint64)
+                row, g, size = np.concatenate([row[keep], own]), np.concatenate([g[keep], whole]), np.concatenate([np.zeros(int(keep.sum()), np.int64), n[own]])
+            else:
+                size = np.zeros(len(row), np.int64)
+            order = np.lexsort((g, row))
+            row, g, size = row[order], g[order], size[order]
+            once = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])])) if len(row) else np.zeros(0, np.int64)
+            take = pa.array(lo + row[once])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(lead))), pa.array(size[once].astype(np.int32)), pa.array(g[once].view(np.int64))], names=[*lead, "n", "print"])
+
+
+def _shorts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """k, text -> k, n, print: the windows of n < 13 words that are hashes of items."""
+    hashes: dict[int, np.ndarray] = known.value
+    for batch in batches:
+        data, offs = K.texts(batch.column(1))
+        for lo, hi in K.chunks(offs):
+            w = K.words(data, offs[lo : hi + 1], K.ALNUM)
+            for n, own in hashes.items():
+                g = K.grams(w.hashes, n)
+                at = np.flatnonzero(_member(g, own))
+                at = at[~_crossing(w.bounds, len(w.hashes), n)[at]]
+                row = np.searchsorted(w.bounds, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), pa.array(np.full(len(at), n, np.int32)), pa.array(g[at].view(np.int64))], names=["k", "n", "print"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """kept, _k, text -> kept, _k, _words."""
+    for batch in batches:
+        data, offs = K.texts(batch.column("_text"))
+        n = np.concatenate([np.diff(K.words(data, offs[lo : hi + 1], K.ALNUM).bounds) for lo, hi in K.chunks(offs)] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), batch.column("_k"), pa.array(n.astype(np.int64))], names=[*kept, "_k", "_words"])
+
+
+_KEY = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_FOUND = [T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType()))]
+
+
+def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``docs`` (which has ``_text``) with _words, _spans and _items."""
+    spark = docs.sparkSession
+    items = table(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")), "benchmark")
+    marks = table(items.select("block", "t").mapInArrow(lambda x: _marks(x, ["block"], True), "block int, n int, print long").distinct(), "marks")
+    key = F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), "_text").alias("b"))
+    texts = docs.where("_text <> ''").select(key.alias("k"), "_text")
+    schema = f"k {_KEY.simpleString()}, n int, print long"
+    prints = texts.mapInArrow(lambda x: _marks(x, ["k"], False), f"k {_KEY.simpleString()}, n int, print long")
+    short = marks.where("n > 0").select("n", "print").distinct()
+    parts = -(-short.count() // SHORT_ITEMS)
+    for p in range(parts):
+        known: dict[int, list[int]] = {}
+        for n, h in short.where(F.pmod(F.xxhash64("n", "print"), F.lit(parts)) == p).toLocalIterator():
+            known.setdefault(n, []).append(h)
+        held = spark.sparkContext.broadcast({n: np.sort(np.array(h, np.int64).view(np.uint64)) for n, h in known.items()})
+        prints = prints.unionByName(texts.mapInArrow(lambda x, h=held: _shorts(x, h), schema))
+    shared = prints.join(marks, ["n", "print"]).select("k", "block").distinct()
+    path = new_path(spark, "shared")
+    texts.join(shared, "k").dropDuplicates(["k", "block"]).write.partitionBy("block").parquet(path)
+    shared = spark.read.schema(T.StructType([*texts.schema.fields, T.StructField("block", T.IntegerType())])).parquet(path)
+    found, judged = new_path(spark, "judged"), T.StructType([T.StructField("k", _KEY), T.StructField("_words", T.LongType()), *_FOUND])
+    spark.createDataFrame([], judged).write.parquet(found)
+    for b in range(blocks):
+        own = [tuple(x) for x in items.where(F.col("block") == b).select("i", "t").orderBy("i", "t").collect()]
+        index = spark.sparkContext.broadcast(Index(own))
+        shared.where(F.col("block") == b).select("k", "_text").mapInArrow(lambda x, i=index: _scan(x, i, 1, ["k"]), judged).where(F.size("_spans") > 0).write.mode("append").parquet(found)
+    hits = spark.read.schema(judged).parquet(found).groupBy(F.col("k").alias("_of")).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_spans", "_items")))
+    hits = table(hits, "hits")
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_TEXTS else hits
+    base = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_k", _KEY), T.StructField("_words", T.LongType())])
+    out = docs.select(*(f"`{c}`" for c in kept), key.alias("_k"), "_text").mapInArrow(lambda x: _counted(x, kept), base).join(hits, F.col("_k") == F.col("_of"), "left")
+    return out.select(*(f"`{c}`" for c in kept), "_words", *(F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) for f in _FOUND))
+
+
 def _merged(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -182,19 +278,6 @@ def _finish(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.R
         )
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """The benchmark in lists of items that fit a broadcast, each fetched when its turn comes."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // (2 * block_words)))  # a word and its separator take two characters at least
-    if n == 1:
-        yield [tuple(x) for x in rows.orderBy("i", "t").collect()]
-        return
-    dealt = table(rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n))), "benchmark")
-    for b in range(n):
-        yield [tuple(x) for x in dealt.where(F.col("b") == b).select("i", "t").orderBy("i", "t").collect()]
-
-
 def mark_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -215,21 +298,17 @@ def mark_contamination(
     """
     result = ["n_words", "n_hit", "hit_spans", "item_ids", "items_sha256", "contaminated", "_words", "_spans", "_items"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in result]
-    spark, out, first = docs.sparkSession, docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("_text")), True
+    out = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("_text"))
     base = T.StructType([docs.schema[c] for c in kept])
-    found = [T.StructField("_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType()))]
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    held = next(blocks)
-    while held is not None:
-        coming = next(blocks, None)
-        index, more = spark.sparkContext.broadcast(Index(held)), coming is not None
-        names = [*kept, *(["_text"] if more else [])]
-        schema = T.StructType([*base.fields, *([T.StructField("_text", T.StringType())] if more else []), *found])
-        at = out.columns.index("_text")
-        out = out.mapInArrow(lambda x, i=index, a=at, k=names, f=first: _scan(x, i, a, k, f), schema)
-        if more:
-            out = table(out, "decontaminated")
-        held, first = coming, False
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
+    total = items.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // (2 * block_words)))  # a word and its separator take two characters at least
+    if blocks == 1:
+        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(x) for x in items.orderBy("i", "t").collect()]))
+        schema = T.StructType([*base.fields, T.StructField("_words", T.LongType()), *_FOUND])
+        out = out.mapInArrow(lambda x: _scan(x, index, len(kept), kept), schema)
+    else:
+        out = _in_blocks(out, items, blocks, kept)
     schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType())])
     out = out.mapInArrow(lambda x, k=kept: _finish(x, k), schema)
     part = Fraction(str(share)).limit_denominator(10**17)  # as it is written

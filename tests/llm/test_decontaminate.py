@@ -82,3 +82,30 @@ def test_items_without_ids_and_exact_shares(spark):
     for share, over in ((0.7, False), (0.6, True), (0.61, False), (0.5, True)):  # three of five words
         assert decontaminate.mark_contamination(rows, bench, share=share).where("doc_id = 1").first().contaminated == over
     assert decontaminate.mark_contamination(rows, bench, share=0.7).where("doc_id = 2").first().contaminated
+
+
+def test_large_benchmarks_with_repeated_ids_and_odd_rows(spark):
+    rng = random.Random(8)
+    items = [(k % 40, prose(rng, rng.choice([1, 4, 12, 13, 30]), 3000)) for k in range(120)] + [(None, "lonely words of no item"), (None, None), (7, ""), (8, "twice twice twice"), (8, "twice twice twice")]
+    long = prose(rng, 200_000, 10**9)
+    rows = [(k, " ".join([prose(rng, 40, 3000), rng.choice(items)[1] or "", prose(rng, 30, 3000)])) for k in range(80)]
+    rows += [(None, items[3][1]), (1, items[3][1]), (900, f"{long} {items[4][1]}"), (901, "lonely words of no item"), (902, None), (903, "twice twice twice twice")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "item_ids", "items_sha256", "contaminated"]
+    once = decontaminate.mark_contamination(docs(spark, rows), bench, keep=["doc_id"]).select(*columns).collect()
+    blocks = decontaminate.mark_contamination(docs(spark, rows), bench, keep=["doc_id"], block_words=500).select(*columns).collect()
+    key = lambda r: str(tuple(r))
+    assert sorted(once, key=key) == sorted(blocks, key=key)
+    known = [(i, t) for i, t in items if i is not None]
+    got = {r.doc_id: r for r in once if r.doc_id is not None and r.doc_id >= 900}
+    want = {r[0]: r for r in brute([r for r in rows if r[0] is not None and r[0] >= 900 and r[0] != 901], known)}
+    assert all((r.n_words, r.n_hit, r.item_ids, r.items_sha256, r.contaminated) == want[i][1:] for i, r in got.items() if i != 901)
+    assert (got[901].n_hit, got[901].item_ids) == (5, [None]) and got[903].item_ids == ["8"]
+
+
+def test_columns_of_any_name_stay(spark):
+    d = docs(spark, [(1, "a b c"), (2, None)]).withColumnRenamed("lang", "_text2").withColumnRenamed("source", "k")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for size in (100_000, 1):
+        got = decontaminate.mark_contamination(d, bench, block_words=size).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.k, r.n_words, r.n_hit) for r in got] == [(1, "s", 3, 3), (2, "s", 0, 0)]
