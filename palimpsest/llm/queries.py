@@ -68,7 +68,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["name"].isin(*secrets.BASE))
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["name"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *(count(k) for k in secrets.BASE), F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("secret_spans")).alias("spans"))
+    return out.select("doc_id", *(count(k) for k in secrets.BASE), F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("secret_spans")).alias("spans"), secrets.link_digest(F.col("secret_links")).alias("links"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,10 @@ def _op8_sql() -> str:
         each.append(f"SELECT doc_id, {k} AS kind, '{name}' AS name, unnest(list_zip(regexp_split_to_array(t, '{quoted(pattern)}')[:-2], regexp_extract_all(t, '{quoted(pattern)}'))) AS z, generate_subscripts(regexp_extract_all(t, '{quoted(pattern)}'), 1) AS i FROM d")
         if full:
             fits.append(f"(kind <> {k} OR regexp_matches(z[2], '{quoted(full)}'))")
-    near = lambda a, kinds: f"EXISTS (SELECT 1 FROM p q WHERE q.doc_id = {a}.doc_id AND q.name IN {kinds} AND {a}.start BETWEEN q.start - {secrets.REACH} AND q.stop + {secrets.REACH})"
+    within = lambda a, b: f"{b}.doc_id = {a}.doc_id AND {a}.start <= {b}.stop + {secrets.REACH} AND {a}.stop >= {b}.start - {secrets.REACH}"
+    near = lambda a, kinds: f"EXISTS (SELECT 1 FROM p q WHERE {within(a, 'q')} AND q.name IN {kinds})"
+    closest = lambda b: f"row_number() OVER (PARTITION BY a.doc_id, a.start, a.kind ORDER BY greatest(0, {b}.start - a.stop, a.start - {b}.stop), {b}.start, {b}.kind) = 1"
+    span = lambda a: f"{a}.name || ':' || {a}.start || ':' || {a}.stop"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     m AS ({' UNION ALL '.join(each)}),
@@ -131,8 +134,12 @@ def _op8_sql() -> str:
           WHERE {' AND '.join(fits)} AND (name <> 'secret' OR (regexp_matches(z[2], '[A-Z]') AND regexp_matches(z[2], '[a-z]') AND regexp_matches(z[2], '[0-9]')))),
     r AS (SELECT * FROM p WHERE name IN {secrets.BASE} OR (name = 'secret' AND {near('p', secrets.IDS)}) OR (name = 'id' AND {near('p', secrets.SECRETS)}) OR (name = 'endpoint' AND {near('p', secrets.IDS)} AND {near('p', secrets.SECRETS)})),
     g AS (SELECT doc_id, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
-          string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM r GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+          string_agg({span('r')}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg({span('r')}, ',' ORDER BY start, kind) AS spans FROM r GROUP BY doc_id),
+    i AS (SELECT a.*, {span('b')} AS own FROM p a JOIN p b ON {within('a', 'b')} WHERE a.name IN {secrets.SECRETS} AND b.name IN {secrets.IDS} QUALIFY {closest('b')}),
+    e AS (SELECT a.*, {span('b')} AS own FROM p a JOIN r b ON {within('a', 'b')} WHERE a.name IN {secrets.SECRETS} AND b.name = 'endpoint' QUALIFY {closest('b')}),
+    l AS (SELECT i.doc_id, string_agg({span('i')} || '+' || i.own || coalesce('+' || e.own, ''), ',' ORDER BY i.start, i.kind) AS links FROM i LEFT JOIN e USING (doc_id, start, kind) GROUP BY i.doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
+    FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)
     """
 
 
