@@ -8,14 +8,18 @@ key.  From there on:
 1. Documents with equal sets become one node, by a digest of the set.
 2. Nodes that share a band key are candidates.  A bucket is not expanded into pairs:
    its nodes are compared with one hub, then (where parts of it are still apart) with
-   another, and what is apart then is compared across the parts, in blocks of texts.
+   another, and what is apart then is compared across the parts, in blocks: first by
+   their signatures, then, for nodes whose signature is near another's, by their texts.
 3. A candidate pair is kept if its sizes allow the similarity and the estimate from its
    signatures (equal lanes, corrected for chance) is within ``SIGMAS`` of it, and is
    confirmed on the full sets of both texts.
 4. Confirmed links are joined into components round by round.
 
 With 24 bands of 4 rows a pair at a similarity of 0.85 has no band in common with a
-probability of 2e-8, one at 0.8 with 3e-6.
+probability of 2e-8, one at 0.8 with 3e-6.  Signatures turn a pair away with less than 1e-9.
+
+Copies of a set that has very many are joined by a broadcast of such sets, of which there are
+at most ``HOT_SETS``, so that none gathers in a task.
 
 Defined results: a null or empty text, and one without words, has no shingles and is
 linked with nothing.  A text of fewer words than a shingle is one shingle.  Rows of one
@@ -42,9 +46,12 @@ HASHES = ROWS * BANDS
 BITS = 4
 LANES = 64 // BITS
 LONGS = HASHES // LANES
-SIGMAS = 4.5
-#: Nodes, and their shingles, of a bucket in a block of the last, exhaustive comparison.
+SIGMAS = 7.0
+#: Nodes of a bucket in a block of the last, exhaustive comparison, and shingles of them in a
+#: block when texts are compared.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Sets with so many copies, and more than all rows over ``HOT_SETS``, are joined by broadcast.
+HOT_COPIES, HOT_SETS = 1_000, 100_000
 #: Shared shingles that are counted at once in that comparison.
 COLUMNS = 4096
 #: Ids that may be broadcast to filter texts; more are joined.
@@ -150,58 +157,106 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (band, i, j, own, node, comp, bands, text), sorted -> links across components."""
-
-    def links(band: int, same: bool, rows: list) -> list[tuple]:
-        first = rows[0][0]
-        left = [r for r in rows if same or r[0] == first]
-        right = rows if same else [r for r in rows if r[0] != first]
-        if not left or not right:
-            return []
-        sets = lambda side: [shingle_sets(K.words(*K.texts(pa.array([r[4]])), K.SPACED), size)[0] for r in side]
-        keys = [np.array([r[3] for r in side], np.int64) for side in (left, right)]
-        found = [sets(left), sets(right)]
-        n = [np.array([len(x) for x in own]) for own in found]
-        comps = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
-        comp = [np.array([comps[r[2]] for r in side]) for side in (left, right)]
-        low, high = np.minimum(n[0][:, None], n[1]), np.maximum(n[0][:, None], n[1])
-        near = (comp[0][:, None] != comp[1]) & (100 * low >= percent * high)
-        place = int(np.flatnonzero(keys[0][0] == band)[0])
-        for k in range(place):  # pairs that share an earlier band are compared there
-            near &= keys[0][:, k, None] != keys[1][:, k]
-        if same:
-            near &= np.arange(len(left))[:, None] < np.arange(len(right))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each (band, i, j), of batches sorted by them."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in range(3)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+            at = tuple(int(c[lo]) for c in cols)
+            if at != key:
+                if parts:
+                    yield pa.concat_batches(parts)
+                key, parts = at, []
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield pa.concat_batches(parts)
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1).view(np.uint64)
+
+
+def _near(rows: pa.RecordBatch, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, near): places of the two sides of a block, and which pairs sizes and
+    signatures allow, across components and without an earlier band in common."""
+    band, i, j = (int(rows.column(k)[0].as_py()) for k in range(3))
+    own = rows.column(3).to_numpy()
+    left = np.arange(len(own)) if i == j else np.flatnonzero(own == i)
+    right = np.arange(len(own)) if i == j else np.flatnonzero(own == j)
+    comp = rows.column(5).dictionary_encode().indices.to_numpy()
+    n, bands, sig = rows.column(6).to_numpy(), _longs(rows.column(7)), _longs(rows.column(8))
+    low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    near = (comp[left][:, None] != comp[right]) & (100 * low >= percent * high)
+    if i == j:
+        near &= left[:, None] < right
+    if not near.any():
+        return left, right, near
+    place = int(np.flatnonzero(bands[0] == np.int64(band).view(np.uint64))[0])
+    for k in range(place):  # pairs that share an earlier band are compared there
+        near &= bands[left][:, None, k] != bands[right][:, k]
+    apart = np.zeros(near.shape, np.int64)
+    for k in range(sig.shape[1]):
+        x = sig[left][:, None, k] ^ sig[right][:, k]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        apart += np.bitwise_count(x & np.uint64(0x1111111111111111))
+    near &= HASHES - apart >= least
+    return left, right, near
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, own, node, comp, n, bands, sig) of blocks -> those that signatures put near another."""
+    for rows in _blocks(batches):
+        left, right, near = _near(rows, percent, least)
+        keep = np.zeros(rows.num_rows, dtype=bool)
+        keep[left[near.any(1)]] = True
+        keep[right[near.any(0)]] = True
+        if keep.any():
+            yield rows.filter(pa.array(keep))
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch], size: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_alike` with their texts -> links across components."""
+    for rows in _blocks(batches):
+        left, right, near = _near(rows, percent, least)
         if not near.any():
-            return []
-        both = _shared(*found)
-        near &= 100 * both >= percent * (n[0][:, None] + n[1] - both)
-        out, root = [], list(range(len(comps)))
+            continue
+        sets = [shingle_sets(K.words(*K.texts(rows.column(9).slice(k, 1)), K.SPACED), size)[0] for k in range(rows.num_rows)]
+        n = rows.column(6).to_numpy()
+        for a in _pieces(n[left]):
+            for b in _pieces(n[right]):
+                own = near[a, b]
+                if own.any():
+                    both = _shared([sets[k] for k in left[a]], [sets[k] for k in right[b]])
+                    own &= 100 * both >= percent * (n[left[a]][:, None] + n[right[b]] - both)
+        comp = rows.column(5).dictionary_encode().indices.to_numpy()
+        found, root = [], list(range(int(comp.max()) + 1))
         for x, y in zip(*np.nonzero(near), strict=True):
-            p, q = int(comp[0][x]), int(comp[1][y])
+            p, q = int(comp[left[x]]), int(comp[right[y]])
             while root[p] != p:
                 p = root[p]
             while root[q] != q:
                 q = root[q]
-            if p != q:
+            if p != q:  # at most a link for each row
                 root[p] = q
-                out.append((left[x][1], right[y][1]))
-        return out
+                found.append((int(left[x]), int(right[y])))
+        node = rows.column(4)
+        yield pa.RecordBatch.from_arrays([node.take(pa.array([x[c] for x in found], pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    key, rows = None, []
-    for batch in batches:
-        found = []
-        for band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (band, i, j) != key:
-                if len(rows) > 1:
-                    found += links(key[0], key[1] == key[2], rows)
-                key, rows = (band, i, j), []
-            rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], batch.column(4).type) for c in (0, 1)], names=["a", "b"])
-        kind = batch.column(4).type
-    if len(rows) > 1:
-        found = links(key[0], key[1] == key[2], rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c in (0, 1)], names=["a", "b"])
+
+def _pieces(n: np.ndarray) -> list[slice]:
+    """Slices of at most ``BLOCK_SHINGLES`` shingles, or of one row."""
+    out, start, total = [], 0, 0
+    for k, x in enumerate(n.tolist()):
+        if k > start and total + x > BLOCK_SHINGLES:
+            out.append(slice(start, k))
+            start, total = k, 0
+        total += x
+    return [*out, slice(start, len(n))]
 
 
 def _equal_lanes(a: str, b: str) -> Column:
@@ -229,9 +284,13 @@ class _Graph:
         kind = dict(docs.dtypes)["doc_id"]
         schema = f"doc_id {kind}, n long, s1 long, s2 long, bands array<bigint>, sig array<bigint>"
         self.rows = table(docs.mapInArrow(lambda x, s=size: _sketch(x, s), schema), "sketches")
-        sets = self.rows.where("n > 0 and doc_id is not null")
-        self.nodes = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-        self.member = table(sets.select("doc_id", "n", "s1", "s2").join(self.nodes, ["n", "s1", "s2"]).select("doc_id", "n", "node"), "members")
+        sets = self.rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
+        nodes = table(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
+        total = nodes.agg(F.sum("copies")).first()[0] or 0
+        many = F.col("copies") > max(HOT_COPIES, total // HOT_SETS)
+        hot = F.broadcast(nodes.where(many).drop("copies"))
+        rare = sets.join(hot, ["n", "s1", "s2"], "left_anti").join(nodes.where(~many), ["n", "s1", "s2"])
+        self.member = table(rare.select("doc_id", "n", "node").unionByName(sets.join(hot, ["n", "s1", "s2"]).select("doc_id", "n", "node")), "members")
         self.links_kind = kind
 
     def run(self) -> DataFrame:
@@ -250,7 +309,10 @@ class _Graph:
         twice = self.member.where("doc_id <> node").join(self.member.where("doc_id = node").select(F.col("node").alias("own")).distinct(), F.col("doc_id") == F.col("own"), "left_semi")
         links = self._confirmed(self.shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).union(twice.select("doc_id", "node"))
         labels = table(components(links), "components")
-        more = self._confirmed(self._across(labels, 1))
+        pairs = self._again(labels)
+        if pairs is None:
+            return labels
+        more = self._confirmed(pairs)
         labels = labels if more.isEmpty() else self._joined(labels, more)
         more = self._exhausted(labels)
         return labels if more is None or more.isEmpty() else self._joined(labels, more)
@@ -269,36 +331,52 @@ class _Graph:
         found = labels.select(F.col("node").alias("_of"), F.col("comp").alias("_is"))
         return df.join(found, F.col(column) == F.col("_of"), "left").withColumn("comp", F.coalesce("_is", F.col(column))).drop("_of", "_is")
 
-    def _across(self, labels: DataFrame, salt: int | None) -> DataFrame | None:
-        """Candidates in different components, with another hub of each bucket; without a
-        salt the rows (band, node, comp) of the buckets that are still apart, or None."""
+    def _bands(self, bands: DataFrame) -> DataFrame | None:
+        """A written table with a row for each band, to be broadcast if it is small; None without rows."""
+        bands = table(bands, "bands")
+        n = bands.count()
+        return None if not n else F.broadcast(bands) if n <= BROADCAST_IDS else bands
+
+    def _again(self, labels: DataFrame) -> DataFrame | None:
+        """Candidates in different components, with another hub of each bucket that is still apart."""
         rows = self._labelled(self.shared.select("node", "band"), labels, "node")
-        apart = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64(F.lit(salt or 0), "band", "node")).alias("hub")).where("low <> high and size > 2").drop("low", "high")
-        rows = table(rows.join(apart, "band"), "apart")
-        if salt is not None:
-            pairs = self._labelled(rows.where("node <> hub").withColumnRenamed("comp", "c"), labels, "hub").where("c <> comp")
-            return pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        return None if rows.isEmpty() else rows
+        hub = F.min_by("node", F.xxhash64(F.lit(1), "band", "node")).alias("hub")
+        apart = self._bands(rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), hub).where("low <> high and size > 2").select("band", "hub"))
+        if apart is None:
+            return None
+        pairs = self._labelled(rows.join(apart, "band").where("node <> hub").withColumnRenamed("comp", "c"), labels, "hub").where("c <> comp")
+        return pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
     def _exhausted(self, labels: DataFrame) -> DataFrame | None:
         """Links across components from all pairs of each bucket that are still apart.
 
-        A bucket's texts are cut into blocks, and a task holds two of them: each text is
-        sent once for each block of its bucket, not for each pair, and what comes back is
-        at most a link for each text.
+        The nodes of a bucket's largest component, which need no comparison with one another,
+        and the rest of it are cut into blocks, and a task holds two of them, one at least of
+        the rest: a signature is sent once for each block that it is compared with, not for
+        each pair.  Texts follow for the nodes that are near another by size and signature,
+        and what comes back is at most a link for each of them.
         """
-        rows = self._across(labels, None)
-        if rows is None:
+        rows = self._labelled(self.shared.select("node", "band"), labels, "node")
+        each = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+        top = F.max(F.struct("size", "comp")).alias("top")
+        apart = each.groupBy("band").agg(top, F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and size > 2")
+        part = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+        apart = self._bands(apart.select("band", F.col("top.comp").alias("major"), part(F.col("size") - F.col("top.size")).alias("rest"), part(F.col("top.size")).alias("most")))
+        if apart is None:
             return None
-        full = rows.join(self.reps.select("node", "n", "bands"), "node")
-        size = full.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        full = full.drop("n").join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        pairs = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")
-        full = full.withColumn("p", F.explode(pairs)).select("band", "p.i", "p.j", "own", "node", "comp", "bands").join(self.texts, "node")
+        full = rows.join(apart, "band").withColumn("in_most", F.col("comp") == F.col("major"))
+        own = F.when(F.col("in_most"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+        pairs = F.expr("transform(sequence(0, if(in_most, rest, rest + most) - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")
+        columns = ["band", "i", "j", "own", "node", "comp", "n", "bands", "sig"]
+        full = full.withColumn("own", own).withColumn("p", F.explode(pairs)).select("band", "p.i", "p.j", "own", "node", "comp").join(self.reps.select("node", "n", "bands", "sig"), "node").select(*columns)
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = full.select("band", "i", "j", "own", "node", "comp", "bands", "text").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "own")
-        size, percent = self.size, self.percent
-        return table(dealt.mapInArrow(lambda x: _all_pairs(x, size, percent), f"a {self.links_kind}, b {self.links_kind}"), "confirmed")
+        dealt = lambda df: df.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+        size, percent, least, kind = self.size, self.percent, least_lanes(self.percent), self.links_kind
+        alike = table(dealt(full).mapInArrow(lambda x: _alike(x, percent, least), full.schema), "alike")
+        if alike.isEmpty():
+            return None
+        with_texts = dealt(alike.join(self.texts, "node").select(*columns, "text"))
+        return table(with_texts.mapInArrow(lambda x: _all_pairs(x, size, percent, least), f"a {kind}, b {kind}"), "confirmed")
 
     def _possible(self, n: str, m: str) -> Column:
         return (100 * F.least(n, m)) >= (self.percent * F.greatest(n, m))
@@ -328,8 +406,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the least doc_id.  Of rows
-    that share a doc_id all stay or go; rows without one stay."""
-    judged = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = judged.where(~F.col("kept")).where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """``docs`` with exactly one row of each component: that with the least id (a row without one
+    comes last), the first of equal ones.
+
+    Rows are numbered in a written table, so rows that share an id, or have none, are documents of
+    their own; rows without words are linked with nothing and stay.
+    """
+    columns = docs.columns
+    number = "_row"
+    while number in columns:
+        number += "_"
+    rows = table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    graph = _Graph(rows.select(F.col(number).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), shingle, percent)
+    found = _Graph._labelled(graph.member, graph.run(), "node").select("doc_id", "comp")
+    ids = rows.select(F.col(number).alias("doc_id"), F.col(f"`{id_col}`").alias("id"))
+    found = found.join(ids, "doc_id").withColumn("order", F.struct(F.col("id").isNull(), "id", "doc_id"))
+    stay = found.groupBy("comp").agg(F.min("order").getField("doc_id").alias("_stay")).select("_stay")
+    gone = found.join(stay, F.col("doc_id") == F.col("_stay"), "left_anti").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, F.col(number) == F.col("_gone"), "left_anti").select(*(f"`{c}`" for c in columns))

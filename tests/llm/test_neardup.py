@@ -63,10 +63,27 @@ def test_one_id_with_two_texts_joins_their_groups(spark):
 
 
 def test_deduplicate_keeps_columns(spark):
-    rows = docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (5, None)])
+    rows = docs(spark, [(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None), (6, ""), (None, "g h"), (None, "g h"), (7, "x y z"), (7, "other words here")])
     got = neardup.deduplicate(rows)
     assert got.columns == rows.columns
-    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 5]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "g h"), (1, "a b c d e f"), (5, ""), (6, ""), (7, "other words here"), (7, "x y z")]
+    odd = rows.withColumnRenamed("lang", "_row").withColumnRenamed("source", "comp").withColumnRenamed("n_chars", "node")
+    assert neardup.deduplicate(odd).columns == odd.columns and neardup.deduplicate(odd).count() == 6
+    assert neardup.deduplicate(rows.limit(0)).count() == 0
+
+
+def test_many_copies_of_a_set_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_COPIES", 3)
+    rows = corpus() + [(1000 + k, "the same words again and again") for k in range(50)]
+    got = neardup.near_duplicates(docs(spark, rows), shingle=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows, 3, 85)
+
+
+def test_string_ids(spark):
+    rows = corpus()
+    named = spark.createDataFrame([(f"d{i:05d}", t) for i, t in rows], "doc_id string, text string")
+    want = {f"d{i:05d}": f"d{c:05d}" for i, c in components(rows, 3, 85).items()}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(named, shingle=3, percent=85).collect()} == want
 
 
 def test_estimate_is_near_the_similarity():
