@@ -15,7 +15,7 @@ Files are opened through Arrow's filesystems (local, HDFS, S3, GCS, Azure) by th
 of the path.
 
 Defined results: a null payload is an empty one; null headers are not written and read as
-null; line ends in header values become blanks.  A record cut off at the end of a file, or
+null; line ends in header values become blanks, but for ids, which are percent-encoded.  A record cut off at the end of a file, or
 a malformed one, raises ``ValueError`` with the file's name.
 """
 
@@ -49,9 +49,11 @@ HEADERS = {
 SCHEMA = ", ".join(f"{c} {'long' if c == 'payload_length' else 'string'}" for c in HEADERS) + ", payload binary"
 VERSION = b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SPLIT_BYTES, FILE_BYTES = 128 << 20, 1 << 30
+SPLIT_BYTES, FILE_BYTES = 32 << 20, 128 << 20
 #: Digests of repeated payloads that may be broadcast; more are joined.
 BROADCAST_DIGESTS = 500_000
+#: Bytes of the longest member that can tell its length.
+MOST_SKIPPED = 2**32 - 1
 #: Bytes of payload in a batch.
 BATCH_BYTES = 16 << 20
 
@@ -88,11 +90,13 @@ def encode(columns: dict, payload: bytes | None) -> bytes:
 
 
 def member(record: bytes, level: int = 1) -> bytes:
-    """A gzip member that tells its own length, compressed and not."""
+    """A gzip member that tells its own length, compressed and not, unless they are too long for that."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
     size = 12 + 12 + len(body) + 8
-    extra = struct.pack("<2sHII", b"sl", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    if max(size, len(record)) > MOST_SKIPPED:
+        return b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff" + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    extra = struct.pack("<2sHII", b"sl", 8, size, len(record))
     return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -356,10 +360,15 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows = rows.withColumns({"digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
     heads = rows.where(F.col("payload_length") >= least).groupBy("digest", "payload_length").agg(F.max("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = table(heads.select(F.col("digest").alias("d"), F.col("payload_length").alias("l"), "head"), "payloads")
-    heads = F.broadcast(heads) if heads.count() <= BROADCAST_DIGESTS else heads
-    found = rows.join(heads, (F.col("digest") == F.col("d")) & (F.col("payload_length") == F.col("l")), "left")
+    same = (F.col("digest") == F.col("d")) & (F.col("payload_length") == F.col("l"))
+    if heads.count() <= BROADCAST_DIGESTS:
+        found = rows.join(F.broadcast(heads), same, "left")
+    else:  # payloads do not meet by digest, which can be hot, but by page
+        own = rows.select("id", "digest", "payload_length").join(heads, same).where(~F.col("id").eqNullSafe(F.col("head")))
+        own = own.select(F.col("id").alias("i"), F.col("digest").alias("d"), "head").distinct()
+        found = rows.join(own, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
     revisit = F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))
-    urn = lambda c: F.concat(F.lit("<urn:row:"), c.cast("string"), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:row:"), F.url_encode(c.cast("string")), F.lit(">"))
     found.select(
         urn(F.col("id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
         F.when(revisit, urn(F.col("head"))).alias("refers_to"), "payload_length", F.when(~revisit, F.col("payload")).alias("payload"),
@@ -375,7 +384,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = new_path(spark, "warc")
     write_pages(pages, path, id_col, url_col, html_col, least)
     got = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
-    number = lambda c: F.regexp_extract(c, "^<urn:row:(.*)>$", 1)
+    number = lambda c: F.url_decode(F.regexp_extract(c, "^<urn:row:(.*)>$", 1))
     full = F.col("record_type") == "response"
     return got.select(
         number("record_id").try_cast(dict(pages.dtypes)[id_col]).alias("page_id"),

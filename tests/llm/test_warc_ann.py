@@ -72,6 +72,24 @@ def test_members_without_lengths_and_bad_files():
         read(b"nonsense\r\n")
 
 
+def test_odd_ids_clashing_columns_and_empty_tables(spark, monkeypatch):
+    odd = spark.createDataFrame([("a\r\nb>", "u", "x" * 1500, 1), ("ü %20+", "u", "x" * 1500, 2), (None, "u", "small", 3)], "page_id string, url string, html string, digest int").withColumn("payload", F.lit("own")).withColumn("head", F.lit(1))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(odd).collect()}
+    assert got == {"ü %20+": (1500, "response", None), "a\r\nb>": (1500, "revisit", "ü %20+"), None: (5, "response", None)}
+    assert warc.round_trip(odd.limit(0)).count() == 0
+    df = spark.createDataFrame(pages(), PAGES)
+    want = sorted(map(str, warc.round_trip(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    assert sorted(map(str, warc.round_trip(df).collect())) == want
+
+
+def test_a_member_too_long_to_tell_its_length_is_inflated(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_SKIPPED", 500)
+    records = [warc.encode({"record_id": f"<{k}>", "record_type": "response"}, bytes(range(256)) * n) for k, n in enumerate([0, 9, 0, 20])]
+    got = warc.records(io.BytesIO(b"".join(warc.member(r) for r in records)), lambda c: True, False)
+    assert [c["record_id"] for c, _ in got] == ["<0>", "<1>", "<2>", "<3>"]
+
+
 def search(spark, x, ids, k=5, kind="float", **options):
     df = spark.createDataFrame(list(zip(ids, x, strict=True)), f"vec_id long, embedding array<{kind}>")
     return ann.nearest(df, F.col("vec_id") % 4 == 0, k=k, **options).orderBy("query_id", "rank").collect()
