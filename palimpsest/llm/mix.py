@@ -80,22 +80,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
 
 
 class Mix:
-    """The schedule of a mix and its documents' places; :meth:`pieces` joins the two."""
+    """The schedule of a mix and its documents' places; :meth:`pieces` joins the two.
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = 0, carry: tuple[str, ...] = ()):
+    ``order`` names the columns whose hash puts documents in order; rows that are equal in
+    them are interchangeable."""
+
+    def __init__(self, docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = 0, order: tuple[str, ...] | None = None):
         spark, self.block, self.repeats = docs.sparkSession, block, repeats
-        rows = docs.select(
-            F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("h"),
-            *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc")] if carry else []),
-        )
-        rows = rows if carry else table(rows, "sizes")  # the texts are read once, unless they go along
+        self.hash = F.xxhash64(F.lit(seed), *(_hashable(docs, c) for c in order or (id_col, source_col, text_col)))
+        rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"), self.hash.alias("h"))
+        rows = table(rows, "sizes")  # the texts are read once
         sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
         held = source_targets(sizes, weights, repeats)
         before = F.sum("target").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
         held = table(held.withColumn("before", F.coalesce(before, F.lit(0.0))), "targets")
         n, words, last = held.agg(F.count(F.lit(1)), F.sum("size"), F.max(F.when(F.col("target") > 0, F.col("ord")))).first()
         self.words, self.n_slots, self.small = words or 0, -(-(words or 0) // block), n <= BROADCAST_SOURCES
+        if self.n_slots >= 2**BITS:
+            raise ValueError(f"a mix has fewer than 2**{BITS} slots; take larger blocks than {block} words")
         scale = 2.0**BITS / max(1, self.words)
         low = F.when(F.col("before") * scale < 2.0**BITS, (F.col("before") * scale).cast("long")).otherwise(F.lit(2**BITS))
         high = F.when(F.col("ord") >= (last or 0), F.lit(2**BITS)).otherwise(F.least(F.lit(2**BITS), ((F.col("before") + F.col("target")) * scale).cast("long")))
@@ -114,7 +116,7 @@ class Mix:
         first = sums.withColumn("first", F.coalesce(F.sum("sum").over(Window.partitionBy("ord").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("ord").alias("o"), F.col("b").alias("c"), "first")
         within = F.sum("size").over(Window.partitionBy("ord", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("within", F.coalesce(within, F.lit(0)))
-        return rows.join(first, (F.col("ord") == F.col("o")) & (F.col("b") == F.col("c"))).withColumn("start", F.col("first") + F.col("within")).drop("o", "c", "first", "within", "b", "h")
+        return rows.join(first, (F.col("ord") == F.col("o")) & (F.col("b") == F.col("c"))).withColumn("start", F.col("first") + F.col("within")).drop("o", "c", "first", "within")
 
     def schedule(self) -> DataFrame:
         """(slot, ord, rank): which source fills each slot, and with which of its blocks."""
@@ -151,9 +153,38 @@ class Mix:
         return found.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
 
+def _hashable(docs: DataFrame, column: str) -> Column:
+    """A column as the hash function takes it: maps and variants as their JSON."""
+    kind = docs.schema[column].dataType.simpleString()
+    return F.to_json(f"`{column}`") if "map<" in kind or "variant" in kind else F.col(f"`{column}`")
+
+
 def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """The mix in whole documents: one that begins before its source's target is reached
-    is kept, once for each turn in which it does, with the columns of ``docs``."""
-    mix = Mix(docs, text_col, source_col, id_col, carry=tuple(docs.columns), **options)
-    first = mix.pieces().where("from = 0").select(F.col("ord").alias("o"), F.col("start").alias("s"), "turn")
-    return mix.placed.where("size > 0").join(first, (F.col("ord") == F.col("o")) & (F.col("start") == F.col("s"))).select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
+    is kept, once for each turn in which it does, with the columns of ``docs``.
+
+    What the schedule takes of a source is a head of its documents' order, over some turns, so
+    texts are not joined: a row per source tells the turns and the first document that the last
+    turn leaves out, and each document compares its place with it where it is read.
+    """
+    columns = docs.columns
+    mix = Mix(docs, text_col, source_col, id_col, order=tuple(columns), **options)
+    last = mix.pieces().where("from = 0").groupBy("ord").agg(F.max(F.struct("turn", "start")).alias("last"))
+    place = F.struct("b", "h", "doc_id")
+    spots = mix.placed.where("size > 0").select("ord", "start", place.alias("place")).join(mix._side(last), "ord")
+    inside = F.col("start") <= F.col("last.start")
+    cut = spots.where(~inside).groupBy(F.col("ord").alias("o")).agg(F.min("place").alias("cut"))
+    # of rows that are equal to the first one left out, some may be inside
+    equal = spots.where(inside).join(mix._side(cut), (F.col("ord") == F.col("o")) & (F.col("place") == F.col("cut"))).groupBy(F.col("ord").alias("e")).agg(F.count(F.lit(1)).alias("more"))
+    known = mix.sources.select(F.col("source").alias("s"), "ord", F.ceil(F.col("rows") / BUCKET_ROWS).alias("n")).join(last, "ord").join(cut, F.col("ord") == F.col("o"), "left").join(equal, F.col("ord") == F.col("e"), "left")
+    known = table(known.select("s", F.col("last.turn").alias("turns"), "cut", F.col("cut").isNull().alias("whole"), F.coalesce("more", F.lit(0)).alias("more"), "n"), "cuts")
+    full = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc")
+    rows = docs.where(F.col(f"`{text_col}`").rlike("[^\\x20\\x09-\\x0D]")).select(full, mix.hash.alias("h"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"))
+    rows = rows.join(mix._side(known), F.col("source").eqNullSafe(F.col("s"))).withColumn("b", F.pmod("h", F.col("n")))
+    copies = F.col("turns") + F.when(F.col("whole") | (place < F.col("cut")), 1).otherwise(0)
+    out = rows.where(copies > 0).withColumn("turn", F.explode(F.sequence(F.lit(1), copies))).select("doc")
+    if known.where("more > 0").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("s", "h").orderBy("b"))
+        tied = rows.where((F.col("more") > 0) & (place == F.col("cut"))).withColumn("r", first).where("r = 1")
+        out = out.unionByName(tied.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("more")))).select("doc"))
+    return out.select(*(F.col("doc").getField(c).alias(c) for c in columns))

@@ -80,10 +80,44 @@ def test_whole_documents_and_reruns(spark):
     got = mix.mix_documents(d)
     assert got.columns == d.columns
     a, b = (Counter(tuple(r) for r in x.collect()) for x in (got, mix.mix_documents(d.repartition(7))))
-    assert a == b and max(n for k, n in a.items() if k[0] != 903) <= 3 and not any(k[1] in (None, "") for k in a)
+    assert a == b == Counter({k: n for k, n in plain_mix(d).items() if n})
+    assert max(n for k, n in a.items() if k[0] != 903) <= 3 and not any(k[1] in (None, "") for k in a)
     assert mix.mix_documents(d.limit(0)).count() == 0
 
 
+def plain_mix(d):
+    """row -> copies: documents in their source's order, over and over, up to its target."""
+    every = F.xxhash64(F.lit(0), *d.columns)
+    rows = [(r.source, r.place, r.doc_id if r.doc_id is not None else -1, tuple(r)[:-1], len(words(r.text))) for r in d.withColumn("place", every).collect()]
+    size = Counter()
+    for s, *_, n in rows:
+        size[s] += n
+    want, out = targets(dict(size)), Counter()
+    for s in size:
+        own = [r for r in rows if r[0] == s]
+        buckets = -(-len(own) // mix.BUCKET_ROWS)
+        own.sort(key=lambda r: (r[1] % buckets, r[1], r[2]))
+        for turn in range(3):
+            at = turn * size[s]
+            for *_, row, n in own:
+                if n and at < int(want[s] + 1e-6):
+                    out[row] += 1
+                at += n
+    return out
+
+
+def test_equal_rows_at_the_cut_are_taken_in_number(spark, monkeypatch):
+    monkeypatch.setattr(mix, "BUCKET_ROWS", 7)
+    rows = [(k, "a b c d e", "one") for k in range(30)] + [(500, "x y z", "two")] * 90 + [(700 + k, None if k % 2 else "", "one") for k in range(5)] + [(800, "w " * 50_000, "three")]
+    d = docs(spark, rows).withColumnRenamed("lang", "h").withColumnRenamed("n_chars", "cut")
+    got = mix.mix_documents(d)
+    assert got.columns == d.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter({k: n for k, n in plain_mix(d).items() if n})
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(mix, "BITS", 4)
+        mix.Mix(d, block=1)
+
+
 def test_table_is_filled_in_turns():
     names = [f"n{k}" for k in range(7)]
     table = shard.fill(names, 101)
