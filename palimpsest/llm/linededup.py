@@ -6,8 +6,9 @@ whose estimate is within ``SIGMAS`` relative errors of the threshold (one site a
 get an exact distinct count; the rest is decided by the estimate.  Boilerplate lines are
 then removed wherever they are.
 
-Only DataFrame operations run.  What is joined back to the texts are the positions of
-removed lines, by id and text hash.
+Only DataFrame operations run.  Up to ``LITERAL_LINES`` boilerplate lines are a set in the
+plan, so that texts are filtered where they are read; of more, the positions of removed lines
+are joined back to the texts, by id and text hash.
 
 Defined results: lines are split at \\n and compared without surrounding blanks; blank
 lines are never boilerplate.  A row without a site adds none, but loses boilerplate
@@ -26,8 +27,8 @@ from .scratch import table
 MIN_SITES = 5
 #: Binary logarithm of a sketch's registers, and relative errors that count as near.
 LOG_REGISTERS, SIGMAS = 10, 4.0
-#: Boilerplate lines that may be broadcast; more are joined.
-BROADCAST_LINES = 500_000
+#: Boilerplate lines that may be in the plan, and hashes of lines that may be broadcast; more are joined.
+LITERAL_LINES, BROADCAST_LINES = 20_000, 500_000
 
 
 def split_lines(text: Column) -> Column:
@@ -57,13 +58,22 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str
     """``docs`` with boilerplate lines cut from ``text_col``, and n_lines and n_removed
     (which win over columns of those names)."""
     found = boilerplate(docs, site_col, text_col, min_sites)
-    found = F.broadcast(found) if found.count() <= BROADCAST_LINES else found
+    n = found.count()
     text, own = F.col(f"`{text_col}`"), [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    if n <= LITERAL_LINES:
+        known = [r[0] for r in found.collect()]
+        lines = split_lines(text)
+        stays = lambda x: F.coalesce(~line_hash(x).isin(known), F.lit(True))
+        rows = docs.select(*(f"`{c}`" for c in own), F.struct(lines.alias("all"), (F.filter(lines, stays) if known else lines).alias("kept")).alias("_dedup"))
+        size = lambda c: F.when(text.isNull(), 0).otherwise(F.size(f"_dedup.{c}"))
+        clean = F.when(size("all") == size("kept"), text).otherwise(F.array_join("_dedup.kept", "\n"))
+        return rows.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in own), size("all").alias("n_lines"), (size("all") - size("kept")).alias("n_removed"))
+    found = F.broadcast(found) if n <= BROADCAST_LINES else found
     key = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_hash")]
     at = docs.select(*key, F.posexplode(split_lines(text)).alias("_at", "l")).select("_id", "_hash", "_at", line_hash(F.col("l")).alias("line")).where("line is not null")
     cut = at.join(found, "line", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("_at").alias("_cut"))
     cut = cut.withColumnsRenamed({"_id": "_of", "_hash": "_is"})
-    joined = docs.withColumn("_hash", F.xxhash64(text)).join(cut, F.col(f"`{id_col}`").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_is")), "left")
+    joined = docs.select(*(f"`{c}`" for c in own), F.xxhash64(text).alias("_hash")).join(cut, F.col(f"`{id_col}`").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_is")), "left")
     lines = split_lines(text)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
     clean = F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(F.col("_lines"), k)), "\n"))

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+import pytest
 from helpers import docs, prose
 
 from palimpsest.llm import linededup, secrets
@@ -92,7 +93,9 @@ def plain_lines(rows, least):
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r\x0b\x0c") not in gone)) for i, t, _ in rows]
 
 
-def test_boilerplate_lines(spark):
+@pytest.mark.parametrize("literal", [20_000, 0])
+def test_boilerplate_lines(spark, monkeypatch, literal):
+    monkeypatch.setattr(linededup, "LITERAL_LINES", literal)
     rng = random.Random(8)
     common = [prose(rng, 6) for _ in range(30)]
     rows = []
@@ -104,7 +107,15 @@ def test_boilerplate_lines(spark):
     for least in (2, 5, 8):
         got = linededup.remove_boilerplate(docs(spark, rows), min_sites=least).collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(plain_lines(rows, least), key=str)
+        n = {r.doc_id: (r.n_lines, r.n_removed) for r in got}
+        assert n[400] == (0, 0) and n[401] == (1, 0) and n[402] == (3, 0)
+        assert all(r.n_removed == r.n_lines - (len(r.text.split("\n")) if r.text or r.n_lines > r.n_removed else 0) for r in got if r.text is not None)
     assert linededup.remove_boilerplate(docs(spark, [])).count() == 0
+    long = [(k, "\n".join(["shared line"] + [f"own {k} {j}" for j in range(20_000)]), f"s{k}") for k in range(6)]
+    clash = docs(spark, long).withColumnRenamed("lang", "n_lines").withColumnRenamed("n_chars", "n_removed")
+    got = linededup.remove_boilerplate(clash)
+    assert got.columns == ["doc_id", "text", "source", "n_lines", "n_removed"]
+    assert {(r.n_lines, r.n_removed) for r in got.collect()} == {(20_001, 1)}
 
 
 def test_many_sites_are_decided_by_sketch_or_count(spark):
