@@ -5,12 +5,17 @@ The classifier minimises the non-negative unbiased risk of positive-unlabelled l
 model of ``FEATURES`` statistics of the whole text: shares of bytes by kind, lengths of words and
 lines, and how much of the words and shingles repeat.
 
+The prior is estimated from the scores that models fitted to one half of the sample, with a
+prior of one half, give to the other; rows with another label are not looked at, but may be among the unlabelled.
+
 The model is fitted on the driver from bounded samples (``MAX_POSITIVE`` trusted rows and
-``MAX_UNLABELLED`` others, chosen by a hash); their features are computed by the executors.
-Scoring is one pass over the texts without a shuffle.
+``MAX_UNLABELLED`` documents, chosen and put in order by a hash, so that reruns agree); their
+features are computed by the executors.  Scoring is one pass over the texts without a shuffle.
 
 Defined results: a null or empty text has the features of an empty one and is scored;
-repeated rows get equal scores; without trusted rows every score is the prior.
+repeated rows get equal scores, rows of one id with different texts their own; without
+trusted rows every score is the prior (0.5 if none is given); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -114,48 +119,57 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return Model(mean, scale, w[:-1], float(w[-1]) + b)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores of both: the least ratio of
-    the parts above a threshold, over thresholds that at least a tenth of the trusted pass."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 50))
-    ratios = [((unlabelled >= c).mean() + 1 / len(unlabelled)) / max((positive >= c).mean(), 0.1) for c in cuts]
-    return float(np.clip(min(ratios), 0.01, 0.99))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from scores of both: the ratio of the parts
+    above a threshold, at the threshold where the ratio with its bound of chance is least."""
+    cuts = np.unique(positive)
+    pos = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    un = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    chance = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (positive, unlabelled))
+    best = int(np.argmin((un + chance) / pos))
+    return float(np.clip(un[best] / pos[best], 0.01, 0.99))
+
+
+def cross_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """:func:`estimate_prior` from scores of models that were fitted to the other half."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    out = []
+    for k in (0, 1):
+        model = fit(positive[k::2], unlabelled[k::2], 0.5)
+        out.append(estimate_prior(model.score(positive[1 - k :: 2]), model.score(unlabelled[1 - k :: 2])))
+    return float(np.mean(out))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(batch.column(0))
         flat = pa.array(x.ravel().astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(flat, FEATURES).cast(pa.list_(pa.float32()))], names=["trusted", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(flat, FEATURES).cast(pa.list_(pa.float32())), batch.column(2)], names=["trusted", "x", "o"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
     """Fit on the rows of ``labels`` with label 1 (trusted) and any documents (unlabelled).
 
     The samples are the first rows by a hash of the id, at most ``max_positive`` and
-    ``max_unlabelled``.  The prior, unless given, is the share of 1 among the labelled if they
-    have both labels, else an estimate from the scores of a first model.
+    ``max_unlabelled``.  The prior, unless given, is estimated.
     """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    n, ones = known.agg(F.count(F.lit(1)), F.count_if(F.col("_label") == 1)).first()
-    if not ones:
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0 if prior is None else float(np.log(prior / (1 - prior))))
+    known = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     by_hash = F.xxhash64(F.lit(1), F.col("_id"))
-    ids = known.where("_label = 1").select("_id", F.lit(True).alias("trusted")).orderBy(by_hash, "_id").limit(max_positive)
+    ids = known.select("_id", F.lit(True).alias("trusted")).orderBy(by_hash, "_id").limit(max_positive)
     others = docs.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").orderBy(F.xxhash64(F.lit(2), F.col("_id")), "_id").limit(max_unlabelled).distinct().withColumn("trusted", F.lit(False))
     sample = docs.select(F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(ids.union(others)), F.col("_own") == F.col("_id"))
-    got = sample.select("_text", "trusted").mapInArrow(_vectors, "trusted boolean, x array<float>").limit(2 * (max_positive + max_unlabelled)).toPandas()
-    if not len(got):
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    x, trusted = np.stack(got["x"].to_numpy()), got["trusted"].to_numpy(dtype=bool)
+    order = F.xxhash64("_id", "_text", "trusted")
+    got = sample.select("_text", "trusted", order.alias("o")).mapInArrow(_vectors, "trusted boolean, x array<float>, o long").orderBy("o").limit(2 * (max_positive + max_unlabelled)).toPandas()
+    trusted = got["trusted"].to_numpy(dtype=bool)
+    if not trusted.any():
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0 if prior is None else float(np.log(prior / (1 - prior))))
+    x = np.stack(got["x"].to_numpy())
     p, u = x[trusted], x[~trusted]
-    if not len(p) or not len(u):
-        p = u = x
-    if prior is None:
-        prior = ones / n if ones < n else None
+    if not len(u):
+        u = p
     if prior is None:
-        first = fit(p, u, 0.5)
-        prior = estimate_prior(first.score(p), first.score(u))
+        prior = cross_prior(p, u)
     return fit(p, u, float(np.clip(prior, 0.01, 0.99)))
 
 

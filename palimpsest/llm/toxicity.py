@@ -4,21 +4,22 @@ Tokens are words; a token is toxic or not.  A token's features are its word, its
 and last bytes and its neighbours, hashed to ``2**DIMS`` weights; a 2 x 2 table weighs
 transitions.  Labelled tokens come from labelled documents: in a toxic document, the
 words or word beginnings that are much more frequent in toxic documents than in others
-(a bound on their log odds, over distinct contexts); every token of other documents is not toxic.  The field is
-fitted to these labels by its likelihood; forward-backward passes give gradients and,
-when scoring, each token's marginal.
+(a bound on their log odds, over distinct contexts) are toxic and the others have no label;
+every token of other documents is not toxic.  The field is fitted to the labelled tokens by
+its likelihood; forward-backward passes give gradients and, when scoring, each token's
+marginal.
 
 A document's score is a logistic function of its largest marginal, the expected number
 of toxic tokens and their density; the offending spans are runs of tokens whose
 marginal is at least 0.5, in code points.
 
-The fit runs on the driver on at most ``MAX_DOCS`` labelled documents of each label,
-chosen by a hash.  Scoring is one pass over the whole texts without a shuffle, in pieces
-of about a megabyte; the passes run over blocks of tokens side by side.
+The fit runs on the driver on at most ``MAX_DOCS`` labelled documents of each label and
+``MAX_BYTES`` of whole texts, chosen by a hash.  Scoring is one pass over the whole texts without a shuffle, in pieces
+of about a megabyte (a longer text is one); the passes run over blocks of tokens side by side.
 
 Defined results: null and empty texts have no tokens, no spans and the score of a text
-without toxic tokens; repeated rows get equal results; without toxic training rows all
-scores are low.
+without toxic tokens; repeated rows get equal results; without toxic training rows, or with
+no others to tell them from, all scores are low; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +35,12 @@ from pyspark.sql import types as T
 from . import textkernel as K
 
 DIMS = 18
-MAX_DOCS = 1_500
+MAX_DOCS, MAX_BYTES = 1_500, 32 << 20
 ROUNDS = 8
 HEADS, TAILS = (4, 5, 7), (4,)
-#: Log odds, and contexts, from which a word or beginning marks its tokens as toxic.
-LEAST_ODDS, LEAST_SEEN = 2.0, 8
+#: Log odds from which a word or beginning marks its tokens as toxic, and contexts that it must
+#: have for each toxic document (two at least, and eight are always enough).
+LEAST_ODDS, LEAST_SHARE, LEAST_SEEN = 2.0, 0.005, (2, 8)
 #: Tokens of a block in a forward or backward pass.
 BLOCK = 64
 _SALTS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 2**63, 8, dtype=np.uint64)]
@@ -46,9 +48,11 @@ _SALTS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 2**63, 8,
 
 def token_features(w: K.Words) -> np.ndarray:
     """A row of hashed features for each kind, a column for each token."""
-    h = w.hashes
-    last = np.zeros(1, np.uint64)
-    kinds = [h, *(w.heads[k] for k in HEADS), *(w.tails[k] for k in TAILS), np.concatenate([last, h[:-1]]) if len(h) else h, np.concatenate([h[1:], last]) if len(h) else h]
+    h, none = w.hashes, np.uint64(0)
+    before, after = np.full(len(h) + 1, none), np.full(len(h) + 1, none)  # neighbours of the same text
+    before[1:], after[:-1][: len(h)] = h, np.append(h[1:], none)[: len(h)]
+    before[w.bounds], after[np.maximum(w.bounds[1:] - 1, 0)[np.diff(w.bounds) > 0]] = none, none
+    kinds = [h, *(w.heads[k] for k in HEADS), *(w.tails[k] for k in TAILS), before[:-1], after[:-1]]
     return np.stack([(K.mix(x ^ s) >> np.uint64(64 - DIMS)).astype(np.int32) for x, s in zip(kinds, _SALTS, strict=False)])
 
 
@@ -148,9 +152,12 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, K.Words]]:
 
 
 def token_labels(parts: list[tuple[K.Words, np.ndarray]]) -> list[np.ndarray]:
-    """Which tokens are toxic, from documents' labels: those with a word or beginning whose
-    log odds, less a standard error, are at least ``LEAST_ODDS``.  What is counted are distinct
-    pairs of neighbours, so copies of a document count once."""
+    """1 for toxic tokens, 0 for others and -1 for those without a label, from documents' labels.
+
+    Toxic are, in toxic documents, those with a word or beginning whose log odds, less a standard
+    error, are at least ``LEAST_ODDS``.  What is counted are distinct pairs of neighbours, so
+    copies of a document count once."""
+    least = np.clip(LEAST_SHARE * sum(int(y.sum()) for _, y in parts), *LEAST_SEEN)
     toxic = np.concatenate([np.repeat(y, np.diff(w.bounds)) for w, y in parts])
     h = np.concatenate([w.hashes for w, _ in parts])
     around = K.mix(np.roll(h, 1) * np.uint64(3) + np.roll(h, -1))
@@ -167,14 +174,12 @@ def token_labels(parts: list[tuple[K.Words, np.ndarray]]) -> list[np.ndarray]:
             at = np.minimum(np.searchsorted(clean, known), len(clean) - 1)
             against = np.where(clean[at] == known, others[at], 0)
         odds = np.log((counts + 0.5) / (n_pos + 1)) - np.log((against + 0.5) / (n_neg + 1)) - np.sqrt(1 / (counts + 0.5) + 1 / (against + 0.5))
-        marked = known[(odds >= LEAST_ODDS) & (counts >= LEAST_SEEN)]
+        marked = known[(odds >= LEAST_ODDS) & (counts >= least)]
         for (w, _), held in zip(parts, out, strict=True):
             if len(marked):
                 h = kind(w)
                 held |= marked[np.minimum(np.searchsorted(marked, h), len(marked) - 1)] == h
-    for (w, y), held in zip(parts, out, strict=True):
-        held &= np.repeat(y, np.diff(w.bounds))
-    return out
+    return [np.where(np.repeat(y, np.diff(w.bounds)), np.where(held, 1, -1), 0) for (w, y), held in zip(parts, out, strict=True)]
 
 
 def fit(column: pa.Array, labels: np.ndarray, rounds: int = ROUNDS) -> Field:
@@ -201,11 +206,13 @@ def fit(column: pa.Array, labels: np.ndarray, rounds: int = ROUNDS) -> Field:
             forward, backward, step = passes(u, first, field.trans, field.start)
             p = forward * backward
             p = p[:, 1] / p.sum(1)
-            off = y - p
+            known = y >= 0
+            off = np.where(known, y - p, 0)
             g = np.bincount(idx.ravel(), np.tile(off, len(idx)), 1 << DIMS) - 1e-2 * field.weights
             grown += g * g
             field.weights += (0.5 * g / np.sqrt(grown)).astype(np.float32)
             at = np.flatnonzero(~first)
+            at = at[known[at] & known[at - 1]]
             pair = forward[at - 1][:, :, None] * step[at] * backward[at][:, None, :]
             pair /= pair.sum((1, 2), keepdims=True)
             seen = np.zeros((2, 2))
@@ -226,13 +233,21 @@ def fit(column: pa.Array, labels: np.ndarray, rounds: int = ROUNDS) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_docs: int = MAX_DOCS) -> Field:
-    """Fit on at most ``max_docs`` documents of each label, the first by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Field:
+    """Fit on at most ``max_docs`` documents of each label, the first by a hash of the id, and
+    at most ``max_bytes`` of text."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     order = F.xxhash64(F.lit(3), F.col("_id"))
     ids = known.where("_label = 1").orderBy(order, "_id").limit(max_docs).union(known.where("_label <> 1").orderBy(order, "_id").limit(max_docs))
     sample = docs.select(F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").join(F.broadcast(ids), F.col("_own") == F.col("_id"))
-    got = sample.select("_text", (F.col("_label") == 1).alias("_toxic"), "_id").orderBy(F.xxhash64("_id", "_text"), "_id").limit(2 * max_docs).toPandas()
+    sample = sample.select("_text", (F.col("_label") == 1).alias("_toxic"), F.xxhash64("_id", "_text").alias("_order"), F.octet_length("_text").cast("long").alias("_bytes"))
+    # whole texts, in order of the hash, while they fit
+    first = sample.select("_order", "_bytes").orderBy("_order", "_bytes").limit(2 * max_docs).collect()
+    total = np.cumsum([r[1] for r in first])
+    last = int(np.searchsorted(total, max_bytes, side="right")) - 1
+    if last < 0:
+        return Field()
+    got = sample.where(F.col("_order") <= first[last][0]).orderBy("_order", "_bytes").limit(last + 1).toPandas()
     return fit(pa.array(got["_text"], pa.string()), got["_toxic"].to_numpy(dtype=bool))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -6,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import docs, prose
+from helpers import docs, prose, words
 
 from palimpsest.llm import quality, toxicity
+from palimpsest.llm import textkernel as K
 
 
 def web():
@@ -53,6 +55,7 @@ def test_negative_risk_stays_bounded():
     m = quality.fit(p, u, 0.5)
     assert (m.score(p) > 0.5).mean() > 0.9 and (m.score(n) < 0.5).mean() > 0.9
     assert 0.3 < quality.estimate_prior(m.score(p), m.score(u)) < 0.75
+    assert 0.35 < quality.cross_prior(p, u) < 0.7
 
 
 def test_field_finds_spans(spark):
@@ -102,3 +105,100 @@ def test_passes_equal_a_plain_chain():
 def test_features_of_odd_texts():
     x = quality.features(pa.array([None, "", " ", "\n\n", "a", "é" * 10_000]))
     assert x.shape == (6, quality.FEATURES) and np.isfinite(x).all()
+
+
+def plain_features(text):
+    """The numbers of a text for the quality model, one by one from its characters."""
+    data, signs = text.encode(), "!?.,:;|#$%&*@/\\<>{}[]()=_-+~^'\""
+    kind = lambda b: 0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 if b >= 128 else 5 if b == 10 else 4 if b in b" \t\x0b\x0c\r" else 7 + signs.index(chr(b)) if chr(b) in signs else 6
+    counts = np.bincount([kind(b) for b in data], minlength=7 + len(signs)).astype(float)
+    w = [x.encode() for x in words(text)]
+    raw = re.findall(r"[^ \t-\r]+", text)
+    n, size, length = len(w), len(data), [len(x) for x in w]
+    different = lambda k: len(set(zip(*(w[i:] for i in range(k)), strict=False))) if n >= k else min(n, 1)
+    one, lines = max(1, n), counts[5] + 1
+    mean = sum(length) / one
+    share = counts / max(1, size)
+    u1 = different(1) / one
+    ends = lambda at, low: sum(kind(x.encode()[at]) >= low for x in raw) / one
+    rest = [
+        np.log1p(n), np.log1p(size), mean, max(0, sum(x * x for x in length) / one - mean**2) ** 0.5, u1, different(2) / max(1, n - 1), different(3) / max(1, n - 2), u1 * np.log1p(n), n == 0, n / lines / 50, np.log1p(n / lines), lines / one,
+        counts[0] / max(1, counts[[0, 1, 3]].sum()), sum(kind(x.encode()[0]) == 0 for x in raw) / one, ends(-1, 6), ends(0, 6), sum(x == 1 for x in length) / one, sum(x > 15 for x in length) / one, n < 20, n < 50,
+    ]
+    return np.concatenate([share, np.sqrt(share), np.array(rest, float)])
+
+
+def odd_texts():
+    rng = random.Random(7)
+    return ["", " \n", "A", "One two, Three! é\n\nfour\tfive 5", "x" * 3000, *(prose(rng, 200, 30).replace(" ", rng.choice([" ", "\n", ". "]), 40) for _ in range(10)), "tiny é " * 300_000]
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    rows, labels = web()
+    model = quality.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, label int"))
+    texts = [*odd_texts(), *(t for _, t in rows[:40])]
+    d = docs(spark, [*enumerate(texts), (1, "another text of one id"), (None, None)]).withColumnRenamed("lang", "score")
+    got = quality.score_documents(d, model, keep=["doc_id", "text"]).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        z = np.clip((plain_features(r.text or "") - model.mean) / model.scale, -8, 8) @ model.weights + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-3  # features are kept in single precision
+    assert quality.score_documents(d, model).columns == [c for c in d.columns if c != "score"] + ["score"]
+    assert quality.score_documents(d.limit(0), model).count() == 0
+    again = quality.train(docs(spark, rows).repartition(7), spark.createDataFrame(labels[::-1], "doc_id long, label int"))
+    assert np.array_equal(again.weights, model.weights)
+
+
+def plain_toxicity(field, text):
+    """(score, spans) of a text by a chain of its own, token by token."""
+    tokens = [m for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    if not tokens:
+        return 1 / (1 + np.exp(-field.final[3])), []
+    w = K.words(*K.texts(pa.array([" ".join(m[0] for m in tokens)])), K.ALNUM, toxicity.HEADS, toxicity.TAILS)
+    u = field.weights[toxicity.token_features(w)].sum(0, dtype=float) + field.bias
+    t = np.exp(field.trans)
+    f = [np.array([1.0, np.exp(field.start + u[0])])]
+    for x in u[1:]:
+        f.append((f[-1] @ t) * [1, np.exp(x)])
+        f[-1] /= f[-1].sum()
+    g = [np.ones(2)]
+    for x in u[:0:-1]:
+        g.append(t @ (g[-1] * [1, np.exp(x)]))
+        g[-1] /= g[-1].sum()
+    p = np.array([(a * b)[1] / (a * b).sum() for a, b in zip(f, g[::-1], strict=True)])
+    z = field.final @ [p.max(), np.log1p(p.sum()), min(1, 20 * p.sum() / len(p)), 1]
+    spans = []
+    for k in np.flatnonzero(p >= 0.5).tolist():
+        if spans and spans[-1][2] == k - 1:
+            spans[-1][1:] = [tokens[k].end(), k]
+        else:
+            spans.append([tokens[k].start(), tokens[k].end(), k])
+    return 1 / (1 + np.exp(-z)), [(a, b) for a, b, _ in spans]
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 40, 200) + (" zarg fleem" if k % 2 else "") + " end") for k in range(120)]
+    known = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, label int")
+    field = toxicity.train(docs(spark, rows), known)
+    texts = [*odd_texts(), *(t for _, t in rows[:30]), "é zarg, fleem! " * 5 + "fine", prose(rng, 150_000, 10**6) + " zarg"]
+    d = docs(spark, [*enumerate(texts), (1, "zarg of one id"), (None, None)]).withColumnRenamed("lang", "score").withColumnRenamed("source", "spans")
+    got = toxicity.score_documents(d, field, keep=["doc_id", "text"]).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        score, spans = plain_toxicity(field, r.text or "")
+        assert abs(r.score - score) < 1e-6 and [tuple(s) for s in r.spans] == spans
+    assert sum(bool(r.spans) for r in got) >= 16
+    assert toxicity.score_documents(d.limit(0), field).count() == 0
+    few = toxicity.train(docs(spark, rows), known, max_bytes=2_000)  # some texts, whole
+    assert few.weights.any()
+    assert not toxicity.train(docs(spark, rows), known.where("label = 1")).weights.any()
+    assert not toxicity.train(docs(spark, rows), known, max_bytes=10).weights.any()
+
+
+def test_rare_toxic_words_of_few_documents_are_learnt(spark):
+    rng = random.Random(6)
+    rows = [(k, prose(rng, 60, 200) + (" vilest" if k < 6 else "") + " " + prose(rng, 20, 200)) for k in range(60)]
+    field = toxicity.train(docs(spark, rows), spark.createDataFrame([(k, int(k < 6)) for k in range(60)], "doc_id long, label int"))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs(spark, rows), field).collect()}
+    assert min(got[k] for k in range(6)) > max(got[k] for k in range(6, 60))
