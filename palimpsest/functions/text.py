@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags, phrases and names that decide what is removed, refused or redacted.
 CONTEXT_TAGS = ("relevant-memories", "user-persona", "scene-navigation", "memory-tools-guide")
@@ -90,6 +95,46 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def cut_utf16(text: Column, most: int) -> Column:
+    """The longest head of at most ``most`` UTF-16 units; no character is cut in two."""
+    raw = F.encode(text, "UTF-16BE")
+    lead = F.hex(F.substring(raw, 2 * most - 1, 1)).between("D8", "DB")  # the first half of a pair
+    head = F.decode(F.substring(raw, F.lit(1), F.when(lead, 2 * most - 2).otherwise(2 * most)), "UTF-16BE")
+    return F.when(utf16_length(text) <= most, text).otherwise(head)
+
+
+def truncate_utf16(text: Column, most: int) -> Column:
+    return F.when(utf16_length(text) <= most, text).otherwise(F.concat(cut_utf16(text, most), F.lit("...")))
+
+
+def truncate_chars(text: Column, most: int, suffix: str) -> Column:
+    """At most ``most`` characters, the last the suffix if there are more."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, max(0, most - len(suffix))), F.lit(suffix)))
+
+
+def compact_call(text: Column) -> Column:
+    """A tool call of at most 300 characters, the last an ellipsis if it was longer."""
+    return F.when(F.length(text) <= 300, text).otherwise(F.concat(F.substring(text, 1, 299), F.lit("…")))
+
+
+def display_width(text: str) -> int:
+    """Columns of a terminal: two for wide characters."""
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def fit_width(text: str, width: int) -> str:
+    """On one line, padded or cut (with …) to a number of columns."""
+    text = text.replace("\r", "").replace("\n", "↵")
+    if display_width(text) <= width:
+        return text + " " * (width - display_width(text))
+    out = ""
+    for c in text:
+        if display_width(out + c) > width - 1:
+            break
+        out += c
+    return out + "…" + " " * (width - 1 - display_width(out))
+
+
 # ---- gates
 
 
@@ -210,6 +255,23 @@ def session_key(directory: Column, session_id: Column, host: str = "opencode") -
     return F.concat_ws(":", F.lit(host), F.substring(F.sha2(F.when(directory == "", "unknown").otherwise(F.coalesce(directory, F.lit("unknown"))).cast("binary"), 256), 1, 16), session_id)
 
 
+def parse_session_key(key: Column) -> Column:
+    """(agent, session) of ``agent:<agent>:<session>``, safe as file names; null for other keys.
+    The number of a benchmark's worker in the session goes to the agent."""
+    parts = F.split(key, ":")
+    agent, session = F.get(parts, F.lit(1)), F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), ":")
+    worker = F.regexp_extract(session, "swebench-w([0-9]+)", 1)
+    named = F.when(worker != "", F.concat(agent, F.lit("-w"), worker)).otherwise(agent)
+    return F.when((F.get(parts, F.lit(0)) == "agent") & (agent != "") & (session != ""), F.struct(safe_component(named).alias("agent"), safe_component(session).alias("session")))
+
+
+def record_id(layer: str, session: Column, at_ms: Column, place: Column) -> Column:
+    """The id of a row that has none: the same for the same place of a session, so that replays
+    give it again."""
+    digest = F.substring(F.sha2(F.concat_ws("\x1f", session, at_ms, place).cast("binary"), 256), 1, 8)
+    return F.concat_ws("_", F.lit(layer), session, at_ms, digest)
+
+
 def heat_mark(heat: Column) -> Column:
     out = F.lit("")
     for least, mark in ((50, "🔥"), (100, "🔥🔥"), (200, "🔥🔥🔥"), (500, "🔥🔥🔥🔥"), (1000, "🔥🔥🔥🔥🔥")):
@@ -246,6 +308,50 @@ def estimate(text: str) -> int:
     return math.ceil(cjk / 1.7 + (len(text) - cjk) / 4.0)
 
 
+class Tokenizer:
+    """Counts the tokens of a byte-pair encoding; the estimate where it cannot.
+
+    ``path`` is a file of ranks (base64 and number in each line).  An empty text has no tokens;
+    one with a control token of the encoding counts a quarter of its UTF-16 units.
+    """
+
+    CONTROL = ("<|endoftext|>", "<|endofprompt|>")
+
+    def __init__(self, path: str, pattern: str | None = None, encoding: str = "bpe"):
+        self.path, self.encoding = path, encoding
+        self.pattern = pattern or r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self._ready = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_ready": None}
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        if any(c in text for c in self.CONTROL):
+            return -(-len(text.encode("utf-16-le")) // 8)
+        if self._ready is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self._ready = tiktoken.Encoding(self.encoding, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        try:
+            return len(self._ready.encode_ordinary(text))
+        except ValueError:
+            return -(-len(text.encode("utf-16-le", "surrogatepass")) // 8)
+
+    def column(self, text: Column) -> Column:
+        """The counts of a column, in Arrow batches."""
+        @F.pandas_udf(T.LongType())
+        def run(x: pd.Series) -> pd.Series:
+            return x.map(lambda t: None if t is None else self.count(t))
+
+        return run(text)
+
+
 # ---- terms of the full-text index
 
 
@@ -316,6 +422,44 @@ def parse_time_ms(value: Column) -> Column:
     return F.coalesce(value.try_cast("long"), F.unix_millis(F.try_to_timestamp(value)))
 
 
+def next_run_ms(clock: str, now_ms: int, zone: str) -> int:
+    """The next time at which a zone's clocks show ``HH:MM``; a time that a change of the clocks
+    leaves out is the first one after it, and of a repeated one the earlier counts."""
+    hour, minute = (int(x) for x in clock.split(":"))
+    tz = ZoneInfo(zone)
+    day = datetime.fromtimestamp(now_ms / 1000, tz).date()
+    while True:
+        wall = datetime(day.year, day.month, day.day, min(hour, 23), min(minute, 59))
+        at = wall.replace(tzinfo=tz)
+        while at.astimezone(timezone.utc).astimezone(tz).replace(tzinfo=None) != wall:  # left out
+            wall += timedelta(minutes=1)
+            at = wall.replace(tzinfo=tz)
+        if at.timestamp() * 1000 > now_ms:
+            return int(at.timestamp() * 1000)
+        day += timedelta(days=1)
+
+
+def clean_time(value: str) -> str:
+    """``HH:MM`` of a clock time; 03:00 for anything else."""
+    found = re.fullmatch(r"([0-9]{1,2}):([0-9]{2})", value.strip())
+    return f"{int(found[1]):02}:{found[2]}" if found and int(found[1]) < 24 and int(found[2]) < 60 else "03:00"
+
+
+def parse_when(value: str, now_ms: int) -> int:
+    """Milliseconds of a time: so many days, hours, minutes or seconds ago (``3d``), or ISO 8601."""
+    if found := re.fullmatch(r"(\d+)([dhms])", value.strip()):
+        return now_ms - int(found[1]) * {"d": 86_400_000, "h": 3_600_000, "m": 60_000, "s": 1000}[found[2]]
+    at = datetime.fromisoformat(value.strip())
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+
+
+def zone_sentence(zone: str, now_ms: int) -> str:
+    """What a prompt says about the times in it."""
+    minutes = int(datetime.fromtimestamp(now_ms / 1000, ZoneInfo(zone)).utcoffset().total_seconds() // 60)
+    sign = "-" if minutes < 0 else "+"
+    return f'All timestamps below are in {zone} (UTC{sign}{abs(minutes) // 60:02}:{abs(minutes) % 60:02}). When reasoning about "yesterday", "last week", or time differences, use this timezone.'
+
+
 def repair_json(text: Column) -> Column:
     """Without a code fence and without commas before a closing bracket."""
     text = F.regexp_replace(strip(text), "^```[A-Za-z]*\\s*\\n?|\\n?```$", "")
@@ -329,6 +473,38 @@ def extract_json(text: Column) -> Column:
     return F.coalesce(*(valid(t) for t in tries), *(valid(repair_json(t)) for t in tries))
 
 
+def mermaid(text: Column) -> Column:
+    """The diagram of an answer: a fenced one, or the whole text if it looks like one; else null."""
+    fenced = F.regexp_extract(text, "(?s)```mermaid(.*?)```", 1)
+    return F.when(text.rlike("(?s)```mermaid.*?```"), strip(fenced)).when(text.contains("flowchart") | text.contains("graph"), strip(text))
+
+
+def lines_of(text: Column) -> Column:
+    """Lines without their ends; none for an empty text."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n", -1))
+
+
+def splice_lines(source: Column, blocks: Column) -> Column:
+    """A text with ranges of lines replaced, from the last to the first; null if one is not within it.
+
+    ``blocks`` is an array of (start_line, end_line, content), lines from 1, both included; an end
+    right before the start inserts."""
+    lines = lines_of(source)
+    order = F.array_sort(blocks, lambda a, b: (b["start_line"] - a["start_line"]).cast("int"))
+
+    def step(acc: Column, b: Column) -> Column:
+        ok = (b["start_line"] >= 1) & (b["end_line"] + 1 >= b["start_line"]) & (b["end_line"] <= F.size(acc))
+        tail = F.slice(acc, b["end_line"].cast("int") + 1, F.greatest(F.size(acc) - b["end_line"].cast("int"), F.lit(0)))
+        return F.when(ok, F.concat(F.slice(acc, F.lit(1), F.greatest(b["start_line"].cast("int") - 1, F.lit(0))), lines_of(b["content"]), tail))
+
+    return F.array_join(F.aggregate(order, lines, step), "\n")
+
+
+def diagram_outline(text: Column) -> Column:
+    """The header and node lines of a diagram."""
+    return F.array_join(F.filter(lines_of(text), lambda x: strip(x).startswith("%%") | x.contains('["')), "\n")
+
+
 def memory_line(kind: Column, scene: Column, content: Column, start: Column, end: Column, at: Column) -> Column:
     """``- [type|scene] content (活动时间: …)``."""
     tag = F.when(F.coalesce(scene, F.lit("")) == "", kind).otherwise(F.concat_ws("|", kind, scene))

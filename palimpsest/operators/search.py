@@ -172,24 +172,38 @@ def positions(ranked: DataFrame, *order: Column) -> DataFrame:
     return ranked.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def hybrid(docs: DataFrame, query: str, k: int, vectors: DataFrame | None = None, embedding: list[float] | None = None, id_col: str = "record_id", text_col: str = "content", score=score_l1) -> tuple[DataFrame, str]:
-    """The ``k`` best of each branch that can run, fused if both do; and the strategy's name."""
+def _held(found: DataFrame) -> DataFrame:
+    """A list of bounded length, evaluated once."""
+    return found.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def hybrid(docs: DataFrame, query: str, k: int, vectors: DataFrame | None = None, embedding: list[float] | None = None, id_col: str = "record_id", text_col: str = "content", score=score_l1, by_results: bool = True) -> tuple[DataFrame, str]:
+    """The ``k`` best of each branch that can run, fused if both do; and the strategy's name.
+
+    The strategy is that of the branches that found something, or with ``by_results`` off of
+    those that could run; without any result it is that of what there is, or ``none``.
+    """
     by_text = bool(tx.query_terms(query))
-    by_vector = vectors is not None and embedding is not None and any(embedding)
+    has_vectors = vectors is not None and embedding is not None
+    by_vector = has_vectors and any(embedding)
     texts = keyword_search(docs, query, k, id_col, text_col, score) if by_text else None
     if by_vector:
         near = vector_search(vectors, embedding, k + 10, id_col).select(id_col, "distance", "score").join(docs, id_col)
         near = near.orderBy("distance", id_col).limit(k)
+    if by_results and by_text and by_vector:
+        texts, near = _held(texts), _held(near)
+        by_text, by_vector = not texts.isEmpty(), not near.isEmpty()
     if by_text and by_vector:
         a = positions(texts.select(id_col, "score"), F.desc("score"), F.col(id_col))
         b = positions(near.select(id_col, "distance"), F.col("distance"), F.col(id_col))
         ranked = fuse([a, b], id_col).withColumnRenamed("rrf", "score")
-        return docs.join(F.broadcast(ranked), id_col).withColumn("_o", F.struct(-F.col("score"), "first.list", "first.pos")).drop("first"), "hybrid"
+        rows = texts.drop("score").unionByName(near.drop("score", "distance")).dropDuplicates([id_col]) if by_results else docs
+        return rows.join(F.broadcast(ranked), id_col).withColumn("_o", F.struct(-F.col("score"), "first.list", "first.pos")).drop("first"), "hybrid"
     if by_vector:
         return near.withColumn("_o", F.struct("distance", F.col(id_col))).drop("distance"), "embedding"
     if by_text:
         return texts.withColumn("_o", F.struct(-F.col("score"), F.col(id_col))), "fts"
-    return docs.limit(0).withColumns({"score": F.lit(0.0), "_o": F.lit(0)}), "none"
+    return docs.limit(0).withColumns({"score": F.lit(0.0), "_o": F.lit(0)}), "embedding" if has_vectors else "fts" if query.strip() else "none"
 
 
 def search_memories(l1: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, embedding: list[float] | None = None, kind: str | None = None, scene: str | None = None) -> DataFrame:
@@ -225,7 +239,7 @@ def recall(l1: DataFrame, query: str, max_results: int = 5, least: float = 0.3,
     """Facts for a turn: keyword and embedding recall apply the threshold, the hybrid one does not."""
     can_vector = vectors is not None and embedding is not None and any(embedding)
     if strategy == "hybrid" and can_vector:
-        found, name = hybrid(l1, query, 3 * max_results, vectors, embedding)
+        found, name = hybrid(l1, query, 3 * max_results, vectors, embedding, by_results=False)
     elif strategy == "embedding" and can_vector:
         found, name = hybrid(l1, "", 2 * max_results, vectors, embedding)
         found = found.where(F.col("score") >= least)

@@ -13,7 +13,9 @@ from ..operators import joins, transcript
 
 FLUSH_AT, PER_FLUSH, PER_CALL, ATTEMPTS = 4, 20, 5, 3
 CONTEXT_SHARE = 0.2
-DEGRADED = "(summary unavailable) "
+# What a row says whose result could not be summarised.
+DEGRADED = "[L1 degraded] "
+PARAMS, RESULT = 200, 300
 
 
 def ready(pairs: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:
@@ -31,8 +33,9 @@ def summarise(chunks: DataFrame, call: Callable[[list[dict]], list[dict]], attem
     """Offload entries of chunks from an injected model call, made where the chunk is.
 
     An answer counts if it has each asked id once; after ``attempts`` answers that do not,
-    the chunk's rows are degraded: the call and the head of its result.
+    the chunk's rows are degraded: the call and the head of its result, with a score of 0.
     """
+    cut = lambda x, most: x if len(x) <= most else x[: most - 3] + "..."
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["timestamp", "tool_call_id"], kind="stable")
@@ -46,8 +49,9 @@ def summarise(chunks: DataFrame, call: Callable[[list[dict]], list[dict]], attem
             if sorted(a.get("tool_call_id", "") for a in answer) == ids:
                 got = {a["tool_call_id"]: a for a in answer}
                 break
-        text = lambda r: f"{DEGRADED}{r.tool_name}: {(r.result or '')[:299]}"
-        out = [(r.session_id, r.timestamp, r.tool_call_id, f"{r.tool_name}({(r.params or '')[:299]})", got[r.tool_call_id].get("summary", "") if got else text(r), float(got[r.tool_call_id].get("score", 5)) if got else 1.0) for r in rows.itertuples(index=False)]
+        text = lambda r: f"{DEGRADED}{r.tool_name}: {cut(r.result or '', RESULT)}"
+        call_ = lambda r: (got[r.tool_call_id].get("tool_call") if got else None) or f"{r.tool_name}({cut(r.params or '', PARAMS)})"
+        out = [(r.session_id, r.timestamp, r.tool_call_id, call_(r), got[r.tool_call_id].get("summary", "") if got else text(r), float(got[r.tool_call_id].get("score", 5)) if got else 0.0) for r in rows.itertuples(index=False)]
         return pd.DataFrame(out, columns=["session_id", "timestamp", "tool_call_id", "tool_call", "summary", "score"])
 
     return chunks.groupBy("session_id", "chunk").applyInPandas(one, "session_id string, timestamp string, tool_call_id string, tool_call string, summary string, score double")
@@ -78,18 +82,30 @@ def inject(messages: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.withColumn("pos", (F.row_number().over(Window.partitionBy("session_id").orderBy("_at")) - 1).cast(messages.schema["pos"].dataType)).drop("_at").select(*messages.columns)
 
 
-def active_block(goal: Column, diagram: Column) -> Column:
+def task_goal(diagram: Column) -> Column:
+    """The goal in a diagram's first line, which is ``%%{…}%%``; empty without one."""
+    head = F.regexp_extract(F.get(tx.lines_of(diagram), F.lit(0)), r"^%%(\{.*\})%%$", 1)
+    return F.coalesce(F.get_json_object(head, "$.taskGoal"), F.lit(""))
+
+
+def active_block(goal: Column, diagram: Column, file: Column | None = None) -> Column:
     """The text of an active task's block; null without a diagram."""
-    return F.when(diagram.isNotNull(), F.concat(F.lit("Current task: "), F.coalesce(goal, F.lit("")), F.lit("\n```mermaid\n"), diagram, F.lit("\n```")))
+    name = F.lit("") if file is None else F.concat(F.lit("\nFile: "), file)
+    return F.when(diagram.isNotNull(), F.concat(F.lit("Current task: "), F.coalesce(goal, F.lit("")), name, F.lit("\n```mermaid\n"), diagram, F.lit("\n```")))
+
+
+def within_share(blocks: DataFrame, window: int, share: float = CONTEXT_SHARE) -> DataFrame:
+    """Blocks (session_id, content) that take at most their share of the context window."""
+    return blocks.where(tx.tokens(F.col("content")) <= int(window * share))
 
 
 def before_prompt(messages: DataFrame, entries: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     """Stored decisions, then compression, then injection."""
     kept = transcript.reapply(messages, entries).drop("replaced").withColumn("tokens", tx.tokens(F.col("content"))).select(*messages.columns)
-    return inject(transcript.compress(kept, window, entries), blocks)
+    return inject(transcript.compress(kept, window, entries), within_share(blocks, window))
 
 
 def after_tool(messages: DataFrame, entries: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     """Stored decisions, then injection, then compression."""
     kept = transcript.reapply(messages, entries).drop("replaced").withColumn("tokens", tx.tokens(F.col("content"))).select(*messages.columns)
-    return transcript.compress(inject(kept, blocks), window, entries)
+    return transcript.compress(inject(kept, within_share(blocks, window)), window, entries)

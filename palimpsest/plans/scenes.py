@@ -14,8 +14,9 @@ from datetime import datetime
 
 from pyarrow import fs as pafs
 
+from ..sources.files import INDEX, META_END, META_START
+
 KEEP_BACKUPS = 10
-_META = re.compile(r"\s*-----META-START-----\s*\n(.*?)\n-----META-END-----\s*\n?(.*)", re.S)
 _SIGNAL = re.compile(r"\[PERSONA_UPDATE(?::\s*(.*?))?\]", re.S)
 
 
@@ -30,10 +31,14 @@ class Scene:
 
     @classmethod
     def parse(cls, filename: str, raw: str) -> Scene:
-        found = _META.fullmatch(raw)
-        meta = dict(re.findall(r"^(\w+):[ \t]*(.*)$", found[1], re.M)) if found else {}
-        heat = meta.get("heat", "").strip()
-        return cls(filename, meta.get("summary", "").strip(), int(heat) if re.fullmatch(r"-?\d+", heat) else 0, meta.get("created", "").strip(), meta.get("updated", "").strip(), found[2] if found else raw)
+        """By the rules of :func:`palimpsest.sources.files.parse_scenes`."""
+        a, b = raw.find(META_START), raw.find(META_END)
+        if a < 0 or b < a:
+            return cls(filename, "", 0, "", "", raw.strip())
+        lines = raw[a + len(META_START) : b].strip().splitlines()
+        field = lambda name: next((x[len(name) + 1 :].strip() for x in lines if x.startswith(f"{name}:")), "")
+        heat = field("heat")
+        return cls(filename, field("summary"), int(heat) if re.fullmatch(r"[+-]?\d+", heat) else 0, field("created"), field("updated"), raw[b + len(META_END) :].strip())
 
 
 def normal_name(name: str) -> str:
@@ -99,7 +104,8 @@ class Folder:
 
     def write_index(self) -> list[dict]:
         index = [{k: getattr(s, k) for k in ("filename", "summary", "heat", "created", "updated")} for s in self.scenes()]
-        self._write("scene_index.json", json.dumps(index, ensure_ascii=False, indent=1))
+        self.fs.create_dir(f"{self.base}/.metadata", recursive=True)
+        self._write(INDEX, json.dumps(index, ensure_ascii=False, indent=1))
         return index
 
     def navigation(self) -> str:

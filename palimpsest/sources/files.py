@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as tx
 
-_META = r"(?s)^\s*-----META-START-----\s*\n(.*?)\n-----META-END-----\s*\n?(.*)$"
+#: The index of scenes, below a memory folder.
+INDEX = ".metadata/scene_index.json"
+META_START, META_END = "-----META-START-----", "-----META-END-----"
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -17,10 +19,18 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_scenes(files: DataFrame) -> DataFrame:
-    """(filename, summary, heat, created, updated, body); a file without a header is all body."""
-    meta, has = F.regexp_extract("raw", _META, 1), F.col("raw").rlike(_META)
-    field = lambda name: tx.strip(F.regexp_extract(meta, rf"(?m)^{name}:[ \t]*(.*)$", 1))
-    return files.select("filename", field("summary").alias("summary"), F.coalesce(field("heat").try_cast("long"), F.lit(0).cast("long")).alias("heat"), field("created").alias("created"), field("updated").alias("updated"), F.when(has, F.regexp_extract("raw", _META, 2)).otherwise(F.col("raw")).alias("body"))
+    """(filename, summary, heat, created, updated, body) of (filename, raw).
+
+    A header is between the first start and the first end mark, wherever they are; what follows
+    it is the body.  A file without both marks is all body."""
+    raw = F.col("raw")
+    a, b = F.locate(META_START, raw), F.locate(META_END, raw)
+    has = (a > 0) & (b > a)
+    meta = tx.strip(F.substring(raw, a + len(META_START), b - a - len(META_START)))
+    own = lambda name: F.get(F.filter(F.split(meta, "\r?\n"), lambda x: x.startswith(f"{name}:")), F.lit(0))
+    field = lambda name: F.when(has, F.coalesce(tx.strip(F.substring(own(name), F.lit(len(name) + 2), F.length(raw))), F.lit(""))).otherwise("")
+    body = tx.strip(F.when(has, F.substring(raw, b + len(META_END), F.length(raw))).otherwise(raw))
+    return files.select("filename", field("summary").alias("summary"), F.coalesce(field("heat").try_cast("long"), F.lit(0).cast("long")).alias("heat"), field("created").alias("created"), field("updated").alias("updated"), body.alias("body"))
 
 
 def format_scene(summary: Column, heat: Column, created: Column, updated: Column, body: Column) -> Column:
@@ -33,8 +43,13 @@ def scenes(spark: SparkSession, base_dir: str) -> DataFrame:
     return parse_scenes(files.where(~tx.strip(F.col("raw")).isin("", "[DELETED]"))).where(tx.strip(F.col("body")) != "")
 
 
-def scene_index(spark: SparkSession, path: str) -> DataFrame:
-    """An index in JSON; entries without a filename are dropped."""
+def scene_index(spark: SparkSession, base_dir: str) -> DataFrame:
+    """The index of a memory folder; entries without a filename are dropped, and a missing or
+    malformed file has none."""
+    path = f"{base_dir}/{INDEX}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        return spark.createDataFrame([], schemas.SCENE_INDEX)
     return spark.read.schema(schemas.SCENE_INDEX).option("multiLine", True).json(path).where("filename <> ''")
 
 
@@ -80,13 +95,21 @@ def read_seed(spark: SparkSession, path: str, fallback_key: str = "seed") -> Dat
 
 
 def fill_times(seed: DataFrame, start_ms: int) -> DataFrame:
-    """Messages 100 ms apart in order, if no time is given; a mixture becomes an error."""
+    """Messages 100 ms apart in order, if no time is given; a mixture becomes an error.
+
+    The place of a message among all is that in its session, after the messages of the sessions
+    before; the table of sessions is what is put in one order."""
     from pyspark.sql import Window
 
-    given = seed.agg(F.count("timestamp").alias("g"), F.count(F.lit(1)).alias("n"))
-    n = F.row_number().over(Window.orderBy("session", "round", "place")) - 1  # a seed is one file
-    rows = seed.crossJoin(F.broadcast(given)).withColumn("error", F.coalesce("error", F.when((F.col("g") > 0) & (F.col("g") < F.col("n")), "some messages have times and some do not")))
-    return rows.withColumn("timestamp", F.when(F.col("g") == 0, start_ms + 100 * n).otherwise(F.col("timestamp"))).drop("g", "n")
+    counts = seed.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.count("timestamp").alias("g"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = counts.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    given, size = int(total[0]), int(total[1])
+    rows = seed.join(counts.select(F.col("session").alias("_s"), before.alias("_before")), F.col("session").eqNullSafe(F.col("_s")))
+    n = F.row_number().over(Window.partitionBy("session").orderBy("round", "place")) - 1
+    mixed = F.when(F.lit(0 < given < size), "some messages have times and some do not")
+    filled = F.lit(start_ms) + 100 * (F.col("_before") + n) if given == 0 else F.col("timestamp")
+    return rows.withColumns({"error": F.coalesce("error", mixed), "timestamp": filled.cast("long")}).drop("_s", "_before")
 
 
 def round_keys(seed: DataFrame) -> DataFrame:

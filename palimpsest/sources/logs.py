@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text as tx
 
 
 def _jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,8 +63,30 @@ def append_entries(entries: DataFrame, path: str) -> None:
     entries.where(F.coalesce(F.col("tool_call_id"), F.lit("")) != "").write.mode("append").json(path)
 
 
-def degraded_summary(tool: Column, params: Column, result: Column, most: int = 299) -> Column:
-    """The row for a tool pair that could not be summarised: a compact call and its result's head."""
-    call = F.concat(tool, F.lit("("), params, F.lit(")"))
-    short = lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, most), F.lit("…")))
-    return F.concat(short(call), F.lit(" → "), short(result))
+def rewrite_entries(entries: DataFrame, path: str) -> None:
+    """Replace an entry log by a whole one; it is written beside the old and then takes its place."""
+    spark = entries.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    staged = f"{path.rstrip('/')}.staged"
+    entries.where(F.coalesce(F.col("tool_call_id"), F.lit("")) != "").write.mode("overwrite").json(staged)
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(staged), hadoop(path)):
+        raise OSError(f"{staged} could not take the place of {path}")
+
+
+def mark_entries(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """Keep decisions (tool_call_id, offloaded) in an entry log; it is only rewritten if one changes."""
+    from ..operators.joins import mark_status
+
+    old = spark.read.schema(schemas.OFFLOAD_ENTRY).json(path)
+    new = mark_status(old, updates)
+    if not new.exceptAll(old).isEmpty():
+        rewrite_entries(new, path)
+
+
+def degraded_summary(tool: Column, params: Column, result: Column) -> Column:
+    """(tool_call, summary) for a tool pair that could not be summarised: a short call and its result's head."""
+    call = F.concat(tool, F.lit("("), tx.truncate_chars(F.coalesce(params, F.lit("")), 200, "..."), F.lit(")"))
+    summary = F.concat(F.lit("[L1 degraded] "), tool, F.lit(": "), tx.truncate_chars(F.coalesce(result, F.lit("")), 300, "..."))
+    return F.struct(call.alias("tool_call"), summary.alias("summary"))

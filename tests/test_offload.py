@@ -31,7 +31,7 @@ def test_answers_must_match_the_question(spark):
         return [{"tool_call_id": a["tool_call_id"], "summary": "did " + a["result"], "score": 7} for a in asked]
 
     got = {r.tool_call_id: (r.summary, r.score) for r in offload.summarise(offload.ready(pairs(spark, 10), none(spark)), call).collect()}
-    assert got["c03"] == ("did out 3", 7.0) and got["c07"] == (offload.DEGRADED + "run: out 7", 1.0) and len(got) == 10
+    assert got["c03"] == ("did out 3", 7.0) and got["c07"] == (offload.DEGRADED + "run: out 7", 0.0) and len(got) == 10
 
 
 def test_boundaries_and_candidates(spark):

@@ -22,7 +22,7 @@ def test_parse_clean_rename_index(folder):
     assert folder.clean() == 1
     assert folder.rename() == {"my  scene?.md": "my-scene-2.md"}
     assert [s["filename"] for s in folder.write_index()] == ["a.md", "b.md", "my-scene-2.md", "my-scene.md"]
-    assert json.loads(folder._read("scene_index.json"))[1]["heat"] == 50
+    assert json.loads(folder._read(".metadata/scene_index.json"))[1]["heat"] == 50
     assert folder.navigation().splitlines()[1].startswith("- b.md (50) about b")
 
 
@@ -59,3 +59,22 @@ def test_backups_keep_the_newest(folder):
         folder.backup(f"{k}", keep=2)
     left = folder.fs.get_file_info(scenes.pafs.FileSelector(f"{folder.base}/.backup/scene_blocks"))
     assert sorted(f.base_name for f in left) == ["3", "4"]
+
+
+def test_headers_are_found_anywhere(spark):
+    from palimpsest.sources import files
+
+    raws = ["intro\n" + RAW.format("x", 7) + "  tail  ", "no header \n", "-----META-END-----\nx-----META-START-----", "-----META-START-----heat: 3\nsummary:  two words \n-----META-END-----  body", "-----META-START-----\nheat: many\n-----META-END-----", ""]
+    got = files.parse_scenes(spark.createDataFrame(list(enumerate(raws)), "filename int, raw string")).orderBy("filename").collect()
+    for r, raw in zip(got, raws, strict=True):
+        s = scenes.Scene.parse(r.filename, raw)
+        assert (r.summary, r.heat, r.created, r.updated, r.body) == (s.summary, s.heat, s.created, s.updated, s.body)
+    assert (got[0].heat, got[0].summary, got[0].body) == (7, "about x", "body of x\n  tail") and got[3].summary == "two words" and got[1].body == "no header"
+
+
+def test_missing_index(spark, tmp_path, folder):
+    from palimpsest.sources import files
+
+    assert files.scene_index(spark, f"file://{tmp_path}").count() == 0
+    folder.write_index()
+    assert sorted(r.filename for r in files.scene_index(spark, f"file://{tmp_path}").collect()) == ["a.md", "b.md"]
