@@ -466,10 +466,16 @@ def repair_json(text: Column) -> Column:
     return F.regexp_replace(strip(text), ",\\s*([}\\]])", "$1")
 
 
+def json_value(text: Column) -> Column:
+    """The one JSON value that a text is, as a variant; null if it is none or has more in it."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(held, "$[1]", "variant").isNull(), F.try_variant_get(held, "$[0]", "variant"))
+
+
 def extract_json(text: Column) -> Column:
     """The first of: the whole text, a fenced block, {…}, […], each also repaired, that is JSON."""
     tries = [strip(text), F.nullif(F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1), F.lit("")), F.nullif(F.regexp_extract(text, "(?s)(\\{.*\\})", 1), F.lit("")), F.nullif(F.regexp_extract(text, "(?s)(\\[.*\\])", 1), F.lit(""))]
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), strip(x))
+    valid = lambda x: F.when(json_value(x).isNotNull(), strip(x))
     return F.coalesce(*(valid(t) for t in tries), *(valid(repair_json(t)) for t in tries))
 
 

@@ -16,7 +16,8 @@ SCORE = 5.0
 def _json(answers: DataFrame, text_col: str) -> tuple[list[str], DataFrame]:
     """The key columns, and the answers with ``_v``: the JSON of the text as a variant, or null."""
     keys = [c for c in answers.columns if c != text_col]
-    return keys, answers.withColumn("_v", F.try_parse_json(tx.extract_json(F.col(text_col))))
+    found = answers.select("*", F.explode(F.array(tx.extract_json(F.col(text_col)))).alias("_j"))  # made once for all that is read of it
+    return keys, found.select("*", F.explode(F.array(F.try_parse_json("_j"))).alias("_v")).drop("_j")
 
 
 def _as(v: Column, path: str, kinds: tuple[str, ...], target: str) -> Column:

@@ -6,16 +6,20 @@ Scores are rounded to nine digits, as engines differ in the order of sums.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import messages
 from .functions import text as tx
 from .functions import vectors as vec
-from .operators import extract, joins, query, search, store, transcript, triggers
+from .operators import answers, extract, joins, query, schedule, search, store, transcript, triggers, upkeep
 from .plans import offload, views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
+from .sources import export, files, logs
 from .streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -826,6 +830,448 @@ def scl_d05_retention_cutoff(spark, sf):
     return read(spark, sf, "events").select("event_id", tx.retention_cutoff(F.unix_millis(F.col("ts").cast("timestamp")), "UTC", 7).alias("cutoff"))
 
 
+# ---- logs, stores and files
+
+
+def _work(spark, name: str) -> str:
+    """A new folder where all executors can write."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+    return f"{base.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
+
+
+@register(f"WITH {L0_SQL} SELECT record_id, session_key, role, md5(message_text) AS content, recorded_at, timestamp FROM l0")
+def src01_messages_log(spark, sf):
+    path = _work(spark, "messages")
+    logs.append_messages(views.l0(spark, sf), path)
+    return logs.read_messages(spark, path).select("record_id", "session_key", "role", F.md5("message_text").alias("content"), "recorded_at", "timestamp")
+
+
+@register(f"WITH {L1_SQL} SELECT record_id, md5(content) AS content, type, priority, scene_name, timestamp_start, timestamp_end, updated_time FROM l1")
+def src02_facts_log(spark, sf):
+    path = _work(spark, "facts")
+    logs.append_facts(views.l1(spark, sf), path)
+    return logs.read_facts(spark, path).select("record_id", F.md5("content").alias("content"), "type", "priority", "scene_name", "timestamp_start", "timestamp_end", "updated_time")
+
+
+@register("SELECT 'c' || doc_id AS tool_call_id, md5(text) AS summary FROM documents WHERE doc_id % 7 <> 0")
+def src03_entries(spark, sf):
+    path = _work(spark, "entries")
+    logs.append_entries(read(spark, sf, "documents").select(F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("c"), "doc_id")).alias("tool_call_id"), F.md5("text").alias("summary")), path)
+    return logs.read_entries(spark, path).select("tool_call_id", "summary")
+
+
+@register("SELECT count(*) AS n, sum(cast(json_extract_string(props, '$.k') AS bigint)) AS k FROM events WHERE event_id % 3 <> 0")
+def src04_values(spark, sf):
+    path = _work(spark, "values")
+    read(spark, sf, "events").select(F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(",}"))).otherwise(F.col("props")).alias("value")).write.text(path)
+    return logs.read_values(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.try_variant_get("value", "$.k", "bigint")).alias("k"))
+
+
+@register("SELECT doc_id AS filename, source AS summary, n_chars AS heat, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS body, CASE WHEN doc_id % 2 = 0 THEN 'c' || doc_id ELSE '' END AS created FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, '', 0, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))), '' FROM documents WHERE doc_id % 3 = 0")
+def src05_scenes(spark, sf):
+    i = F.col("doc_id")
+    created = F.when(i % 2 == 0, F.concat(F.lit("created:  c"), i, F.lit(" \n"))).otherwise("")
+    head = F.concat(F.lit("before\n-----META-START-----\n"), created, F.lit("summary: "), "source", F.lit("\nheat: "), "n_chars", F.lit("\n-----META-END-----\n"))
+    raw = F.when(i % 3 > 0, F.concat(head, "text")).otherwise(F.col("text"))
+    found = files.parse_scenes(read(spark, sf, "documents").select(i.alias("filename"), raw.alias("raw")))
+    return found.select("filename", "summary", "heat", F.md5("body").alias("body"), "created")
+
+
+@register(f"WITH {L1_SQL}, {L0_SQL} SELECT 'l1' AS layer, record_id, md5(content) AS t, updated_time AS at FROM l1 UNION ALL SELECT 'l0', record_id, md5(message_text), recorded_at FROM l0")
+def src07_reindex_rows(spark, sf):
+    a = views.l1(spark, sf).select(F.lit("l1").alias("layer"), "record_id", F.md5("content").alias("t"), F.col("updated_time").alias("at"))
+    return a.union(views.l0(spark, sf).select(F.lit("l0"), "record_id", F.md5("message_text"), "recorded_at"))
+
+
+@register(f"WITH {L0_SQL} SELECT record_id, CASE WHEN timestamp % 3000 = 0 THEN 'new' ELSE md5(message_text) END AS content, role FROM l0")
+def snk03_upsert_l0(spark, sf):
+    old = views.l0(spark, sf)
+    new = old.where(F.col("timestamp") % 3000 == 0).withColumns({"message_text": F.lit("new"), "role": F.lit("other")})
+    out = store.upsert_l0(old, new)
+    return out.select("record_id", F.when(F.col("message_text") == "new", "new").otherwise(F.md5("message_text")).alias("content"), "role")
+
+
+@register("SELECT event_id, 'refs/' || replace(regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '[:.]', '-', 'g') || '-' || event_type || '/x-' || event_id, '[<>:\"/\\\\|?*]', '_', 'g'), '..', '_') || '.md' AS ref FROM events")
+def snk09_reference(spark, sf):
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return read(spark, sf, "events").select("event_id", export.reference(at, F.concat("event_type", F.lit("/x")), F.col("event_id")).alias("ref"))
+
+
+@register("SELECT 'a_' || doc_id AS tool_call_id, CASE WHEN l.doc_id IS NOT NULL THEN 'deleted' WHEN d.doc_id % 2 = 0 THEN 'true' END AS offloaded FROM documents d LEFT JOIN labels l USING (doc_id)")
+def snk10_mark_status(spark, sf):
+    e = read(spark, sf, "documents").select(F.concat(F.lit("a_"), "doc_id").alias("tool_call_id"), F.when(F.col("doc_id") % 2 == 0, "true").alias("offloaded"))
+    return joins.mark_status(e, read(spark, sf, "labels").select(F.concat(F.lit("a"), "doc_id").alias("tool_call_id"), F.lit("deleted").alias("offloaded")))
+
+
+@register("SELECT o_custkey AS session_key, count(*) AS n, 'old' AS v FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_custkey UNION ALL SELECT c_custkey, c_nationkey, 'new' FROM customer WHERE c_custkey % 3 = 0")
+def snk12_merge_states(spark, sf):
+    old = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("session_key")).agg(F.count(F.lit(1)).alias("n"), F.lit("old").alias("v"))
+    new = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("session_key"), F.col("c_nationkey").cast("long").alias("n"), F.lit("new").alias("v"))
+    return store.merge_states(old, new)
+
+
+@register("SELECT cast(c_custkey AS varchar) AS session_key, 's' || CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS session_id, 'offload-s' || CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 100 ELSE c_nationkey END || '.jsonl' AS offload_file, CASE WHEN c_custkey % 2 = 0 THEN 't2' ELSE 't1' END AS updated_at FROM customer")
+def snk15_register_sessions(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_key"), "c_custkey", "c_nationkey")
+    one = upkeep.register_sessions(spark.createDataFrame([], upkeep.REGISTRY), c.select("session_key", F.concat(F.lit("s"), "c_nationkey").alias("session_id")), F.lit("t1"))
+    return upkeep.register_sessions(one, c.where("c_custkey % 2 = 0").select("session_key", F.concat(F.lit("s"), F.col("c_nationkey") + 100).alias("session_id")), F.lit("t2"))
+
+
+@register(f"WITH {L1_SQL} SELECT record_id, CASE WHEN record_id = '7' THEN 'changed' ELSE md5(content) END AS content, CASE WHEN record_id = '7' THEN 't' ELSE updated_time END AS updated_time, type FROM l1")
+def snk21_update_fact(spark, sf):
+    old = views.l1(spark, sf)
+    out = store.upsert_l1(old, upkeep.update_content(old, "7", "changed", "t"))
+    return out.select("record_id", F.when(F.col("content") == "changed", "changed").otherwise(F.md5("content")).alias("content"), "updated_time", "type")
+
+
+@register("""WITH f AS (SELECT 'a' || c_nationkey AS agent, c_custkey AS k, c_custkey % 4 AS m, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey * 1000000 END AS mt FROM customer),
+    o AS (SELECT *, mt < 1000000000 - 7 * 86400000 AS old, count(*) FILTER (m = 2) OVER (PARTITION BY agent) AS size FROM f),
+    d AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY mt, k || '.mmd') AS n FROM o WHERE m = 2 AND old AND k % 3 > 0)
+    SELECT agent, k, 'entries' AS kind FROM o WHERE m = 0 AND old UNION ALL SELECT agent, k, 'reference' FROM o WHERE m = 1 AND old AND k % 2 > 0 AND k % 3 > 0 UNION ALL SELECT agent, k, 'diagram' FROM d WHERE n <= size - 15""")
+def snk24_offload_waste(spark, sf):
+    k, agent = F.col("c_custkey"), F.concat(F.lit("a"), "c_nationkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("offload-"), k, F.lit(".jsonl"))).when(k % 4 == 1, F.concat(k, F.lit(".md"))).when(k % 4 == 2, F.concat(k, F.lit(".mmd"))).otherwise("state.json")
+    folder = F.when(k % 4 == 1, "refs/").when(k % 4 == 2, "mmds/").otherwise("")
+    at = F.when(k % 5 == 0, 0).otherwise(k * 1_000_000)
+    f = read(spark, sf, "customer").select(agent.alias("agent"), F.concat(F.lit("/"), agent, F.lit("/"), folder, name).alias("path"), name.alias("name"), at.cast("long").alias("modified"), k.alias("k"))
+    third = f.where("k % 3 = 0").select("agent", "name")
+    return upkeep.offload_waste(f, third, third, 1_000_000_000, 7).select("agent", "k", "kind")
+
+
+@register("SELECT count(*) AS scanned_files, count(*) FILTER (o_orderkey % 5 > 0 AND o_orderdate < DATE '1995-06-01') AS changed_files, count(*) FILTER (o_orderkey % 5 = 0) AS skipped_files FROM orders WHERE o_orderkey % 7 > 0")
+def agg18_cleanup_counts(spark, sf):
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("notes"), F.when(k % 7 == 0, ".txt").otherwise(".jsonl"))
+    shards = upkeep.expired_shards(read(spark, sf, "orders").select(k.cast("string").alias("path"), name.alias("name")), "1995-06-01")
+    return upkeep.cleanup_counts(shards).select("scanned_files", "changed_files", "skipped_files")
+
+
+# ---- searches by what they find
+
+
+@register(f"WITH {L1_SQL}, {_bm25_sql('l1', 'content', 1_000_000_000)} SELECT record_id, round(rank, 9) AS rank FROM r")
+def flt29_keyword_ranks(spark, sf):
+    return search.keyword_ranks(views.l1(spark, sf), ASKED, "content").select("record_id", F.round("rank", 9).alias("rank"))
+
+
+_L0_KNN_SQL = f"""{L0_SQL}, e AS (SELECT vec_id || '-0' AS record_id, cast(embedding AS double[]) AS v FROM embeddings),
+    kn AS (SELECT a.record_id, 1 - list_cosine_similarity(a.v, b.v) AS distance FROM e a, e b WHERE b.record_id = '7-0' ORDER BY distance, a.record_id LIMIT 40),
+    ok AS (SELECT record_id, distance FROM kn JOIN l0 USING (record_id) ORDER BY distance, record_id LIMIT 30)"""
+
+
+def _message_vectors(spark, sf):
+    return views.vectors(spark, sf).withColumn("record_id", F.concat("record_id", F.lit("-0")))
+
+
+@register(f"WITH {_L0_KNN_SQL} SELECT record_id, round(1 - distance, 7) AS score, 'embedding' AS strategy FROM ok ORDER BY distance, record_id LIMIT 10")
+def top04_conversation_vectors(spark, sf):
+    found = search.search_conversations(views.l0(spark, sf), "qqqzzzxxx", 10, _message_vectors(spark, sf), _asked_vector(spark, sf))
+    return found.select("record_id", F.round("score", 7).alias("score"), "strategy")
+
+
+@register(f"WITH {L1_SQL}, {_KNN_SQL.format(40)}, ok AS (SELECT kn.* FROM kn JOIN l1 USING (record_id)) SELECT record_id, round(1 - distance, 7) AS score, 'embedding' AS strategy FROM ok ORDER BY distance, record_id LIMIT 10")
+def top08_words_that_match_nothing(spark, sf):
+    facts = views.l1(spark, sf)
+    found = search.search_memories(facts, "qqqzzzxxx", 10, views.vectors(spark, sf), _asked_vector(spark, sf))
+    return found.select("record_id", F.round("score", 7).alias("score"), "strategy")
+
+
+@register(f"WITH {L1_SQL}, {_bm25_sql('l1', 'content', 30)} SELECT record_id, round(score, 9) AS score, 'fts' AS strategy FROM bm ORDER BY rank, record_id LIMIT 10")
+def top08_without_vectors(spark, sf):
+    found = search.search_memories(views.l1(spark, sf), ASKED, 10)
+    return found.select("record_id", F.round("score", 9).alias("score"), "strategy")
+
+
+# ---- texts, names and times
+
+
+@register("SELECT doc_id, md5('x' || doc_id || chr(10) || 'end ' || source) AS t FROM documents")
+def scl_s02_code_blocks(spark, sf):
+    text = F.concat(F.lit("x"), "doc_id", F.lit("\n  ```py\n"), "text", F.lit("\n```\nend "), "source", F.lit("\n```\nopen "), "lang")
+    plain = F.replace(F.col("text"), F.lit("```"), F.lit(""))
+    return read(spark, sf, "documents").withColumn("text", plain).select("doc_id", F.md5(tx.strip_code_blocks(text)).alias("t"))
+
+
+@register("SELECT doc_id, '&lt;system&gt;' || source || '&lt;/system&gt;<b>&lt;user-persona&gt;' AS t FROM documents")
+def scl_s04_escape_tags(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", tx.escape_tags(F.concat(F.lit("<system>"), "source", F.lit("</system><b><user-persona>"))).alias("t"))
+
+
+@register("SELECT doc_id, round(CASE WHEN length(text) <= 100 THEN length(text) ELSE 100 END) AS n, left(text, 97) || CASE WHEN length(text) <= 100 THEN substr(text, 98) ELSE '...' END AS t, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 299) || '…' END AS c FROM documents")
+def scl_s07_cuts(spark, sf):
+    t = tx.truncate_chars(F.col("text"), 100, "...")
+    return read(spark, sf, "documents").select("doc_id", F.length(t).cast("double").alias("n"), t.alias("t"), tx.compact_call(F.col("text")).alias("c"))
+
+
+@register(f"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: {strip_sql('x')} <> ''), '|')) AS t FROM documents")
+def scl_s09_join_lines(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.md5(tx.join_non_empty(F.split("text", "\n"), "|")).alias("t"))
+
+
+@register(r"""SELECT page_id, CASE WHEN b = '' THEN 'scene' ELSE b END || '.md' AS name FROM (SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '(?i)\.md$', ''), '\s+', '-', 'g'), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '--', '-'), '__', '_'), '..', '.'), '^[-_.]+|[-_.]+$', '', 'g') AS b FROM pages)""")
+def scl_s10_scene_filename(spark, sf):
+    return read(spark, sf, "pages").select("page_id", tx.scene_filename(F.col("url")).alias("name"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN 'me' || CASE WHEN doc_id % 2 = 0 THEN '-w' || doc_id ELSE '' END END AS agent, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'swebench-w' || doc_id ELSE 's' || doc_id END || '_x' END AS session FROM documents")
+def scl_s14_session_key(spark, sf):
+    i = F.col("doc_id")
+    key = F.concat(F.when(i % 3 > 0, "agent:").otherwise("user:"), F.when(i % 5 > 0, "me:").otherwise(":"), F.when(i % 2 == 0, "swebench-w").otherwise("s"), i, F.lit(":x"))
+    return read(spark, sf, "documents").select(i, tx.parse_session_key(key).alias("p")).select("doc_id", "p.agent", "p.session")
+
+
+@register(f"SELECT doc_id, md5({strip_sql('text')}) AS t FROM documents WHERE NOT contains(text, '<scene-navigation>')")
+def scl_s17_navigation(spark, sf):
+    d = read(spark, sf, "documents").where(~F.col("text").contains("<scene-navigation>"))
+    return d.select("doc_id", F.md5(files.strip_navigation(F.concat("text", F.lit("\n\n<scene-navigation>\n- a\n</scene-navigation>")))).alias("t"))
+
+
+@register("SELECT doc_id, lang || '(' || CASE WHEN length(text) <= 200 THEN text ELSE left(text, 197) || '...' END || ')' AS tool_call, '[L1 degraded] ' || lang || ': ' || CASE WHEN length(text) <= 300 THEN text ELSE left(text, 297) || '...' END AS summary FROM documents")
+def scl_s18_degraded(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", logs.degraded_summary(F.col("lang"), F.col("text"), F.col("text")).alias("d")).select("doc_id", "d.tool_call", "d.summary")
+
+
+@register("SELECT doc_id, regexp_full_match(source, '(?is)SR.*1') AS hit FROM documents")
+def scl_s24_anchored_glob(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.col("source").rlike(tx.anchored_glob("SR*1")).alias("hit"))
+
+
+@register("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || chr(10) || 'new' || chr(10) || 'c' WHEN 1 THEN 'x' || chr(10) || 'b' || chr(10) || 'y' END AS t FROM customer")
+def scl_s26_splice(spark, sf):
+    k = F.col("c_custkey")
+    source = F.concat("c_name", F.lit("\nb\nc\n"))
+    block = lambda a, b, c: F.struct(F.lit(a).cast("long").alias("start_line"), F.lit(b).cast("long").alias("end_line"), F.lit(c).alias("content"))
+    blocks = F.when(k % 3 == 0, F.array(block(2, 2, "new"))).when(k % 3 == 1, F.array(block(1, 1, "x"), block(3, 3, "y"))).otherwise(F.array(block(3, 4, "z")))
+    return read(spark, sf, "customer").select(k, tx.splice_lines(source, blocks).alias("t"))
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS goal, '%%{\"taskGoal\": \"' || c_name || '\"}%%' || chr(10) || 'A[\"' || c_custkey || '\"]' AS outline FROM customer")
+def scl_s27_task_goal(spark, sf):
+    head = F.concat(F.lit('%%{"taskGoal": "'), "c_name", F.lit('"}%%\n'))
+    body = F.concat(head, F.lit('A["'), "c_custkey", F.lit('"]\nA --> B\n'))
+    shown = F.when(F.col("c_custkey") % 2 == 0, body).otherwise(F.concat(F.lit("flowchart\n"), body))
+    return read(spark, sf, "customer").select("c_custkey", offload.task_goal(shown).alias("goal"), tx.diagram_outline(body).alias("outline"))
+
+
+@register("SELECT doc_id, CASE WHEN length(text) <= 50 THEN text ELSE left(text, 50) END AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x{0}-\\x{FFFF}]')")
+def scl_s29_input_cap(spark, sf):
+    return read(spark, sf, "documents").where(~F.col("text").rlike("[^\\x{0}-\\x{FFFF}]")).select("doc_id", tx.cut_utf16(F.col("text"), 50).alias("t"))
+
+
+@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT12:30:00.5+02:00') END AS shown FROM events")
+def scl_d06_recall_time(spark, sf):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(day, F.lit("T00:00:59Z"))).when(F.col("event_id") % 3 == 1, F.concat(day, F.lit("T12:30:00.5+02:00"))).otherwise(F.concat(day, F.lit(" 12:30")))
+    return read(spark, sf, "events").select("event_id", tx.recall_time(value).alias("shown"))
+
+
+@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id * 7 WHEN 1 THEN epoch_ms(date_trunc('second', ts)) END AS ms FROM events")
+def scl_d10_parse_time(spark, sf):
+    i = F.col("event_id")
+    value = F.when(i % 3 == 0, (i * 7).cast("string")).when(i % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("some day")
+    return read(spark, sf, "events").select(i, tx.parse_time_ms(value).alias("ms"))
+
+
+@register("SELECT vec_id, len(list_filter(embedding, lambda x: x <> 0)) > 0 AND vec_id % 4 > 0 AS ok FROM embeddings")
+def scl_m03_nonzero(spark, sf):
+    e = F.when(F.col("vec_id") % 4 > 0, F.col("embedding")).otherwise(F.transform("embedding", lambda x: x * 0))
+    return read(spark, sf, "embeddings").select("vec_id", vec.nonzero(e).alias("ok"))
+
+
+@register("SELECT event_id, 'l0_' || user_id || '_' || epoch_us(ts) // 1000 || '_' || substr(sha256(user_id || chr(31) || epoch_us(ts) // 1000 || chr(31) || event_id), 1, 8) AS id FROM events")
+def scl_m09_record_id(spark, sf):
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    return read(spark, sf, "events").select("event_id", tx.record_id("l0", F.col("user_id"), at, F.col("event_id")).alias("id"))
+
+
+@register(f"WITH {TRANSCRIPT_SQL}, s AS (SELECT session_id, cast(sum(tokens) + ceil(count(*) * 0.5) + 50 AS bigint) AS tokens FROM t GROUP BY session_id) SELECT *, CASE WHEN tokens >= 380 THEN 'emergency' WHEN tokens >= 340 THEN 'aggressive' WHEN tokens >= 200 THEN 'mild' ELSE 'none' END AS level FROM s")
+def scl_m10_level(spark, sf):
+    return transcript.level(views.transcript(spark, sf), 400, 50)
+
+
+# ---- JSON
+
+
+def _array(*columns):
+    return F.to_json(F.array(F.struct(*columns)))
+
+
+@register("SELECT doc_id, md5(source) AS source, n_chars AS n FROM documents")
+def scl_j01_repair(spark, sf):
+    broken = F.concat(F.lit("```json\n{\"s\": "), F.to_json(F.array("source")), F.lit(", \"n\": "), "n_chars", F.lit(" ,\n}\n```"))
+    j = tx.repair_json(broken)
+    return read(spark, sf, "documents").select("doc_id", F.md5(F.get_json_object(j, "$.s[0]")).alias("source"), F.get_json_object(j, "$.n").cast("long").alias("n"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN source END AS s FROM documents")
+def scl_j02_extract(spark, sf):
+    i, obj = F.col("doc_id"), F.to_json(F.struct(F.col("source").alias("s")))
+    text = F.when(i % 4 == 0, obj).when(i % 4 == 1, F.concat(F.lit("Here it is:\n```json\n"), obj, F.lit("\n```\nDone"))).when(i % 4 == 2, F.concat(F.lit("so "), obj, F.lit(" it is"))).otherwise("nothing at all")
+    return read(spark, sf, "documents").select(i, F.get_json_object(tx.extract_json(text), "$.s").alias("s"))
+
+
+@register("SELECT doc_id, md5(text) AS content, ['persona', 'episodic', 'instruction'][doc_id % 4 + 1] AS type, CASE WHEN doc_id % 2 = 0 THEN 70.5 ELSE 50.0 END::double AS priority, CASE WHEN doc_id % 3 = 0 THEN '未知情境' ELSE source END AS scene_name FROM documents WHERE doc_id % 4 < 3 AND trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
+def scl_j03_memories(spark, sf):
+    i = F.col("doc_id")
+    kind = F.get(F.array(F.lit("preference"), F.lit(None), F.lit("instruct"), F.lit("odd")), F.pmod(i, F.lit(4)).cast("int"))
+    m = F.struct(F.col("text").alias("content"), kind.alias("type"), F.when(i % 2 == 0, 70.5).alias("priority"))
+    answer = F.concat(F.lit("Sure. "), F.to_json(F.array(F.struct(F.when(i % 3 > 0, F.col("source")).alias("scene_name"), F.array(m).alias("memories")))), F.lit(" ok"))
+    return extract.parse_memories(read(spark, sf, "documents").select(i, answer.alias("answer"))).select("doc_id", F.md5("content").alias("content"), "type", "priority", "scene_name")
+
+
+@register("SELECT doc_id, 'r' || doc_id AS record_id, ['store', 'skip', 'update', 'merge'][doc_id % 5 + 1] AS action, CASE WHEN doc_id % 2 = 0 THEN 'persona' END AS merged_type FROM documents WHERE doc_id % 5 < 4")
+def scl_j04_decisions(spark, sf):
+    i = F.col("doc_id")
+    action = F.get(F.array(*(F.lit(x) for x in ("store", "skip", "update", "merge", "odd"))), F.pmod(i, F.lit(5)).cast("int"))
+    answer = _array(F.concat(F.lit("r"), i).alias("record_id"), action.alias("action"), F.when(i % 2 == 0, "preference").alias("merged_type"))
+    return extract.parse_decisions(read(spark, sf, "documents").select(i, answer.alias("answer"))).select("doc_id", "record_id", "action", "merged_type")
+
+
+@register("SELECT doc_id, 'c' || doc_id AS tool_call_id, source AS summary, CASE WHEN doc_id % 2 = 0 THEN 7.5 ELSE 5.0 END::double AS score FROM documents WHERE doc_id % 3 > 0")
+def scl_j05_summaries(spark, sf):
+    i = F.col("doc_id")
+    answer = F.concat(F.lit("```json\n"), _array(F.when(i % 3 > 0, F.concat(F.lit("c"), i)).alias("tool_call_id"), F.col("source").alias("summary"), F.when(i % 2 == 0, 7.5).alias("score")), F.lit("\n```"))
+    return answers.summaries(read(spark, sf, "documents").select(i, answer.alias("answer"))).select("doc_id", "tool_call_id", "summary", "score")
+
+
+@register("SELECT doc_id, doc_id % 2 = 0 AS task_completed, doc_id % 3 = 0 AS is_long_task, CASE WHEN doc_id % 3 > 0 THEN source END AS new_label FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def scl_j05_judgements(spark, sf):
+    i = F.col("doc_id")
+    answer = F.to_json(F.struct(F.when(i % 2 == 0, True).alias("taskCompleted"), F.when(i % 3 == 0, True).alias("isLongTask"), F.when(i % 3 > 0, F.col("source")).alias("newTaskLabel")))
+    return answers.judgements(read(spark, sf, "documents").select(i, answer.alias("answer"))).select("doc_id", "task_completed", "is_long_task", "new_label")
+
+
+@register("SELECT doc_id, doc_id % 2 = 0 AS replace, CASE WHEN doc_id % 2 = 1 THEN 'flowchart ' || source END AS content, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS start_line, 'n' || doc_id AS node FROM documents")
+def scl_j05_diagrams(spark, sf):
+    i = F.col("doc_id")
+    block = F.struct(i.cast("string").alias("start_line"), (i + 1).alias("end_line"), F.lit("x").alias("content"))
+    answer = F.to_json(F.struct(F.when(i % 2 == 0, "replace").alias("file_action"), F.when(i % 2 == 1, F.concat(F.lit("```mermaid\nflowchart "), "source", F.lit("\n```"))).alias("mmd_content"), F.when(i % 2 == 0, F.array(block)).alias("replace_blocks"), F.create_map(F.lit("a"), F.concat(F.lit("n"), i)).alias("node_mapping")))
+    out = answers.diagrams(read(spark, sf, "documents").select(i, answer.alias("answer")))
+    return out.select("doc_id", "replace", "content", F.coalesce(F.get("blocks", F.lit(0))["start_line"], F.lit(0)).alias("start_line"), F.col("nodes")["a"].alias("node"))
+
+
+def _raw_messages(spark, sf):
+    """Turns as JSON messages: plain, in blocks, and wrapped."""
+    c = read(spark, sf, "conversations")
+    kind = F.col("turn") % 3
+    call = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t_"), "turn").alias("id")))
+    text = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    plain = F.to_json(F.struct("role", F.col("text").alias("content"), F.lit(1).alias("details")))
+    blocks = F.concat(F.lit('{"role": "assistant", "content": ['), text, F.lit(","), call, F.lit("]}"))
+    tool = F.concat(F.lit('{"message": {"role": "tool", "toolCallId": "t'), "turn", F.lit('", "content": '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit("}}"))
+    return c.select("conv_id", "turn", "text", F.when(kind == 0, plain).when(kind == 1, blocks).otherwise(tool).alias("m"))
+
+
+@register("SELECT conv_id, turn, md5(text) AS content, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN 'assistant' ELSE 'tool' END AS role, CASE WHEN turn % 3 = 2 THEN 't' || turn END AS tool, CASE WHEN turn % 3 = 1 THEN 't_' || turn ELSE '' END AS calls FROM conversations")
+def scl_j06_message_views(spark, sf):
+    m = F.col("m")
+    return _raw_messages(spark, sf).select("conv_id", "turn", F.md5(messages.text_content(m)).alias("content"), messages.role(m).alias("role"), messages.result_id(m).alias("tool"), F.array_join(messages.call_ids(m), ",").alias("calls"))
+
+
+@register("SELECT event_id, event_id % 6 IN (1, 3, 5) AS ok FROM events")
+def scl_j07_truth(spark, sf):
+    value = F.get(F.array(*(F.lit(x) for x in ("0", "true", '""', '"x"', "[]", "[0]"))), F.pmod("event_id", F.lit(6)).cast("int"))
+    return read(spark, sf, "events").select("event_id", messages.truthy(value).alias("ok"))
+
+
+@register("SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 THEN 'note ' || turn ELSE text END) AS content, CASE WHEN turn % 3 = 2 THEN 'true' END AS marked FROM conversations")
+def scl_j10_replaced(spark, sf):
+    rows = _raw_messages(spark, sf).withColumn("m", messages.replace_result(F.col("m"), F.concat(F.lit("note "), "turn"), F.concat(F.lit("t_"), "turn")))
+    return rows.select("conv_id", "turn", F.md5(messages.text_content(F.col("m"))).alias("content"), F.get_json_object("m", "$._offloaded").alias("marked"))
+
+
+@register("SELECT conv_id, turn, true AS clean FROM conversations")
+def prj04_tracked(spark, sf):
+    return _raw_messages(spark, sf).select("conv_id", "turn", F.get_json_object(messages.tracked(F.col("m")), "$.details").isNull().alias("clean"))
+
+
+# ---- decisions on transcripts, and states of sessions
+
+
+@register("WITH e AS (SELECT doc_id, quality, toxic FROM labels) SELECT doc_id, CASE WHEN quality = 1 THEN 'sum ' || doc_id ELSE md5(text) END AS content FROM documents LEFT JOIN e USING (doc_id) WHERE toxic IS DISTINCT FROM 1")
+def trx02_reapply(spark, sf):
+    m = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("t_"), "doc_id").alias("tool_id"), F.md5("text").alias("content"))
+    e = read(spark, sf, "labels").select(F.concat(F.lit("t"), "doc_id").alias("tool_call_id"), F.concat(F.lit("sum "), "doc_id").alias("summary"), F.when(F.col("toxic") == 1, "deleted").when(F.col("quality") == 1, "true").alias("offloaded"))
+    return transcript.reapply(m, e).select("doc_id", "content")
+
+
+@register("WITH n AS (SELECT user_id, event_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS size FROM events WHERE event_id % 5 > 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, cast(event_id AS varchar))) SELECT event_id, (n - 1) // 5 AS chunk FROM n WHERE n <= 20 AND size >= 4")
+def str20_flush_chunks(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("tool_call_id"), F.lit("{}").alias("params"), F.lit("{}").alias("result"))
+    return offload.ready(e, e.where("event_id % 5 = 0")).select("event_id", F.col("chunk").cast("long").alias("chunk"))
+
+
+@register("SELECT cast(user_id AS varchar) AS session_id, event_id // 50 AS start_index, coalesce(arg_max(CASE WHEN event_id % 3 = 0 THEN 'long' WHEN event_id % 3 = 1 THEN 'short' ELSE '' END, event_id), '') AS result FROM events GROUP BY ALL")
+def str21_boundaries(spark, sf):
+    i = F.col("event_id")
+    j = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), F.floor(i / 50).alias("start_index"), i.alias("seq"), F.when(i % 3 == 0, "long").when(i % 3 == 1, "short").otherwise("").alias("result"), F.lit(None).cast("string").alias("target"))
+    return offload.boundaries(j).select("session_id", "start_index", "result")
+
+
+_STATE_SQL = "SELECT cast(user_id AS varchar) AS k, count(*) AS c, max(event_id) AS a, CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END AS w FROM events GROUP BY user_id"
+
+
+def _schedule(spark, sf):
+    user = F.col("user_id")
+    e = read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("conversation_count"), F.max("event_id").alias("last_active"))
+    warm = F.when(user % 4 == 0, 0).when(user % 4 == 1, 1).when(user % 4 == 2, 2).otherwise(4)
+    null = lambda t: F.lit(None).cast(t)
+    return e.select(
+        user.cast("string").alias("session_key"), "conversation_count", F.lit(3).cast("long").alias("buffered"), "last_active", warm.cast("long").alias("warmup_threshold"), F.lit(1).cast("long").alias("l2_pending_l1_count"),
+        F.when(user % 2 == 0, 5_000).cast("long").alias("l1_due"), (user % 6).cast("int").alias("l1_retries"), F.when(user % 3 == 0, 9_000).cast("long").alias("l2_due"), F.when(user % 3 == 0, "max").alias("l2_source"),
+        F.when(user % 5 == 0, 9_500).cast("long").alias("l2_last_run"), null("string").alias("l2_cursor"),
+    )
+
+
+_TIMES = schedule.Times(every=5, warmup=True, idle=100, delay=50, least=1000, most=2000, active=4000)
+
+
+@register(f"SELECT k AS session_key, c + 2 AS conversation_count, CASE WHEN c + 2 >= CASE WHEN w > 0 THEN least(w, 5) ELSE 5 END THEN 10000 ELSE 10100 END AS l1_due, 5 AS buffered FROM ({_STATE_SQL}) WHERE cast(k AS bigint) % 2 = 0 UNION ALL SELECT k, c, NULL, 3 FROM ({_STATE_SQL}) WHERE cast(k AS bigint) % 2 = 1 UNION ALL SELECT 'new', 1, 10000, 2")
+def str03_notified(spark, sf):
+    states = _schedule(spark, sf)
+    came = states.where("cast(session_key as bigint) % 2 = 0").select("session_key", F.lit(2).cast("long").alias("conversations"), F.lit(2).cast("long").alias("messages")).union(spark.createDataFrame([("new", 1, 2)], "session_key string, conversations long, messages long"))
+    return schedule.notified(states, came, 10_000, _TIMES).select("session_key", "conversation_count", "l1_due", "buffered")
+
+
+@register(f"""SELECT k AS session_key, CASE WHEN ok THEN c ELSE 1 END AS pending, CASE WHEN ok THEN 0 ELSE c END AS conversation_count, CASE WHEN ok AND w > 0 THEN CASE WHEN w * 2 >= 5 THEN 0 ELSE w * 2 END ELSE w END AS warmup_threshold,
+    CASE WHEN ok THEN NULL WHEN u % 6 + 1 <= 5 THEN 40000 END AS l1_due, CASE WHEN ok THEN 0 ELSE u % 6 + 1 END AS l1_retries, CASE WHEN u % 3 = 0 THEN 9000 WHEN ok THEN greatest(10050, CASE WHEN u % 5 = 0 THEN 10500 ELSE 0 END) END AS l2_due FROM (SELECT *, cast(k AS bigint) AS u, cast(k AS bigint) % 7 > 2 AS ok FROM ({_STATE_SQL}))""")
+def str29_extracted(spark, sf):
+    states = _schedule(spark, sf)
+    done = states.select("session_key", (F.col("session_key").cast("long") % 7 > 2).alias("ok"), F.lit(3).cast("long").alias("taken"))
+    return schedule.extracted(states, done, 10_000, _TIMES).select("session_key", F.col("l2_pending_l1_count").alias("pending"), "conversation_count", "warmup_threshold", "l1_due", F.col("l1_retries").cast("long").alias("l1_retries"), "l2_due")
+
+
+@register(f"SELECT k AS session_key, CASE WHEN cast(k AS bigint) % 2 = 0 THEN 1 ELSE 0 END AS l1, CASE WHEN cast(k AS bigint) % 3 = 0 AND 10000 - a < 4000 THEN 1 ELSE 0 END AS l2 FROM ({_STATE_SQL})")
+def str28_due(spark, sf):
+    states = _schedule(spark, sf)
+    a, b = schedule.due_extractions(states, 10_000).withColumn("l1", F.lit(1)), schedule.due_scenes(states, 10_000, _TIMES)[0].select("session_key", F.lit(1).alias("l2"))
+    return states.select("session_key").join(a, "session_key", "left").join(b, "session_key", "left").select("session_key", F.coalesce("l1", F.lit(0)).alias("l1"), F.coalesce("l2", F.lit(0)).alias("l2"))
+
+
+@register(f"SELECT k AS session_key, greatest(c, 1) AS pending, 0 AS conversation_count, greatest(10050, CASE WHEN cast(k AS bigint) % 5 = 0 THEN 10500 ELSE 0 END) AS l2_due FROM ({_STATE_SQL})")
+def str13_restored(spark, sf):
+    return schedule.restored(_schedule(spark, sf), 10_000, _TIMES).select("session_key", F.col("l2_pending_l1_count").alias("pending"), "conversation_count", "l2_due")
+
+
+@register(f"SELECT k AS session_key, CASE WHEN ok THEN 0 ELSE 1 END AS pending, CASE WHEN ok THEN 10000 WHEN u % 5 = 0 THEN 9500 END AS last_run, 12000 AS l2_due FROM (SELECT *, cast(k AS bigint) AS u, cast(k AS bigint) % 4 > 0 AND NOT (cast(k AS bigint) % 3 = 0 AND cast(k AS bigint) % 5 <> 0) AS ok FROM ({_STATE_SQL}))")
+def str30_scenes_done(spark, sf):
+    states = _schedule(spark, sf)
+    user = F.col("session_key").cast("long")
+    done = states.select("session_key", (user % 4 > 0).alias("ok"), (user % 3 == 0).alias("skipped"), F.lit(None).cast("string").alias("cursor"))
+    return schedule.scenes_done(states, done, 10_000, "t", _TIMES)[0].select("session_key", F.col("l2_pending_l1_count").alias("pending"), F.col("l2_last_run").alias("last_run"), "l2_due")
+
+
+@register(f"WITH {L0_SQL} SELECT session_key, greatest(max(timestamp), CASE WHEN cast(session_key AS bigint) % 2 = 0 THEN 5000000 ELSE 0 END) AS last_captured_timestamp FROM l0 GROUP BY session_key")
+def str02_advance_cursors(spark, sf):
+    l0 = views.l0(spark, sf)
+    known = l0.where(F.col("session_key").cast("long") % 2 == 0).select("session_key", F.lit(5_000_000).cast("long").alias("last_captured_timestamp")).distinct()
+    return capture.advance(known, l0)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over raw messages: BM25 and cosine neighbours, fused, filtered, limited."""
     messages = views.l0(spark, sf_dir)

@@ -49,7 +49,7 @@ def append_facts(l1: DataFrame, base_dir: str) -> None:
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines that are JSON, as variants."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.try_parse_json("value").alias("value")).where("value is not null")
+    return spark.read.text(path).select(F.col("value").alias("line"), tx.json_value(F.col("value")).alias("value")).where("value is not null")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
