@@ -236,7 +236,8 @@ def threshold_with_fallback(found: DataFrame, least: float, limit: int) -> DataF
 
 
 def recall(l1: DataFrame, query: str, max_results: int = 5, least: float = 0.3, strategy: str = "hybrid", vectors: DataFrame | None = None, embedding: list[float] | None = None) -> DataFrame:
-    """Facts for a turn: keyword and embedding recall apply the threshold, the hybrid one does not."""
+    """Facts for a turn, in order of ``_o``: keyword and embedding recall apply the threshold, the
+    hybrid one does not."""
     can_vector = vectors is not None and embedding is not None and any(embedding)
     if strategy == "hybrid" and can_vector:
         found, name = hybrid(l1, query, 3 * max_results, vectors, embedding, by_results=False)
@@ -246,4 +247,4 @@ def recall(l1: DataFrame, query: str, max_results: int = 5, least: float = 0.3,
     else:
         found, name = hybrid(l1, query, 2 * max_results)
         found = threshold_with_fallback(found, least, 2 * max_results)
-    return found.orderBy("_o").limit(max_results).drop("_o").withColumn("strategy", F.lit(name))
+    return found.orderBy("_o").limit(max_results).withColumn("strategy", F.lit(name))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
-from ..operators import extract, query, search, store, transcript
+from ..operators import extract, query, search, store, transcript, upkeep
 from ..streaming import capture
 
 
@@ -42,6 +42,7 @@ class Config:
     retention_days: int = 0
     zone: str = "UTC"
     memories_per_session: int = extract.PER_SESSION
+    clean_time: str = "03:00"
     context_window: int = 200_000
 
     @classmethod
@@ -73,10 +74,47 @@ class Config:
         return made
 
 
+#: UTF-16 units of a text that are embedded, texts of a request, and requests for a batch that fails.
+EMBED_UNITS, EMBED_BATCH, EMBED_TRIES = 8_000, 256, 3
+#: Parts of a table from which an append writes it anew.
+PARTS = 32
+RUNNER = "session_key string, last_l1_cursor long, last_scene_name string"
+TOTALS = "name string, n long"
+
+
+def embed_all(embed: Embedder, texts: list[str | None], batch: int = EMBED_BATCH, units: int = EMBED_UNITS, tries: int = EMBED_TRIES) -> list[list[float]]:
+    """Vectors of texts in their order, in requests of at most ``batch``; texts are cut at ``units``
+    UTF-16 units, and a request that fails is made again."""
+
+    def cut(text: str | None) -> str:
+        raw = (text or "").encode("utf-16-le", "surrogatepass")[: 2 * units]
+        if len(raw) >= 2 and 0xD8 <= raw[-1] <= 0xDB:  # the first half of a pair
+            raw = raw[:-2]
+        return raw.decode("utf-16-le", "replace")
+
+    out: list[list[float]] = []
+    for k in range(0, len(texts), batch):
+        part = [cut(t) for t in texts[k : k + batch]]
+        for attempt in range(tries):
+            try:
+                got = list(embed(part))
+                break
+            except Exception:
+                if attempt + 1 == tries:
+                    raise
+        if len(got) != len(part):
+            raise ValueError(f"{len(got)} vectors for {len(part)} texts")
+        out += got
+    return out
+
+
 @dataclass
 class Memory:
-    """Layers as Parquet below ``path``: each write makes a new version, and a small pointer
-    file names the current one, so a reader sees a whole version or the last."""
+    """Layers as Parquet below ``path``.
+
+    A table is a list of parts that a small pointer file names, so a reader sees a whole version
+    or the last: new rows are a new part, a change writes the table anew.  What no pointer names
+    any more goes with the next change."""
 
     spark: SparkSession
     path: str
@@ -90,24 +128,66 @@ class Memory:
     def _pointer(self, name: str) -> str:
         return f"{self.path}/{name}/CURRENT"
 
-    def _version(self, name: str) -> int:
-        fs, p = self._fs(self._pointer(name))
-        return int(self.spark.read.text(self._pointer(name)).first()[0]) if fs.exists(p) else 0
-
-    def table(self, name: str, schema: str) -> DataFrame:
-        v = self._version(name)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{v}") if v else self.spark.createDataFrame([], schema)
+    def _read_text(self, path: str) -> str | None:
+        fs, p = self._fs(path)
+        return "\n".join(r[0] for r in self.spark.read.text(path).collect()) if fs.exists(p) else None
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        v = self._version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{v}")
-        fs, p = self._fs(self._pointer(name))
+    def _write_text(self, path: str, text: str) -> None:
+        fs, p = self._fs(path)
         out = fs.create(p, True)
         try:
-            out.write(bytearray(str(v).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
 
+    def _parts(self, name: str) -> list[str]:
+        held = self._read_text(self._pointer(name))
+        if held is None:
+            return []
+        got = json.loads(held)
+        return got if isinstance(got, list) else [f"v{got}"]  # a folder of before there were parts
+
+    def _next(self, parts: list[str]) -> str:
+        return f"v{1 + max((int(x[1:]) for x in parts), default=0)}"
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        parts = self._parts(name)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{x}" for x in parts)) if parts else self.spark.createDataFrame([], schema)
+
+    def _replace(self, name: str, df: DataFrame) -> None:
+        old = self._parts(name)
+        new = self._next(old)
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{new}")
+        self._write_text(self._pointer(name), json.dumps([new]))
+        fs, p = self._fs(f"{self.path}/{name}")
+        for status in fs.listStatus(p):  # a reader of the last version may still be at work
+            if status.isDirectory() and status.getPath().getName() not in (new, *old):
+                fs.delete(status.getPath(), True)
+
+    def _append(self, name: str, df: DataFrame, schema: str) -> None:
+        """Rows whose ids are new; the table is written anew when it has many parts."""
+        old = self._parts(name)
+        if len(old) >= PARTS:
+            self._replace(name, self.table(name, schema).unionByName(df))
+            return
+        new = self._next(old)
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{new}")
+        self._write_text(self._pointer(name), json.dumps([*old, new]))
+
+    def bootstrap(self, binding: dict | None = None) -> list[str]:
+        """Empty tables where there are none, and the manifest; how ``binding`` differs from it."""
+        for name, schema in (("l0", schemas.L0), ("l1", schemas.L1), ("l0_vec", schemas.VECTORS), ("l1_vec", schemas.VECTORS)):
+            if not self._parts(name):
+                self._replace(name, self.spark.createDataFrame([], schema))
+        held = self._read_text(f"{self.path}/.metadata/manifest.json")
+        if held is None:
+            self._write_text(f"{self.path}/.metadata/manifest.json", json.dumps(binding or {}) + "\n")
+            return []
+        return upkeep.binding_changes(json.loads(held), binding or {})
+
+    def drop_vectors(self, layer: str) -> None:
+        self._replace(f"{layer}_vec", self.spark.createDataFrame([], schemas.VECTORS))
+
     @property
     def l0(self) -> DataFrame:
         return self.table("l0", schemas.L0)
@@ -125,20 +205,37 @@ class Memory:
     def capture(self, messages: DataFrame) -> int:
         """Take the new messages of L0 rows; the number taken."""
         rows = capture.after_cursors(capture.prepare(messages, self.config.skip_sessions), self.cursors()).select(*self.l0.columns)
-        if rows.isEmpty():
-            return 0
-        self._replace("l0", store.upsert_l0(self.l0, store.last_per_id(rows, "timestamp")))
-        self._replace("cursors", capture.advance(self.cursors(), rows))
-        return rows.count()
+        rows = store.last_per_id(rows, "timestamp").persist()
+        try:
+            n = rows.count()
+            if not n:
+                return 0
+            known = rows.select("record_id").join(self.l0.select("record_id"), "record_id", "left_semi")
+            if known.isEmpty():
+                self._append("l0", rows, schemas.L0)
+            else:
+                self._replace("l0", store.upsert_l0(self.l0, rows))
+            self._replace("cursors", capture.advance(self.cursors(), rows))
+            return n
+        finally:
+            rows.unpersist()
 
     def add_facts(self, facts: DataFrame, seq: str | None = None) -> None:
         self._replace("l1", store.upsert_l1(self.l1, facts, seq))
 
+    def update(self, record_id: str, content: str, now: str) -> None:
+        """New content of a fact, and its vector; ``KeyError`` without one of that id."""
+        row = upkeep.update_content(self.l1, record_id, content, now)
+        self._replace("l1", store.upsert_l1(self.l1, row))
+        if self.embed:
+            new = self.spark.createDataFrame([(record_id, [float(x) for x in embed_all(self.embed, [content])[0]])], "record_id string, embedding array<float>")
+            self._replace("l1_vec", store.attach_embeddings(self.vectors("l1"), new, self.l1, "updated_time"))
+
     def forget(self, layer: str, ids: DataFrame) -> None:
         for name, schema in ((layer, schemas.L0 if layer == "l0" else schemas.L1), (f"{layer}_vec", schemas.VECTORS)):
             self._replace(name, store.delete(self.table(name, schema), ids))
 
-    def reindex(self, layer: str, batch: int = 256) -> None:
+    def reindex(self, layer: str, batch: int = EMBED_BATCH) -> None:
         """Vectors of every row of a layer, from the embedder, in batches in the tasks."""
         import pyarrow as pa
 
@@ -147,14 +244,13 @@ class Memory:
 
         def run(batches):
             for b in batches:
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                got = [v for k in range(0, len(texts), batch) for v in embed(texts[k : k + batch])]
+                got = embed_all(embed, b.column(1).to_pylist(), batch)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float32())), b.column(2)], names=["record_id", "embedding", "updated_time"])
 
         self._replace(f"{layer}_vec", rows.mapInArrow(run, schemas.VECTORS))
 
     def _asked(self, text: str) -> list[float] | None:
-        return list(self.embed([text])[0]) if self.embed else None
+        return list(embed_all(self.embed, [text])[0]) if self.embed else None
 
     def search_memories(self, text: str, limit: int = 5, kind: str | None = None, scene: str | None = None) -> DataFrame:
         return search.search_memories(self.l1, text, limit, self.vectors("l1"), self._asked(text), kind, scene)
@@ -168,40 +264,78 @@ class Memory:
         found = search.recall(self.l1, tx_clean(text), c.max_results, c.score_threshold, c.strategy, self.vectors("l1"), self._asked(text))
         meta = lambda key: F.get_json_object("metadata_json", f"$.{key}")
         line = tx.memory_line(F.col("type"), F.col("scene_name"), F.col("content"), meta("activity_start_time"), meta("activity_end_time"), F.col("timestamp_start"))
-        rows = found.select(F.lit(1).alias("session_id"), F.monotonically_increasing_id().alias("rank"), line.alias("line"), "strategy")
+        rows = search.positions(found, F.col("_o")).select(F.lit(1).alias("session_id"), F.col("pos").alias("rank"), line.alias("line"), "strategy")
         if c.max_chars:
             rows = transcript.budget_lines(rows, c.max_chars)
         got = rows.orderBy("rank").collect()
         return {"lines": [r.line for r in got], "persona": persona, "strategy": got[0].strategy if got else "none"}
 
-    def retain(self, now_ms: int) -> None:
-        """Drop expired rows of both layers, as far as the guards allow."""
-        if not self.config.retention_days:
-            return
-        cutoff = tx.retention_cutoff(F.lit(now_ms), self.config.zone, self.config.retention_days)
-        self._replace("l0", store.retain(self.l0, "timestamp", cutoff, store.L0_RETENTION))
-        self._replace("l1", store.retain(self.l1, "updated_time", tx.millis_to_iso(cutoff), store.L1_RETENTION))
+    def retain(self, now_ms: int) -> DataFrame:
+        """Drop expired rows of both layers, as far as the guards allow; how many of each."""
+        before = {"l0": self.l0.count(), "l1": self.l1.count()}
+        if self.config.retention_days:
+            cutoff = tx.retention_cutoff(F.lit(now_ms), self.config.zone, self.config.retention_days)
+            for name, column, at, guard in (("l0", "timestamp", cutoff, store.L0_RETENTION), ("l1", "updated_time", tx.millis_to_iso(cutoff), store.L1_RETENTION)):
+                rows = getattr(self, name)
+                if store.retention_guard(rows, column, at, guard).first()["allowed"]:
+                    self._replace(name, store.retain(rows, column, at, guard))
+        return self.spark.createDataFrame([(name, n - getattr(self, name).count()) for name, n in before.items()], "layer string, removed long")
+
+    def next_retention(self, now_ms: int) -> int:
+        """When the next retention is due, by the clocks of the zone."""
+        return tx.next_run_ms(tx.clean_time(self.config.clean_time), now_ms, self.config.zone)
 
     def status(self) -> DataFrame:
         return query.status(self.l0, self.l1)
 
+    def runner(self) -> DataFrame:
+        return self.table("runner", RUNNER)
+
+    def totals(self) -> dict[str, int]:
+        return {r.name: r.n for r in self.table("totals", TOTALS).collect()}
+
     def extract(self, prompt: Callable[[list[str]], str], model: Model, created: str) -> int:
-        """Ask the model for facts of each session's new messages and store them; how many.
+        """Ask the model for facts of each session's messages since its last extraction, and store
+        them; how many.
 
         Sessions are asked one after another by the driver, as a model is a service outside
-        the cluster; only sessions with enough new text are asked."""
-        ready = extract.enough(self.l0).where("ok").select("session_key")
-        rows = extract.split_window(self.l0).where("part = 'new'").join(ready, "session_key").groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("timestamp", "message_text"))).alias("m"))
-        answers = [(r.session_key, model(prompt([m.message_text for m in r.m]))) for r in rows.toLocalIterator()]
+        the cluster; only sessions with enough new text are asked.  A session whose answer came is
+        not asked again for the same messages."""
+        cursors = self.runner().select("session_key", F.col("last_l1_cursor").alias("_at"))
+        new = self.l0.join(cursors, "session_key", "left").where(F.col("_at").isNull() | (F.col("timestamp") > F.col("_at"))).drop("_at")
+        ready = extract.enough(new).where("ok").select("session_key")
+        rows = extract.split_window(new).where("part = 'new'").join(ready, "session_key").groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("timestamp", "message_text"))).alias("m"))
+        answers = [(r.session_key, r.m[-1].timestamp, model(prompt([m.message_text for m in r.m]))) for r in rows.toLocalIterator()]
         if not answers:
             return 0
-        parsed = extract.parse_memories(self.spark.createDataFrame(answers, "session_key string, answer string"))
+        asked = self.spark.createDataFrame(answers, "session_key string, cursor long, answer string")
+        parsed = extract.parse_memories(asked.select("session_key", "answer"))
         parsed = extract.limit_per_session(parsed.withColumn("o", F.struct("scene_pos", "pos")), self.config.memories_per_session, "o")
         identity = F.concat(F.lit("m_"), F.substring(F.sha2(F.concat_ws("\x1f", "session_key", "content", "type"), 256), 1, 24))
         facts = parsed.select(identity.alias("record_id"), "content", "type", "priority", "scene_name", "session_key", F.col("session_key").alias("session_id"), *(F.lit("").alias(c) for c in ("timestamp_str", "timestamp_start", "timestamp_end")), F.lit(created).alias("created_time"), F.lit(created).alias("updated_time"), "metadata_json")
         facts = facts.dropDuplicates(["record_id"])
-        self.add_facts(facts)
-        return facts.count()
+        n = facts.count()
+        if n:
+            self.add_facts(facts)
+        self._finished(asked, parsed, n)
+        return n
+
+    def _finished(self, asked: DataFrame, parsed: DataFrame, n: int) -> None:
+        """Cursors and last scenes of the sessions that were asked, and the two counts of facts."""
+        scene = parsed.groupBy("session_key").agg(F.max_by("scene_name", F.struct("scene_pos", "pos")).alias("_scene"))
+        held = self.runner().select("session_key", F.col("last_scene_name").alias("_old"))
+        done = asked.select("session_key", F.col("cursor").alias("last_l1_cursor")).join(scene, "session_key", "left").join(held, "session_key", "left")
+        done = done.select("session_key", "last_l1_cursor", F.coalesce("_scene", "_old").alias("last_scene_name"))
+        self._replace("runner", store.merge_states(self.runner(), done))
+        totals = self.totals()
+        rows = [(name, totals.get(name, 0) + n) for name in ("total_memories_extracted", "memories_since_last_persona")]
+        self._replace("totals", self.spark.createDataFrame(rows, TOTALS))
+
+    def persona_written(self) -> None:
+        """Begin to count the facts since the last persona anew."""
+        rows = [(name, 0 if name == "memories_since_last_persona" else n) for name, n in self.totals().items()]
+        if rows:
+            self._replace("totals", self.spark.createDataFrame(rows, TOTALS))
 
 
 def tx_clean(text: str) -> str:

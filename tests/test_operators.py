@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import extract, joins, query, search, store, transcript, triggers
+from palimpsest.plans import memory
 from palimpsest.plans.memory import Config, Memory, render
 from palimpsest.sources import files, logs
 from palimpsest.streaming import capture
@@ -231,9 +232,22 @@ def test_facade(spark, tmp_path):
     assert m.search_conversations("fox").first().record_id == "1"
     n = m.extract(lambda texts: "\n".join(texts), lambda p: '[{"scene_name": "w", "memories": [{"content": "likes the red fox"}]}]', "2024-01-01T00:00:00.000Z")
     assert n == 1 and m.extract(lambda t: "", lambda p: "[]", "x") == 0
+    assert m.totals()["total_memories_extracted"] == 1 and m.runner().first().last_scene_name == "w"
+    more = spark.createDataFrame([("9", "k", "s", "user", "something else to say", "t", 20)], m.l0.schema)
+    assert m.capture(more) == 1 and len(m._parts("l0")) == 2
+    seen = []
+    m.extract(lambda texts: seen.extend(texts) or "", lambda p: "[]", "x")
+    assert seen == ["something else to say"] and m.totals()["total_memories_extracted"] == 1
+    m.forget("l0", spark.createDataFrame([("9",)], "record_id string"))
     assert m.recall("red fox")["lines"] == ["- [episodic|w] likes the red fox"]
     assert {r.layer: r.n for r in m.status().collect()} == {"l0": 2, "l1": 1}
-    m.retain(10**12)
+    m.update(m.l1.first().record_id, "likes the blue fox", "2024-02-01T00:00:00.000Z")
+    assert m.l1.first().content == "likes the blue fox" and m.vectors("l1").count() == 1
+    with pytest.raises(KeyError):
+        m.update("none", "x", "t")
+    assert m.bootstrap({"type": "parquet"}) == [] and m.bootstrap({"type": "other"}) == ["store type changed: parquet → other"]
+    assert {r.removed for r in m.retain(10**12).collect()} == {0}
+    assert m.next_retention(0) == 3 * 3_600_000
     assert m.l0.count() == 2 and '"total": 2' in render(m.status())
     m.forget("l0", spark.createDataFrame([("1",)], "record_id string"))
     assert m.l0.count() == 1 and m.vectors("l0").count() == 1
@@ -280,3 +294,31 @@ def test_config():
     for bad in ({"odd": 1}, {"maxResults": "7"}, {"strategy": "x"}, {"retentionDays": 2}):
         with pytest.raises(ValueError):
             Config.parse(bad)
+
+
+def test_embedding_requests():
+    asked = []
+
+    def embed(texts):
+        asked.append(texts)
+        if len(asked) == 1:
+            raise OSError("busy")
+        return [[float(len(t))] for t in texts]
+
+    assert memory.embed_all(embed, ["a", None, "abc𝄞", "xy"], batch=3, units=4) == [[1.0], [0.0], [3.0], [2.0]]
+    assert [len(x) for x in asked] == [3, 3, 1]
+    with pytest.raises(ValueError):
+        memory.embed_all(lambda texts: [], ["a"])
+    with pytest.raises(OSError):
+        memory.embed_all(lambda texts: (_ for _ in ()).throw(OSError()), ["a"])
+
+
+def test_many_parts_are_written_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(memory, "PARTS", 2)
+    m = Memory(spark, f"file://{tmp_path}/m")
+    schema = "record_id string, session_key string, session_id string, role string, message_text string, recorded_at string, timestamp long"
+    for k in range(4):
+        assert m.capture(spark.createDataFrame([(str(k), "k", "s", "user", f"message {k}", "t", k + 1)], schema)) == 1
+    assert m.l0.count() == 4 and len(m._parts("l0")) == 2
+    again = spark.createDataFrame([("3", "k", "s", "user", "other words", "t", 9)], schema)
+    assert m.capture(again) == 1 and m.l0.count() == 4 and m.l0.where("record_id = '3'").first().message_text == "other words"
