@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, mix, neardup, quality, shard
-from palimpsest.llm.scratch import table
+from palimpsest.llm import decontaminate, mix, neardup, quality, scratch, shard
 
 #: The least score of a document that the first stage keeps.
 QUALITY = 0.3
@@ -20,9 +19,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels.where(quality.remainder(F.col("doc_id"), 5) != 0))
-    own = docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs
+    free = "_score"
+    while free in docs.columns:
+        free += "_"
+    own = docs.withColumnRenamed("score", free)
     kept = quality.score_documents(own, model).where(F.col("score") >= QUALITY).drop("score")
-    return kept.withColumnRenamed("_own_score", "score").select(*(f"`{c}`" for c in docs.columns))
+    return kept.withColumnRenamed(free, "score").select(*(f"`{c}`" for c in docs.columns))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after another, each on a written table of what the last one kept."""
+    """All stages one after another, each on a written table of what the last one kept; that
+    table and those that a stage made on its way go when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = table(docs, name)
+        at = scratch.mark()
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        kept = scratch.table(out, name)
+        scratch.drop_since(at, kept)
+        scratch.drop(docs)
+        docs = kept
     return docs
