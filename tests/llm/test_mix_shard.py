@@ -55,6 +55,14 @@ def test_taken_words_meet_targets(spark, block):
     assert all(abs(taken[s] - t) <= 1 for s, t in want.items())
 
 
+def test_taken_of_odd_tables(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "x", "b"), (2, "x", "b"), (None, "y z", None), (3, None, "c")]
+    d = docs(spark, rows).withColumnRenamed("lang", "size").withColumnRenamed("n_chars", "ord")
+    got = sorted((r.doc_id or 0, r["size"], r.taken) for r in mix.Mix(d).taken().collect())
+    assert [x[:2] for x in got] == [(0, 2), (1, 300_000), (2, 1), (2, 1), (3, 0)] and [x[2] for x in got if x[0] != 1] == [6, 3, 3, 0]
+    assert mix.Mix(d.limit(0)).taken().count() == 0
+
+
 def test_slots_follow_the_points(spark):
     m = mix.Mix(docs(spark, corpus()), block=8)
     ends = sorted((r.low, r.high, r.ord) for r in m.sources.where("high > low").collect())
@@ -134,6 +142,9 @@ def test_shards(spark, tmp_path):
     d = docs(spark, [(k, "t") for k in range(500)] + [(None, "t"), (3, "t")]).withColumn("slot", F.lit("own"))
     got = shard.assign_shards(d, shards=5, slots=101)
     assert got.columns == [*(c for c in d.columns if c != "slot"), "slot", "shard"] and got.count() == 502
+    assert shard.assign_shards(d.limit(0)).count() == 0
+    long = shard.assign_shards(docs(spark, [(1, "x" * 2_000_000), (1, "x")]).withColumnRenamed("lang", "shard"))
+    assert long.select("slot", "shard").distinct().count() == 1 and long.columns[-2:] == ["slot", "shard"]
     table = shard.fill([f"shard-{k:05d}" for k in range(5)], 101)
     assert all(table[r.slot] == r.shard for r in got.collect())
     assert got.where("doc_id = 3").select("shard").distinct().count() == 1
