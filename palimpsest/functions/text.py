@@ -157,13 +157,17 @@ def once(x: Column, f) -> Column:
 
 
 def looks_like_injection(text: Column) -> Column:
+    """Whether a text tells a model what to do.  White space is collapsed first, which only the one
+    phrase of two words depends on."""
+
     def found(x: Column) -> Column:
         out = F.lit(False)
         for verb, nouns in INJECTION_PAIRS.items():
             out = out | (x.contains(verb) & _any(x, nouns))
-        return out | (x.contains("system prompt") & _any(x, PROMPT_VERBS)) | _any(x, INJECTION_PHRASES) | _any(x, INJECTION_TAGS)
+        prompt = x.contains("system") & x.contains("prompt") & x.rlike(f"system[{_BLANK}]+prompt")
+        return out | (prompt & _any(x, PROMPT_VERBS)) | _any(x, INJECTION_PHRASES) | _any(x, INJECTION_TAGS)
 
-    return once(F.lower(normalize_whitespace(text)), found)
+    return once(F.lower(text), found)
 
 
 def should_extract_l1(text: Column) -> Column:
@@ -214,15 +218,33 @@ REDACTIONS = (
     (r"\b([A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD))\s*=\s*[^\s]+", "$1=[REDACTED]"),
     (r"(?i)(https?:\/\/)[^\s/@:]+:[^\s/@]+@", "$1[REDACTED]@"),
 )
+#: What a text that each of them matches has, in lower case: one of each of these groups.
+_NEEDED = ((("-----begin ",),), (("bearer",),), (("sk-", "rk-", "pk-"),), (("key", "token", "passw", "secret"), (":", "=")), (("key", "token", "passw", "secret"), ("=",)), (("://",), ("@",)))
+
+
+def _replacing(wanted: Column, pattern: str, by: str):
+    return lambda t: F.when(wanted, F.regexp_replace(t, pattern, by)).otherwise(t)
 
 
 def redact(text: Column, most: int = 40000, context_tag: str = "memory-context") -> Column:
-    """Without injected context, keys, tokens and credentials; trimmed and cut to ``most``."""
-    text = F.regexp_replace(text, f"(?is)<{context_tag}\\b[^>]*>.*?</{context_tag}>", "")
-    text = F.regexp_replace(text, f"(?i)</?{context_tag}\\b[^>]*>", "[REDACTED_MEMORY_TAG]")
-    for pattern, by in REDACTIONS:
-        text = F.regexp_replace(text, pattern, by)
-    return F.substring(strip(text), 1, most)
+    """Without injected context, keys, tokens and credentials; trimmed and cut to ``most``.
+
+    A pattern only runs over texts that have its fixed pieces; no replacement adds such a piece
+    where it could be part of a match."""
+    bare = F.regexp_replace(text, f"(?is)<{context_tag}\\b[^>]*>.*?</{context_tag}>", "")
+    bare = F.regexp_replace(bare, f"(?i)</?{context_tag}\\b[^>]*>", "[REDACTED_MEMORY_TAG]")
+    bare = F.when(F.lower(text).contains(context_tag), bare).otherwise(text)
+
+    def run(x: Column) -> Column:
+        out, low = x["t"], x["low"]
+        for (pattern, by), groups in zip(REDACTIONS, _NEEDED, strict=True):
+            wanted = F.lit(True)
+            for g in groups:
+                wanted = wanted & _any(low, g)
+            out = once(out, _replacing(wanted, pattern, by))
+        return F.substring(strip(out), 1, most)
+
+    return once(once(bare, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))), run)
 
 
 def escape_tags(text: Column, tags: tuple[str, ...] = (*CONTEXT_TAGS, "system", "assistant", "user")) -> Column:

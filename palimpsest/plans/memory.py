@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields
 from typing import Protocol
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
 from ..operators import extract, query, search, store, transcript, upkeep
+from ..sources import files
 from ..streaming import capture
 
 
@@ -270,6 +273,50 @@ class Memory:
         got = rows.orderBy("rank").collect()
         return {"lines": [r.line for r in got], "persona": persona, "strategy": got[0].strategy if got else "none"}
 
+    def recall_within(self, text: str, seconds: float, persona: str | None = None) -> dict | None:
+        """:meth:`recall`, or None where that takes longer; its jobs are cancelled then."""
+        group, sc = f"recall-{uuid.uuid4().hex}", self.spark.sparkContext
+        out: list = []
+
+        def run() -> None:
+            sc.setJobGroup(group, "recall", interruptOnCancel=True)
+            try:
+                out.append(self.recall(text, persona))
+            except Exception as e:  # what a cancelled job raises is of no interest
+                out.append(e)
+
+        worker = InheritableThread(target=run, daemon=True)
+        worker.start()
+        worker.join(seconds)
+        if worker.is_alive():
+            sc.cancelJobGroup(group)
+            return None
+        if isinstance(out[0], Exception):
+            raise out[0]
+        return out[0]
+
+    def seed(self, path: str, start_ms: int, barrier: Callable[[], None] | None = None) -> dict[str, int]:
+        """Replay the rounds of a seed file that were not replayed before; how much there was.
+
+        ``ValueError`` tells the first place that is wrong, before anything is written.  The keys
+        of rounds are kept after their messages, so what a failure leaves undone is done next time."""
+        rows = files.fill_times(files.read_seed(self.spark, path), start_ms)
+        wrong = rows.where("error is not null").orderBy("session", "round", "place").first()
+        if wrong is not None:
+            place = ", ".join(f"{n} {getattr(wrong, n) + 1}" for n in ("session", "round", "place") if getattr(wrong, n) is not None)
+            raise ValueError(f"{place}: {wrong.error}" if place else wrong.error)
+        keys = files.round_keys(rows)
+        new = store.insert_if_absent(self.table("seed_keys", "key string"), keys)
+        own = F.sha2(F.concat_ws("\x1f", "key", F.col("place").cast("string")), 256)
+        messages = rows.join(new, ["session_key", "round"]).select(F.concat(F.lit("seed_"), F.substring(own, 1, 24)).alias("record_id"), "session_key", F.coalesce("session_id", "session_key").alias("session_id"), "role", F.col("content").alias("message_text"), tx.millis_to_iso(F.col("timestamp")).alias("recorded_at"), "timestamp")
+        taken = self.capture(messages)
+        rounds = new.count()
+        self._replace("seed_keys", self.table("seed_keys", "key string").unionByName(new.select("key")).distinct())
+        if barrier is not None:
+            barrier()
+        total = rows.agg(F.count_distinct("session"), F.count(F.lit(1))).first()
+        return {"sessions": total[0], "rounds": rounds, "messages": total[1], "recorded": taken}
+
     def retain(self, now_ms: int) -> DataFrame:
         """Drop expired rows of both layers, as far as the guards allow; how many of each."""
         before = {"l0": self.l0.count(), "l1": self.l1.count()}
@@ -343,11 +390,31 @@ def tx_clean(text: str) -> str:
     return " ".join("".join(c if c.isprintable() else " " for c in text).split())
 
 
-def render(rows: DataFrame, form: str = "json", limit: int = 100) -> str:
-    """A short result as JSON, JSON lines or plain lines."""
+def render(rows: DataFrame, form: str = "json", limit: int = 100, envelope: dict | None = None) -> str:
+    """A short result as JSON (with what ``envelope`` tells, such as level, offset, sort and
+    filter), JSON lines, a table or plain lines; the total, unless told, is that of all rows."""
     got = [r.asDict(recursive=True) for r in rows.limit(limit).collect()]
     if form == "json":
-        return json.dumps({"total": len(got), "data": got}, ensure_ascii=False, default=str)
+        told = envelope or {}
+        if "total" not in told:
+            told = {"total": len(got) if len(got) < limit else rows.count(), **told}
+        return json.dumps({**told, "data": got}, ensure_ascii=False, default=str)
     if form == "jsonl":
         return "\n".join(json.dumps(r, ensure_ascii=False, default=str) for r in got)
+    if form == "table":
+        cells = [rows.columns, *([str(r[c]) for c in rows.columns] for r in got)]
+        width = [min(40, max(tx.display_width(x[k]) for x in cells)) for k in range(len(rows.columns))]
+        return "\n".join("  ".join(tx.fit_width(x, w) for x, w in zip(line, width, strict=True)).rstrip() for line in cells)
     return "\n".join("  ".join(f"{k}={v}" for k, v in r.items()) for r in got)
+
+
+def report(found: DataFrame, what: str = "memories") -> str:
+    """Search results as a numbered text, best first."""
+    got = found.collect()
+    if not got:
+        return f"No matching {what} found."
+    lines = [f"Found {len(got)} matching {what}:"]
+    for k, r in enumerate(got, 1):
+        kind = r.type if "type" in found.columns else r.role
+        lines.append(f"{k}. [{kind}] {r.content} (score: {r.score:.3f})")
+    return "\n".join(lines)
