@@ -17,7 +17,7 @@ from .functions import messages
 from .functions import text as tx
 from .functions import vectors as vec
 from .operators import answers, extract, joins, query, schedule, search, store, transcript, triggers, upkeep
-from .plans import offload, views
+from .plans import host, offload, views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
 from .sources import export, files, logs
 from .streaming import capture
@@ -1272,6 +1272,58 @@ def str02_advance_cursors(spark, sf):
     return capture.advance(known, l0)
 
 
+# ---- host transcripts and captures
+
+
+def _host(spark, sf):
+    """Orders as a user's and an assistant's message with tool parts: one for each line of the order."""
+    null = F.lit(None).cast("string")
+    one = lambda **given: F.struct(*(given.get(n, null if n not in ("ignored", "synthetic") else F.lit(None).cast("boolean")).alias(n) for n in ("id", "type", "text", "call_id", "tool", "status", "input", "output", "error", "ignored", "synthetic", "kind")))
+    call = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    part = one(id=call, type=F.lit("tool"), call_id=call, tool=F.lit("ship"), status=F.when(F.col("l_returnflag") == "R", "running").otherwise("completed"), output=F.col("l_linestatus"))
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", part.alias("p")))).alias("x"))
+    tools = lines.select(F.col("l_orderkey").cast("string").alias("session_id"), F.transform("x", lambda r: r["p"]).alias("tools"))
+    asked = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("u"), "o_orderkey").alias("id"), F.lit("user").alias("role"), F.array(one(type=F.lit("text"), text=F.col("o_orderpriority")).cast(host.PART)).alias("parts"))
+    said = one(type=F.lit("text"), text=F.lit("done")).cast(host.PART)
+    answer = tools.select("session_id", F.lit(1).cast("long").alias("pos"), F.concat(F.lit("a"), "session_id").alias("id"), F.lit("assistant").alias("role"), F.concat(F.array(said), F.col("tools").cast(f"array<{host.PART}>")).alias("parts"))
+    return asked.unionByName(answer.join(asked.select("session_id"), "session_id", "left_semi"))
+
+
+_CALLS_SQL = "c AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_linestatus, l_returnflag, l_linenumber, l_partkey, l_suppkey FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@register(f"""WITH {_CALLS_SQL} SELECT cast(o_orderkey AS varchar) AS session_id, 'user' AS role, o_orderpriority AS content, NULL AS tool_id, 0 AS calls FROM orders
+    UNION ALL SELECT cast(l_orderkey AS varchar), 'assistant', 'done', NULL, count(*) FROM c GROUP BY l_orderkey UNION ALL SELECT cast(l_orderkey AS varchar), 'tool', l_linestatus, id, 0 FROM c WHERE l_returnflag <> 'R'""")
+def scl_j11_canonical(spark, sf):
+    return host.canonical(_host(spark, sf)).select("session_id", "role", "content", "tool_id", F.size("tool_calls").cast("long").alias("calls"))
+
+
+@register(f"""WITH {_CALLS_SQL}, k AS (SELECT l_orderkey, string_agg(CASE WHEN l_linestatus = 'O' THEN 'short' ELSE l_linestatus END, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS outputs FROM c WHERE l_returnflag = 'A' GROUP BY l_orderkey)
+    SELECT cast(l_orderkey AS varchar) AS session_id, coalesce(outputs, '') AS outputs FROM (SELECT DISTINCT l_orderkey FROM c) LEFT JOIN k USING (l_orderkey)""")
+def join09_merged(spark, sf):
+    given = _host(spark, sf)
+    gone = read(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("tool_id"))
+    rows = host.canonical(given)
+    kept = rows.where("role <> 'user'").join(gone, "tool_id", "left_anti").select(*rows.columns)
+    kept = kept.withColumn("content", F.when((F.col("role") == "tool") & (F.col("content") == "O"), "short").otherwise(F.col("content")))
+    tools = F.filter("parts", lambda p: p["type"] == "tool")
+    return host.merged(given, kept).select("session_id", F.array_join(F.transform(tools, lambda p: p["output"]), ",").alias("outputs"))
+
+
+@register(f"WITH {L0_SQL} SELECT record_id FROM l0 WHERE role IN ('user', 'assistant') AND strlen({_T}) >= 3 AND NOT starts_with({_T}, '/') AND NOT starts_with({_T}, '!') AND NOT contains({_T}, 'HEARTBEAT') AND NOT contains({_T}, 'heartbeat') AND NOT starts_with(session_key, '1')")
+def str01_captured(spark, sf):
+    l0 = views.l0(spark, sf).withColumn("session_key", F.when(F.col("session_key").startswith("1"), F.concat(F.lit("temp:"), "session_key")).otherwise(F.col("session_key")))
+    return capture.prepare(l0).select("record_id")
+
+
+@register("SELECT 'a' AS name, count(*) AS n, bool_and(true) AS ok FROM embeddings")
+def snk16_export(spark, sf):
+    path = _work(spark, "export")
+    export.export({"a": read(spark, sf, "embeddings")}, path)
+    got = spark.read.json(f"{path}/a")
+    return got.agg(F.lit("a").alias("name"), F.count(F.lit(1)).alias("n"), F.lit("embedding" not in got.columns).alias("ok"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over raw messages: BM25 and cosine neighbours, fused, filtered, limited."""
     messages = views.l0(spark, sf_dir)
