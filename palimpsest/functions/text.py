@@ -38,6 +38,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{_BLANK}]+|[{_BLANK}]+$", "")
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _any(text: Column, parts) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -48,8 +53,12 @@ def _any(text: Column, parts) -> Column:
 def remove_first_block(text: Column, tag: str) -> Column:
     """Without the first ``<tag>…</tag>``; unchanged if either is missing or they are reversed."""
     opening, closing = f"<{tag}>", f"</{tag}>"
-    a, b = F.locate(opening, text), F.locate(closing, text)
-    return F.when((a > 0) & (b > a), F.concat(F.substring(text, F.lit(1), a - 1), F.substring(text, b + len(closing), F.length(text)))).otherwise(text)
+
+    def cut(x: Column) -> Column:
+        a, b = F.locate(opening, x), F.locate(closing, x)
+        return F.when((a > 0) & (b > a), F.concat(F.substring(x, F.lit(1), a - 1), F.substring(x, b + len(closing), F.length(x)))).otherwise(x)
+
+    return once(text, cut)
 
 
 def sanitize(text: Column) -> Column:
@@ -139,21 +148,17 @@ def fit_width(text: str, width: int) -> str:
 
 
 def should_capture(text: Column) -> Column:
-    t = strip(text)
-    return (F.octet_length(t) >= 3) & ~t.startswith("/") & ~t.startswith("!") & ~t.contains("HEARTBEAT") & ~t.contains("heartbeat")
+    return once(strip(text), lambda t: (F.octet_length(t) >= 3) & ~t.startswith("/") & ~t.startswith("!") & ~t.contains("HEARTBEAT") & ~t.contains("heartbeat"))
 
 
 def should_capture_l0(text: Column) -> Column:
-    t = strip(text)
-    out = (t != "") & ~text.startswith("/") & ~t.isin(*NOTICES)
-    for start in NOTICE_STARTS:
-        out = out & ~t.startswith(start)
-    return out
-
+    def kept(t: Column) -> Column:
+        out = (t != "") & ~t.isin(*NOTICES)
+        for start in NOTICE_STARTS:
+            out = out & ~t.startswith(start)
+        return out
 
-def once(x: Column, f) -> Column:
-    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it."""
-    return F.element_at(F.transform(F.array(x), f), 1)
+    return ~text.startswith("/") & once(strip(text), kept)
 
 
 def looks_like_injection(text: Column) -> Column:
