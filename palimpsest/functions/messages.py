@@ -208,3 +208,15 @@ def synthetic_id(message: Column, kind: Column, text: Column) -> Column:
 
 def internal_assistant(agent: Column, mode: Column, summary: Column) -> Column:
     return F.coalesce(agent.isin("compaction", "title"), F.lit(False)) | F.coalesce(mode == "compaction", F.lit(False)) | F.coalesce(summary, F.lit(False))
+
+
+def recall_parts(body: Column, most: int = 40_000) -> Column:
+    """(prepend, append) of a recall's answer, redacted: what goes before a turn, and to the system's text.
+
+    An answer that counts its memories has the latter as ``context``, unless it names both; an older
+    one has the former there."""
+    field = lambda *names: F.coalesce(*(F.get_json_object(body, f"$.{n}") for n in names))
+    counts, old = F.get_json_object(body, "$.memory_count").isNotNull(), F.get_json_object(body, "$.context")
+    prepend = F.coalesce(field("prepend_context", "prependContext"), F.when(~counts, old), F.lit(""))
+    append = F.coalesce(field("append_system_context", "appendSystemContext"), F.when(counts, old), F.lit(""))
+    return F.struct(tx.redact(prepend, most).alias("prepend"), tx.redact(append, most).alias("append"))

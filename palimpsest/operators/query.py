@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
+
 _OPS = (">=", "<=", "!=", ">", "<", "=")
 
 
@@ -101,3 +103,10 @@ def api_l1(l1: DataFrame) -> DataFrame:
     """Camel case, with the distinct non-empty times as a trail."""
     trail = F.array_distinct(F.filter(F.array("timestamp_str", "timestamp_start", "timestamp_end"), lambda x: x.isNotNull() & (x != "")))
     return l1.select(F.col("record_id").alias("recordId"), "content", "type", "priority", F.col("scene_name").alias("sceneName"), F.col("session_key").alias("sessionKey"), F.col("session_id").alias("sessionId"), trail.alias("timestamps"), F.col("created_time").alias("createdTime"), F.col("updated_time").alias("updatedTime"), F.col("metadata_json").alias("metadata"))
+
+
+def memory_records(hits: DataFrame) -> DataFrame:
+    """Facts of vector hits as records: metadata that is no JSON is empty, and the trail has the one
+    time that a hit carries."""
+    metadata = F.when(tx.json_value(F.col("metadata_json")).isNotNull(), F.col("metadata_json")).otherwise("{}")
+    return hits.select("record_id", "content", "type", "priority", "scene_name", metadata.alias("metadata"), F.array("timestamp_str").alias("timestamps"), "session_key", "session_id")

@@ -1324,6 +1324,19 @@ def snk16_export(spark, sf):
     return got.agg(F.lit("a").alias("name"), F.count(F.lit(1)).alias("n"), F.lit("embedding" not in got.columns).alias("ok"))
 
 
+@register(f"WITH {L1_SQL} SELECT record_id, type, CASE cast(record_id AS bigint) % 3 WHEN 0 THEN metadata_json WHEN 1 THEN '[1]' ELSE '{{}}' END AS metadata, timestamp_str AS time FROM l1")
+def prj05_memory_records(spark, sf):
+    hits = views.l1(spark, sf).withColumn("metadata_json", F.when(F.col("record_id").cast("long") % 3 == 0, F.col("metadata_json")).when(F.col("record_id").cast("long") % 3 == 1, "[1]").otherwise("{"))
+    return query.memory_records(hits).select("record_id", "type", "metadata", F.element_at("timestamps", 1).alias("time"))
+
+
+@register("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'p' ELSE '' END AS prepend, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'password=[REDACTED]' ELSE c_name END AS append FROM customer")
+def prj08_recall_parts(spark, sf):
+    k = F.col("c_custkey")
+    body = F.when(k % 3 == 0, F.to_json(F.struct(F.col("c_name").alias("context")))).when(k % 3 == 1, F.to_json(F.struct(F.lit("p").alias("prependContext"), F.lit("password=x").alias("append_system_context")))).otherwise(F.to_json(F.struct(F.col("c_name").alias("context"), F.lit(2).alias("memory_count"))))
+    return read(spark, sf, "customer").select(k, messages.recall_parts(body).alias("r")).select("c_custkey", "r.prepend", "r.append")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over raw messages: BM25 and cosine neighbours, fused, filtered, limited."""
     messages = views.l0(spark, sf_dir)

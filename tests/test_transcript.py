@@ -171,3 +171,19 @@ def test_logs_are_truncated_from_the_largest(spark):
         assert sorted(r.name for r in transcript.truncate_logs(df, most).collect()) == sorted(want)
     assert transcript.truncate_logs(df.limit(0), 5).count() == 0
     assert transcript.truncate_logs(df.where(F.col("size") == 0), -1).count() > 0
+
+
+def test_history_is_the_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(f"s{k % 9}", k, rng.randrange(5, 200), rng.randrange(1, 60)) for k in range(120)]
+    want = []
+    for s in {r[0] for r in rows}:
+        left = 300
+        for _, seq, full, compact in sorted((r for r in rows if r[0] == s), key=lambda r: -r[1]):
+            for form, n in (("full", full), ("compact", compact)):
+                if n <= left:
+                    want.append((s, seq, form))
+                    left -= n
+                    break
+    got = transcript.build_history(spark.createDataFrame(rows, "session_id string, seq int, full_tokens long, compact_tokens long"), 300)
+    assert sorted((r.session_id, r.seq, r.form) for r in got.collect()) == sorted(want)
