@@ -650,30 +650,68 @@ def str10_persona_trigger(spark, sf):
     return triggers.persona_due(cp).select("doc_id", "reason")
 
 
-# ---- sequential per session; no SQL
+# ---- sequential per session; their SQL takes a step of the loop in each recursion
 
 
-@register()
+_LIST = "list({'p': pos, 'r': role, 't': tokens} ORDER BY pos)"
+#: The place (from 1) of the last user message of a list ``l``, 0 without one.
+_LAST_USER = "coalesce(list_max(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN l[i].r = 'user' THEN i END)), 0)"
+
+
+def _costliest_sql(least: str, most: str, roles: str) -> str:
+    """The place of the costliest message of some roles but the last user's, the first of equals."""
+    best = f"list_max(list_transform(range({least}, {most} + 1), lambda i: CASE WHEN i <> u AND l[i].r IN ({roles}) THEN l[i].t * 1000000 - i END))"
+    return f"CASE WHEN {best} IS NOT NULL THEN 1000000 - (({best} % 1000000 + 1000000) % 1000000) END"
+
+
+def _emergency_sql(rows: str, goal: int) -> str:
+    """CTEs ``e`` (session_id, l): the list that is left of each session of ``rows`` (session_id, l, lft)."""
+    largest = "list_max(list_transform(range(1, n + 1), lambda i: CASE WHEN i <> u THEN l[i].t * 1000000 + i END))"
+    note = f"cast(ceil(length('{transcript.TRUNCATED[0]}' || l[cut].t || '{transcript.TRUNCATED[1]}' || l[cut].r || ']') / 4.0::double) AS bigint)"
+    return f"""r AS (SELECT session_id, 0 AS k, l, lft, true AS go FROM {rows} UNION ALL SELECT session_id, k + 1,
+        CASE WHEN c > 0 THEN l[c + 1:] WHEN tail IS NOT NULL THEN list_filter(l, lambda x, i: i <> tail) WHEN cut IS NOT NULL THEN list_transform(l, lambda x, i: CASE WHEN i = cut THEN {{'p': x.p, 'r': x.r, 't': note}} ELSE x END) ELSE l END,
+        greatest(0, lft - coalesce(CASE WHEN c > 0 THEN list_sum(list_transform(l[:c], lambda x: x.t))::bigint WHEN tail IS NOT NULL THEN l[tail].t WHEN cut IS NOT NULL THEN greatest(0, l[cut].t - note) END, 0)),
+        c > 0 OR tail IS NOT NULL OR coalesce(l[cut].t - note > 0, false)
+        FROM (SELECT *, {note} AS note FROM (SELECT *, CASE WHEN c = 0 AND tail IS NULL AND {largest} >= 600000000 THEN {largest} % 1000000 END AS cut FROM (SELECT *, CASE WHEN c = 0 THEN {_costliest_sql('2', 'n - 1', "'tool', 'toolResult', 'assistant'")} END AS tail FROM (
+            SELECT *, CASE WHEN u > 0 THEN least(h, u - 1) ELSE h END AS c FROM (SELECT *, least(greatest(1, cast(ceil(n * least((lft - {goal}) / lft::double, 0.5::double)) AS bigint)), n - 2) AS h FROM (
+                SELECT *, len(l) AS n, {_LAST_USER} AS u FROM r WHERE go AND len(l) > 2 AND lft > {goal}))))))),
+    e AS (SELECT session_id, arg_max(l, k) AS l FROM r GROUP BY session_id)"""
+
+
+_OUT_SQL = "SELECT session_id, x.p AS pos, x.t AS tokens FROM (SELECT session_id, unnest(l) AS x FROM e)"
+
+
+@register(f"WITH RECURSIVE {TRANSCRIPT_SQL}, s AS (SELECT session_id, {_LIST} AS l, cast(sum(tokens) + ceil(count(*) * 0.5) AS bigint) AS lft FROM t GROUP BY session_id), {_emergency_sql('s', 300)} {_OUT_SQL}")
 def win06_emergency(spark, sf):
     return transcript.emergency(views.transcript(spark, sf), 500).select("session_id", "pos", "tokens")
 
 
-@register()
+@register(f"""WITH RECURSIVE {TRANSCRIPT_SQL}, s AS (SELECT session_id, {_LIST} AS l FROM t GROUP BY session_id),
+    r AS (SELECT session_id, 0 AS k, l, 0::bigint AS saved FROM s UNION ALL SELECT session_id, k + 1, list_filter(l, lambda x, i: i <> g), saved + l[g].t
+        FROM (SELECT *, {_costliest_sql('2', 'len(l)', "'assistant'")} AS g FROM (SELECT *, {_LAST_USER} AS u FROM r WHERE saved < 200 AND len(l) > 2)) WHERE g IS NOT NULL),
+    e AS (SELECT session_id, arg_max(l, k) AS l FROM r GROUP BY session_id) SELECT session_id, x.p AS pos FROM (SELECT session_id, unnest(l) AS x FROM e)""")
 def top16_tail_delete(spark, sf):
-    rows = views.transcript(spark, sf).withColumn("tool_id", F.when(F.col("role") != "user", F.concat_ws("-", "role", (F.col("pos") / 2).cast("int"))))
+    rows = views.transcript(spark, sf).withColumn("tool_id", F.when(F.col("role") != "user", F.concat_ws("-", "role", "pos")))
     return transcript.tail_delete(rows, 200).select("session_id", "pos")
 
 
-@register()
+@register(f"""WITH RECURSIVE {TRANSCRIPT_SQL}, d AS (SELECT session_id, pos AS seq, tokens AS f, tokens // 4 AS c, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS n FROM t),
+    r AS (SELECT session_id, 0::bigint AS n, 300::bigint AS room, 0::bigint AS seq, NULL::varchar AS form FROM d WHERE n = 1 UNION ALL
+        SELECT d.session_id, d.n, room - CASE WHEN f <= room THEN f WHEN c <= room THEN c ELSE 0 END, d.seq, CASE WHEN f <= room THEN 'full' WHEN c <= room THEN 'compact' END FROM r JOIN d ON d.session_id = r.session_id AND d.n = r.n + 1)
+    SELECT session_id, seq, form FROM r WHERE form IS NOT NULL""")
 def win11_build_history(spark, sf):
     rows = views.transcript(spark, sf).select("session_id", F.col("pos").alias("seq"), F.col("tokens").alias("full_tokens"), (F.col("tokens") / 4).cast("long").alias("compact_tokens"))
     return transcript.build_history(rows, 300).select("session_id", "seq", "form")
 
 
-@register()
+@register(f"""WITH RECURSIVE {TRANSCRIPT_SQL}, n AS (SELECT *, row_number() OVER w AS n, sum(tokens) OVER w AS acc, count(*) OVER p AS size, sum(tokens) OVER p + ceil(count(*) OVER p * 0.5) AS total FROM t WINDOW w AS (PARTITION BY session_id ORDER BY pos), p AS (PARTITION BY session_id)),
+    c AS (SELECT *, max(n) FILTER (role = 'user') OVER (PARTITION BY session_id) AS u, min(n) FILTER (acc >= greatest(total - 340, 1)) OVER (PARTITION BY session_id) AS f FROM n),
+    k AS (SELECT * FROM c WHERE total < 340 OR n > greatest(0, least(coalesce(f, size), size - 2, coalesce(u - 1, size)))),
+    s AS (SELECT session_id, {_LIST} AS l, cast(sum(tokens) + ceil(count(*) * 0.5) AS bigint) AS lft FROM k GROUP BY session_id), o AS (SELECT * FROM s WHERE lft >= 380), {_emergency_sql('o', 240)}
+    {_OUT_SQL} UNION ALL SELECT session_id, x.p, x.t FROM (SELECT session_id, unnest(l) AS x FROM s WHERE lft < 380)""")
 def trx03_compress(spark, sf):
     none = spark.createDataFrame([], "tool_call_id string, summary string, score double")
-    return transcript.compress(views.transcript(spark, sf), 400, none).select("session_id", "pos", "role", "tokens")
+    return transcript.compress(views.transcript(spark, sf), 400, none).select("session_id", "pos", "tokens")
 
 
 # ---- more filters, sums and names
