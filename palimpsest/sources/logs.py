@@ -11,9 +11,10 @@ from ..functions import text as tx
 
 def _jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed rows with ``shard_date`` from the file's name; lines that do not parse are left out."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)
-    return rows.withColumn("shard_date", F.try_to_date(F.nullif(name, F.lit("")))).where(F.col("_bad").isNull()).drop("_bad")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*(/[^/]*)?$", 1)  # of the file, or of its folder
+    lines = spark.read.text(path).select("value", F.try_to_date(F.nullif(name, F.lit(""))).alias("shard_date"))
+    rows = lines.select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "shard_date")
+    return rows.where("r is not null and r._bad is null").select("r.*", "shard_date").drop("_bad")
 
 
 def read_messages(spark: SparkSession, base_dir: str, session_key: str | None = None) -> DataFrame:
