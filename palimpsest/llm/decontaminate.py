@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
+from .columns import apart
 from .scratch import new_path, table
 
 KGRAM, WINDOW = 5, 9
@@ -42,6 +43,7 @@ SPAN = KGRAM + WINDOW - 1
 BLOCK_WORDS = 200_000
 #: Hashes of short items that are broadcast at once, and judged texts that may be.
 SHORT_ITEMS, BROADCAST_TEXTS = 1_000_000, 100_000
+RESULT = ("n_words", "n_hit", "hit_spans", "item_ids", "items_sha256", "contaminated")
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -296,8 +298,11 @@ def mark_contamination(
     the digest leaves out), items_sha256, and contaminated: some word is hit and
     hits are at least ``share`` of the words.
     """
-    result = ["n_words", "n_hit", "hit_spans", "item_ids", "items_sha256", "contaminated", "_words", "_spans", "_items"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in result]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    return apart(docs, RESULT, (text_col,), lambda d, own: _marked(d, benchmark, own(text_col), item_col, item_text_col, [own(c) for c in names], share, block_words))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, kept: list[str], share: float, block_words: int) -> DataFrame:
     out = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("_text"))
     base = T.StructType([docs.schema[c] for c in kept])
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
@@ -316,11 +321,6 @@ def mark_contamination(
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (times("n_hit", part.denominator) >= times("n_words", part.numerator)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents, with their own columns, that :func:`mark_contamination` leaves clean."""
-    extra = {"n_words", "n_hit", "hit_spans", "item_ids", "items_sha256", "contaminated"}
-    if clash := extra & set(docs.columns):
-        renamed = {c: f"_own_{c}" for c in clash}
-        back = decontaminate(docs.withColumnsRenamed(renamed), benchmark, **options)
-        return back.withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns)
-    return mark_contamination(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+    return apart(docs, (), (), lambda d, own: mark_contamination(d, benchmark, own(text_col), **options).where(~F.col("contaminated")).select(*d.columns))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import apart
 from .scratch import table
 
 #: Distinct sites that make a line boilerplate.
@@ -57,6 +58,10 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
 def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text_col``, and n_lines and n_removed
     (which win over columns of those names)."""
+    return apart(docs, ("n_lines", "n_removed"), (site_col, text_col, id_col), lambda d, own: _cleaned(d, own(site_col), own(text_col), own(id_col), min_sites))
+
+
+def _cleaned(docs: DataFrame, site_col: str, text_col: str, id_col: str, min_sites: int) -> DataFrame:
     found = boilerplate(docs, site_col, text_col, min_sites)
     n = found.count()
     text, own = F.col(f"`{text_col}`"), [c for c in docs.columns if c not in ("n_lines", "n_removed")]

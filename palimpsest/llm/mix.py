@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import apart
 from .scratch import table
 
 #: Binary digits of a point; a mix has fewer slots than 2**BITS.
@@ -167,6 +168,10 @@ def mix_documents(docs: DataFrame, text_col: str = "text", source_col: str = "so
     texts are not joined: a row per source tells the turns and the first document that the last
     turn leaves out, and each document compares its place with it where it is read.
     """
+    return apart(docs, (), (), lambda d, own: _mixed(d, own(text_col), own(source_col), own(id_col), options))
+
+
+def _mixed(docs: DataFrame, text_col: str, source_col: str, id_col: str, options: dict) -> DataFrame:
     columns = docs.columns
     mix = Mix(docs, text_col, source_col, id_col, order=tuple(columns), **options)
     last = mix.pieces().where("from = 0").groupBy("ord").agg(F.max(F.struct("turn", "start")).alias("last"))

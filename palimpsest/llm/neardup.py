@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import apart
 from .components import components
 from .scratch import table
 
@@ -412,10 +413,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are numbered in a written table, so rows that share an id, or have none, are documents of
     their own; rows without words are linked with nothing and stay.
     """
-    columns = docs.columns
-    number = "_row"
-    while number in columns:
-        number += "_"
+    return apart(docs, (), (), lambda d, own: _deduplicated(d, own(id_col), own(text_col), shingle, percent))
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    columns, number = docs.columns, "row"
     rows = table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     graph = _Graph(rows.select(F.col(number).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), shingle, percent)
     found = _Graph._labelled(graph.member, graph.run(), "node").select("doc_id", "comp")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
+from .columns import apart
 from .neardup import shingle_sets
 
 MAX_POSITIVE = 6_000
@@ -181,7 +182,11 @@ def _score(batches: Iterator[pa.RecordBatch], model, at: int, kept: list[str]) -
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default, but for one called score) and ``score``."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    return apart(docs, ("score",), (text_col,), lambda d, own: _scored(d, model, own(text_col), [own(c) for c in names]))
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str, kept: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*(f"`{c}`" for c in kept), F.col(f"`{text_col}`").alias("_scored"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])

@@ -33,6 +33,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import apart
 from .scratch import table
 
 REACH = 200
@@ -105,6 +106,10 @@ def near(left: DataFrame, right: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``secret_spans``, (start, kind, end, name) by start, then kind, and
     ``secret_links``, (secret, identifier, endpoint) of spans, by secret."""
+    return apart(docs, ("secret_spans", "secret_links"), (id_col, text_col), lambda d, own: _found(d, own(id_col), own(text_col)))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     number = {name: k for k, (name, _, _) in enumerate(PATTERNS)}
     of = lambda df, names: df.where(F.col("kind").isin([number[n] for n in names]))
     found = table(parts(docs, id_col, text_col), "parts")

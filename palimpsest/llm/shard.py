@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import apart
+
 #: Slots of the table: a prime, over 100 for each of the default shards.
 SLOTS = 8191
 SHARDS = 64
@@ -58,9 +60,14 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", shards: list[str] |
     """``docs`` with ``slot`` and ``shard`` (the place of its shard in the list)."""
     names = [f"shard-{k:05d}" for k in range(shards)] if isinstance(shards, int) else list(shards)
     table = docs.sparkSession.createDataFrame(list(enumerate(fill(names, slots))), "slot int, shard int")
-    own = docs.drop("slot", "shard") if key_col not in ("slot", "shard") else docs.withColumnRenamed(key_col, "_key").drop("slot", "shard")
-    key = F.col("`_key`" if key_col in ("slot", "shard") else f"`{key_col}`")
-    return own.withColumn("slot", slot_of(key, slots)).join(F.broadcast(table), "slot").select(*(f"`{c}`" for c in own.columns if c != "_key"), "slot", "shard")
+    result = ("slot", "shard")
+
+    def run(d: DataFrame, own) -> DataFrame:
+        kept = [c for c in d.columns if not (key_col in result and c == own(key_col))]
+        placed = d.withColumn("slot", slot_of(F.col(f"`{own(key_col)}`"), slots)).join(F.broadcast(table), "slot")
+        return placed.select(*(f"`{c}`" for c in kept), *result)
+
+    return apart(docs, result, (key_col,), run)
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", shards: list[str] | int = SHARDS, slots: int = SLOTS, files: int = 1) -> None:

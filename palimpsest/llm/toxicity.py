@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
+from .columns import apart
 
 DIMS = 18
 MAX_DOCS, MAX_BYTES = 1_500, 32 << 20
@@ -279,7 +280,11 @@ def _scan(batches: Iterator[pa.RecordBatch], model, at: int, kept: list[str]) ->
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with ``score`` and ``spans``, which win over
     columns of those names."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    return apart(docs, ("score", "spans"), (text_col,), lambda d, own: _scored(d, field, own(text_col), [own(c) for c in names]))
+
+
+def _scored(docs: DataFrame, field: Field, text_col: str, kept: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(field)
     source = docs.select(*(f"`{c}`" for c in kept), F.col(f"`{text_col}`").alias("_scored"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
