@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .columns import apart
+from .columns import apart, clear_of
 from .scratch import new_path, table
 
 KGRAM, WINDOW = 5, 9
@@ -298,7 +298,7 @@ def mark_contamination(
     the digest leaves out), items_sha256, and contaminated: some word is hit and
     hits are at least ``share`` of the words.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    names = clear_of(docs.columns if keep is None else keep, RESULT, docs)
     return apart(docs, RESULT, (text_col,), lambda d, own: _marked(d, benchmark, own(text_col), item_col, item_text_col, [own(c) for c in names], share, block_words))
 
 

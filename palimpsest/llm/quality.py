@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .columns import apart
+from .columns import apart, clear_of
 from .neardup import shingle_sets
 
 MAX_POSITIVE = 6_000
@@ -182,7 +182,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, at: int, kept: list[str]) -
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default, but for one called score) and ``score``."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    names = clear_of(docs.columns if keep is None else keep, ("score",), docs)
     return apart(docs, ("score",), (text_col,), lambda d, own: _scored(d, model, own(text_col), [own(c) for c in names]))
 
 

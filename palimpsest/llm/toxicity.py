@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .columns import apart
+from .columns import apart, clear_of
 
 DIMS = 18
 MAX_DOCS, MAX_BYTES = 1_500, 32 << 20
@@ -280,7 +280,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model, at: int, kept: list[str]) ->
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with ``score`` and ``spans``, which win over
     columns of those names."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "spans")]
+    names = clear_of(docs.columns if keep is None else keep, ("score", "spans"), docs)
     return apart(docs, ("score", "spans"), (text_col,), lambda d, own: _scored(d, field, own(text_col), [own(c) for c in names]))
 
 
