@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, linededup, mix, neardup, quality, secrets, shard, toxicity, warc
+from . import ann, decontaminate, fim, importance, linededup, mix, neardup, quality, secrets, shard, substrings, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op7_warc, op8_secrets, op9_mixing, op10_ann)}
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words that start anywhere else."""
+    return substrings.mark_repeats(_read(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark."""
+    return importance.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged to fill in its middle, and restored."""
+    out = fim.restore(fim.rearrange(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_linededup, op3_sharding, op4_minhash, op5_decontamination, op6_toxicity, op7_warc, op8_secrets, op9_mixing, op10_ann, op11_substrings, op12_importance, op13_fim)}
 
 
 def _op3_sql() -> str:
@@ -163,4 +180,44 @@ _OP4_SQL = r"""
     SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op4_minhash": _OP4_SQL, "op7_warc": _OP7_SQL, "op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}
+_OP11_SQL = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+    g AS (SELECT doc_id, p, md5_number(array_to_string(l[p : p + 34], ' ')) AS g FROM (SELECT *, unnest(range(1, len(l) - 33)) AS p FROM w)),
+    r AS (SELECT doc_id, p FROM g JOIN (SELECT g FROM g GROUP BY g HAVING count(*) > 1) USING (g)),
+    c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r),
+    s AS (SELECT doc_id, p, sum(CASE WHEN before + 35 >= p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+    m AS (SELECT doc_id, min(p) - 1 AS a, max(p) + 34 AS b FROM s GROUP BY doc_id, k),
+    d AS (SELECT doc_id, list([a, b] ORDER BY a) AS spans FROM m GROUP BY doc_id),
+    e AS (SELECT w.doc_id, l, coalesce(spans, []) AS spans FROM w LEFT JOIN d USING (doc_id)),
+    f AS (SELECT *, flatten(list_transform(range(len(spans) + 1), lambda k: l[CASE WHEN k = 0 THEN 1 ELSE spans[k][2] + 1 END : CASE WHEN k = len(spans) THEN len(l) ELSE spans[k + 1][1] END])) AS kept FROM e)
+    SELECT doc_id, cast(len(l) AS bigint) AS n_words, cast(len(l) - len(kept) AS bigint) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256, spans FROM f
+"""
+
+_OP12_SQL = r"""
+    WITH RECURSIVE bits AS (SELECT range AS v, range AS c, 0 AS k FROM range(256) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY v) AS crc FROM bits WHERE k = 8),
+    t AS (SELECT 'd' AS side, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark),
+    w AS (SELECT row_number() OVER () AS r, side, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM t),
+    f AS (SELECT r, side, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS g FROM w),
+    h AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)),
+    k AS (SELECT g, xor(4294967295, list_reduce(list_prepend(cast(4294967295 AS bigint), list_transform(range(length(x) // 2), lambda i: cast('0x' || substr(x, cast(2 * i + 1 AS bigint), 2) AS bigint))), lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1]))) % 10000 AS b FROM h, crc),
+    n AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN k USING (g) GROUP BY b),
+    a AS (SELECT b, cast(floor(1000 * ln(cast(t + 1 AS double) * (cast(sum(s) OVER () AS double) + 10000) / (cast(s + 1 AS double) * (cast(sum(t) OVER () AS double) + 10000)))) AS bigint) AS gain FROM n),
+    m AS (SELECT r, count(*) AS n_features, cast(sum(gain) AS bigint) AS total FROM f JOIN k USING (g) JOIN a USING (b) WHERE side = 'd' GROUP BY r),
+    v AS (SELECT doc_id, len(l) AS words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight, cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id AS varchar), '')), 1, 8) AS bigint) AS h FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+    z AS (SELECT *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) AS bigint) AS score FROM v),
+    o AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (words >= 20) OVER () AS eligible FROM z)
+    SELECT doc_id, cast(n_features AS bigint) AS n_features, cast(weight AS bigint) AS weight, cast(score AS bigint) AS score, CASE WHEN place <= 25 * eligible // 100 THEN place END AS rank FROM o
+"""
+
+_OP13_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(cast(doc_id AS varchar), '')) AS x FROM documents),
+    h AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS l, list_transform([1, 9, 17, 25], lambda k: cast('0x' || substr(x, k, 8) AS bigint)) AS h FROM d),
+    c AS (SELECT *, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS b,
+          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, coalesce(array_to_string(l[1 : a], ''), '') AS pre, coalesce(array_to_string(l[a + 1 : b], ''), '') AS mid, coalesce(array_to_string(l[b + 1 :], ''), '') AS suf FROM c)
+    SELECT doc_id, cast(len(l) AS bigint) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLES = {"op11_substrings": _OP11_SQL, "op12_importance": _OP12_SQL, "op13_fim": _OP13_SQL, "op4_minhash": _OP4_SQL, "op7_warc": _OP7_SQL, "op2_linededup": _OP2_SQL, "op8_secrets": _op8_sql(), "op3_sharding": _op3_sql(), "op5_decontamination": _OP5_SQL}

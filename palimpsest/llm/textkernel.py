@@ -28,6 +28,8 @@ _GRAM = U64(int(_rng.integers(2**61, 2**63)) | 1)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Words as they are.
+EXACT = np.arange(256, dtype=np.uint8)
 
 #: ``[^\x20\x09-\x0D]+``
 SPACED = np.ones(256, dtype=bool)
@@ -88,8 +90,31 @@ def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, heads: tuple[int, ...] = (), tails: tuple[int, ...] = ()) -> Words:
-    """Words of the texts that ``offs`` bounds in ``data``, lower-cased (A-Z) for hashing.
+def pieces(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, size: int = CHUNK, carry: int = 0, hashed: bool = True, lower: np.ndarray = LOWER) -> Iterator[tuple[int, int, Words, int]]:
+    """(lo, hi, words, carried): the words of rows lo to hi, of about ``size`` bytes at a time.
+
+    A longer text comes in several pieces that are cut between words; each begins with the last
+    ``carry`` words of what came before, ``carried`` of them."""
+    for lo, hi in chunks(offs, size):
+        at, end = int(offs[lo]), int(offs[hi])
+        if end - at <= size or hi - lo > 1:
+            yield lo, hi, words(data, offs[lo : hi + 1], kind, hashed=hashed, lower=lower), 0
+            continue
+        start, carried = at, 0
+        while at < end:
+            at = min(at + size, end)
+            while at < end and kind[data[at]]:
+                between = np.flatnonzero(~kind[data[at : min(at + size, end)]])
+                at = at + int(between[0]) if len(between) else min(at + size, end)
+            w = words(data, np.array([start, at]), kind, hashed=hashed, lower=lower)
+            yield lo, hi, w, carried
+            carried = min(carry, len(w.starts))
+            start = start + int(w.starts[len(w.starts) - carried]) if carried else at
+
+
+def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, heads: tuple[int, ...] = (), tails: tuple[int, ...] = (), hashed: bool = True, lower: np.ndarray = LOWER) -> Words:
+    """Words of the texts that ``offs`` bounds in ``data``, lower-cased (A-Z, by the table ``lower``)
+    for hashing; none is hashed if ``hashed`` is false.
 
     ``heads`` and ``tails`` name byte counts; for each, the hash of that many first or
     last bytes of every word is given too (of the whole word where it is shorter).
@@ -109,14 +134,14 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, heads: tuple[int
     n = len(starts)
     hashes = np.empty(n, np.uint64)
     h_out, t_out = {k: np.empty(n, np.uint64) for k in heads}, {k: np.empty(n, np.uint64) for k in tails}
-    i = 0
+    i = 0 if hashed else n
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, side="right")))
         a, b = int(starts[i]), int(ends[j - 1])
         grow = b - a > SPAN
         up, down = (_powers(_BASE, b - a + 1), _powers(_INV, b - a + 1)) if grow else (_pow, _inv)
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[LOWER[data[a:b]]] * up[: b - a], out=sums[1:])
+        np.cumsum(_BYTE[lower[data[a:b]]] * up[: b - a], out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         hashes[i:j] = mix((sums[e] - sums[s]) * down[s])
         for k, out in h_out.items():
