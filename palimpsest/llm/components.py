@@ -21,19 +21,19 @@ BROADCAST_LABELS = 1_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every end of the links (a, b): comp is the least node reachable."""
+    """(node, comp) for every end of the links (a, b): comp is the least node reachable; a written table."""
     both = table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
+    nodes = both.count()  # no fewer than there are nodes, as each has a link
+    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels", nodes)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("low"))
-        low = table(low, "low")
+        low = table(low, "low", nodes)
         used = labels.join(low.select(F.col("low").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        used = table(used, "used")
         jump = low.join(F.broadcast(used) if used.count() <= BROADCAST_LABELS else used, "low")
-        after = table(jump.select("node", F.least("low", "far").alias("comp"), (F.col("was") != F.least("low", "far")).alias("moved")), "labels")
+        after = table(jump.select("node", F.least("low", "far").alias("comp"), (F.col("was") != F.least("low", "far")).alias("moved")), "labels", nodes)
         changed = after.where("moved").limit(1).count()
-        drop(labels, low, used)
+        drop(labels, low)
         labels = after
         if not changed:
             drop(both)

@@ -48,9 +48,9 @@ BITS = 4
 LANES = 64 // BITS
 LONGS = HASHES // LANES
 SIGMAS = 7.0
-#: Nodes of a bucket in a block of the last, exhaustive comparison, and shingles of them in a
-#: block when texts are compared.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Nodes of a bucket in a block of the last, exhaustive comparison, and shingles of them (a
+#: task holds the texts and sets of two blocks); also the shingles whose sets are multiplied at once.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Sets with so many copies, and more than all rows over ``HOT_SETS``, are joined by broadcast.
 HOT_COPIES, HOT_SETS = 1_000, 100_000
 #: Shared shingles that are counted at once in that comparison.
@@ -286,12 +286,12 @@ class _Graph:
         schema = f"doc_id {kind}, n long, s1 long, s2 long, bands array<bigint>, sig array<bigint>"
         self.rows = table(docs.mapInArrow(lambda x, s=size: _sketch(x, s), schema), "sketches")
         sets = self.rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
-        nodes = table(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
-        total = nodes.agg(F.sum("copies")).first()[0] or 0
+        self.total = total = self.rows.count()
+        nodes = table(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets", total)
         many = F.col("copies") > max(HOT_COPIES, total // HOT_SETS)
         hot = F.broadcast(nodes.where(many).drop("copies"))
         rare = sets.join(hot, ["n", "s1", "s2"], "left_anti").join(nodes.where(~many), ["n", "s1", "s2"])
-        self.member = table(rare.select("doc_id", "n", "node").unionByName(sets.join(hot, ["n", "s1", "s2"]).select("doc_id", "n", "node")), "members")
+        self.member = table(rare.select("doc_id", "n", "node").unionByName(sets.join(hot, ["n", "s1", "s2"]).select("doc_id", "n", "node")), "members", total)
         self.links_kind = kind
 
     def run(self) -> DataFrame:
@@ -299,7 +299,7 @@ class _Graph:
         reps = self.rows.where(f"n * {100 - self.percent} >= {self.percent} and doc_id is not null")  # a smaller set has only equal ones
         reps = reps.join(self.member.where("doc_id = node").select("node", F.col("n").alias("m")).distinct(), (F.col("doc_id") == F.col("node")) & (F.col("n") == F.col("m")))
         self.reps = table(reps.select("node", "n", "sig", "bands"), "nodes")
-        rows = self.reps.select("node", F.explode("bands").alias("band"))
+        rows = self.reps.select("node", "n", F.explode("bands").alias("band"))
         hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
         # a hub per bucket, and all that share it
         self.shared = table(rows.join(hubs.select("band", "hub"), "band"), "buckets")
@@ -309,7 +309,7 @@ class _Graph:
         self.texts = table(self.docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(known, "node", "left_semi"), "texts")
         twice = self.member.where("doc_id <> node").join(self.member.where("doc_id = node").select(F.col("node").alias("own")).distinct(), F.col("doc_id") == F.col("own"), "left_semi")
         links = self._confirmed(self.shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))).union(twice.select("doc_id", "node"))
-        labels = table(components(links), "components")
+        labels = components(links)
         pairs = self._again(labels)
         if pairs is None:
             return labels
@@ -325,7 +325,7 @@ class _Graph:
         step = components(links)
         whole = labels.select("node", F.col("comp").alias("own")).union(step.select("node", "node")).distinct()
         moved = whole.join(step.select(F.col("node").alias("own"), "comp"), "own", "left")
-        return table(moved.groupBy("node").agg(F.min(F.coalesce("comp", "own")).alias("comp")), "components")
+        return table(moved.groupBy("node").agg(F.min(F.coalesce("comp", "own")).alias("comp")), "components", self.total)
 
     @staticmethod
     def _labelled(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -334,7 +334,7 @@ class _Graph:
 
     def _bands(self, bands: DataFrame) -> DataFrame | None:
         """A written table with a row for each band, to be broadcast if it is small; None without rows."""
-        bands = table(bands, "bands")
+        bands = table(bands, "bands", BANDS * self.total)
         n = bands.count()
         return None if not n else F.broadcast(bands) if n <= BROADCAST_IDS else bands
 
@@ -352,20 +352,21 @@ class _Graph:
         """Links across components from all pairs of each bucket that are still apart.
 
         The nodes of a bucket's largest component, which need no comparison with one another,
-        and the rest of it are cut into blocks, and a task holds two of them, one at least of
+        and the rest of it are cut into blocks of so many nodes and shingles, and a task holds two of them, one at least of
         the rest: a signature is sent once for each block that it is compared with, not for
         each pair.  Texts follow for the nodes that are near another by size and signature,
         and what comes back is at most a link for each of them.
         """
-        rows = self._labelled(self.shared.select("node", "band"), labels, "node")
-        each = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
-        top = F.max(F.struct("size", "comp")).alias("top")
-        apart = each.groupBy("band").agg(top, F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and size > 2")
-        part = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-        apart = self._bands(apart.select("band", F.col("top.comp").alias("major"), part(F.col("size") - F.col("top.size")).alias("rest"), part(F.col("top.size")).alias("most")))
+        rows = self._labelled(self.shared.select("node", "n", "band"), labels, "node")
+        each = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+        top = F.max(F.struct("size", "shingles", "comp")).alias("top")
+        apart = each.groupBy("band").agg(top, F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and size > 2")
+        part = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        others = part(F.col("size") - F.col("top.size"), F.col("shingles") - F.col("top.shingles"))
+        apart = self._bands(apart.select("band", F.col("top.comp").alias("major"), others.alias("rest"), part(F.col("top.size"), F.col("top.shingles")).alias("most")))
         if apart is None:
             return None
-        full = rows.join(apart, "band").withColumn("in_most", F.col("comp") == F.col("major"))
+        full = rows.drop("n").join(apart, "band").withColumn("in_most", F.col("comp") == F.col("major"))
         own = F.when(F.col("in_most"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
         pairs = F.expr("transform(sequence(0, if(in_most, rest, rest + most) - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")
         columns = ["band", "i", "j", "own", "node", "comp", "n", "bands", "sig"]

@@ -39,10 +39,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it reread."""
+#: Rows of a few numbers that a file of :func:`table` may hold.
+FILE_ROWS = 1_000_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return it reread.
+
+    A table of few numbers whose ``rows`` are known to be no more than that goes to as many files as
+    there are cores, or one for each ``FILE_ROWS`` if that is more, not to one for each partition."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)

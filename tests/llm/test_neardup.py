@@ -106,3 +106,22 @@ def test_words_of_buffers():
     assert np.diff(w.bounds).tolist() == [2, 0, 0, 2, 3, 1]
     own = K.words(*K.texts(pa.array(["WORLD"])), K.SPACED)
     assert own.hashes[0] == w.hashes[1]
+
+
+def test_long_texts_of_a_bucket_are_compared_in_small_blocks(spark, monkeypatch):
+    """Texts just below the similarity share bands, and some of them are linked by others only."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 25_000)
+    rng = random.Random(12)
+    base = prose(rng, 10_000, 10**6)
+    rows = [(k, edited(rng, base, rng.choice([150, 270, 290]))) for k in range(24)]
+    seen, blocks = [], neardup._Graph._exhausted
+
+    def watched(self, labels):
+        apart = blocks(self, labels)
+        seen.append(self.reps.selectExpr("sum(n)").first()[0])
+        return apart
+
+    monkeypatch.setattr(neardup._Graph, "_exhausted", watched)
+    got = neardup.near_duplicates(docs(spark, rows), shingle=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows, 3, 85)
+    assert len(set(components(rows, 3, 85).values())) > 2 and seen[0] > 8 * neardup.BLOCK_SHINGLES
