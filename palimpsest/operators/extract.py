@@ -61,11 +61,11 @@ def parse_memories(answers: DataFrame, text_col: str = "answer") -> DataFrame:
 
 
 def parse_decisions(answers: DataFrame, text_col: str = "answer") -> DataFrame:
-    """(record_id, pos, action, target_ids, merged_content, merged_type, merged_priority)."""
-    kind = "array<struct<record_id: string, action: string, target_ids: array<string>, merged_content: string, merged_type: string, merged_priority: double>>"
+    """(record_id, pos, action, target_ids, merged_content, merged_type, merged_priority, merged_timestamps)."""
+    kind = "array<struct<record_id: string, action: string, target_ids: array<string>, merged_content: string, merged_type: string, merged_priority: double, merged_timestamps: array<string>>>"
     keys = [c for c in answers.columns if c != text_col]
     rows = answers.select(*keys, F.posexplode(F.from_json(tx.repair_json(F.regexp_extract(text_col, "(?s)(\\[.*\\])", 1)), kind)).alias("pos", "d"))
-    return rows.where(F.col("d.action").isin("store", "skip", "update", "merge")).select(*keys, "d.record_id", "pos", "d.action", F.coalesce("d.target_ids", F.array().cast("array<string>")).alias("target_ids"), "d.merged_content", valid_type(F.col("d.merged_type")).alias("merged_type"), "d.merged_priority")
+    return rows.where(F.col("d.action").isin("store", "skip", "update", "merge")).select(*keys, "d.record_id", "pos", "d.action", F.coalesce("d.target_ids", F.array().cast("array<string>")).alias("target_ids"), "d.merged_content", valid_type(F.col("d.merged_type")).alias("merged_type"), "d.merged_priority", "d.merged_timestamps")
 
 
 def limit_per_session(memories: DataFrame, n: int = PER_SESSION, order: str = "pos") -> DataFrame:

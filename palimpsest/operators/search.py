@@ -106,7 +106,7 @@ def neighbours(new: DataFrame, vectors: DataFrame, k: int, id_col: str = "record
     """For each of a batch of new rows its ``k`` nearest others that are not in the batch.
 
     The batch is compared with all vectors in the tasks that read them, in blocks of about
-    ``most`` new rows, and each task keeps ``k`` per new row.
+    ``most`` new rows, and each task keeps and returns ``k`` per new row, however many it reads.
     """
     import numpy as np
     import pyarrow as pa
@@ -127,21 +127,28 @@ def neighbours(new: DataFrame, vectors: DataFrame, k: int, id_col: str = "record
 
             def nearest(batches, held=held, d=d):
                 own_ids, own = held.value
+                best, names_of = np.zeros((len(own), 0)), np.zeros((len(own), 0), "U1")
                 for batch in batches:
                     for lo in range(0, batch.num_rows, 4096):
                         part = batch.slice(lo, 4096)
-                        names = np.array(part.column(0).to_pylist(), object)
+                        names = np.array(part.column(0).to_pylist(), "U")
                         x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
                         length = np.linalg.norm(x, axis=1)
                         names, x = names[length > 0], x[length > 0] / length[length > 0, None]
                         if not len(names):
                             continue
-                        place = np.argsort(np.argsort(names))
+                        place, most_ = np.argsort(np.argsort(names)), min(k, best.shape[1] + len(names))
+                        after, after_of = np.empty((len(own), most_)), np.empty((len(own), most_), np.promote_types(names.dtype, names_of.dtype))
                         for a in range(0, len(own), 256):
                             dist = 1 - own[a : a + 256] @ x.T
                             order = np.lexsort((np.broadcast_to(place, dist.shape), dist), axis=1)[:, :k]
-                            row, col = np.repeat(np.arange(len(dist)), order.shape[1]), order.ravel()
-                            yield pa.RecordBatch.from_arrays([pa.array(own_ids[a + row]), pa.array(names[col]), pa.array(dist[row, col])], names=["new_id", "candidate_id", "distance"])
+                            both = np.concatenate([best[a : a + 256], np.take_along_axis(dist, order, 1)], 1)
+                            both_of = np.concatenate([names_of[a : a + 256], names[order]], 1)
+                            order = np.lexsort((both_of, both), axis=1)[:, :most_]
+                            after[a : a + 256], after_of[a : a + 256] = np.take_along_axis(both, order, 1), np.take_along_axis(both_of, order, 1)
+                        best, names_of = after, after_of
+                row = np.repeat(np.arange(len(own)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids[row]), pa.array(names_of.ravel().tolist(), pa.string()), pa.array(best.ravel())], names=["new_id", "candidate_id", "distance"])
 
             part = others.where(F.size("v") == d).mapInArrow(nearest, schema)
             found = part if found is None else found.unionByName(part)

@@ -34,6 +34,13 @@ def _session(*order: str):
     return Window.partitionBy("session_id").orderBy(*order)
 
 
+def cut_lines(lines: DataFrame, most: int, line: str = "line") -> DataFrame:
+    """Lines of at most ``most`` characters; a longer one ends with a mark if that fits."""
+    room = most - len(LINE_SUFFIX)
+    head = F.concat(F.regexp_replace(F.substring(line, 1, room), "\\s+$", ""), F.lit(LINE_SUFFIX)) if room > 0 else F.substring(line, 1, most)
+    return lines.withColumn(line, F.when(F.length(line) <= most, F.col(line)).otherwise(head))
+
+
 def budget_lines(lines: DataFrame, total: int, group: str = "session_id", order: str = "rank", line: str = "line") -> DataFrame:
     """Lines while they fit ``total`` UTF-16 units with a separator between; the first that does
     not is cut if at least ``MIN_LINE`` units remain, and ends the list."""

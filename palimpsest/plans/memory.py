@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
-from ..operators import extract, query, search, store, transcript, upkeep
+from ..functions import vectors as vec
+from ..operators import extract, query, resolve, search, store, transcript, upkeep
 from ..sources import files
 from ..streaming import capture
 
@@ -35,16 +36,24 @@ class Model(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+class Judge(Protocol):
+    """Compares new facts with known ones (each with record_id, content and type); a JSON list of decisions."""
+
+    def __call__(self, new: list[dict], known: list[dict]) -> str: ...
+
+
 @dataclass(frozen=True)
 class Config:
     max_results: int = 5
     score_threshold: float = 0.3
     strategy: str = "hybrid"
     max_chars: int = 0
+    max_chars_per_memory: int = 0
     skip_sessions: tuple[str, ...] = ()
     retention_days: int = 0
     zone: str = "UTC"
     memories_per_session: int = extract.PER_SESSION
+    conflict_recall_top_k: int = 5
     clean_time: str = "03:00"
     context_window: int = 200_000
 
@@ -79,10 +88,14 @@ class Config:
 
 #: UTF-16 units of a text that are embedded, texts of a request, and requests for a batch that fails.
 EMBED_UNITS, EMBED_BATCH, EMBED_TRIES = 8_000, 256, 3
+#: The line over recalled facts (a fixed value), and what a turn is told of the searches.
+RECALL_NOTE = "以下是当前对话召回的相关记忆，不代表当前任务进程，仅作为参考："
+TOOLS_GUIDE = "<memory-tools-guide>\nsearch_memories looks facts up (preferences, events, rules); search_conversations looks up what was said, word for word.\n</memory-tools-guide>"
 #: Parts of a table from which an append writes it anew.
 PARTS = 32
 RUNNER = "session_key string, last_l1_cursor long, last_scene_name string"
 TOTALS = "name string, n long"
+ANSWERS = "session_key string, cursor long, answer string"
 
 
 def embed_all(embed: Embedder, texts: list[str | None], batch: int = EMBED_BATCH, units: int = EMBED_UNITS, tries: int = EMBED_TRIES) -> list[list[float]]:
@@ -111,6 +124,48 @@ def embed_all(embed: Embedder, texts: list[str | None], batch: int = EMBED_BATCH
     return out
 
 
+def _asking(call: Callable[[dict], str], keep: list[str]):
+    """Rows -> ``keep`` and the answer of ``call`` on each row, null where it raised."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            answers = []
+            for row in b.to_pylist():
+                try:
+                    answers.append(call(row))
+                except Exception:  # whatever a service raises is a failed try
+                    answers.append(None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(answers, pa.string())], names=[*keep, "answer"])
+
+    return run
+
+
+def _embedding(embed: Embedder, batch: int = EMBED_BATCH):
+    """(record_id, text, updated_time) -> vectors; a batch that fails is tried text by text, and what fails then is left out."""
+    import pyarrow as pa
+
+    def each(texts):
+        try:
+            return embed_all(embed, texts, batch)
+        except Exception:  # one text may be what the service refuses
+            out = []
+            for t in texts:
+                try:
+                    out += embed_all(embed, [t])
+                except Exception:
+                    out.append(None)
+            return out
+
+    def run(batches):
+        for b in batches:
+            got = each(b.column(1).to_pylist())
+            ok = pa.array([x is not None for x in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float32())), b.column(2)], names=["record_id", "embedding", "updated_time"]).filter(ok)
+
+    return run
+
+
 @dataclass
 class Memory:
     """Layers as Parquet below ``path``.
@@ -238,19 +293,30 @@ class Memory:
         for name, schema in ((layer, schemas.L0 if layer == "l0" else schemas.L1), (f"{layer}_vec", schemas.VECTORS)):
             self._replace(name, store.delete(self.table(name, schema), ids))
 
-    def reindex(self, layer: str, batch: int = EMBED_BATCH) -> None:
-        """Vectors of every row of a layer, from the embedder, in batches in the tasks."""
-        import pyarrow as pa
-
-        embed, column = self.embed, "message_text" if layer == "l0" else "content"
-        rows = (self.l0 if layer == "l0" else self.l1).select("record_id", F.col(column).alias("t"), F.col("recorded_at" if layer == "l0" else "updated_time").alias("updated_time"))
+    def _texts(self, layer: str) -> DataFrame:
+        rows, text, time = (self.l0, "message_text", "recorded_at") if layer == "l0" else (self.l1, "content", "updated_time")
+        return rows.select("record_id", F.col(text).alias("t"), F.col(time).alias("updated_time"))
 
-        def run(batches):
-            for b in batches:
-                got = embed_all(embed, b.column(1).to_pylist(), batch)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float32())), b.column(2)], names=["record_id", "embedding", "updated_time"])
-
-        self._replace(f"{layer}_vec", rows.mapInArrow(run, schemas.VECTORS))
+    def reindex(self, layer: str, batch: int = EMBED_BATCH) -> None:
+        """Vectors of every row of a layer, from the embedder, in batches in the tasks; rows that it
+        refuses have none and stay in the backlog."""
+        self._replace(f"{layer}_vec", self._texts(layer).mapInArrow(_embedding(self.embed, batch), schemas.VECTORS).where(vec.nonzero(F.col("embedding"))))
+
+    def backlog(self, layer: str) -> DataFrame:
+        """(record_id, t, updated_time) of the rows without a vector, or with one of an older text."""
+        held = self.vectors(layer).select(F.col("record_id").alias("_of"), F.col("updated_time").alias("_at"))
+        return self._texts(layer).join(held, (F.col("record_id") == F.col("_of")) & (F.col("updated_time") <= F.col("_at")), "left_anti")
+
+    def embed_backlog(self, layer: str) -> int:
+        """Vectors for the backlog only; how many of it got one."""
+        new = self.backlog(layer).mapInArrow(_embedding(self.embed), schemas.VECTORS).where(vec.nonzero(F.col("embedding"))).persist()
+        try:
+            n = new.count()
+            if n:
+                self._replace(f"{layer}_vec", store.delete(self.vectors(layer), new).unionByName(new))
+            return n
+        finally:
+            new.unpersist()
 
     def _asked(self, text: str) -> list[float] | None:
         return list(embed_all(self.embed, [text])[0]) if self.embed else None
@@ -261,27 +327,56 @@ class Memory:
     def search_conversations(self, text: str, limit: int = 5, session_key: str | None = None) -> DataFrame:
         return search.search_conversations(self.l0, text, limit, self.vectors("l0"), self._asked(text), session_key)
 
-    def recall(self, text: str, persona: str | None = None) -> dict:
-        """What a turn gets: lines of facts within the budget, the persona, and the strategy."""
+    def recall(self, text: str, persona: str | None = None, scenes: DataFrame | None = None) -> dict:
+        """What a turn gets.
+
+        ``lines`` of facts within both budgets, ``memories`` (type and content of each), ``persona``
+        without its navigation, the blocks ``prepend`` (facts) and ``append`` (persona, navigation over
+        ``scenes`` and a guide to the tools), None where there is nothing to put in them, and the
+        configured ``strategy``, or "skipped" for a text of under two UTF-16 units.  A search that fails
+        gives no lines, and the rest all the same."""
+        clean = tx_clean(text)
+        skipped = len(clean.encode("utf-16-le", "surrogatepass")) < 4
+        try:
+            found = [] if skipped else self._recalled(clean)
+        except Exception:  # persona and scenes do not depend on the search
+            found = []
+        lines = [r.line for r in found]
+        body = re.sub(r"(?s)\n*<scene-navigation>.*$", "", persona or "").strip() or None
+        nav = [r.line for r in files.navigation(scenes).orderBy("rank").collect()] if scenes is not None else []
+        prepend = f"<relevant-memories>\n{RECALL_NOTE}\n\n{'\n'.join(lines)}\n</relevant-memories>" if lines else None
+        stable = [f"<user-persona>\n{body}\n</user-persona>"] if body else []
+        stable += [f"<scene-navigation>\n{'\n'.join(nav)}\n</scene-navigation>"] if nav else []
+        if stable or prepend:
+            stable.append(TOOLS_GUIDE)
+        memories = [{"type": r.type, "content": r.content, "score": 0.0} for r in found]
+        return {"lines": lines, "memories": memories, "persona": body, "prepend": prepend, "append": "\n\n".join(stable) or None, "strategy": "skipped" if skipped else self.config.strategy}
+
+    def _recalled(self, clean: str) -> list:
+        """The facts' lines in order, with what each still shows of its type and content."""
         c = self.config
-        found = search.recall(self.l1, tx_clean(text), c.max_results, c.score_threshold, c.strategy, self.vectors("l1"), self._asked(text))
+        asked = self._asked(clean) if c.strategy != "keyword" else None
+        found = search.recall(self.l1, clean, c.max_results, c.score_threshold, c.strategy, self.vectors("l1"), asked)
         meta = lambda key: F.get_json_object("metadata_json", f"$.{key}")
-        line = tx.memory_line(F.col("type"), F.col("scene_name"), F.col("content"), meta("activity_start_time"), meta("activity_end_time"), F.col("timestamp_start"))
-        rows = search.positions(found, F.col("_o")).select(F.lit(1).alias("session_id"), F.col("pos").alias("rank"), line.alias("line"), "strategy")
+        line = tx.memory_line(F.col("type"), F.col("scene_name"), F.col("content"), meta("activity_start_time"), meta("activity_end_time"), F.col("timestamp_str"))
+        rows = search.positions(found, F.col("_o")).select(F.lit(1).alias("session_id"), F.col("pos").alias("rank"), line.alias("line"))
+        if c.max_chars_per_memory:
+            rows = transcript.cut_lines(rows, c.max_chars_per_memory)
         if c.max_chars:
             rows = transcript.budget_lines(rows, c.max_chars)
-        got = rows.orderBy("rank").collect()
-        return {"lines": [r.line for r in got], "persona": persona, "strategy": got[0].strategy if got else "none"}
+        part = lambda k: F.regexp_extract("line", r"(?s)^- \[([^|\]]*)[^\]]*\] (.*?)(?: \(活动时间:.*)?$", k)
+        kind = F.when(part(1) == "", "unknown").otherwise(part(1))
+        return rows.withColumns({"type": kind, "content": F.when(part(1) == "", F.col("line")).otherwise(tx.strip(part(2)))}).orderBy("rank").collect()
 
-    def recall_within(self, text: str, seconds: float, persona: str | None = None) -> dict | None:
-        """:meth:`recall`, or None where that takes longer; its jobs are cancelled then."""
+    def recall_within(self, text: str, seconds: float, persona: str | None = None, scenes: DataFrame | None = None) -> dict | None:
+        """:meth:`recall`; None where that takes longer (its jobs are cancelled then) or both blocks are empty."""
         group, sc = f"recall-{uuid.uuid4().hex}", self.spark.sparkContext
         out: list = []
 
         def run() -> None:
             sc.setJobGroup(group, "recall", interruptOnCancel=True)
             try:
-                out.append(self.recall(text, persona))
+                out.append(self.recall(text, persona, scenes))
             except Exception as e:  # what a cancelled job raises is of no interest
                 out.append(e)
 
@@ -293,7 +388,7 @@ class Memory:
             return None
         if isinstance(out[0], Exception):
             raise out[0]
-        return out[0]
+        return out[0] if out[0]["prepend"] or out[0]["append"] else None
 
     def seed(self, path: str, start_ms: int, barrier: Callable[[], None] | None = None) -> dict[str, int]:
         """Replay the rounds of a seed file that were not replayed before; how much there was.
@@ -341,32 +436,67 @@ class Memory:
     def totals(self) -> dict[str, int]:
         return {r.name: r.n for r in self.table("totals", TOTALS).collect()}
 
-    def extract(self, prompt: Callable[[list[str]], str], model: Model, created: str) -> int:
+    def extract(self, prompt: Callable[[list[str]], str], model: Model, created: str, judge: Judge | None = None) -> int:
         """Ask the model for facts of each session's messages since its last extraction, and store
-        them; how many.
+        them; how many were written.
 
-        Sessions are asked one after another by the driver, as a model is a service outside
-        the cluster; only sessions with enough new text are asked.  A session whose answer came is
-        not asked again for the same messages."""
+        Only sessions with enough new text are asked, each by a task (a model is a service outside the
+        cluster), and the answers are a table before anything is made of them.  A session whose answer
+        came is not asked again for the same messages; one whose call raised is.  With a
+        ``judge`` and an embedder, each session's new facts go to it with the known ones
+        nearest to them, and its decisions are applied (:mod:`resolve`); a judge that raises stores all."""
         cursors = self.runner().select("session_key", F.col("last_l1_cursor").alias("_at"))
         new = self.l0.join(cursors, "session_key", "left").where(F.col("_at").isNull() | (F.col("timestamp") > F.col("_at"))).drop("_at")
         ready = extract.enough(new).where("ok").select("session_key")
         rows = extract.split_window(new).where("part = 'new'").join(ready, "session_key").groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("timestamp", "message_text"))).alias("m"))
-        answers = [(r.session_key, r.m[-1].timestamp, model(prompt([m.message_text for m in r.m]))) for r in rows.toLocalIterator()]
-        if not answers:
+        rows = rows.select("session_key", F.element_at("m", -1)["timestamp"].alias("cursor"), F.col("m.message_text").alias("texts"))
+        call = lambda r: model(prompt(list(r["texts"])))
+        self._replace("answers", rows.mapInArrow(_asking(call, ["session_key", "cursor"]), ANSWERS))
+        asked = self.table("answers", ANSWERS).where("answer is not null")
+        if asked.isEmpty():
             return 0
-        asked = self.spark.createDataFrame(answers, "session_key string, cursor long, answer string")
         parsed = extract.parse_memories(asked.select("session_key", "answer"))
         parsed = extract.limit_per_session(parsed.withColumn("o", F.struct("scene_pos", "pos")), self.config.memories_per_session, "o")
         identity = F.concat(F.lit("m_"), F.substring(F.sha2(F.concat_ws("\x1f", "session_key", "content", "type"), 256), 1, 24))
-        facts = parsed.select(identity.alias("record_id"), "content", "type", "priority", "scene_name", "session_key", F.col("session_key").alias("session_id"), *(F.lit("").alias(c) for c in ("timestamp_str", "timestamp_start", "timestamp_end")), F.lit(created).alias("created_time"), F.lit(created).alias("updated_time"), "metadata_json")
-        facts = facts.dropDuplicates(["record_id"])
-        n = facts.count()
-        if n:
-            self.add_facts(facts)
+        facts = parsed.select(identity.alias("record_id"), "content", "type", "priority", "scene_name", "session_key", F.col("session_key").alias("session_id"), F.array(F.lit(created)).alias("timestamps"), F.lit(created).alias("created_time"), F.lit(created).alias("updated_time"), "metadata_json", F.struct("session_key", "scene_pos", "pos").alias("pos"))
+        self._replace("facts", facts)
+        facts = self.table("facts", facts.schema)
+        done = resolve.resolve(self.l1, facts, self._decisions(facts, judge))
+        written, removed, n = done.written.persist(), done.removed.persist(), done.stored.first().stored
+        try:
+            if written.count() + removed.count():
+                self._replace("l1", done.l1)
+                self._refresh(written, removed)
+        finally:
+            written.unpersist()
+            removed.unpersist()
         self._finished(asked, parsed, n)
         return n
 
+    def _decisions(self, facts: DataFrame, judge: Judge | None) -> DataFrame:
+        """What the judge says of each session's facts; none without candidates."""
+        none = self.spark.createDataFrame([], "session_key string, answer string")
+        known = self.vectors("l1")
+        if judge is None or self.embed is None or known.isEmpty():
+            return extract.parse_decisions(none)
+        new = facts.select("record_id", F.col("content").alias("t"), F.lit("").alias("updated_time")).dropDuplicates(["record_id"]).mapInArrow(_embedding(self.embed), schemas.VECTORS)
+        near = search.neighbours(new, known, self.config.conflict_recall_top_k).join(self.l1.select(F.col("record_id").alias("candidate_id"), F.col("content").alias("known_content"), F.col("type").alias("known_type")), "candidate_id")
+        of = near.join(facts.select(F.col("record_id").alias("new_id"), "session_key"), "new_id").select("session_key", F.struct(F.col("candidate_id").alias("record_id"), F.col("known_content").alias("content"), F.col("known_type").alias("type")).alias("k"))
+        found = of.groupBy("session_key").agg(F.array_sort(F.collect_set("k")).alias("known"))
+        each = facts.groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("pos", "record_id", "content", "type"))).alias("new")).join(found, "session_key")
+        call = lambda r: judge([{k: v for k, v in x.items() if k != "pos"} for x in r["new"]], list(r["known"]))
+        self._replace("judged", each.mapInArrow(_asking(call, ["session_key"]), "session_key string, answer string"))
+        answers = self.table("judged", "session_key string, answer string").where("answer is not null")
+        return extract.parse_decisions(answers)
+
+    def _refresh(self, written: DataFrame, removed: DataFrame) -> None:
+        """Vectors of written facts, and none of removed ones; a fact that cannot be embedded has none."""
+        if self.embed is None:
+            return
+        rows = self.l1.join(written, "record_id", "left_semi").select("record_id", F.col("content").alias("t"), "updated_time")
+        kept = store.delete(store.delete(self.vectors("l1"), removed), written)
+        self._replace("l1_vec", kept.unionByName(rows.mapInArrow(_embedding(self.embed), schemas.VECTORS).where(vec.nonzero(F.col("embedding")))))
+
     def _finished(self, asked: DataFrame, parsed: DataFrame, n: int) -> None:
         """Cursors and last scenes of the sessions that were asked, and the two counts of facts."""
         scene = parsed.groupBy("session_key").agg(F.max_by("scene_name", F.struct("scene_pos", "pos")).alias("_scene"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions import text as tx
 from .functions import vectors as vec
-from .operators import answers, extract, joins, query, schedule, search, store, transcript, triggers, upkeep
+from .operators import answers, extract, joins, query, resolve, schedule, search, store, transcript, triggers, upkeep
 from .plans import host, offload, views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
 from .sources import export, files, logs
@@ -386,10 +386,11 @@ def win12_truncate_logs(spark, sf):
     return transcript.truncate_logs(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size")), 1_000_000)
 
 
-@register(f"WITH {L0_SQL} SELECT record_id, 1000 + 100 * (row_number() OVER (PARTITION BY session_key ORDER BY timestamp, record_id) - 1) AS filled FROM l0")
+@register(f"WITH {L0_SQL} SELECT record_id, 1000 + 100 * (row_number() OVER (ORDER BY session_key, timestamp, record_id) - 1) AS filled FROM l0")
 def win13_fill_times(spark, sf):
-    n = F.row_number().over(Window.partitionBy("session_key").orderBy("timestamp", "record_id"))
-    return views.l0(spark, sf).select("record_id", (1000 + 100 * (n.cast("long") - 1)).alias("filled"))
+    """One running index over the messages of all sessions."""
+    seed = views.l0(spark, sf).select("record_id", F.col("session_key").alias("session"), F.col("timestamp").alias("round"), F.col("record_id").alias("place"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("timestamp"))
+    return files.fill_times(seed, 1000).select("record_id", F.col("timestamp").alias("filled"))
 
 
 # ---- joins and sets
@@ -408,6 +409,40 @@ def join05_decisions(spark, sf):
     return joins.decide(read(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id")), d)
 
 
+@register(f"""WITH {L1_SQL}, f AS (SELECT doc_id AS p, CASE WHEN doc_id % 7 = 3 THEN cast(doc_id AS varchar) ELSE 'n' || (doc_id - doc_id % 2) END AS id, md5(coalesce(text, '')) AS content, lang, cast(doc_id AS varchar) AS created FROM documents),
+    d AS (SELECT id, max(p) AS q FROM f GROUP BY id),
+    a AS (SELECT f.*, q, CASE q % 5 WHEN 1 THEN 'skip' WHEN 2 THEN 'update' WHEN 3 THEN 'merge' ELSE 'store' END AS action FROM f JOIN d USING (id)),
+    t AS (SELECT p, unnest(CASE action WHEN 'update' THEN [cast(q // 3 AS varchar), 'n' || (q - 2)] WHEN 'merge' THEN ['missing', 'n' || (q + 1), cast(q // 4 AS varchar), id] ELSE [] END) AS id FROM a),
+    r AS (SELECT id, max(p) AS removed FROM t GROUP BY id),
+    w AS (SELECT a.*, action IN ('update', 'merge') AS merged FROM a LEFT JOIN r USING (id) WHERE action <> 'skip' AND (removed IS NULL OR p >= removed)),
+    n AS (SELECT id AS record_id, arg_max(CASE WHEN merged THEN 'm' || q ELSE content END, p) AS content, arg_max(CASE WHEN merged AND q % 2 = 0 THEN 'persona' ELSE 'episodic' END, p) AS type,
+          arg_max(CASE WHEN merged THEN 7.0 ELSE 50.0 END::double, p) AS priority, arg_max(CASE WHEN merged AND q % 4 = 0 THEN 'b' ELSE created END, p) AS timestamp_str, arg_max(CASE WHEN merged AND q % 4 = 0 THEN 'a' ELSE created END, p) AS timestamp_start,
+          arg_max(CASE WHEN merged AND q % 4 = 0 THEN 'c' ELSE created END, p) AS timestamp_end, arg_min(lang || '!', p) AS session_key, arg_min(created, p) AS created_time FROM w GROUP BY id),
+    o AS (SELECT record_id, md5(content) AS content, type, priority, timestamp_str, timestamp_start, timestamp_end, session_key, created_time FROM l1 WHERE record_id NOT IN (SELECT id FROM r))
+    SELECT record_id, coalesce(n.content, o.content) AS content, coalesce(n.type, o.type) AS type, coalesce(n.priority, o.priority) AS priority, coalesce(n.timestamp_str, o.timestamp_str) AS timestamp_str, coalesce(n.timestamp_start, o.timestamp_start) AS timestamp_start,
+           coalesce(n.timestamp_end, o.timestamp_end) AS timestamp_end, coalesce(o.session_key, n.session_key) AS session_key, coalesce(o.created_time, n.created_time) AS created_time FROM n FULL JOIN o USING (record_id)""")
+def join05_resolved(spark, sf):
+    """A new fact of each document, with a model's decision, resolved against all known facts: targets are shared, missing,
+    and other new facts; ids come twice."""
+    l1, i = views.l1(spark, sf), F.col("doc_id")
+    text = lambda x: x.cast("long").cast("string")
+    ident = F.when(i % 7 == 3, text(i)).otherwise(F.concat(F.lit("n"), text(i - i % 2)))
+    rows = read(spark, sf, "documents").select("doc_id", ident.alias("record_id"), "text", "lang")
+    action = F.get(F.array(*(F.lit(x) for x in ("store", "skip", "update", "merge", "odd"))), F.pmod(i, F.lit(5)).cast("int"))
+    other = lambda k: F.concat(F.lit("n"), text(i + k))
+    targets = F.when(i % 5 == 2, F.array(text(F.floor(i / 3)), other(-2))).otherwise(F.array(F.lit("missing"), F.lit(None), other(1), text(F.floor(i / 4)), F.col("record_id")))
+    times = F.when(i % 4 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("c")))
+    decision = F.struct("record_id", action.alias("action"), targets.alias("target_ids"), F.concat(F.lit("m"), text(i)).alias("merged_content"), F.when(i % 2 == 0, "preference").alias("merged_type"), F.lit(7.0).alias("merged_priority"), times.alias("merged_timestamps"))
+    decisions = extract.parse_decisions(rows.select("doc_id", F.to_json(F.array(decision)).alias("answer"))).withColumn("pos", F.struct("doc_id", "pos"))
+    # an unknown action is no decision, though a later one than another of the same id
+    odd = rows.where(i % 5 == 4).select("doc_id", "record_id", F.struct("doc_id", F.lit(0).alias("pos")).alias("pos"), F.lit("store").alias("action"))
+    decisions = decisions.unionByName(odd, allowMissingColumns=True)
+    created = text(i)
+    facts = rows.select("record_id", F.md5(F.coalesce("text", F.lit(""))).alias("content"), F.lit("episodic").alias("type"), F.lit(50.0).alias("priority"), F.lit("s").alias("scene_name"), F.concat("lang", F.lit("!")).alias("session_key"), F.lit("s").alias("session_id"), F.array(created).alias("timestamps"), created.alias("created_time"), created.alias("updated_time"), F.lit("{}").alias("metadata_json"), i.alias("pos"))
+    known = l1.withColumn("content", F.md5("content"))
+    return resolve.resolve(known, facts, decisions).l1.select("record_id", "content", "type", "priority", "timestamp_str", "timestamp_start", "timestamp_end", "session_key", "created_time")
+
+
 @register("""WITH e AS (SELECT 'call_' || vec_id AS id, label FROM embeddings WHERE vec_id % 2 = 0), m AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'call_' || vec_id ELSE 'call' || vec_id END AS id FROM embeddings)
     SELECT vec_id, label FROM m LEFT JOIN e ON replace(m.id, '_', '') = replace(e.id, '_', '')""")
 def join06_tool_id(spark, sf):
@@ -424,9 +459,9 @@ def join07_pairs(spark, sf):
     return joins.pairs(read(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("pos"), kind.alias("kind"), F.col("event_type").alias("tool_id")))
 
 
-@register("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def join10_orphans(spark, sf):
-    return joins.orphans(read(spark, sf, "customer").select(F.col("c_custkey").alias("name")), read(spark, sf, "orders").select(F.col("o_custkey").alias("name")))
+    return joins.orphans(read(spark, sf, "customer").select(F.col("c_custkey").alias("name")), read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("name")))
 
 
 @register("SELECT 'a_' || doc_id AS tool_call_id FROM documents SEMI JOIN labels USING (doc_id)")
@@ -1062,9 +1097,9 @@ def scl_s14_session_key(spark, sf):
     return read(spark, sf, "documents").select(i, tx.parse_session_key(key).alias("p")).select("doc_id", "p.agent", "p.session")
 
 
-@register(f"SELECT doc_id, md5({strip_sql('text')}) AS t FROM documents WHERE NOT contains(text, '<scene-navigation>')")
+@register(f"SELECT doc_id, md5({strip_sql("CASE WHEN contains(text, '<scene-navigation>') THEN string_split(text, '<scene-navigation>')[1] ELSE text END")}) AS t FROM documents")
 def scl_s17_navigation(spark, sf):
-    d = read(spark, sf, "documents").where(~F.col("text").contains("<scene-navigation>"))
+    d = read(spark, sf, "documents")
     return d.select("doc_id", F.md5(files.strip_navigation(F.concat("text", F.lit("\n\n<scene-navigation>\n- a\n</scene-navigation>")))).alias("t"))
 
 
@@ -1095,9 +1130,10 @@ def scl_s27_task_goal(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", offload.task_goal(shown).alias("goal"), tx.diagram_outline(body).alias("outline"))
 
 
-@register("SELECT doc_id, CASE WHEN length(text) <= 50 THEN text ELSE left(text, 50) END AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x{0}-\\x{FFFF}]')")
+@register("""WITH c AS (SELECT doc_id, text, list_filter(range(0, least(length(text), 50) + 1), lambda n: n + length(regexp_replace(left(text, n), '[\\x{0}-\\x{FFFF}]', '', 'g')) <= 50) AS fits FROM documents)
+    SELECT doc_id, left(text, list_max(fits)) AS t FROM c""")
 def scl_s29_input_cap(spark, sf):
-    return read(spark, sf, "documents").where(~F.col("text").rlike("[^\\x{0}-\\x{FFFF}]")).select("doc_id", tx.cut_utf16(F.col("text"), 50).alias("t"))
+    return read(spark, sf, "documents").select("doc_id", tx.cut_utf16(F.col("text"), 50).alias("t"))
 
 
 @register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT12:30:00.5+02:00') END AS shown FROM events")

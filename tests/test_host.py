@@ -65,7 +65,7 @@ def test_seed_recall_and_pages(spark, tmp_path, capsys):
     p.write_text('[{"conversations": [[{"role": "user", "content": "a"}, {"role": "odd", "content": "b"}]]}]')
     with pytest.raises(ValueError, match="session 1, round 1, place 2"):
         m.seed(str(p), 0)
-    assert m.recall_within("fox", 60)["strategy"] in ("none", "fts") and m.recall_within("fox", 0) is None
+    assert m.recall_within("fox", 60, "persona")["strategy"] == "hybrid" and m.recall_within("fox", 60) is None and m.recall_within("fox", 0, "persona") is None
     assert report(m.search_conversations("fox"), "messages").startswith("Found 1 matching messages:\n1. [user] the red fox (score:") and report(m.search_memories("fox")) == "No matching memories found."
     assert render(m.l0.select("role").orderBy("role"), "table").split() == ["role", "assistant", "user"]
     main(["--path", f"file://{tmp_path}/m", "rows", "l0", "--where", "role=user", "--since", "1970-01-01"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import extract, joins, query, search, store, transcript, triggers
 from palimpsest.plans import memory
-from palimpsest.plans.memory import Config, Memory, render
+from palimpsest.plans.memory import ANSWERS, Config, Memory, render
 from palimpsest.sources import files, logs
 from palimpsest.streaming import capture
 
@@ -235,11 +235,10 @@ def test_facade(spark, tmp_path):
     assert m.totals()["total_memories_extracted"] == 1 and m.runner().first().last_scene_name == "w"
     more = spark.createDataFrame([("9", "k", "s", "user", "something else to say", "t", 20)], m.l0.schema)
     assert m.capture(more) == 1 and len(m._parts("l0")) == 2
-    seen = []
-    m.extract(lambda texts: seen.extend(texts) or "", lambda p: "[]", "x")
-    assert seen == ["something else to say"] and m.totals()["total_memories_extracted"] == 1
+    m.extract(lambda texts: "|".join(texts), lambda p: f"[] {p}", "x")
+    assert [r.answer for r in m.table("answers", ANSWERS).collect()] == ["[] something else to say"] and m.totals()["total_memories_extracted"] == 1
     m.forget("l0", spark.createDataFrame([("9",)], "record_id string"))
-    assert m.recall("red fox")["lines"] == ["- [episodic|w] likes the red fox"]
+    assert m.recall("red fox")["lines"] == ["- [episodic|w] likes the red fox (活动时间: 2024-01-01)"]
     assert {r.layer: r.n for r in m.status().collect()} == {"l0": 2, "l1": 1}
     m.update(m.l1.first().record_id, "likes the blue fox", "2024-02-01T00:00:00.000Z")
     assert m.l1.first().content == "likes the blue fox" and m.vectors("l1").count() == 1
