@@ -90,15 +90,15 @@ def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def pieces(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, size: int = CHUNK, carry: int = 0, hashed: bool = True, lower: np.ndarray = LOWER) -> Iterator[tuple[int, int, Words, int]]:
+def pieces(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, size: int = CHUNK, carry: int = 0, **options) -> Iterator[tuple[int, int, Words, int]]:
     """(lo, hi, words, carried): the words of rows lo to hi, of about ``size`` bytes at a time.
 
     A longer text comes in several pieces that are cut between words; each begins with the last
-    ``carry`` words of what came before, ``carried`` of them."""
+    ``carry`` words of what came before, ``carried`` of them.  ``options`` are those of :func:`words`."""
     for lo, hi in chunks(offs, size):
         at, end = int(offs[lo]), int(offs[hi])
         if end - at <= size or hi - lo > 1:
-            yield lo, hi, words(data, offs[lo : hi + 1], kind, hashed=hashed, lower=lower), 0
+            yield lo, hi, words(data, offs[lo : hi + 1], kind, **options), 0
             continue
         start, carried = at, 0
         while at < end:
@@ -106,7 +106,7 @@ def pieces(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, size: int = CHU
             while at < end and kind[data[at]]:
                 between = np.flatnonzero(~kind[data[at : min(at + size, end)]])
                 at = at + int(between[0]) if len(between) else min(at + size, end)
-            w = words(data, np.array([start, at]), kind, hashed=hashed, lower=lower)
+            w = words(data, np.array([start, at]), kind, **options)
             yield lo, hi, w, carried
             carried = min(carry, len(w.starts))
             start = start + int(w.starts[len(w.starts) - carried]) if carried else at

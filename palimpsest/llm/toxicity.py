@@ -15,7 +15,8 @@ marginal is at least 0.5, in code points.
 
 The fit runs on the driver on at most ``MAX_DOCS`` labelled documents of each label and
 ``MAX_BYTES`` of whole texts, chosen by a hash.  Scoring is one pass over the whole texts without a shuffle, in pieces
-of about a megabyte (a longer text is one); the passes run over blocks of tokens side by side.
+of about a megabyte; the passes run over blocks of tokens side by side, and over the pieces of a longer
+text with the messages that its other pieces send, so its marginals are those of the whole chain.
 
 Defined results: null and empty texts have no tokens, no spans and the score of a text
 without toxic tokens; repeated rows get equal results; without toxic training rows, or with
@@ -57,13 +58,9 @@ def token_features(w: K.Words) -> np.ndarray:
     return np.stack([(K.mix(x ^ s) >> np.uint64(64 - DIMS)).astype(np.int32) for x, s in zip(kinds, _SALTS, strict=False)])
 
 
-def passes(u: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised forward and backward messages of tokens with scores ``u`` for toxic.
-
-    Returns (forward, backward, step): forward[t, y] and backward[t, y], and the
-    transition weights step[t, i, j] into t.  ``first`` marks the first token of each
-    text, whose step forgets what precedes, so many texts are one chain.
-    """
+def _steps(u: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Transition weights into each token (whole blocks, the last filled up with identities), and the
+    normalised product of each block's."""
     n = len(u)
     size = -(-n // BLOCK) * BLOCK
     step = np.empty((size, 2, 2))
@@ -82,13 +79,27 @@ def passes(u: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float) ->
         s = blocks[:, k]
         whole = whole[:, :, :1] * s[:, None, 0, :] + whole[:, :, 1:] * s[:, None, 1, :]
         whole /= whole.max((1, 2), keepdims=True)
+    return step, whole
+
+
+def passes(u: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, before: tuple[float, float] = (0.5, 0.5), after: tuple[float, float] = (0.5, 0.5)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised forward and backward messages of tokens with scores ``u`` for toxic.
+
+    Returns (forward, backward, step): forward[t, y] and backward[t, y], and the
+    transition weights step[t, i, j] into t.  ``first`` marks the first token of each
+    text, whose step forgets what precedes, so many texts are one chain.  ``before`` and ``after``
+    are the messages that reach the chain from its two sides.
+    """
+    n = len(u)
+    step, whole = _steps(u, first, trans, start)
+    blocks = step.reshape(-1, BLOCK, 2, 2)
     enter, leave = np.empty((len(blocks), 2)), np.empty((len(blocks), 2))
-    a, b = 0.5, 0.5
+    a, b = before
     for k, ((p, q), (r, s)) in enumerate(whole.tolist()):
         enter[k] = a, b
         a, b = a * p + b * r, a * q + b * s
         a, b = a / (a + b), b / (a + b)
-    a, b = 0.5, 0.5
+    a, b = after
     for k in range(len(blocks) - 1, -1, -1):
         leave[k] = a, b
         (p, q), (r, s) = whole[k].tolist()
@@ -130,6 +141,45 @@ class Field:
         p = forward * backward
         return p[:, 1] / p.sum(1)
 
+    def long_marginals(self, data: np.ndarray, at: int, end: int) -> Iterator[tuple[K.Words, int, slice, np.ndarray]]:
+        """(words, byte of the text where they begin, which of them, their probabilities) of a text
+        that comes in pieces.
+
+        A first sweep multiplies the steps of each piece, which gives the messages that reach it from
+        behind; the second has them and what the pieces before send.  Pieces overlap by two
+        words, so that each token is judged where both its neighbours are."""
+
+        def sweep():
+            base, seen, done = at, 0, 0
+            for _, _, w, carried in K.pieces(data, np.array([at, end]), K.ALNUM, carry=2, heads=HEADS, tails=TAILS):
+                n = len(w.hashes)
+                head, last = seen - carried, base + len(w.data) >= end
+                own = slice(done - head, n if last else max(done - head, n - 1))
+                u = self.weights[token_features(w)[:, own]].sum(0, dtype=np.float64) + self.bias
+                yield w, base - at, own, u, (np.arange(len(u)) + done) == 0
+                seen, done = head + n, head + own.stop
+                base += int(w.starts[n - min(2, n)]) if n else len(w.data)
+
+        behind, after = [], (0.5, 0.5)
+        for *_, u, first in sweep():
+            (p, q), (r, s) = np.eye(2).tolist()
+            for (c, d), (e, f) in _steps(u, first, self.trans, self.start)[1].tolist():
+                p, q, r, s = p * c + q * e, p * d + q * f, r * c + s * e, r * d + s * f
+                top = max(p, q, r, s)
+                p, q, r, s = p / top, q / top, r / top, s / top
+            behind.append((p, q, r, s))
+        reach = []
+        for p, q, r, s in reversed(behind):
+            reach.append(after)
+            a, b = p * after[0] + q * after[1], r * after[0] + s * after[1]
+            after = a / (a + b), b / (a + b)
+        before = (0.5, 0.5)
+        for (w, base, own, u, first), after in zip(sweep(), reversed(reach), strict=True):
+            forward, backward, _ = passes(u, first, self.trans, self.start, before, after)
+            p = forward * backward
+            before = tuple(forward[-1].tolist()) if len(forward) else before
+            yield w, base, own, p[:, 1] / p.sum(1)
+
     @staticmethod
     def summary(w: K.Words, p: np.ndarray) -> np.ndarray:
         """(largest marginal, log of expected toxic tokens, their density, 1) of each text."""
@@ -142,12 +192,14 @@ class Field:
         return np.stack([top, np.log1p(np.maximum(0, total)), np.minimum(1, 20 * np.maximum(0, total) / np.maximum(1, n)), np.ones(len(n))], 1)
 
     def score(self, w: K.Words, p: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.summary(w, p) @ self.final, -30, 30)))
+        return self.logistic(self.summary(w, p))
 
+    def logistic(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.final, -30, 30)))
 
-def tokens(column: pa.Array) -> Iterator[tuple[int, int, K.Words]]:
-    """Row ranges of a column of texts with their words."""
-    data, offs = K.texts(column)
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, K.Words]]:
+    """Row ranges of texts with their words."""
     for lo, hi in K.chunks(offs):
         yield lo, hi, K.words(data, offs[lo : hi + 1], K.ALNUM, HEADS, TAILS)
 
@@ -187,7 +239,7 @@ def fit(column: pa.Array, labels: np.ndarray, rounds: int = ROUNDS) -> Field:
     """Fit the field to texts with labels (1: toxic), then the documents' scores."""
     field, parts, rows = Field(), [], []
     labels = np.asarray(labels).astype(bool)
-    for lo, hi, w in tokens(column):
+    for lo, hi, w in tokens(*K.texts(column)):
         parts.append((w, labels[lo:hi]))
         rows.append((lo, hi))
     if not labels.any() or labels.all():
@@ -236,47 +288,99 @@ def fit(column: pa.Array, labels: np.ndarray, rounds: int = ROUNDS) -> Field:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Field:
     """Fit on at most ``max_docs`` documents of each label, the first by a hash of the id, and
-    at most ``max_bytes`` of text."""
+    at most half of ``max_bytes`` of text of each label.
+
+    A text that does not fit into what is left of that is passed over, and later ones are taken.  Without
+    any labelled text an unfitted field comes back, whose scores are low; ``ValueError`` if a
+    label has texts but none that fits."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     order = F.xxhash64(F.lit(3), F.col("_id"))
     ids = known.where("_label = 1").orderBy(order, "_id").limit(max_docs).union(known.where("_label <> 1").orderBy(order, "_id").limit(max_docs))
     sample = docs.select(F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").join(F.broadcast(ids), F.col("_own") == F.col("_id"))
     sample = sample.select("_text", (F.col("_label") == 1).alias("_toxic"), F.xxhash64("_id", "_text").alias("_order"), F.octet_length("_text").cast("long").alias("_bytes"))
-    # whole texts, in order of the hash, while they fit
-    first = sample.select("_order", "_bytes").orderBy("_order", "_bytes").limit(2 * max_docs).collect()
-    total = np.cumsum([r[1] for r in first])
-    last = int(np.searchsorted(total, max_bytes, side="right")) - 1
-    if last < 0:
+    first = sample.select("_order", "_bytes", "_toxic").distinct().orderBy("_order", "_bytes").limit(2 * max_docs).collect()
+    left, taken = {True: max_bytes // 2, False: max_bytes // 2}, []
+    for r in first:
+        if r._bytes <= left[r._toxic]:
+            left[r._toxic] -= r._bytes
+            taken.append((r._order, r._toxic))
+    for label in {r._toxic for r in first} - {t for _, t in taken}:
+        raise ValueError(f"no {'toxic' if label else 'clean'} text of at most {max_bytes // 2} bytes to learn from")
+    if not taken:
         return Field()
-    got = sample.where(F.col("_order") <= first[last][0]).orderBy("_order", "_bytes").limit(last + 1).toPandas()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([o for o, _ in taken], "long").toDF("_order"))
+    got = sample.join(chosen, "_order", "left_semi").dropDuplicates(["_order"]).orderBy("_order", "_bytes").toPandas()
     return fit(pa.array(got["_text"], pa.string()), got["_toxic"].to_numpy(dtype=bool))
 
 
+class _Spans:
+    """Runs of toxic tokens of one text, in code points."""
+
+    def __init__(self):
+        self.found: list[dict] = []
+        self.last = -2
+
+    def add(self, number: int, start: int, end: int) -> None:
+        if number == self.last + 1:
+            self.found[-1]["end"] = end
+        else:
+            self.found.append({"start": start, "end": end})
+        self.last = number
+
+
+def _long(field: Field, data: np.ndarray, at: int, end: int) -> tuple[float, list[dict]]:
+    """Score and spans of a text that comes in pieces."""
+    top = total = 0.0
+    n, points, to, spans = 0, 0, at, _Spans()
+    for w, base, own, p in field.long_marginals(data, at, end):
+        points += int(np.count_nonzero((data[to : at + base] & 0xC0) != 0x80))
+        to = at + base
+        top, total = max(top, float(p.max(initial=0))), total + float(p.sum())
+        hit = np.flatnonzero(p >= 0.5)
+        if len(hit):
+            before = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80, dtype=np.int32)])
+            for t in hit.tolist():
+                k = own.start + t
+                spans.add(n + t, points + int(before[w.starts[k]]), points + int(before[w.ends[k]]))
+        n += len(p)
+    x = np.array([top, np.log1p(max(0.0, total)), min(1.0, 20 * max(0.0, total) / max(1, n)), 1.0])
+    return float(field.logistic(x)), spans.found
+
+
 def _scan(batches: Iterator[pa.RecordBatch], model, at: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
     field: Field = model.value
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         score, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-        for lo, hi, w in tokens(batch.column(at)):
-            p = field.marginals(w)
-            score[lo:hi] = field.score(w, p)
-            hit = np.flatnonzero(p >= 0.5)
-            if not len(hit):
-                continue
-            points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-            row = np.searchsorted(w.bounds, hit, side="right") - 1
-            last = (-2, -1)
-            for t, r in zip(hit.tolist(), row.tolist(), strict=True):
-                base = int(points[w.offs[r]])
-                a, b = int(points[w.starts[t]]) - base, int(points[w.ends[t]]) - base
-                if last == (t - 1, r):
-                    spans[lo + r][-1]["end"] = b
-                else:
-                    spans[lo + r].append({"start": a, "end": b})
-                last = (t, r)
+        data, offs = K.texts(batch.column(at))
+        big = np.diff(offs) > K.CHUNK
+        for k in np.flatnonzero(big).tolist():
+            score[k], spans[k] = _long(field, data, int(offs[k]), int(offs[k + 1]))
+        for lo, hi, rows in _stretches(big):
+            for a, b, w in tokens(data, offs[lo : hi + 1]):
+                p = field.marginals(w)
+                score[lo + a : lo + b] = field.score(w, p)
+                hit = np.flatnonzero(p >= 0.5)
+                if not len(hit):
+                    continue
+                points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+                row = np.searchsorted(w.bounds, hit, side="right") - 1
+                runs: dict[int, _Spans] = {}
+                for t, r in zip(hit.tolist(), row.tolist(), strict=True):
+                    base = int(points[w.offs[r]])
+                    runs.setdefault(r, _Spans()).add(t, int(points[w.starts[t]]) - base, int(points[w.ends[t]]) - base)
+                for r, found in runs.items():
+                    spans[rows[a + r]] = found.found
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), pa.array(spans, kind)], names=[*kept, "score", "spans"])
 
 
+def _stretches(big: np.ndarray) -> Iterator[tuple[int, int, range]]:
+    """(first, last+1, rows) of the stretches of rows between big ones."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], big, [True]]).astype(np.int8)))
+    for lo, hi in edges.reshape(-1, 2).tolist():
+        yield lo, hi, range(lo, hi)
+
+
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with ``score`` and ``spans``, which win over
     columns of those names."""

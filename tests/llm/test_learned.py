@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import docs, prose, words
@@ -193,7 +194,32 @@ def test_toxicity_equals_a_plain_version(spark):
     few = toxicity.train(docs(spark, rows), known, max_bytes=2_000)  # some texts, whole
     assert few.weights.any()
     assert not toxicity.train(docs(spark, rows), known.where("label = 1")).weights.any()
-    assert not toxicity.train(docs(spark, rows), known, max_bytes=10).weights.any()
+    with pytest.raises(ValueError, match="text of at most 5 bytes"):
+        toxicity.train(docs(spark, rows), known, max_bytes=10)
+    more = docs(spark, [*rows, (1000, "long " * 30_000), (1001, "longer zarg " * 30_000), (1, rows[1][1]), (1, rows[1][1])])  # too long to learn from, and repeated
+    labels = known.union(spark.createDataFrame([(1000, 0), (1001, 1)], "doc_id long, label int"))
+    again = toxicity.train(more, labels, max_bytes=200_000)
+    assert (again.weights == field.weights).all() and (again.final == field.final).all()
+
+
+def test_pieces_of_a_long_text_give_the_marginals_of_the_whole(monkeypatch):
+    rng = random.Random(9)
+    field = toxicity.Field()
+    field.weights = np.random.default_rng(3).normal(0, 1.5, len(field.weights)).astype(np.float32)
+    field.trans = np.array([[1.0, -1.0], [-0.5, 0.8]])
+    for text in ("  " + prose(rng, 900, 50) + " é\n", "x", " - ", "a b", "w" * 700 + " " + prose(rng, 100, 9), prose(rng, 40, 5) + " " * 900 + "end"):
+        data, offs = K.texts(pa.array([text]))
+        w = K.words(data, offs, K.ALNUM, toxicity.HEADS, toxicity.TAILS)
+        want = field.marginals(w)
+        score, spans = toxicity._long(field, data, 0, int(offs[1]))
+        for size in (1, 30, 200, 5_000):
+            with monkeypatch.context() as m:
+                pieces = K.pieces
+                m.setattr(K, "pieces", lambda data, offs, kind, size=size, **options: pieces(data, offs, kind, size, **options))
+                got = [(base + int(w.starts[k]), x) for w, base, own, p in field.long_marginals(data, 0, int(offs[1])) for k, x in zip(range(own.start, own.stop), p, strict=True)]
+                assert [at for at, _ in got] == w.starts.tolist() and np.allclose([x for _, x in got], want, atol=1e-9)
+                again = toxicity._long(field, data, 0, int(offs[1]))
+                assert abs(again[0] - score) < 1e-9 and again[1] == spans and abs(score - field.score(w, want)[0]) < 1e-9
 
 
 def test_rare_toxic_words_of_few_documents_are_learnt(spark):
