@@ -37,6 +37,9 @@ BUCKET_ROWS = 1_000
 WEIGHTS = (5.0, 2.0, 1.0)
 BROADCAST_SOURCES = 100_000
 
+#: Copies of a row that a task places at once.
+COPIES = 10_000
+
 
 def size_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, 0 for null."""
@@ -113,11 +116,18 @@ class Mix:
         """Every document with ``start``, its first word's position in its source's order."""
         known = self.sources.select(F.col("source").alias("s"), "ord", "quota", F.col("size").alias("source_size"), "target", F.ceil(F.col("rows") / BUCKET_ROWS).alias("n"))
         rows = rows.join(self._side(known), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("b", F.pmod("h", F.col("n"))).drop("n")
-        sums = rows.groupBy("ord", "b").agg(F.sum("size").alias("sum"))
+        same = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("m"))  # equal rows are one, however many
+        words = F.sum(F.col("size") * F.col("m"))
+        sums = same.groupBy("ord", "b").agg(words.alias("sum"))
         first = sums.withColumn("first", F.coalesce(F.sum("sum").over(Window.partitionBy("ord").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("ord").alias("o"), F.col("b").alias("c"), "first")
-        within = F.sum("size").over(Window.partitionBy("ord", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("within", F.coalesce(within, F.lit(0)))
-        return rows.join(first, (F.col("ord") == F.col("o")) & (F.col("b") == F.col("c"))).withColumn("start", F.col("first") + F.col("within")).drop("o", "c", "first", "within")
+        within = words.over(Window.partitionBy("ord", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+        same = same.withColumn("within", F.coalesce(within, F.lit(0)))
+        same = same.join(first, (F.col("ord") == F.col("o")) & (F.col("b") == F.col("c"))).withColumn("start", F.col("first") + F.col("within")).drop("o", "c", "first", "within")
+        each = lambda low, high: F.explode(F.sequence(low, high)).alias("k")
+        few = same.where(F.col("m") <= COPIES).select("*", each(F.lit(0), F.col("m") - 1))
+        many = same.where(F.col("m") > COPIES).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(COPIES))).alias("from"))
+        many = many.repartition("from", "h").select("*", each(F.col("from"), F.least(F.col("m"), F.col("from") + COPIES) - 1)).drop("from")
+        return few.unionByName(many).withColumn("start", F.col("start") + F.col("k") * F.col("size")).drop("k", "m")
 
     def schedule(self) -> DataFrame:
         """(slot, ord, rank): which source fills each slot, and with which of its blocks."""

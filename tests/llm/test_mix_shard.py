@@ -152,3 +152,29 @@ def test_shards(spark, tmp_path):
     assert by_slot.select("shard").distinct().count() == 1
     shard.write_shards(d.drop("slot"), str(tmp_path / "out"), shards=5, slots=101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 502
+
+
+def test_each_documents_words_follow_from_its_place(spark, monkeypatch):
+    """What a document gives is what its turns have before the quota; equal rows are split up."""
+    monkeypatch.setattr(mix, "COPIES", 7)
+    rng = random.Random(21)
+    rows = [(k, prose(rng, rng.randrange(30)), rng.choice("abcd")) for k in range(150)]
+    rows += [(None, "the same few words", "a")] * 60 + [(7, "twice", None)] * 9 + [(8, "", "b")] * 20 + [(9, None, "b")] * 20
+    for block in (5, 64):
+        m = mix.Mix(docs(spark, rows), block=block)
+        placed, taken = m.placed.collect(), m.taken().collect()
+        assert len(placed) == len(taken) == len(rows)
+        assert sorted((r.doc_id or -1, r.size) for r in placed) == sorted((i or -1, len((t or "").split())) for i, t, _ in rows)
+        by_source = {}
+        for r in placed:
+            by_source.setdefault(r.source, []).append(r)
+        want = []
+        for own in by_source.values():
+            at = 0
+            for r in sorted(own, key=lambda r: (r.start, r.size)):
+                if r.size:
+                    assert r.start == at
+                at += r.size
+                assert r.source_size == sum(x.size for x in own)
+                want.append((r.doc_id or -1, r.size, sum(max(0, min(r.size, r.quota - t * r.source_size - r.start)) for t in range(3))))
+        assert sorted((r.doc_id or -1, r.size, r.taken) for r in taken) == sorted(want)
