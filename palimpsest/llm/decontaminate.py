@@ -10,10 +10,12 @@ of fewer than 13 words are one window, looked up at their own length.
 
 A benchmark of at most ``BLOCK_WORDS`` words is broadcast, and each document is handled where
 it is read: nothing is shuffled, so neither frequent passages nor long documents gather in a
-task.  A larger one is cut into blocks of that many words.  One pass writes no texts but the
+task.  A larger one is cut into blocks of about that many words, long items into pieces that overlap.
+One pass writes no texts but the
 fingerprints of the documents (of short windows only those that items have), which are joined
 with the benchmark's; then only the texts with a common fingerprint are read again and
-compared with the blocks that they share one with.
+compared with the blocks that they share one with, all blocks in one job: a task holds a block
+and ``GROUP_BYTES`` of texts.
 
 Defined results: a null or empty text has no words and is never contaminated; items that are
 null or without words take no part; an id counts once, however many items have it, and items
@@ -29,13 +31,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
 from .columns import apart, clear_of
-from .scratch import new_path, table
+from .scratch import table
 
 KGRAM, WINDOW = 5, 9
 SPAN = KGRAM + WINDOW - 1
@@ -43,6 +46,8 @@ SPAN = KGRAM + WINDOW - 1
 BLOCK_WORDS = 200_000
 #: Hashes of short items that are broadcast at once, and judged texts that may be.
 SHORT_ITEMS, BROADCAST_TEXTS = 1_000_000, 100_000
+#: Bytes of text that meet a block of the benchmark in one task.
+GROUP_BYTES = 32 << 20
 RESULT = ("n_words", "n_hit", "hit_spans", "item_ids", "items_sha256", "contaminated")
 _TOP = np.uint64(2**64 - 1)
 
@@ -214,13 +219,48 @@ def _counted(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), batch.column("_k"), pa.array(n.astype(np.int64))], names=[*kept, "_k", "_words"])
 
 
+def _cut_items(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """i, t -> the same, long items in pieces of about ``size`` bytes that overlap by ``SPAN`` - 1 words,
+    so that each window is in one of them; a piece of fewer words than a window is in the next one."""
+    for batch in batches:
+        data, offs = K.texts(batch.column(1))
+        ids, out = [], []
+        for k, i in enumerate(batch.column(0).to_pylist()):
+            last, kept = b"", False
+            for _, _, w, _ in K.pieces(data, offs[k : k + 2], K.ALNUM, size, SPAN - 1, hashed=False):
+                if len(w.starts) >= SPAN:
+                    ids.append(i)
+                    out.append(w.data.tobytes().decode())
+                    kept = True
+                elif len(w.starts):
+                    last = w.data.tobytes()
+            if last and not kept:
+                ids.append(i)
+                out.append(last.decode())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["i", "t"])
+
+
+class _Held:
+    def __init__(self, value: Index):
+        self.value = value
+
+
+def _met(texts: pa.Table, items: pa.Table) -> pa.Table:
+    """(block, part, k, _text) and (block, part, i, t) of one block and part -> k, _words, _spans, _items of hit texts."""
+    own = sorted(zip(items.column("i").to_pylist(), items.column("t").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x))
+    batches = texts.select(["k", "_text"]).combine_chunks().to_batches()
+    found = pa.Table.from_batches(_scan(iter(batches), _Held(Index(own)), 1, ["k"]))
+    return found.filter(pc.greater(pc.list_value_length(found.column("_spans")), 0))
+
+
 _KEY = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _FOUND = [T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_items", T.ArrayType(T.StringType()))]
 
 
-def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, kept: list[str]) -> DataFrame:
+def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, piece: int, kept: list[str]) -> DataFrame:
     """The columns ``kept`` of ``docs`` (which has ``_text``) with _words, _spans and _items."""
     spark = docs.sparkSession
+    items = items.mapInArrow(lambda x: _cut_items(x, piece), "i string, t string")
     items = table(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")), "benchmark")
     marks = table(items.select("block", "t").mapInArrow(lambda x: _marks(x, ["block"], True), "block int, n int, print long").distinct(), "marks")
     key = F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), "_text").alias("b"))
@@ -236,16 +276,16 @@ def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, kept: list[str])
         held = spark.sparkContext.broadcast({n: np.sort(np.array(h, np.int64).view(np.uint64)) for n, h in known.items()})
         prints = prints.unionByName(texts.mapInArrow(lambda x, h=held: _shorts(x, h), schema))
     shared = prints.join(marks, ["n", "print"]).select("k", "block").distinct()
-    path = new_path(spark, "shared")
-    texts.join(shared, "k").dropDuplicates(["k", "block"]).write.partitionBy("block").parquet(path)
-    shared = spark.read.schema(T.StructType([*texts.schema.fields, T.StructField("block", T.IntegerType())])).parquet(path)
-    found, judged = new_path(spark, "judged"), T.StructType([T.StructField("k", _KEY), T.StructField("_words", T.LongType()), *_FOUND])
-    spark.createDataFrame([], judged).write.parquet(found)
-    for b in range(blocks):
-        own = [tuple(x) for x in items.where(F.col("block") == b).select("i", "t").orderBy("i", "t").collect()]
-        index = spark.sparkContext.broadcast(Index(own))
-        shared.where(F.col("block") == b).select("k", "_text").mapInArrow(lambda x, i=index: _scan(x, i, 1, ["k"]), judged).where(F.size("_spans") > 0).write.mode("append").parquet(found)
-    hits = spark.read.schema(judged).parquet(found).groupBy(F.col("k").alias("_of")).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_spans", "_items")))
+    shared = texts.join(shared, "k").dropDuplicates(["k", "block"])
+    shared = table(shared.withColumn("bytes", F.octet_length("_text")), "shared")
+    # a block and a part of the texts that share a fingerprint with it meet in a task
+    parts_of = table(shared.groupBy("block").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("parts")), "parts")
+    parts_of = F.broadcast(parts_of) if parts_of.count() <= BROADCAST_TEXTS else parts_of
+    left = shared.join(parts_of, "block").select("block", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), "k", "_text")
+    right = items.join(parts_of, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "i", "t")
+    judged = T.StructType([T.StructField("k", _KEY), T.StructField("_words", T.LongType()), *_FOUND])
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_met, judged)
+    hits = hits.groupBy(F.col("k").alias("_of")).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_spans", "_items")))
     hits = table(hits, "hits")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_TEXTS else hits
     base = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_k", _KEY), T.StructField("_words", T.LongType())])
@@ -313,7 +353,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         schema = T.StructType([*base.fields, T.StructField("_words", T.LongType()), *_FOUND])
         out = out.mapInArrow(lambda x: _scan(x, index, len(kept), kept), schema)
     else:
-        out = _in_blocks(out, items, blocks, kept)
+        out = _in_blocks(out, items, blocks, max(2 * block_words, 1 << 12), kept)
     schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType())])
     out = out.mapInArrow(lambda x, k=kept: _finish(x, k), schema)
     part = Fraction(str(share)).limit_denominator(10**17)  # as it is written

@@ -109,3 +109,23 @@ def test_columns_of_any_name_stay(spark):
     for size in (100_000, 1):
         got = decontaminate.mark_contamination(d, bench, block_words=size).orderBy("doc_id").collect()
         assert [(r.doc_id, r.k, r.n_words, r.n_hit) for r in got] == [(1, "s", 3, 3), (2, "s", 0, 0)]
+
+
+def test_many_blocks_are_as_many_jobs_as_few(spark):
+    """A long item is cut where windows overlap; jobs do not grow with the blocks."""
+    rng = random.Random(31)
+    long = [f"v{rng.randrange(10**5)}" for _ in range(30_000)]
+    items = [("long", " ".join(long)), ("short", "five words of an item"), (None, " ".join(long[50:80])), ("gap", "aa bb " + " " * 9_000 + "cc dd"), ("few", "  ")]
+    rows = [(1, "x " + " ".join(long[700:760])), (2, "it has five words of an item in it"), (3, " ".join(long[40:70])), (4, "aa bb cc dd and more"), (5, "nothing of it"), (6, None), (7, " ".join(long[-13:]))]
+    rows += [(100 + k, " ".join(long[k * 90 : k * 90 + 14])) for k in range(300)]  # over every cut
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id string, text string")
+    seen, jobs = [], []
+    for words_ in (10**6, 20_000, 300):
+        group = f"blocks {words_}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = decontaminate.mark_contamination(d, b, keep=["doc_id"], block_words=words_)
+        seen.append(sorted((r.doc_id, r.n_words, r.n_hit, r.hit_spans, r.item_ids, r.items_sha256, r.contaminated) for r in out.collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[0] == seen[1] == seen[2] and sum(r[6] for r in seen[0]) == 305
+    assert jobs[2] <= jobs[1] + 2
