@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .triggers import ACTIVE_S, DELAY_S, EVERY, IDLE_S, MAX_INTERVAL_S, MIN_INTERVAL_S
 
 STATES = (
@@ -190,22 +191,28 @@ class Scheduler:
     ``load`` and ``save`` read and write the table of states (a saved table replaces the last);
     ``extract`` takes the due sessions and returns (session_key, ok, taken); ``scenes`` takes them
     with their cursors and returns (session_key, ok, skipped, cursor); ``persona`` is a single run.
+    A session that ``extract`` does not return, or for which it raises, is a failed try.  Sessions that
+    :func:`skip_session` takes out, by ``skip`` too, never get a state.
     """
 
-    def __init__(self, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], extract: Callable[[DataFrame], DataFrame], scenes: Callable[[DataFrame], DataFrame], persona: Callable[[], None], clock: Callable[[], int], times: Times = Times(), gc_every: int = 50):
+    def __init__(self, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], extract: Callable[[DataFrame], DataFrame], scenes: Callable[[DataFrame], DataFrame], persona: Callable[[], None], clock: Callable[[], int], times: Times = Times(), gc_every: int = 50, skip: tuple[str, ...] = ()):
         self.load, self.save, self.extract, self.scenes, self.clock, self.times = load, save, extract, scenes, clock, times
-        self.persona, self.closed, self.below, self.gc_every = Coalesced(persona), False, 0, gc_every
+        self.persona, self.closed, self.below, self.gc_every, self.skip = Coalesced(persona), False, 0, gc_every, skip
+
+    def _wanted(self, rows: DataFrame) -> DataFrame:
+        return rows.where(~tx.skip_session(F.col("session_key"), self.skip))
 
     def start(self) -> None:
-        self.save(restored(self.load(), self.clock(), self.times))
+        self.save(restored(self._wanted(self.load()), self.clock(), self.times))
 
     def notify(self, arrived: DataFrame) -> None:
         """Take note of new conversations; what that makes due waits for :meth:`run_due`."""
         if self.closed:
             return
-        now = self.clock()
+        now, arrived = self.clock(), self._wanted(arrived)
         self.save(notified(self.load(), arrived, now, self.times))
-        self.below += 1
+        waits = self.load().where(F.col("l1_due") > now).select("session_key")
+        self.below += arrived.join(waits, "session_key", "left_semi").count()  # those that reach their threshold do not count
         if self.below >= self.gc_every:
             self.below = 0
             self.save(without_stale(self.load(), now, self.times))
@@ -215,12 +222,21 @@ class Scheduler:
         while not self.closed and (self._extract() or self._scenes()):
             pass
 
-    def _extract(self, closing: bool = False) -> bool:
+    def _extract(self, closing: bool = False, sessions: DataFrame | None = None) -> bool:
         now = self.clock()
         due = due_extractions(self.load(), now)
+        if sessions is not None:
+            due = due.join(sessions.select("session_key").distinct(), "session_key", "left_semi")
         if due.isEmpty():
             return False
-        done = self.extract(due)
+        failed = due.select("session_key", F.lit(False).alias("ok"), F.lit(0).cast("long").alias("taken"))
+        try:
+            done = self.extract(due).select("session_key", "ok", F.col("taken").cast("long").alias("taken")).persist()
+            done.count()
+        except Exception:  # whatever the extraction raises is a failed try of all
+            done = failed
+        else:
+            done = done.unionByName(failed.join(done, "session_key", "left_anti"))
         self.save(extracted(self.load(), done, now, self.times, closing))
         return True
 
@@ -242,10 +258,11 @@ class Scheduler:
         return True
 
     def flush(self, sessions: DataFrame) -> None:
-        """The end of some sessions: their extraction now."""
+        """The end of some sessions: their extraction now, and no other's."""
         if not self.closed:
+            sessions = self._wanted(sessions)
             self.save(flushed(self.load(), self.clock(), sessions))
-            self._extract()
+            self._extract(sessions=sessions)
 
     def shutdown(self) -> None:
         """The end of the process: extractions of all that hold work, then the scheduled runs over

@@ -368,6 +368,12 @@ def compress(messages: DataFrame, window: int, entries: DataFrame | None = None,
     share, summaries for tool results where it is still mildly full (with ``entries``), and
     emergency deletion where that leaves it above the emergency share.  Injected messages count
     and are not deleted."""
+    return compressed(messages, window, entries, system)[0]
+
+
+def compressed(messages: DataFrame, window: int, entries: DataFrame | None = None, system: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(messages of :func:`compress`, modes): modes has session_id and mode, the last of none, mild,
+    aggressive and emergency that was applied (a session that was cut to the aggressive share stays so)."""
     full = level(messages, window, system)
     need = F.when(F.col("_level").isin("aggressive", "emergency"), F.greatest(F.col("_tokens") - math.floor(window * AGGRESSIVE), F.lit(1))).otherwise(0)
     rows = messages.join(full.select("session_id", F.col("tokens").alias("_tokens"), F.col("level").alias("_level")), "session_id")
@@ -376,4 +382,44 @@ def compress(messages: DataFrame, window: int, entries: DataFrame | None = None,
     if entries is not None:
         kept = mild(kept, entries, window, system)
     over = level(kept, window, system).where("level = 'emergency'").select("session_id")
-    return kept.join(over, "session_id", "left_anti").unionByName(emergency(kept.join(over, "session_id", "left_semi").select(*messages.columns), window, system=system))
+    out = kept.join(over, "session_id", "left_anti").unionByName(emergency(kept.join(over, "session_id", "left_semi").select(*messages.columns), window, system=system))
+    first = F.when(F.col("level") == "emergency", "aggressive").otherwise(F.col("level"))
+    modes = full.join(over.withColumn("_over", F.lit(True)), "session_id", "left").select("session_id", F.when(F.col("_over"), "emergency").otherwise(first).alias("mode"))
+    return out, modes
+
+
+def changes(before: DataFrame, after: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(session_id, pos, tool_id, change) of the messages that a compression changed: ``deleted``,
+    ``replaced`` by the summary of their entry, or ``cut``.
+
+    Messages are told by session and position, and their texts compared by a hash, so the contents are not
+    shuffled.  Injected messages are never changed; without a column tool_id the ids are null."""
+    tool = F.col("tool_id") if "tool_id" in before.columns else F.lit(None).cast("string")
+    was = before.where(~_injected()).select("session_id", "pos", tool.alias("tool_id"), F.xxhash64("content").alias("_was"))
+    now = after.where(~_injected()).select(F.col("session_id").alias("_s"), F.col("pos").alias("_p"), F.xxhash64("content").alias("_now"))
+    both = was.join(now, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p")), "left").where(F.col("_now").isNull() | (F.col("_was") != F.col("_now")))
+    if entries is None:
+        both = both.withColumn("_summary", F.lit(None).cast("long"))
+    else:
+        from .joins import by_tool_id
+
+        both = by_tool_id(both, entries.select("tool_call_id", F.xxhash64(_summary(entries)).alias("_summary")), ("_summary",))
+    kind = F.when(F.col("_now").isNull(), "deleted").when(F.col("_summary") == F.col("_now"), "replaced").otherwise("cut")
+    return both.select("session_id", "pos", "tool_id", kind.alias("change"))
+
+
+def statuses(changed: DataFrame) -> DataFrame:
+    """(tool_call_id, offloaded) that changes leave on entries: ``true`` for replaced ones, ``deleted`` for deleted."""
+    own = changed.where("tool_id is not null and change in ('replaced', 'deleted')")
+    return own.groupBy(F.col("tool_id").alias("tool_call_id")).agg(F.when(F.max(F.col("change") == "deleted"), "deleted").otherwise("true").alias("offloaded"))
+
+
+def report(before: DataFrame, after: DataFrame, changed: DataFrame, modes: DataFrame, system: int = 0) -> DataFrame:
+    """What a compression did to each session: mode, replaced, deleted, tokens_before, tokens_after, tokens_saved."""
+    totals = lambda rows, name: transcript_tokens(rows, system).select("session_id", F.col("tokens").alias(name))
+    count = lambda kind: F.count_if(F.col("change") == kind).alias(kind)
+    own = changed.groupBy("session_id").agg(count("replaced"), count("deleted"))
+    out = totals(before, "tokens_before").join(modes, "session_id").join(totals(after, "tokens_after"), "session_id", "left").join(own, "session_id", "left")
+    left = F.coalesce("tokens_after", F.lit(system).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("session_id", "mode", zero("replaced"), zero("deleted"), "tokens_before", left.alias("tokens_after"), F.greatest(F.lit(0), F.col("tokens_before") - left).cast("long").alias("tokens_saved"))

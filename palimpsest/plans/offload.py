@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,35 @@ def within_share(blocks: DataFrame, window: int, share: float = CONTEXT_SHARE) -
     return blocks.where(tx.tokens(F.col("content")) <= int(window * share))
 
 
+@dataclass
+class Compression:
+    """Messages after a compression, what it changed (:func:`transcript.changes`), the entries with the
+    statuses that follow, and a report for each session (:func:`transcript.report`, with fast_replaced and
+    fast_deleted: how many stored decisions were applied before)."""
+
+    messages: DataFrame
+    changes: DataFrame
+    entries: DataFrame
+    report: DataFrame
+
+
+def compress(messages: DataFrame, entries: DataFrame, window: int, system: int = 0) -> Compression:
+    """Stored decisions applied, then compression, and what both did.
+
+    Entries whose statuses are stored make the next call take the same decisions before it
+    looks at sizes: what was replaced stays replaced, and deleted tool messages do not come back."""
+    fast = transcript.reapply(messages, entries)
+    tokens = F.when(F.col("replaced"), tx.tokens(F.col("content"))).otherwise(F.col("tokens"))
+    start = fast.withColumn("tokens", tokens.cast(messages.schema["tokens"].dataType)).select(*messages.columns)
+    after, modes = transcript.compressed(start, window, entries, system)
+    changed = transcript.changes(start, after, entries)
+    again = fast.groupBy("session_id").agg(F.count_if("replaced").alias("fast_replaced"), F.count(F.lit(1)).alias("_left"))
+    lost = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_had")).join(again, "session_id", "left")
+    lost = lost.select("session_id", F.coalesce("fast_replaced", F.lit(0)).alias("fast_replaced"), (F.col("_had") - F.coalesce("_left", F.lit(0))).alias("fast_deleted"))
+    report = transcript.report(start, after, changed, modes, system).join(lost, "session_id")
+    return Compression(after, changed, joins.mark_status(entries, transcript.statuses(changed)), report)
+
+
 def before_prompt(messages: DataFrame, entries: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     """Stored decisions, then compression, then injection."""
     kept = transcript.reapply(messages, entries).drop("replaced").withColumn("tokens", tx.tokens(F.col("content"))).select(*messages.columns)

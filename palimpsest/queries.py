@@ -739,16 +739,39 @@ def win11_build_history(spark, sf):
     return transcript.build_history(rows, 300).select("session_id", "seq", "form")
 
 
-@register(f"""WITH RECURSIVE {TRANSCRIPT_SQL}, n AS (SELECT *, row_number() OVER w AS n, sum(tokens) OVER w AS acc, count(*) OVER p AS size, sum(tokens) OVER p + ceil(count(*) OVER p * 0.5) AS total FROM t WINDOW w AS (PARTITION BY session_id ORDER BY pos), p AS (PARTITION BY session_id)),
+_COMPRESS_SQL = f"""WITH RECURSIVE {TRANSCRIPT_SQL}, n AS (SELECT *, row_number() OVER w AS n, sum(tokens) OVER w AS acc, count(*) OVER p AS size, sum(tokens) OVER p + ceil(count(*) OVER p * 0.5) AS total FROM t WINDOW w AS (PARTITION BY session_id ORDER BY pos), p AS (PARTITION BY session_id)),
     c AS (SELECT *, max(n) FILTER (role = 'user') OVER (PARTITION BY session_id) AS u, min(n) FILTER (acc >= greatest(total - 340, 1)) OVER (PARTITION BY session_id) AS f FROM n),
     k AS (SELECT * FROM c WHERE total < 340 OR n > greatest(0, least(coalesce(f, size), size - 2, coalesce(u - 1, size)))),
     s AS (SELECT session_id, {_LIST} AS l, cast(sum(tokens) + ceil(count(*) * 0.5) AS bigint) AS lft FROM k GROUP BY session_id), o AS (SELECT * FROM s WHERE lft >= 380), {_emergency_sql('o', 240)}
-    {_OUT_SQL} UNION ALL SELECT session_id, x.p, x.t FROM (SELECT session_id, unnest(l) AS x FROM s WHERE lft < 380)""")
+    , kept AS ({_OUT_SQL} UNION ALL SELECT session_id, x.p, x.t FROM (SELECT session_id, unnest(l) AS x FROM s WHERE lft < 380))"""
+
+
+@register(_COMPRESS_SQL + "SELECT session_id, pos, tokens FROM kept")
 def trx03_compress(spark, sf):
     none = spark.createDataFrame([], "tool_call_id string, summary string, score double")
     return transcript.compress(views.transcript(spark, sf), 400, none).select("session_id", "pos", "tokens")
 
 
+@register(_COMPRESS_SQL + """SELECT t.session_id, t.pos, 'call_' || t.session_id || '_' || t.pos AS tool_id, CASE WHEN kept.pos IS NULL THEN 'deleted' ELSE 'cut' END AS change
+    FROM t LEFT JOIN kept USING (session_id, pos) WHERE kept.pos IS NULL OR kept.tokens <> t.tokens""")
+def trx08_changes(spark, sf):
+    """What a compression changed, for its entries to tell."""
+    rows = views.transcript(spark, sf).withColumn("tool_id", F.concat_ws("_", F.lit("call"), "session_id", "pos"))
+    none = spark.createDataFrame([], "tool_call_id string, summary string, score double")
+    return transcript.changes(rows, transcript.compressed(rows, 400, none)[0], none)
+
+
+@register(_COMPRESS_SQL + """, b AS (SELECT session_id, any_value(total) AS tokens_before, count(*) AS had FROM c GROUP BY session_id), a AS (SELECT session_id, sum(tokens) + ceil(count(*) * 0.5) AS tokens_after, count(*) AS has FROM kept GROUP BY session_id)
+    SELECT session_id, CASE WHEN session_id IN (SELECT session_id FROM o) THEN 'emergency' WHEN tokens_before >= 340 THEN 'aggressive' WHEN tokens_before >= 200 THEN 'mild' ELSE 'none' END AS mode, 0::bigint AS replaced,
+           had - has AS deleted, cast(tokens_before AS bigint) AS tokens_before, cast(tokens_after AS bigint) AS tokens_after, cast(greatest(0, tokens_before - tokens_after) AS bigint) AS tokens_saved FROM b JOIN a USING (session_id)""")
+def trx08_report(spark, sf):
+    """Mode and totals of a compression, for each session."""
+    rows = views.transcript(spark, sf)
+    none = spark.createDataFrame([], "tool_call_id string, summary string, score double")
+    after, modes = transcript.compressed(rows, 400, none)
+    return transcript.report(rows, after, transcript.changes(rows, after), modes)
+
+
 # ---- more filters, sums and names
 
 

@@ -62,3 +62,37 @@ def test_export_and_references(spark, tmp_path):
     got = export.write_references(pairs(spark, 2), str(tmp_path / "r"))
     assert got.where("tool_call_id = 'c01'").first().result_ref == "refs/t01-run-c01.md"
     assert spark.read.text(str(tmp_path / "r")).where(F.col("value") == "out 1").count() == 1
+
+
+def test_compression_tells_what_it_did(spark):
+    """Statuses that a compression leaves make the next one take the same decisions first."""
+    rows = []
+    for s, n in (("full", 40), ("half", 20), ("empty", 4)):
+        for k in range(n):
+            role = ("user", "assistant", "tool", "tool")[k % 4]
+            rows.append((s, k, role, f"{s} {k} " + "word " * 20, 25, False, f"{s}_{k}" if role == "tool" else None))
+    m = spark.createDataFrame(rows, MESSAGES)
+    entries = spark.createDataFrame([(r[6], f"sum {r[6]}", 8.0, None) for r in rows if r[6] and r[1] % 4 == 2], "tool_call_id string, summary string, score double, offloaded string")
+    got = offload.compress(m, entries, 800)
+    report = {r.session_id: r for r in got.report.collect()}
+    assert {s: r.mode for s, r in report.items()} == {"full": "aggressive", "half": "mild", "empty": "none"}
+    before = {r[:2]: r for r in rows}
+    after = {(r.session_id, r.pos): r for r in got.messages.collect()}
+    change = {(r.session_id, r.pos): r.change for r in got.changes.collect()}
+    assert {k for k, c in change.items() if c == "deleted"} == set(before) - set(after)
+    assert {k for k, c in change.items() if c == "replaced"} == {k for k, r in after.items() if r.content != before[k][3]} and "cut" not in change.values()
+    for s, r in report.items():
+        own = [x for k, x in after.items() if k[0] == s]
+        assert r.deleted == sum(c == "deleted" and k[0] == s for k, c in change.items()) and r.replaced == sum(c == "replaced" and k[0] == s for k, c in change.items())
+        n = sum(x[0] == s for x in rows)
+        assert (r.tokens_before, r.tokens_after) == (25 * n + -(-n // 2), sum(x.tokens for x in own) + -(-len(own) // 2)) and r.tokens_saved == r.tokens_before - r.tokens_after
+        assert (r.fast_replaced, r.fast_deleted) == (0, 0)
+    marks = {r.tool_call_id: r.offloaded for r in got.entries.collect()}
+    for k, c in change.items():
+        if before[k][6] in marks:
+            assert marks[before[k][6]] == {"deleted": "deleted", "replaced": "true"}[c]
+    again = offload.compress(m, spark.createDataFrame(got.entries.collect(), got.entries.schema), 800)
+    second = {r.session_id: r for r in again.report.collect()}
+    assert second["half"].fast_replaced == report["half"].replaced and second["half"].replaced == 0
+    assert second["full"].fast_deleted == sum(v == "deleted" and k.startswith("full") for k, v in marks.items())
+    assert {r.tool_call_id: r.offloaded for r in again.entries.collect() if marks[r.tool_call_id]} == {k: v for k, v in marks.items() if v}
