@@ -222,11 +222,34 @@ def _cells_of(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: int)
 
 # ---- dealing and comparing
 
+
+class _Hot:
+    """The hot cells of a table in order, for look-ups of many cells at once."""
+
+    def __init__(self, band: Band, t: int):
+        held = sorted((cell, *at) for (table_, cell), at in band.hot.items() if table_ == t)
+        self.cells, self.first, self.blocks = np.array(held, np.int64).reshape(-1, 3).T
+
+    def find(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(is hot, first group, groups) of each cell; other cells have one group."""
+        if not len(self.cells):
+            none = np.zeros(len(cells), np.int64)
+            return none.astype(bool), none, none + 1
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        hit = self.cells[at] == cells
+        return hit, self.first[at], np.where(hit, self.blocks[at], 1)
+
+
+def _hot_tables(bands: dict[int, Band]) -> dict[int, list[_Hot]]:
+    return {b: [_Hot(own, t) for t in range(own.tables)] for b, own in bands.items()}
+
+
 DEALT = "band int, t int, g long, query boolean, cells array<bigint>, id long, v {}"
 
 
 def _deal_index(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: int) -> Iterator[pa.RecordBatch]:
     """id, v, band -> a row for each table, in the group of its cell."""
+    hot = _hot_tables(bands)
     for batch in batches:
         band = batch.column(2).to_numpy()
         for b in np.unique(band).tolist():
@@ -238,15 +261,14 @@ def _deal_index(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: in
                 spread = K.mix(ids.to_numpy().astype(np.uint64))
                 for t in range(found.shape[1]):
                     g = own.group(found[:, t])
-                    for (table_, cell), (first, blocks) in own.hot.items():
-                        if table_ == t:
-                            at = found[:, t] == cell
-                            g[at] = first + (spread[at] % np.uint64(blocks)).astype(np.int64)
+                    hit, first, blocks = hot[b][t].find(found[:, t])
+                    g = np.where(hit, first + (spread % blocks.astype(np.uint64)).astype(np.int64), g)
                     yield _dealt(b, t, g, False, found[:, t], np.arange(len(g) + 1), ids, v)
 
 
 def _deal_queries(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d: int) -> Iterator[pa.RecordBatch]:
-    """id, v -> a row for each group with cells that the query probes."""
+    """id, v -> a row for each group with cells that the query probes, all groups of a hot cell."""
+    hot = _hot_tables(bands)
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
@@ -256,11 +278,9 @@ def _deal_queries(batches: Iterator[pa.RecordBatch], bands: dict[int, Band], d:
                 for t in range(found.shape[1]):
                     c = found[:, t]
                     row, g, cell = np.repeat(np.arange(len(c)), c.shape[1]), own.group(c).ravel(), c.ravel()
-                    for (table_, hot), (first, blocks) in own.hot.items():
-                        if table_ == t and (at := cell == hot).any():
-                            more = np.repeat(row[at], blocks)
-                            g = np.concatenate([g[~at], np.tile(first + np.arange(blocks), int(at.sum()))])
-                            row, cell = np.concatenate([row[~at], more]), np.concatenate([cell[~at], np.full(len(more), hot)])
+                    hit, first, blocks = hot[b][t].find(cell)
+                    nth = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    row, cell, g = np.repeat(row, blocks), np.repeat(cell, blocks), np.repeat(np.where(hit, first, g), blocks) + nth
                     order = np.lexsort((cell, g, row))
                     row, g, cell = row[order], g[order], cell[order]
                     first_of = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])]))

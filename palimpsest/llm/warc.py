@@ -14,7 +14,7 @@ repeated tasks leave no part of a file.
 Files are opened through Arrow's filesystems (local, HDFS, S3, GCS, Azure) by the scheme
 of the path.
 
-Defined results: a null payload is an empty one; null headers are not written and read as
+Defined results: rows that share the largest page_id of their payload are all responses; a null payload is an empty one; null headers are not written and read as
 null; line ends in header values become blanks, but for ids, which are percent-encoded.  A record cut off at the end of a file, or
 a malformed one, raises ``ValueError`` with the file's name.
 """
