@@ -216,3 +216,10 @@ def test_lengths_are_searched_apart(spark):
         search(spark, [[1.0] * k for k in range(1, 67)], range(66))
     clash = spark.createDataFrame([(0, [1.0], "a", 1), (1, [2.0], "b", 2)], "vec_id long, embedding array<float>, score string, rank int")
     assert [tuple(r) for r in ann.nearest(clash, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2.0)]
+
+
+def test_rows_of_the_largest_page_id_are_all_responses(spark):
+    body = "x" * 2_000
+    got = warc.round_trip(spark.createDataFrame([(3, "u", body), (3, "u", body), (1, "u", body), (2, "v", "short"), (2, "v", "short")], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id != 1) == [(2, "response", None)] * 2 + [(3, "response", None)] * 2
+    assert [(r.record_type, r.refers_to) for r in got if r.page_id == 1] == [("revisit", 3)]
