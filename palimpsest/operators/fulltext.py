@@ -20,7 +20,7 @@ from ..sources.versions import Versions
 from .search import K1, B, score_l1
 
 POSTINGS = "term string, id string, tf long, dl long, bucket int"
-DOCS = "id string, dl long"
+DOCS = "id string, dl long, hash long"
 DEAD = "segment string, id string"
 FAN = 8
 BUCKETS = 64
@@ -33,7 +33,7 @@ def _name() -> str:
 class Index:
     """The index below ``path``; one version of it is a list of segments, of tables of the dead, and two counts.
 
-    An id has one document, the last.  Rows without an id are not taken, nulls are empty texts.  A
+    ``of`` in a version names what was indexed.  An id has one document, the last.  Rows without an id are not taken, nulls are empty texts.  A
     change that another writer came before is made again on what that one left."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -41,7 +41,7 @@ class Index:
         self.versions = Versions(spark, f"{self.path}/versions")
 
     def _state(self, state: dict | None = None) -> dict:
-        return {"segments": {}, "dead": [], "n": 0, "words": 0, "buckets": self.buckets, **(self.versions.read()[1] if state is None else state)}
+        return {"segments": {}, "dead": [], "n": 0, "words": 0, "of": None, "buckets": self.buckets, **(self.versions.read()[1] if state is None else state)}
 
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
         schema = schema if kind == "dead" else f"{schema}, segment string"
@@ -56,42 +56,56 @@ class Index:
         rows = self._read(kind, list(state["segments"]) if names is None else names, schema)
         return rows.join(self._read("dead", state["dead"], DEAD), ["segment", "id"], "left_anti") if state["dead"] else rows
 
-    def upsert(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        """Take documents, in the place of those of the same ids.  Of repeated ids in ``docs`` the greatest text counts."""
+    def exists(self) -> bool:
+        return self.versions.read()[0] > 0
+
+    def upsert(self, docs: DataFrame, id_col: str, text_col: str, of: list[str] | None = None) -> None:
+        """Take documents, in the place of those of the same ids.  Of repeated ids in ``docs`` the greatest text counts.
+        ``of`` names what the index then reflects."""
         own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        words = own.groupBy("id").agg(F.max("_text").alias("_text")).select("id", tx.terms(F.col("_text")).alias("t")).withColumn("dl", F.size("t").cast("long"))
+        texts = own.groupBy("id").agg(F.max("_text").alias("_text"))
+        words = texts.select("id", F.xxhash64("_text").alias("hash"), tx.terms(F.col("_text")).alias("t")).withColumn("dl", F.size("t").cast("long"))
         name = _name()
-        words.select("id", "dl").write.parquet(self._folder("docs", name))
+        words.select("id", "dl", "hash").write.parquet(self._folder("docs", name))
         postings = words.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
         self._write(postings.select("term", "id", "tf", "dl"), name)
         new = self._read("docs", [name], DOCS)
         n, total = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        if n:
-            self._commit(new.select("id"), {name: n}, n, total)
+        if n or of is not None:
+            self._commit(new.select("id"), {name: n} if n else {}, n, total, of)
 
-    def delete(self, ids: DataFrame, id_col: str) -> None:
+    def delete(self, ids: DataFrame, id_col: str, of: list[str] | None = None) -> None:
         """Documents go; ids without one change nothing."""
-        self._commit(ids.select(F.col(id_col).cast("string").alias("id")).distinct(), {}, 0, 0)
+        self._commit(ids.select(F.col(id_col).cast("string").alias("id")).distinct(), {}, 0, 0, of)
+
+    def refresh(self, docs: DataFrame, id_col: str, text_col: str, of: list[str] | None = None) -> None:
+        """Make the index one of ``docs``, whose ids are distinct: what is new or has another text is taken, what is no
+        more goes, and nothing else is written."""
+        held = self._live("docs", DOCS, self._state())
+        own = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("hash", F.xxhash64("_text"))
+        self.upsert(own.join(held, ["id", "hash"], "left_anti"), "id", "_text")
+        self.delete(self._live("docs", DOCS, self._state()).join(own, "id", "left_anti"), "id", of)
 
     def _write(self, postings: DataFrame, name: str) -> None:
         rows = postings.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(self._state()["buckets"])).cast("int"))
         # a bucket of a frequent term is split among tasks
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self._folder("postings", name))
 
-    def _commit(self, ids: DataFrame, segments: dict[str, int], n: int, words: int) -> None:
+    def _commit(self, ids: DataFrame, segments: dict[str, int], n: int, words: int, of: list[str] | None = None) -> None:
         def step(held: dict) -> dict | None:
             state = self._state(held)
             name = _name()
             old = self._live("docs", DOCS, state).join(ids, "id", "left_semi")
-            old.write.parquet(self._folder("gone", name))
+            old.drop("hash").write.parquet(self._folder("gone", name))
             gone = self.spark.read.schema(f"{DEAD}, dl long").parquet(self._folder("gone", name))
             lost, lost_words = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             if lost:
                 gone.select("segment", "id").coalesce(8).write.parquet(self._folder("dead", name))
-            elif not segments:
+            elif not segments and of is None:
                 return None
             dead = [*state["dead"], *([name] if lost else [])]
-            return {**state, "segments": {**state["segments"], **segments}, "dead": dead, "n": state["n"] + n - lost, "words": state["words"] + words - lost_words}
+            named = {} if of is None else {"of": of}
+            return {**state, **named, "segments": {**state["segments"], **segments}, "dead": dead, "n": state["n"] + n - lost, "words": state["words"] + words - lost_words}
 
         self.versions.change(step)
         self.compact()
@@ -107,7 +121,7 @@ class Index:
             return False
         name, merged = _name(), {}
         if full:
-            self._live("docs", DOCS, state, full).select("id", "dl").write.parquet(self._folder("docs", name))
+            self._live("docs", DOCS, state, full).select("id", "dl", "hash").write.parquet(self._folder("docs", name))
             self._write(self._live("postings", POSTINGS, state, full).select("term", "id", "tf", "dl"), name)
             n = self._read("docs", [name], DOCS).count()
             merged = {name: n} if n else {}

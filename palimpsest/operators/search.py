@@ -3,7 +3,8 @@
 A keyword query is two passes over the texts without a shuffle of terms: corpus numbers
 (documents, their mean length, and documents with each query term) and scores, of which
 only the best ``k`` leave the tasks.  For many queries over one corpus, :func:`build_index`
-writes postings once, and :func:`search_index` reads those of the query's terms alone.
+writes postings once, and :func:`search_index` reads those of the query's terms alone; for a corpus
+that changes :mod:`.fulltext` keeps them up.
 """
 
 from __future__ import annotations
@@ -62,8 +63,15 @@ def score_l0(rank: Column) -> Column:
     return x / (1 + x)
 
 
-def keyword_search(docs: DataFrame, query: str, k: int, id_col: str = "record_id", text_col: str = "content", score=score_l1) -> DataFrame:
-    """The ``k`` best by BM25 with ``score``, ties by id; none without query terms."""
+def keyword_search(docs: DataFrame, query: str, k: int, id_col: str = "record_id", text_col: str = "content", score=score_l1, index=None) -> DataFrame:
+    """The ``k`` best by BM25 with ``score``, ties by id; none without query terms.
+
+    With ``index`` (a :class:`~.fulltext.Index` of ``docs``) only postings of the query's terms and the ``k`` rows are read."""
+    if index is not None:
+        best = _held(index.search(query, k, score))
+        ids = [r[0] for r in best.collect()]
+        rows = docs.where(F.col(id_col).isin(ids)).join(F.broadcast(best.select(F.col("id").alias(id_col), "score")), id_col)
+        return rows.select(*docs.columns, "score").orderBy(F.desc("score"), id_col)
     ranked = _ranked(docs, query, text_col)
     if ranked is None:
         return docs.limit(0).withColumn("score", F.lit(0.0))
@@ -184,7 +192,7 @@ def _held(found: DataFrame) -> DataFrame:
     return found.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
-def hybrid(docs: DataFrame, query: str, k: int, vectors: DataFrame | None = None, embedding: list[float] | None = None, id_col: str = "record_id", text_col: str = "content", score=score_l1, by_results: bool = True) -> tuple[DataFrame, str]:
+def hybrid(docs: DataFrame, query: str, k: int, vectors: DataFrame | None = None, embedding: list[float] | None = None, id_col: str = "record_id", text_col: str = "content", score=score_l1, by_results: bool = True, index=None) -> tuple[DataFrame, str]:
     """The ``k`` best of each branch that can run, fused if both do; and the strategy's name.
 
     The strategy is that of the branches that found something, or with ``by_results`` off of
@@ -193,7 +201,7 @@ def hybrid(docs: DataFrame, query: str, k: int, vectors: DataFrame | None = None
     by_text = bool(tx.query_terms(query))
     has_vectors = vectors is not None and embedding is not None
     by_vector = has_vectors and any(embedding)
-    texts = keyword_search(docs, query, k, id_col, text_col, score) if by_text else None
+    texts = keyword_search(docs, query, k, id_col, text_col, score, index) if by_text else None
     if by_vector:
         near = vector_search(vectors, embedding, k + 10, id_col).select(id_col, "distance", "score").join(docs, id_col)
         near = near.orderBy("distance", id_col).limit(k)
@@ -213,9 +221,9 @@ def hybrid(docs: DataFrame, query: str, k: int, vectors: DataFrame | None = None
     return docs.limit(0).withColumns({"score": F.lit(0.0), "_o": F.lit(0)}), "embedding" if has_vectors else "fts" if query.strip() else "none"
 
 
-def search_memories(l1: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, embedding: list[float] | None = None, kind: str | None = None, scene: str | None = None) -> DataFrame:
+def search_memories(l1: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, embedding: list[float] | None = None, kind: str | None = None, scene: str | None = None, index=None) -> DataFrame:
     """Facts: candidates of three times the limit, then the filters, then the limit."""
-    found, strategy = hybrid(l1, query, 3 * limit, vectors, embedding)
+    found, strategy = hybrid(l1, query, 3 * limit, vectors, embedding, index=index)
     if kind:
         found = found.where(F.col("type") == kind)
     if scene:
@@ -224,9 +232,9 @@ def search_memories(l1: DataFrame, query: str, limit: int = 5, vectors: DataFram
     return found.select("record_id", "content", "type", "priority", "scene_name", "score", F.col("timestamp_start").alias("created_at"), F.col("timestamp_end").alias("updated_at"), F.lit(strategy).alias("strategy"))
 
 
-def search_conversations(l0: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, embedding: list[float] | None = None, session_key: str | None = None) -> DataFrame:
+def search_conversations(l0: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, embedding: list[float] | None = None, session_key: str | None = None, index=None) -> DataFrame:
     """Messages: candidates of three times the limit (four with a session filter), then the filter and limit."""
-    found, strategy = hybrid(l0, query, (4 if session_key else 3) * limit, vectors, embedding, text_col="message_text", score=score_l0)
+    found, strategy = hybrid(l0, query, (4 if session_key else 3) * limit, vectors, embedding, text_col="message_text", score=score_l0, index=index)
     if session_key:
         found = found.where(F.col("session_key") == session_key)
     found = found.orderBy("_o").limit(limit)
@@ -242,16 +250,16 @@ def threshold_with_fallback(found: DataFrame, least: float, limit: int) -> DataF
     return flagged.where(ok | (~F.col("_any") & (F.col("_n") <= limit / 2))).drop("_any", "_n")
 
 
-def recall(l1: DataFrame, query: str, max_results: int = 5, least: float = 0.3, strategy: str = "hybrid", vectors: DataFrame | None = None, embedding: list[float] | None = None) -> DataFrame:
+def recall(l1: DataFrame, query: str, max_results: int = 5, least: float = 0.3, strategy: str = "hybrid", vectors: DataFrame | None = None, embedding: list[float] | None = None, index=None) -> DataFrame:
     """Facts for a turn, in order of ``_o``: keyword and embedding recall apply the threshold, the
     hybrid one does not."""
     can_vector = vectors is not None and embedding is not None and any(embedding)
     if strategy == "hybrid" and can_vector:
-        found, name = hybrid(l1, query, 3 * max_results, vectors, embedding, by_results=False)
+        found, name = hybrid(l1, query, 3 * max_results, vectors, embedding, by_results=False, index=index)
     elif strategy == "embedding" and can_vector:
         found, name = hybrid(l1, "", 2 * max_results, vectors, embedding)
         found = found.where(F.col("score") >= least)
     else:
-        found, name = hybrid(l1, query, 2 * max_results)
+        found, name = hybrid(l1, query, 2 * max_results, index=index)
         found = threshold_with_fallback(found, least, 2 * max_results)
     return found.orderBy("_o").limit(max_results).withColumn("strategy", F.lit(name))

@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field, fields
 from typing import Protocol
 
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import extract, query, resolve, search, store, transcript, upkeep
+from ..operators import extract, fulltext, query, resolve, search, store, transcript, upkeep
 from ..sources import files
+from ..sources.versions import TRIES, Conflict, Versions
 from ..streaming import capture
 
 
@@ -170,21 +172,47 @@ def _embedding(embed: Embedder, batch: int = EMBED_BATCH):
 class Memory:
     """Layers as Parquet below ``path``.
 
-    A table is a list of parts that a small pointer file names, so a reader sees a whole version
-    or the last: new rows are a new part, a change writes the table anew.  What no pointer names
-    any more goes with the next change."""
+    A table is a list of parts.  One small version names those of all tables, so a reader sees a whole
+    state, and tables that change together do so at once: new rows are a new part, a change writes the
+    table anew.  A writer that another came before is refused (:class:`~..sources.versions.Conflict`);
+    :meth:`capture` tries again.  What a change leaves goes with the table's next one."""
 
     spark: SparkSession
     path: str
     embed: Embedder | None = None
     config: Config = field(default_factory=Config)
+    _open: dict | None = field(default=None, init=False, repr=False)
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/CURRENT"
+    @contextmanager
+    def _together(self):
+        """Changes of tables in the body are one version, written at its end."""
+        if self._open is not None:
+            yield self._open
+            return
+        versions = Versions(self.spark, f"{self.path}/.metadata/versions")
+        number, held = versions.read()
+        self._open = {"tables": dict(held.get("tables", {})), "batches": dict(held.get("batches", {}))}
+        try:
+            yield self._open
+            new = self._open
+        finally:
+            self._open = None
+        if new == {"tables": held.get("tables", {}), "batches": held.get("batches", {})}:
+            return
+        left, gone = dict(held.get("left", {})), []
+        for name, parts in held.get("tables", {}).items():
+            dropped = [x for x in parts if x not in new["tables"][name]]
+            if dropped:  # a reader of the last version may still be at work, none of the one before
+                gone += [f"{self.path}/{name}/{x}" for x in left.get(name, [])]
+                left[name] = dropped
+        versions.commit(number, {**new, "left": left})
+        for path in gone:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
 
     def _read_text(self, path: str) -> str | None:
         fs, p = self._fs(path)
@@ -199,38 +227,36 @@ class Memory:
             out.close()
 
     def _parts(self, name: str) -> list[str]:
-        held = self._read_text(self._pointer(name))
-        if held is None:
-            return []
-        got = json.loads(held)
-        return got if isinstance(got, list) else [f"v{got}"]  # a folder of before there were parts
-
-    def _next(self, parts: list[str]) -> str:
-        return f"v{1 + max((int(x[1:]) for x in parts), default=0)}"
+        state = self._open if self._open is not None else Versions(self.spark, f"{self.path}/.metadata/versions").read()[1]
+        if name in state.get("tables", {}):
+            return state["tables"][name]
+        held = self._read_text(f"{self.path}/{name}/CURRENT")  # of before there were versions
+        got = [] if held is None else json.loads(held)
+        return got if isinstance(got, list) else [f"v{got}"]
+
+    def _write(self, df: DataFrame, name: str, parts: list[str]) -> str:
+        part = f"v{1 + max((int(x[1:].split('-')[0]) for x in parts), default=0)}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.path}/{name}/{part}")
+        return part
 
     def table(self, name: str, schema: str) -> DataFrame:
-        parts = self._parts(name)
+        return self._table(name, self._parts(name), schema)
+
+    def _table(self, name: str, parts: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{x}" for x in parts)) if parts else self.spark.createDataFrame([], schema)
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        old = self._parts(name)
-        new = self._next(old)
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{new}")
-        self._write_text(self._pointer(name), json.dumps([new]))
-        fs, p = self._fs(f"{self.path}/{name}")
-        for status in fs.listStatus(p):  # a reader of the last version may still be at work
-            if status.isDirectory() and status.getPath().getName() not in (new, *old):
-                fs.delete(status.getPath(), True)
+        with self._together() as state:
+            state["tables"][name] = [self._write(df, name, self._parts(name))]
 
     def _append(self, name: str, df: DataFrame, schema: str) -> None:
         """Rows whose ids are new; the table is written anew when it has many parts."""
-        old = self._parts(name)
-        if len(old) >= PARTS:
-            self._replace(name, self.table(name, schema).unionByName(df))
-            return
-        new = self._next(old)
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{new}")
-        self._write_text(self._pointer(name), json.dumps([*old, new]))
+        with self._together() as state:
+            old = self._parts(name)
+            if len(old) >= PARTS:
+                self._replace(name, self.table(name, schema).unionByName(df))
+            else:
+                state["tables"][name] = [*old, self._write(df, name, old)]
 
     def bootstrap(self, binding: dict | None = None) -> list[str]:
         """Empty tables where there are none, and the manifest; how ``binding`` differs from it."""
@@ -260,8 +286,31 @@ class Memory:
     def cursors(self) -> DataFrame:
         return self.table("cursors", "session_key string, last_captured_timestamp long")
 
-    def capture(self, messages: DataFrame) -> int:
-        """Take the new messages of L0 rows; the number taken."""
+    def capture(self, messages: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Take the new messages of L0 rows; the number taken.  Rows and cursors change as one, and a
+        ``batch`` (the name of a stream and the number in it) that was taken is not taken again."""
+        for _ in range(TRIES):
+            try:
+                with self._together() as state:
+                    if batch is not None and state["batches"].get(batch[0], -1) >= batch[1]:
+                        return 0
+                    n = self._capture(messages)
+                    if n and batch is not None:
+                        state["batches"][batch[0]] = batch[1]
+                return n
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path}: {TRIES} tries")
+
+    def sink(self, stream: str) -> Callable[[DataFrame, int], None]:
+        """For ``foreachBatch``: batches of L0 rows, each taken once however often it is run."""
+
+        def write(rows: DataFrame, batch_id: int) -> None:
+            self.capture(rows, (stream, batch_id))
+
+        return write
+
+    def _capture(self, messages: DataFrame) -> int:
         rows = capture.after_cursors(capture.prepare(messages, self.config.skip_sessions), self.cursors()).select(*self.l0.columns)
         rows = store.last_per_id(rows, "timestamp").persist()
         try:
@@ -290,8 +339,9 @@ class Memory:
             self._replace("l1_vec", store.attach_embeddings(self.vectors("l1"), new, self.l1, "updated_time"))
 
     def forget(self, layer: str, ids: DataFrame) -> None:
-        for name, schema in ((layer, schemas.L0 if layer == "l0" else schemas.L1), (f"{layer}_vec", schemas.VECTORS)):
-            self._replace(name, store.delete(self.table(name, schema), ids))
+        with self._together():
+            for name, schema in ((layer, schemas.L0 if layer == "l0" else schemas.L1), (f"{layer}_vec", schemas.VECTORS)):
+                self._replace(name, store.delete(self.table(name, schema), ids))
 
     def _texts(self, layer: str) -> DataFrame:
         rows, text, time = (self.l0, "message_text", "recorded_at") if layer == "l0" else (self.l1, "content", "updated_time")
@@ -321,11 +371,27 @@ class Memory:
     def _asked(self, text: str) -> list[float] | None:
         return list(embed_all(self.embed, [text])[0]) if self.embed else None
 
+    def index(self, layer: str) -> fulltext.Index:
+        """The full-text index of a layer, brought up to date: of parts that came since, only those are
+        read; of a table that was written anew, what differs is taken.  Searches use it once it exists."""
+        index, parts = fulltext.Index(self.spark, f"{self.path}/{layer}_terms"), self._parts(layer)
+        schema, text = (schemas.L0, "message_text") if layer == "l0" else (schemas.L1, "content")
+        of = index._state()["of"]
+        if of is not None and parts[: len(of)] == of:
+            if len(parts) > len(of):
+                index.upsert(self._table(layer, parts[len(of) :], schema), "record_id", text, parts)
+        else:
+            index.refresh(self._table(layer, parts, schema), "record_id", text, parts)
+        return index
+
+    def _indexed(self, layer: str) -> fulltext.Index | None:
+        return self.index(layer) if fulltext.Index(self.spark, f"{self.path}/{layer}_terms").exists() else None
+
     def search_memories(self, text: str, limit: int = 5, kind: str | None = None, scene: str | None = None) -> DataFrame:
-        return search.search_memories(self.l1, text, limit, self.vectors("l1"), self._asked(text), kind, scene)
+        return search.search_memories(self.l1, text, limit, self.vectors("l1"), self._asked(text), kind, scene, self._indexed("l1"))
 
     def search_conversations(self, text: str, limit: int = 5, session_key: str | None = None) -> DataFrame:
-        return search.search_conversations(self.l0, text, limit, self.vectors("l0"), self._asked(text), session_key)
+        return search.search_conversations(self.l0, text, limit, self.vectors("l0"), self._asked(text), session_key, self._indexed("l0"))
 
     def recall(self, text: str, persona: str | None = None, scenes: DataFrame | None = None) -> dict:
         """What a turn gets.
@@ -356,7 +422,7 @@ class Memory:
         """The facts' lines in order, with what each still shows of its type and content."""
         c = self.config
         asked = self._asked(clean) if c.strategy != "keyword" else None
-        found = search.recall(self.l1, clean, c.max_results, c.score_threshold, c.strategy, self.vectors("l1"), asked)
+        found = search.recall(self.l1, clean, c.max_results, c.score_threshold, c.strategy, self.vectors("l1"), asked, None if c.strategy == "embedding" else self._indexed("l1"))
         meta = lambda key: F.get_json_object("metadata_json", f"$.{key}")
         line = tx.memory_line(F.col("type"), F.col("scene_name"), F.col("content"), meta("activity_start_time"), meta("activity_end_time"), F.col("timestamp_str"))
         rows = search.positions(found, F.col("_o")).select(F.lit(1).alias("session_id"), F.col("pos").alias("rank"), line.alias("line"))
