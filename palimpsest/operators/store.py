@@ -120,3 +120,40 @@ def profile_rows(files: DataFrame, scope: str) -> DataFrame:
 def verified(profiles: DataFrame) -> DataFrame:
     """Pulled profiles whose content has the digest that came with it."""
     return profiles.where(F.md5(F.col("content").cast("binary")) == F.col("content_md5"))
+
+
+ACTIONS = ("none", "push", "delete", "pull", "remove", "conflict")
+
+
+def reconcile(baseline: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """What a sync does with each profile of three tables (id, content_md5, version; local needs no version):
+    (id, action, base_md5, local_md5, remote_md5, base_version, remote_version).
+
+    Where local and remote are equal, or both gone, nothing is to do.  A side that is as the baseline
+    takes the other's change: ``push`` or ``delete`` at the store, ``pull`` or ``remove`` here.  Where both
+    changed, each in its own way, it is a ``conflict``, and neither is touched.  Ids are distinct in each table;
+    rows without an id are not taken, and a null digest is one that equals no text's."""
+    side = lambda df, name, *more: df.where(F.col("id").isNotNull()).select("id", F.coalesce("content_md5", F.lit("")).alias(f"{name}_md5"), *(F.col(c).cast("long").alias(f"{name}_{c}") for c in more))
+    rows = side(baseline, "base", "version").join(side(local, "local"), "id", "full_outer").join(side(remote, "remote", "version"), "id", "full_outer")
+    base, own, other = F.col("base_md5"), F.col("local_md5"), F.col("remote_md5")
+    action = (
+        F.when(own.eqNullSafe(other), "none")
+        .when(other.eqNullSafe(base), F.when(own.isNull(), "delete").otherwise("push"))
+        .when(own.eqNullSafe(base), F.when(other.isNull(), "remove").otherwise("pull"))
+        .otherwise("conflict")
+    )
+    return rows.select("id", action.alias("action"), "base_md5", "local_md5", "remote_md5", "base_version", "remote_version")
+
+
+def after_sync(plan: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """The next baseline (id, content_md5, version) when the actions of ``plan`` are done, or those of the ids in ``done``.
+
+    A push makes the version after the one that the store had.  What is in conflict or was not done keeps
+    its old baseline, so that the next sync decides on it again."""
+    made = F.lit(True) if done is None else F.col("_done").isNotNull()
+    rows = plan if done is None else plan.join(done.select("id", F.lit(True).alias("_done")).distinct(), "id", "left")
+    held = (F.col("action") == "conflict") | (F.col("action").isin("push", "delete", "pull", "remove") & ~made)
+    digest = F.when(held, F.col("base_md5")).when(F.col("action").isin("push", "delete"), F.col("local_md5")).otherwise(F.col("remote_md5"))
+    pushed = F.greatest(F.coalesce("remote_version", F.lit(0)), F.coalesce("base_version", F.lit(0))) + 1
+    version = F.when(held, F.col("base_version")).when(F.col("action") == "push", pushed).otherwise(F.col("remote_version"))
+    return rows.select("id", digest.alias("content_md5"), version.alias("version")).where(F.col("content_md5").isNotNull())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions import text as tx
 from .functions import vectors as vec
-from .operators import answers, extract, joins, query, resolve, schedule, search, store, transcript, triggers, upkeep
+from .operators import answers, extract, fulltext, joins, query, resolve, schedule, search, store, transcript, triggers, upkeep
 from .plans import host, offload, views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
 from .sources import export, files, logs
@@ -1434,6 +1434,42 @@ def prj08_recall_parts(spark, sf):
     return read(spark, sf, "customer").select(k, messages.recall_parts(body).alias("r")).select("c_custkey", "r.prepend", "r.append")
 
 
+@register(f"WITH {L1_SQL}, lx AS (SELECT * FROM l1 WHERE type <> 'persona'), {_bm25_sql('lx', 'content', 10)} SELECT record_id, round(score, 9) AS score FROM bm")
+def top01_kept_index(spark, sf):
+    """An index that took all facts, a third of them first with another's text, and lost another third."""
+    facts, index = views.l1(spark, sf), fulltext.Index(spark, _work(spark, "index"))
+    first = facts.withColumn("content", F.when(F.col("type") == "episodic", F.concat_ws(" ", F.lit(ASKED), "content")).otherwise(F.col("content")))
+    index.upsert(first, "record_id", "content")
+    index.upsert(facts.where("type = 'episodic'"), "record_id", "content")
+    index.delete(facts.where("type = 'persona'"), "record_id")
+    return index.search(ASKED, 10).select(F.col("id").alias("record_id"), F.round("score", 9).alias("score"))
+
+
+_SIDES_SQL = """b AS (SELECT cast(doc_id AS varchar) AS id, md5(text) AS m, 3 AS v FROM documents WHERE doc_id % 5 <> 0),
+    o AS (SELECT cast(doc_id AS varchar) AS id, CASE WHEN doc_id % 3 = 0 THEN md5(lang || text) ELSE md5(text) END AS m FROM documents WHERE doc_id % 7 <> 0),
+    r AS (SELECT cast(doc_id AS varchar) AS id, CASE WHEN doc_id % 4 = 0 THEN md5(source || text) WHEN doc_id % 6 = 0 THEN md5(lang || text) ELSE md5(text) END AS m, 4 AS v FROM documents WHERE doc_id % 11 <> 0),
+    p AS (SELECT id, b.m AS bm, o.m AS om, r.m AS rm, b.v AS bv, r.v AS rv, CASE WHEN o.m IS NOT DISTINCT FROM r.m THEN 'none' WHEN r.m IS NOT DISTINCT FROM b.m THEN CASE WHEN o.m IS NULL THEN 'delete' ELSE 'push' END
+        WHEN o.m IS NOT DISTINCT FROM b.m THEN CASE WHEN r.m IS NULL THEN 'remove' ELSE 'pull' END ELSE 'conflict' END AS action FROM b FULL JOIN o USING (id) FULL JOIN r USING (id))"""
+
+
+def _reconciled(spark, sf):
+    """Documents as profiles: a baseline without a fifth, and two sides that changed and lost some."""
+    d, n, t = read(spark, sf, "documents"), F.col("doc_id"), F.col("text")
+    side = lambda where, digest, v: d.where(where).select(n.cast("string").alias("id"), digest.alias("content_md5"), F.lit(v).alias("version"))
+    new, other = F.md5(F.concat("lang", "text")), F.md5(F.concat("source", "text"))
+    return store.reconcile(side(n % 5 != 0, F.md5(t), 3), side(n % 7 != 0, F.when(n % 3 == 0, new).otherwise(F.md5(t)), 0), side(n % 11 != 0, F.when(n % 4 == 0, other).when(n % 6 == 0, new).otherwise(F.md5(t)), 4))
+
+
+@register(f"WITH {_SIDES_SQL} SELECT id, action, bm AS base_md5, om AS local_md5, rm AS remote_md5 FROM p")
+def snk14_reconciled(spark, sf):
+    return _reconciled(spark, sf).select("id", "action", "base_md5", "local_md5", "remote_md5")
+
+
+@register(f"WITH {_SIDES_SQL}, n AS (SELECT id, CASE action WHEN 'conflict' THEN bm WHEN 'delete' THEN NULL WHEN 'push' THEN om ELSE rm END AS content_md5, CASE action WHEN 'conflict' THEN bv WHEN 'push' THEN greatest(coalesce(rv, 0), coalesce(bv, 0)) + 1 ELSE rv END AS version FROM p) SELECT id, content_md5, cast(version AS bigint) AS version FROM n WHERE content_md5 IS NOT NULL")
+def src10_next_baseline(spark, sf):
+    return store.after_sync(_reconciled(spark, sf))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over raw messages: BM25 and cosine neighbours, fused, filtered, limited."""
     messages = views.l0(spark, sf_dir)
