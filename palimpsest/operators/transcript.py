@@ -110,6 +110,34 @@ def insertion_point(messages: DataFrame) -> DataFrame:
     return ends.withColumn("start", start).select("session_id", at.cast("long").alias("at"))
 
 
+def reinserted(messages: DataFrame) -> DataFrame:
+    """Messages of a shortened transcript with the injected ones taken out and put where they belong
+    in it, in new positions from 0.
+
+    ``context`` tells of an injected message whether it is ``history`` or active.  They go in one after
+    another, in the order that they had, each into what those before it left.  History goes before the first active
+    one.  All else goes to the start of a session of at most two messages; or behind the last user message, if that is in
+    the second half; or to the start of the trailing run of tool and assistant messages, which injected ones do
+    not end, but within the last 30 and not behind the last message."""
+    kind = F.when(_injected(), F.when(F.col("context") == "history", "h").otherwise("a")).when(F.col("role") == "user", "u").when(F.col("role").isin(*RESULTS, "assistant"), "t").otherwise("o")
+    item = F.struct(F.col("pos").alias("p"), kind.alias("k"))
+    lists = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    own, moved = F.filter("all", lambda x: ~x["k"].isin("h", "a")), F.filter("all", lambda x: x["k"].isin("h", "a"))
+
+    def place(held: Column, new: Column) -> Column:
+        size = F.size(held)
+        where = lambda test: F.filter(F.transform(held, lambda x, i: F.when(test(x["k"], i), i)), lambda i: i.isNotNull())
+        user, breaker = F.array_max(where(lambda k, i: k == "u")), F.coalesce(F.array_max(where(lambda k, i: k.isin("u", "o"))), F.lit(-1))
+        run = F.coalesce(F.array_min(where(lambda k, i: (k == "t") & (i > breaker))), size)
+        at = F.when(size <= 2, 0).when(user >= F.floor(size / 2), user + 1).otherwise(F.least(F.greatest(run, size - 30), size - 1))
+        return F.when(new["k"] == "h", F.coalesce(F.array_min(where(lambda k, i: k == "a")), at)).otherwise(at)
+
+    order = F.aggregate(moved, own, lambda held, new: F.when(F.size(held) == 0, F.array(new)).otherwise(F.array_insert(held, (place(held, new) + 1).cast("int"), new)))
+    placed = lists.select("session_id", F.posexplode(order).alias("_at", "_x")).select("session_id", F.col("_x.p").alias("pos"), "_at")
+    rows = messages.join(placed, ["session_id", "pos"])
+    return rows.withColumn("pos", F.col("_at").cast(messages.schema["pos"].dataType)).select(*messages.columns)
+
+
 def transcript_tokens(messages: DataFrame, system: int = 0) -> DataFrame:
     """(session_id, tokens): messages, half a token for each, and the system prompt."""
     return messages.groupBy("session_id").agg((F.sum("tokens") + F.ceil(F.count(F.lit(1)) * 0.5) + system).cast("long").alias("tokens"))

@@ -116,7 +116,9 @@ def compress(messages: DataFrame, entries: DataFrame, window: int, system: int =
     """Stored decisions applied, then compression, and what both did.
 
     Entries whose statuses are stored make the next call take the same decisions before it
-    looks at sizes: what was replaced stays replaced, and deleted tool messages do not come back."""
+    looks at sizes: what was replaced stays replaced, and deleted tool messages do not come back.
+    With a column ``context`` injected messages go to their places in what is left
+    (:func:`transcript.reinserted`); without, they keep theirs."""
     fast = transcript.reapply(messages, entries)
     tokens = F.when(F.col("replaced"), tx.tokens(F.col("content"))).otherwise(F.col("tokens"))
     start = fast.withColumn("tokens", tokens.cast(messages.schema["tokens"].dataType)).select(*messages.columns)
@@ -126,6 +128,8 @@ def compress(messages: DataFrame, entries: DataFrame, window: int, system: int =
     lost = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_had")).join(again, "session_id", "left")
     lost = lost.select("session_id", F.coalesce("fast_replaced", F.lit(0)).alias("fast_replaced"), (F.col("_had") - F.coalesce("_left", F.lit(0))).alias("fast_deleted"))
     report = transcript.report(start, after, changed, modes, system).join(lost, "session_id")
+    if "context" in after.columns:
+        after = transcript.reinserted(after)
     return Compression(after, changed, joins.mark_status(entries, transcript.statuses(changed)), report)
 
 

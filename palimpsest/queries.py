@@ -19,7 +19,7 @@ from .functions import vectors as vec
 from .operators import answers, extract, fulltext, joins, query, resolve, schedule, search, store, transcript, triggers, upkeep
 from .plans import host, offload, views
 from .plans.views import BLANK_SQL, L0_SQL, L1_SQL, TRANSCRIPT_SQL, read, strip_sql
-from .sources import export, files, logs
+from .sources import export, files, logs, logsource
 from .streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1470,6 +1470,28 @@ def src10_next_baseline(spark, sf):
     return store.after_sync(_reconciled(spark, sf))
 
 
+@register(f"""WITH {TRANSCRIPT_SQL}, o AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY session_id) AS size FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos) > 1) WINDOW w AS (PARTITION BY session_id ORDER BY pos)),
+    e AS (SELECT session_id, size, max(CASE WHEN role = 'user' THEN n END) AS u, coalesce(max(CASE WHEN role NOT IN ('tool', 'toolResult', 'assistant') THEN n END) + 1, 0) AS run FROM o GROUP BY session_id, size),
+    pl AS (SELECT session_id, CASE WHEN size <= 2 THEN 0 WHEN u >= size // 2 THEN u + 1 ELSE least(greatest(run, size - 30), size - 1) END AS place FROM e)
+    SELECT s.session_id, cast(coalesce(place, 0) AS bigint) AS place FROM (SELECT DISTINCT session_id FROM t) s LEFT JOIN pl USING (session_id)""")
+def win14_reinserted(spark, sf):
+    """Each session's first message as an injected one that is put in its place again."""
+    t = views.transcript(spark, sf)
+    first = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) == 1
+    rows = transcript.reinserted(t.withColumn("injected", first).withColumn("context", F.when(F.col("injected"), "active")))
+    return rows.where("injected").select("session_id", F.col("pos").cast("long").alias("place"))
+
+
+@register(f"WITH {L0_SQL} SELECT record_id, md5(message_text) AS content, timestamp FROM l0 WHERE session_key = '7' OR timestamp >= (SELECT max(timestamp) FROM l0) - 20000000")
+def src01_daily_logs(spark, sf):
+    """All messages as daily logs; one session's, and the last ones of all, are read."""
+    path, l0 = _work(spark, "daily"), views.l0(spark, sf)
+    logs.append_messages(l0, path)
+    last = l0.agg(F.max("timestamp")).first()[0] - 20_000_000
+    got = logsource.read(spark, path, since=last).unionByName(logsource.read(spark, path, session="7", until=last - 1))
+    return got.select("record_id", F.md5("message_text").alias("content"), "timestamp")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over raw messages: BM25 and cosine neighbours, fused, filtered, limited."""
     messages = views.l0(spark, sf_dir)

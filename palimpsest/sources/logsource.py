@@ -1,12 +1,15 @@
 """Daily logs of messages as a data source, for batches and streams.
 
-Each shard's day is in its path, so a filter on ``shard_date`` or ``timestamp`` decides which files are
-opened, and one on ``session_key`` which lines are parsed.  Files are read in ranges of bytes; a line
-is of the range that it begins in.  A stream remembers how far each file was read, up to the last
-whole line, so a line that is still being written waits for its end.
+Each shard's day is in its path, so bounds of day or time decide which files are opened, and a
+session which lines are parsed.  Files are read in ranges of bytes; a line is of the range that it
+begins in.  A stream remembers how far each file was read, up to the last whole line, so a line
+that is still being written waits for its end.
 
+The filters are options and not taken from the query: Spark 4.1 keeps what was pushed with the
+loaded table, so that two branches of a query with different filters would both get the last one's rows.
+
+    read(spark, "file:///data/memory", session="k", since=5)
     register(spark)
-    spark.read.format("daily_logs").load("file:///data/memory").where("session_key = 'k' and timestamp > 5")
     spark.readStream.format("daily_logs").load("file:///data/memory")
 """
 
@@ -16,16 +19,16 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import UTC, date, datetime
+from datetime import date
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RANGE = 64 << 20
 BLOCK = 1 << 16
 ROWS = "record_id string, session_key string, session_id string, role string, message_text string, recorded_at string, timestamp long, shard_date date"
 _KEYS = ("id", "sessionKey", "sessionId", "role", "content", "recordedAt")
 _DAY = re.compile(r"(\d{4}-\d{2}-\d{2})[^/]*(/[^/]*)?$")
-_ORDERS = {GreaterThan: (1, 1), GreaterThanOrEqual: (1, 0), LessThan: (-1, 1), LessThanOrEqual: (-1, 0)}
 
 
 def _day(path: str) -> date | None:
@@ -36,6 +39,12 @@ def _day(path: str) -> date | None:
         return None
 
 
+def _utc_day(ms: int) -> date:
+    """The day of a time; one beyond the calendar is of its first or last."""
+    days = ms // 86_400_000 + date(1970, 1, 1).toordinal()
+    return date.fromordinal(min(max(days, date.min.toordinal()), date.max.toordinal()))
+
+
 def _files(uri: str) -> dict[str, int]:
     """Sizes of the log files below a folder; names that begin with ``_`` or ``.`` are no logs."""
     from pyarrow import fs
@@ -109,7 +118,9 @@ class _Reading:
 
     def __init__(self, options: dict):
         self.uri, self.size = options["path"], int(options.get("rangebytes", RANGE))
-        self.session, self.tests = None, []
+        number = lambda name: int(options[name]) if name in options else None
+        self.session, self.since, self.until = options.get("session"), number("since"), number("until")
+        self.first, self.last = (date.fromisoformat(options[n]) if n in options else None for n in ("firstday", "lastday"))
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         from pyarrow import fs
@@ -124,44 +135,22 @@ class _Reading:
             row = _row(line, day)
             if row is None or (self.session is not None and row[1] != self.session):
                 continue
-            if all(row[6] is not None and (row[6] - v) * sign >= strict for sign, strict, v in self.tests):
+            at_ms = row[6]
+            if at_ms is None and (self.since, self.until) != (None, None):
+                continue
+            if (self.since is None or at_ms >= self.since) and (self.until is None or at_ms <= self.until):
                 yield row
 
 
 class _Batch(_Reading, DataSourceReader):
-    def __init__(self, options: dict):
-        super().__init__(options)
-        self.days = []
-
-    def pushFilters(self, filters):
-        """Takes what it applies in full: one session, bounds of time and of the shard's day."""
-        for f in filters:
-            name, order = f.attribute[0] if len(f.attribute) == 1 else None, _ORDERS.get(type(f))
-            if isinstance(f, EqualTo) and name == "session_key" and self.session in (None, f.value):
-                self.session = f.value
-            elif order and name == "timestamp":
-                self.tests.append((*order, f.value))
-            elif order and name == "shard_date":
-                self.days.append((*order, f.value))
-            elif isinstance(f, EqualTo) and name == "shard_date":
-                self.days += [(1, 0, f.value), (-1, 0, f.value)]
-            else:
-                yield f
-
     def _wanted(self, day: date | None) -> bool:
         """Whether a shard can hold wanted rows; its day is a local one, so times have a day's room."""
-        if any(day is None or (day - v).days * sign < strict for sign, strict, v in self.days):
-            return False
         if day is None:
-            return True
-        for sign, _, v in self.tests:
-            try:
-                of = datetime.fromtimestamp(v / 1000, UTC).date()
-            except (OverflowError, ValueError, OSError):
-                continue
-            if (day - of).days * sign < -1:
-                return False
-        return True
+            return self.first is None and self.last is None
+        if (self.first and day < self.first) or (self.last and day > self.last):
+            return False
+        bounds = [(self.since, 1), (self.until, -1)]
+        return all(v is None or (day - _utc_day(v)).days * sign >= -1 for v, sign in bounds)
 
     def partitions(self) -> list[InputPartition]:
         return [p for path, size in _files(self.uri).items() if self._wanted(_day(path)) for p in _ranges(path, 0, size, self.size)] or [_Range("", 0, 0)]
@@ -205,7 +194,9 @@ class _Stream(_Reading, DataSourceStreamReader):
 class DailyLogs(DataSource):
     """Messages below ``path``/conversations, a shard a day; lines that are no messages are left out.
 
-    Option ``rangeBytes``: how much of a file a task reads."""
+    Options: ``session`` (its key), ``since`` and ``until`` (milliseconds, both included; rows without a
+    time are then out), ``firstDay`` and ``lastDay`` (of shards, which those without a day in their path are not),
+    and ``rangeBytes``, how much of a file a task reads.  A stream opens every file, whatever the bounds."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,7 +212,12 @@ class DailyLogs(DataSource):
         return _Stream(self.options)
 
 
-def register(spark) -> None:
-    """Make the source known, and let Spark hand filters to it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def register(spark: SparkSession) -> None:
     spark.dataSource.register(DailyLogs)
+
+
+def read(spark: SparkSession, path: str, session: str | None = None, since: int | None = None, until: int | None = None, first_day: date | None = None, last_day: date | None = None) -> DataFrame:
+    """Messages of the logs below ``path`` (a URI), by the options of :class:`DailyLogs`."""
+    register(spark)
+    chosen = {"session": session, "since": since, "until": until, "firstDay": first_day, "lastDay": last_day}
+    return spark.read.format("daily_logs").options(**{k: str(v) for k, v in chosen.items() if v is not None}).load(path)

@@ -43,21 +43,29 @@ def test_rows_are_those_of_the_plain_reader_in_any_ranges(spark, folder):
     assert spark.read.format("daily_logs").load(empty.as_uri()).count() == 0
 
 
-def test_filters_decide_which_files_are_opened(spark, folder):
-    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
-
-    start = 1_704_067_200_000
-    reader = logsource._Batch({"path": folder.as_uri()})
-    assert list(reader.pushFilters([EqualTo(("session_key",), "a"), GreaterThanOrEqual(("timestamp",), start + 3 * DAY), EqualTo(("role",), "user")])) == [EqualTo(("role",), "user")]
-    assert [p.path.split("=")[1][:10] for p in reader.partitions()] == ["2024-01-03", "2024-01-04", "2024-01-05"]  # a day's room for zones
-    reader = logsource._Batch({"path": folder.as_uri()})
-    assert not list(reader.pushFilters([EqualTo(("shard_date",), date(2024, 1, 2)), LessThan(("timestamp",), 10**30)])) and len(reader.partitions()) == 1
-    rows = spark.read.format("daily_logs").load(folder.as_uri())
-    plain = logs.read_messages(spark, folder.as_uri()).withColumn("shard_date", F.to_date(F.timestamp_millis("timestamp")))
-    for where in ("session_key = 'a' and timestamp > 1704240001000", "shard_date < date'2024-01-03' and role = 'user'", "session_key = 'a\"q'", "session_key = 'a' and session_key = 'b'", "timestamp <= 1704067201000", "role = 'none'"):
-        of = lambda df: sorted(r[0] for r in df.where(where).where("timestamp is not null").select("record_id").collect())  # noqa: B023, E731
-        assert of(rows) == of(plain), where
-    assert rows.where("timestamp is null").count() == 5
+def test_options_decide_which_files_are_opened(spark, folder):
+    start, uri = 1_704_067_200_000, folder.as_uri()
+
+    def opened(**options):
+        return [p.path.split("=")[1][:10] for p in logsource._Batch({"path": uri, **options}).partitions()]
+
+    assert opened(session="a", since=str(start + 3 * DAY)) == ["2024-01-03", "2024-01-04", "2024-01-05"]  # a day's room for zones
+    assert opened(until=str(start)) == ["2024-01-01", "2024-01-02"] and opened(firstday="2024-01-02", lastday="2024-01-02") == ["2024-01-02"]
+    assert len(opened(since=str(-(10**18)), until=str(10**18))) == 5
+    plain = logs.read_messages(spark, uri).withColumn("shard_date", F.to_date(F.timestamp_millis("timestamp")))
+    of = lambda df: sorted(r[0] for r in df.select("record_id").collect())
+    cases = [
+        ({"session": "a", "since": start + 2 * DAY + 2000}, f"session_key = 'a' and timestamp >= {start + 2 * DAY + 2000}"),
+        ({"first_day": date(2024, 1, 2), "last_day": date(2024, 1, 3), "since": 0}, "shard_date between '2024-01-02' and '2024-01-03'"),
+        ({"session": 'a"q'}, "session_key = 'a\"q'"),
+        ({"session": "c"}, "session_key = 'c'"),
+        ({"until": start}, f"timestamp <= {start}"),
+        ({"session": "none"}, "false"),
+    ]
+    for options, where in cases:
+        assert of(logsource.read(spark, uri, **options)) == of(plain.where(where)), where
+    both = logsource.read(spark, uri, session="a").unionByName(logsource.read(spark, uri, session="b"))
+    assert of(both) == of(plain.where("session_key in ('a', 'b')"))
 
 
 def test_a_stream_goes_on_where_it_stopped(spark, folder):
