@@ -22,6 +22,7 @@ a malformed one, raises ``ValueError`` with the file's name.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -218,11 +219,12 @@ class Files(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
-        self.schema, self.equal = schema, []
+        self.schema, self.push = schema, options.get("pushdown", "false").lower() == "true"
+        self.equal = [(name, frozenset(values)) for name, values in json.loads(options.get("only", "{}")).items()]
 
     def pushFilters(self, filters):
         for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            name = None if not self.push else f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name in HEADERS and isinstance(f, EqualTo | EqualNullSafe):
                 self.equal.append((name, frozenset([f.value])))
             elif name in HEADERS and isinstance(f, In):
@@ -345,10 +347,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def read(spark: SparkSession, path: str, schema: str = SCHEMA, **options) -> DataFrame:
-    """The records of archives; leave ``payload`` out of the schema to skip all payloads."""
+def read(spark: SparkSession, path: str, schema: str = SCHEMA, only: dict[str, list[str]] | None = None, pushdown: bool = False, **options) -> DataFrame:
+    """The records of archives; leave ``payload`` out of the schema to skip all payloads.
+
+    ``only`` has values of headers (:data:`HEADERS`): no payload of another record is decoded.  With
+    ``pushdown`` predicates of the query on headers do that too.  Spark 4.1 keeps those with the loaded table,
+    so only a query that filters it in one way may ask for them: of two branches with different
+    predicates both would get the last one's records."""
     register(spark)
-    return spark.read.format("warc").schema(schema).options(**options).load(path)
+    if unknown := set(only or {}) - set(HEADERS):
+        raise ValueError(f"a record has no {sorted(unknown)}")
+    return spark.read.format("warc").schema(schema).options(only=json.dumps(only or {}), pushdown=pushdown, **options).load(path)
 
 
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> None:
@@ -383,7 +392,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_pages(pages, path, id_col, url_col, html_col, least)
-    got = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    got = read(spark, path, only={"record_type": ["response", "revisit"]})
     number = lambda c: F.url_decode(F.regexp_extract(c, "^<urn:row:(.*)>$", 1))
     full = F.col("record_type") == "response"
     return got.select(

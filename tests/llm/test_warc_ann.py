@@ -223,3 +223,18 @@ def test_rows_of_the_largest_page_id_are_all_responses(spark):
     got = warc.round_trip(spark.createDataFrame([(3, "u", body), (3, "u", body), (1, "u", body), (2, "v", "short"), (2, "v", "short")], "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id != 1) == [(2, "response", None)] * 2 + [(3, "response", None)] * 2
     assert [(r.record_type, r.refers_to) for r in got if r.page_id == 1] == [("revisit", 3)]
+
+
+def test_branches_of_one_archive_keep_their_own_predicates(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(spark.createDataFrame([(k, "u", "x" * 2000 if k % 2 else str(k)) for k in range(10)], PAGES), path)
+    of = lambda df, kind: df.where(f"record_type = '{kind}'").select("record_id")
+    for one in (warc.read(spark, path), warc.read(spark, path, only={"record_type": ["response", "revisit"]}), warc.round_trip(spark.createDataFrame([(k, "u", "x" * 2000 if k % 2 else str(k)) for k in range(10)], PAGES)).withColumnRenamed("page_id", "record_id")):
+        both = of(one, "response").union(of(one, "revisit"))
+        assert (both.count(), both.distinct().count()) == (10, 10)
+    pushed = warc.read(spark, path, pushdown=True).where("record_type = 'revisit'")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert pushed.count() == 4 and "= revisit" not in plan(pushed) and "= revisit" in plan(of(one, "revisit"))
+    assert warc.read(spark, path, only={"record_type": ["revisit"], "target_uri": ["u"]}).count() == 4
+    with pytest.raises(ValueError):
+        warc.read(spark, path, only={"nothing": ["x"]})
