@@ -30,12 +30,17 @@ def canonical(host: DataFrame) -> DataFrame:
     """Rows of ``CANONICAL``: each message with its text and the ids of its tool calls, and after an
     assistant's message a ``tool`` row for each of its finished calls."""
     calls = F.when(F.col("role") == "assistant", F.transform(_tools(F.col("parts")), lambda p: p["call_id"])).otherwise(F.array().cast("array<string>"))
-    own = host.select("session_id", (F.col("pos") * _STEP).alias("pos"), "id", "role", _texts(F.col("parts")).alias("content"), F.lit(None).cast("string").alias("tool_id"), calls.alias("tool_calls"))
-    done = F.filter(_tools(F.col("parts")), lambda p: p["status"].isin("completed", "error"))
-    rows = host.where("role = 'assistant'").select("session_id", "pos", "id", F.posexplode(done).alias("n", "p"))
-    output = F.coalesce(F.when(F.col("p.status") == "error", F.col("p.error")).otherwise(F.col("p.output")), F.lit(""))
-    results = rows.select("session_id", (F.col("pos") * _STEP + 1 + F.col("n")).alias("pos"), F.concat_ws(":", "id", F.coalesce("p.id", "p.call_id")).alias("id"), F.lit("tool").alias("role"), output.alias("content"), F.col("p.call_id").alias("tool_id"), F.array().cast("array<string>").alias("tool_calls"))
-    both = own.unionByName(results).withColumns({"tokens": tx.tokens(F.col("content")), "injected": F.lit(False)})
+    none = F.array().cast("array<string>")
+    row = lambda pos, id, role, content, tool_id, tool_calls: F.struct(pos.alias("pos"), id.alias("id"), role.alias("role"), content.alias("content"), tool_id.alias("tool_id"), tool_calls.alias("tool_calls"))
+    own = row(F.col("pos") * _STEP, F.col("id"), F.col("role"), _texts(F.col("parts")), F.lit(None).cast("string"), calls)
+
+    def result(p: Column, n: Column) -> Column:
+        output = F.coalesce(F.when(p["status"] == "error", p["error"]).otherwise(p["output"]), F.lit(""))
+        return row(F.col("pos") * _STEP + 1 + n, F.concat_ws(":", "id", F.coalesce(p["id"], p["call_id"])), F.lit("tool"), output, p["call_id"], none)
+
+    done = F.when(F.col("role") == "assistant", F.filter(_tools(F.col("parts")), lambda p: p["status"].isin("completed", "error")))
+    results = F.coalesce(F.transform(done, result), F.array().cast("array<struct<pos: bigint, id: string, role: string, content: string, tool_id: string, tool_calls: array<string>>>"))
+    both = host.select("session_id", F.inline(F.concat(F.array(own), results))).withColumns({"tokens": tx.tokens(F.col("content")), "injected": F.lit(False)})
     return both.select(*(c.strip().split(" ")[0] for c in CANONICAL.split(", ")))
 
 
@@ -52,10 +57,15 @@ def merged(host: DataFrame, rewritten: DataFrame) -> DataFrame:
     A tool part stays if its call and its result are both left, with the result's text.  Text that
     compression added to a message becomes a synthetic part, and an injected row becomes one of
     the user message before it, or of the last one if there is none before."""
-    left = rewritten.join(host.select("session_id", "id").distinct(), ["session_id", "id"], "left_semi").select("session_id", "id", F.col("pos").alias("_at"), F.col("content").alias("_text"), F.col("tool_calls").alias("_calls"))
-    results = rewritten.where(F.col("role").isin(*ms.RESULTS) & F.col("tool_id").isNotNull()).groupBy("session_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("tool_id", "content")))).alias("_results"))
-    rows = host.join(left, ["session_id", "id"]).join(results, "session_id", "left")
-    known = F.coalesce("_results", F.create_map().cast("map<string, string>"))
+    # what is left of a session is one row, so that each side is dealt out once, by session
+    row = F.struct("id", "pos", "content", "tool_calls", "injected", F.when(F.col("role").isin(*ms.RESULTS), F.col("tool_id")).alias("result"))
+    left = rewritten.groupBy("session_id").agg(F.collect_list(row).alias("_left"))
+    results = F.transform(F.filter("_left", lambda r: r["result"].isNotNull()), lambda r: F.struct(r["result"].alias("tool_id"), r["content"].alias("content")))
+    injected = F.transform(F.filter("_left", lambda r: r["injected"] & (r["content"] != "")), lambda r: F.struct(r["pos"].alias("p"), r["content"].alias("c")))
+    left = left.select("session_id", "_left", F.map_from_entries(F.array_distinct(results)).alias("_results"), F.array_sort(injected).alias("_injected"))
+    rows = host.join(left, "session_id").select("session_id", "id", "role", "parts", "_results", "_injected", F.explode(F.filter("_left", lambda r: r["id"] == F.col("id"))).alias("_own"))
+    rows = rows.select("*", F.col("_own.pos").alias("_at"), F.col("_own.content").alias("_text"), F.col("_own.tool_calls").alias("_calls"))
+    known = F.col("_results")
     calls = F.coalesce("_calls", F.array().cast("array<string>"))
     assistant = F.col("role") == "assistant"
 
@@ -72,20 +82,22 @@ def merged(host: DataFrame, rewritten: DataFrame) -> DataFrame:
     more = F.when((old != "") & F.col("_text").startswith(old), tx.strip(F.substring(F.col("_text"), F.length(old) + 1, F.length("_text")))).otherwise(F.col("_text"))
     more = F.when(assistant & (F.col("_text") != old), more)
     summary = F.when(F.coalesce(more, F.lit("")) != "", F.array(_part(F.col("id"), F.lit("tool-summary"), more))).otherwise(F.array().cast(f"array<{PART}>"))
-    out = rows.select("session_id", F.col("_at").alias("pos"), "id", "role", F.concat(parts, summary).alias("parts"))
-    return _with_injected(out, rewritten.where("injected").select("session_id", F.col("pos").alias("_p"), F.col("content").alias("_c")))
-
-
-def _with_injected(host: DataFrame, injected: DataFrame) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("_p", "_k")
-    users = host.where("role = 'user'").select("session_id", F.col("pos").alias("_p"), F.lit(0).alias("_k"), F.col("id").alias("_user"), F.lit(None).cast("string").alias("_c"))
-    both = users.unionByName(injected.select("session_id", "_p", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("_user"), "_c"))
-    before = F.last("_user", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    last = F.max_by("_user", F.when(F.col("_user").isNotNull(), F.col("_p"))).over(Window.partitionBy("session_id"))
-    found = both.withColumn("id", F.coalesce(before, last)).where("_k = 1 and id is not null and _c <> ''")
-    more = found.groupBy("session_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_c"))), lambda x: x["_c"]).alias("_more"))
-    rows = host.join(more, ["session_id", "id"], "left")
-    extra = F.transform(F.coalesce("_more", F.array().cast("array<string>")), lambda t: _part(F.col("id"), F.lit("active"), t))
+    return _with_injected(rows.select("session_id", F.col("_at").alias("pos"), "id", "role", F.concat(parts, summary).alias("parts"), "_injected"))
+
+
+def _with_injected(host: DataFrame) -> DataFrame:
+    """Each of a session's ``_injected`` (p, c) as a part of the last user message up to its place, or of the session's last."""
+    session = Window.partitionBy("session_id")
+    user = F.when(F.col("role") == "user", F.col("pos"))
+    following = F.last(user, ignorenulls=True).over(session.orderBy(F.desc("pos"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = host.withColumns({"_next": following, "_first": F.min(user).over(session)})
+
+    def here(x: Column) -> Column:
+        early = F.coalesce(x["p"] < F.col("_first"), F.lit(True))
+        return F.when(F.col("_next").isNull(), early | (x["p"] >= F.col("pos"))).otherwise((x["p"] >= F.col("pos")) & (x["p"] < F.col("_next")))
+
+    more = F.when(F.col("role") == "user", F.filter("_injected", here))
+    extra = F.transform(F.coalesce(more, F.array().cast("array<struct<p: bigint, c: string>>")), lambda x: _part(F.col("id"), F.lit("active"), x["c"]))
     return rows.select("session_id", "pos", "id", "role", F.concat("parts", extra).alias("parts"))
 
 

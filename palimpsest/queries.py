@@ -1375,15 +1375,22 @@ def str02_advance_cursors(spark, sf):
 def _host(spark, sf):
     """Orders as a user's and an assistant's message with tool parts: one for each line of the order."""
     null = F.lit(None).cast("string")
-    one = lambda **given: F.struct(*(given.get(n, null if n not in ("ignored", "synthetic") else F.lit(None).cast("boolean")).alias(n) for n in ("id", "type", "text", "call_id", "tool", "status", "input", "output", "error", "ignored", "synthetic", "kind")))
-    call = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    part = one(id=call, type=F.lit("tool"), call_id=call, tool=F.lit("ship"), status=F.when(F.col("l_returnflag") == "R", "running").otherwise("completed"), output=F.col("l_linestatus"))
-    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", part.alias("p")))).alias("x"))
-    tools = lines.select(F.col("l_orderkey").cast("string").alias("session_id"), F.transform("x", lambda r: r["p"]).alias("tools"))
-    asked = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("u"), "o_orderkey").alias("id"), F.lit("user").alias("role"), F.array(one(type=F.lit("text"), text=F.col("o_orderpriority")).cast(host.PART)).alias("parts"))
-    said = one(type=F.lit("text"), text=F.lit("done")).cast(host.PART)
-    answer = tools.select("session_id", F.lit(1).cast("long").alias("pos"), F.concat(F.lit("a"), "session_id").alias("id"), F.lit("assistant").alias("role"), F.concat(F.array(said), F.col("tools").cast(f"array<{host.PART}>")).alias("parts"))
-    return asked.unionByName(answer.join(asked.select("session_id"), "session_id", "left_semi"))
+    one = lambda **given: F.struct(*(given.get(n, null if n not in ("ignored", "synthetic") else F.lit(None).cast("boolean")).alias(n) for n in ("id", "type", "text", "call_id", "tool", "status", "input", "output", "error", "ignored", "synthetic", "kind"))).cast(host.PART)
+    # an order and its lines meet once, as narrow rows; all that follows stays where its session is
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("running"), "l_linestatus").alias("line")
+    lines = read(spark, sf, "lineitem").where("l_orderkey is not null").select(F.col("l_orderkey").cast("string").alias("session_id"), line)
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.struct("o_orderpriority").alias("order"))
+    both = orders.unionByName(lines, allowMissingColumns=True).groupBy("session_id").agg(F.collect_list("order").alias("orders"), F.array_sort(F.collect_list("line")).alias("lines"))
+
+    def part(r):
+        call = F.concat_ws("-", "session_id", r["l_linenumber"], r["l_partkey"], r["l_suppkey"])
+        return one(id=call, type=F.lit("tool"), call_id=call, tool=F.lit("ship"), status=F.when(r["running"], "running").otherwise("completed"), output=r["l_linestatus"])
+
+    message = lambda pos, of, role, parts: F.struct(F.lit(pos).cast("long").alias("pos"), F.concat(F.lit(of), "session_id").alias("id"), F.lit(role).alias("role"), parts.alias("parts"))
+    asked = F.transform("orders", lambda o: message(0, "u", "user", F.array(one(type=F.lit("text"), text=o["o_orderpriority"]))))
+    answer = message(1, "a", "assistant", F.concat(F.array(one(type=F.lit("text"), text=F.lit("done"))), F.transform("lines", part)))
+    answered = (F.size("orders") > 0) & (F.size("lines") > 0)
+    return both.select("session_id", F.inline(F.concat(asked, F.filter(F.array(answer), lambda _: answered))))
 
 
 _CALLS_SQL = "c AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_linestatus, l_returnflag, l_linenumber, l_partkey, l_suppkey FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey)"
@@ -1399,9 +1406,11 @@ def scl_j11_canonical(spark, sf):
     SELECT cast(l_orderkey AS varchar) AS session_id, coalesce(outputs, '') AS outputs FROM (SELECT DISTINCT l_orderkey FROM c) LEFT JOIN k USING (l_orderkey)""")
 def join09_merged(spark, sf):
     given = _host(spark, sf)
-    gone = read(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("tool_id"))
+    gone = read(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").cast("string").alias("session_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call"))
+    gone = gone.groupBy("session_id").agg(F.collect_list("call").alias("gone"))
     rows = host.canonical(given)
-    kept = rows.where("role <> 'user'").join(gone, "tool_id", "left_anti").select(*rows.columns)
+    stays = ~F.coalesce(F.array_contains("gone", F.col("tool_id")), F.lit(False))
+    kept = rows.where("role <> 'user'").join(gone, "session_id", "left").where(stays).select(*rows.columns)
     kept = kept.withColumn("content", F.when((F.col("role") == "tool") & (F.col("content") == "O"), "short").otherwise(F.col("content")))
     tools = F.filter("parts", lambda p: p["type"] == "tool")
     return host.merged(given, kept).select("session_id", F.array_join(F.transform(tools, lambda p: p["output"]), ",").alias("outputs"))

@@ -48,6 +48,37 @@ def test_rewrites_go_back(spark):
     assert host.latest_user(created).first().id == "m2"
 
 
+def test_messages_and_lines_are_dealt_out_once(spark):
+    import __spark_entry__
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {n: __spark_entry__.queries()[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n in ("join09_merged", "scl_j11_canonical")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the host's messages (twice in the plan, one shuffle when it runs) and the lines that are gone
+    assert {n: p.count("Exchange") for n, p in plans.items()} == {"join09_merged": 3, "scl_j11_canonical": 1}
+
+
+def test_injected_rows_go_to_the_user_before_or_the_last_one(spark):
+    ids = {0: "a", 2: "b", 4: "c"}
+    host_rows = [(s, p, f"{s}{p}", "user" if p in ids and s != "n" else "assistant", [part(type="text", text="t")]) for s in ("s", "r", "n") for p in range(2 if s == "r" else 0, 5)]
+    given = spark.createDataFrame([*host_rows, ("e", 0, "e0", "assistant", None)], host.HOST)
+    rows_ = host.canonical(given)
+    assert [(r.id, r.content, r.tool_calls) for r in rows_.where("session_id = 'e'").collect()] == [("e0", None, None)]
+    at = [(s, p, f"{s}@{p}") for s in ("s", "r", "n") for p in (-1, 0, 1, 1999, 2000, 3500, 4000, 9000)]
+    extra = spark.createDataFrame([*((s, p, None, "user", c, 1, True, None, []) for s, p, c in at), ("s", 1, None, "user", "", 1, True, None, [])], host.CANONICAL)
+    got = host.merged(given, rows_.unionByName(extra)).collect()
+    want: dict = {}
+    for s, p, c in at:
+        users = sorted(r[1] for r in host_rows if r[0] == s and r[3] == "user")
+        if users:
+            want.setdefault((s, max((u for u in users if u * 1000 <= p), default=users[-1])), []).append(c)
+    assert {(r.session_id, r.pos // 1000): [x.text for x in r.parts if x.kind == "active"] for r in got if r.role == "user"} == want | {("s", k): want.get(("s", k), []) for k in ids}
+    assert len(got) == len(host_rows) + 1 and not any(x.kind for r in got if r.role != "user" for x in r.parts or [])
+
+
 def test_prompts_hold_their_rows():
     assert prompts.as_text(None) == "" and prompts.as_text({"a": "ü"}) == '{"a":"ü"}' and prompts.as_text("x") == "x"
     assert '"content": "hi"' in prompts.extraction([{"id": "1", "content": "hi"}], scene="work") and "work" in prompts.extraction([], scene="work")
