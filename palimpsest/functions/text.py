@@ -396,6 +396,16 @@ def _terms(text: Column) -> Column:
     return F.when(text.rlike("[\\x{3400}-\\x{9fff}]"), mixed).otherwise(runs(text))
 
 
+def counts(terms: Column) -> Column:
+    """(term, tf) of each different term of an array, from runs in its order; a row is counted by itself, without a table of all terms."""
+
+    def runs(own: Column) -> Column:
+        starts = F.filter(F.transform(own, lambda t, i: F.when((i == 0) | (t != F.get(own, i - 1)), i)), lambda i: i.isNotNull())
+        return once(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(own)) - i).cast("long").alias("tf"))))
+
+    return once(F.sort_array(terms), runs)
+
+
 def query_terms(text: str) -> list[str]:
     """Distinct terms of a query, without stop words, as :func:`terms` makes them."""
     low = text.lower().translate(str.maketrans(_FOLD_FROM, _FOLD_TO))

@@ -67,7 +67,7 @@ class Index:
         words = texts.select("id", F.xxhash64("_text").alias("hash"), tx.terms(F.col("_text")).alias("t")).withColumn("dl", F.size("t").cast("long"))
         name = _name()
         words.select("id", "dl", "hash").write.parquet(self._folder("docs", name))
-        postings = words.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        postings = words.select("id", "dl", F.inline(tx.counts(F.col("t"))))
         self._write(postings.select("term", "id", "tf", "dl"), name)
         new = self._read("docs", [name], DOCS)
         n, total = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()

@@ -82,7 +82,7 @@ def keyword_search(docs: DataFrame, query: str, k: int, id_col: str = "record_id
 def build_index(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 64) -> None:
     """Write postings (term, id, tf, dl) by hash of the term, and the corpus numbers."""
     own = docs.select(F.col(id_col).alias("id"), tx.terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
-    postings = own.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = own.select("id", "dl", F.inline(tx.counts(F.col("t")))).select("term", "id", "dl", "tf")
     postings = postings.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
     postings.repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/corpus")

@@ -1,9 +1,12 @@
 """The maintained index against a scan of all texts, and versions written by two."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from palimpsest.functions import text as tx
 from palimpsest.operators import fulltext, search
 from palimpsest.sources.versions import Conflict, Versions
 
@@ -38,6 +41,23 @@ def test_after_random_changes_scores_are_those_of_a_scan(spark, tmp_path):
     index.delete(docs.limit(0), "record_id")
 
 
+def test_terms_are_counted_row_by_row_and_in_no_table_of_a_task(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    texts = [None, "", " . ", "a", "A a b", "b 中文字中文 b a", *(" ".join(rng.choices("abcdefgé", k=rng.randrange(1, 400))) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, x string")
+    rows = docs.select(tx.terms(F.col("x")).alias("t")).select("t", tx.counts(F.col("t")).alias("c")).collect()
+    assert len(rows) == len(texts) and [dict(r.c or []) for r in rows] == [dict(Counter(r.t or [])) for r in rows]
+    assert all(len(dict(r.c)) == len(r.c) for r in rows if r.c)
+    plans, write = [], fulltext.Index._write
+    monkeypatch.setattr(fulltext.Index, "_write", lambda self, postings, name: plans.append(postings._jdf.queryExecution().executedPlan().toString()) or write(self, postings, name))
+    index = fulltext.Index(spark, f"file://{tmp_path}/i", buckets=4)
+    index.upsert(docs, "k", "x")
+    assert plans and "Generate" in plans[0] and "keys=[term" not in plans[0]
+    name = next(iter(index._state()["segments"]))
+    got = {(r.id, r.term): (r.tf, r.dl) for r in index._read("postings", [name], fulltext.POSTINGS).collect()}
+    assert got == {(str(k), t): (n, len(r.t)) for k, r in enumerate(rows) for t, n in Counter(r.t or []).items()}
+
+
 def test_a_query_reads_the_buckets_of_its_terms_alone(spark, tmp_path):
     index = fulltext.Index(spark, f"file://{tmp_path}/i", buckets=16)
     index.upsert(spark.range(200).selectExpr("cast(id as string) as i", "concat('w', id, ' common') as t"), "i", "t")
